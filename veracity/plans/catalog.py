@@ -54,7 +54,7 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load_extensions():
-    from . import catalog_forest, catalog_stream  # noqa: F401  (register)
+    from . import catalog_forest, catalog_stream, catalog_windows  # noqa: F401
 
 
 # ------------------------------------------------------------ shared frames
