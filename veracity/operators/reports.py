@@ -17,7 +17,7 @@ from ..functions.hashing import key_hash
 from ..functions.trust import rate_alert, severity_level, trust_band
 from ..params import ALERT_RATE, HIGH_SEVERITY
 
-_ONE = F.lit(1)
+
 
 
 def trust_by_source(df: DataFrame, source_col: str = "source_id"
@@ -71,7 +71,7 @@ def trust_summary(df: DataFrame) -> DataFrame:
     Percentages are rounded to 2 places; a null mean reads as 0; a null
     flag counts as not anomalous.
     """
-    n = F.count(_ONE)
+    n = F.count(F.lit(1))
     flagged = F.sum(F.when(F.col("is_anomaly") == F.lit(True), 1).otherwise(0))
     pct = lambda c: F.round(F.coalesce(F.avg(c), F.lit(0.0)) * 100.0, 2)
     return (df.agg(n.alias("total_records"),
@@ -108,7 +108,7 @@ def with_trust_band(df: DataFrame, score_col: str = "trust_score"
 def trust_bands(df: DataFrame, score_col: str = "trust_score") -> DataFrame:
     """P9 as a report: rows per band."""
     return (with_trust_band(df, score_col).groupBy("trust_band")
-            .agg(F.count(_ONE).alias("records")))
+            .agg(F.count(F.lit(1)).alias("records")))
 
 
 def anomaly_alerts(df: DataFrame, source_col: str = "source_id",
@@ -119,7 +119,7 @@ def anomaly_alerts(df: DataFrame, source_col: str = "source_id",
     flagged = F.col("is_anomaly") == F.lit(True)
     level = severity_level("anomaly_severity", high)
     stats = df.groupBy(source_col).agg(
-        F.count(_ONE).alias("records"),
+        F.count(F.lit(1)).alias("records"),
         F.sum(F.when(flagged, 1).otherwise(0)).alias("anomalies"),
         F.sum(F.when(flagged & (level == "high"), 1).otherwise(0))
         .alias("high_severity"),
@@ -132,7 +132,7 @@ def anomaly_alerts(df: DataFrame, source_col: str = "source_id",
 
 def record_count(df: DataFrame) -> DataFrame:
     """P7 as a frame (``df.count()`` is the action form)."""
-    return df.agg(F.count(_ONE).alias("records"))
+    return df.agg(F.count(F.lit(1)).alias("records"))
 
 
 def hash_sample(df: DataFrame, fraction: float, key_cols: Sequence[str],

@@ -1 +1,88 @@
-"""Forest queries (registered on import)."""
+"""Forest queries: the hash sample and median (SQL-checked), the fitted
+forest and the full forest-scored pipeline (checked by rows and by the
+properties in tests/test_forest.py)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.hashing import key_hash
+from ..operators import forest, quality, reports, reputation, trust
+from ..params import ForestParams, TrustParams
+from . import oracle as O
+from . import testdata as td
+from .catalog import EVQ, register
+
+SAMPLE_FRACTION = 0.1
+_CUT = int(round(SAMPLE_FRACTION * 2 ** 32))
+_MD5_SQL = (f"CAST(('0x' || substr(md5(CAST(row_key AS VARCHAR) || '#42'), 1, 8))"
+            f" AS BIGINT)")
+
+
+def _md5_sample(spark, sf_dir):
+    e = td.events_feed(spark, sf_dir, with_key=True)
+    return e.where(key_hash(["row_key"], 42, "md5") < F.lit(_CUT))
+
+
+@register("hash_sample", f"""
+WITH e AS ({O.events_sql(True)})
+SELECT row_key, source_id, amount FROM e WHERE {_MD5_SQL} < {_CUT}""",
+          ("amount",))
+def q_hash_sample(spark, sf_dir):
+    """A 10 % sample decided by md5 of the row key."""
+    return _md5_sample(spark, sf_dir).select("row_key", "source_id", "amount")
+
+
+@register("median_impute", f"""
+WITH e AS ({O.events_sql(True)}),
+m AS (SELECT quantile_cont(amount, 0.5) AS med FROM e WHERE {_MD5_SQL} < {_CUT})
+SELECT row_key, COALESCE(amount, m.med) AS amount FROM e, m""", ("amount",))
+def q_median_impute(spark, sf_dir):
+    """A2: nulls take the median of the training sample."""
+    sample = _md5_sample(spark, sf_dir).select(F.col("amount").alias("x"))
+    med = forest.sample_median(sample, sample.count())
+    e = td.events_feed(spark, sf_dir, with_key=True)
+    return e.select("row_key", F.coalesce("amount", F.lit(med)).alias("amount"))
+
+
+# ------------------------------------------------------------ the forest
+def events_forest(spark, sf_dir, params: ForestParams | None = None):
+    e = td.events_feed(spark, sf_dir, with_key=True)
+    p = params or ForestParams(key_cols=("row_key",))
+    return e, forest.fit_isolation_forest(e, p)
+
+
+@register("isolation_forest")
+def q_isolation_forest(spark, sf_dir):
+    """Fit on a 10 % hash sample, flag every event."""
+    e, model = events_forest(spark, sf_dir)
+    return model.transform(e).select("row_key", "source_id", "amount",
+                                     "is_anomaly", "anomaly_severity")
+
+
+@register("isolation_forest_model")
+def q_isolation_forest_model(spark, sf_dir):
+    """The model table (tree, lo, hi, depth)."""
+    _, model = events_forest(spark, sf_dir)
+    return model.leaves_frame(spark)
+
+
+def forest_scored(spark, sf_dir, as_of=td.EVENTS_AS_OF):
+    """The reference's batch job on events: quality, forest flags,
+    reputation, decay, trust."""
+    e, model = events_forest(spark, sf_dir)
+    q = quality.compute_quality_metrics(e, EVQ, as_of)
+    r = reputation.compute_source_reputation(model.transform(q))
+    return trust.compute_trust_score(r, TrustParams.batch(), as_of)
+
+
+@register("trust_by_source_forest")
+def q_trust_by_source_forest(spark, sf_dir):
+    """P1 over forest-scored events."""
+    return reports.trust_by_source(forest_scored(spark, sf_dir))
+
+
+@register("top_anomalies_forest")
+def q_top_anomalies_forest(spark, sf_dir):
+    """P5 over forest-scored events (the top 10 is the report)."""
+    return reports.top_anomalies(forest_scored(spark, sf_dir), 10)
