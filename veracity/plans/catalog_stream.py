@@ -1 +1,160 @@
-"""Streaming queries (registered on import)."""
+"""Streaming queries: the events table replayed as a file stream.
+
+Each query runs its stream to completion (``availableNow``) into a fresh
+folder under the shared checkpoint folder and returns the written table.
+Stateful modes emit only what the final watermark has closed (records of
+the last 10 minutes of event time stay in state), and the oracles say so.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..params import QualityParams
+from ..session import scratch_path
+from ..streaming.job import (StreamingPipelineConfig, build_stream,
+                             score_stream, with_watermark)
+from ..streaming.sinks import create_output_sink
+from ..streaming.state import exact_stream_reputation
+from ..operators import reputation, trust, clean
+from ..params import TrustParams
+from . import oracle as O
+from . import testdata as td
+from .catalog import register
+from .catalog_windows import _A, _FLAGGED, SLIDING_SQL
+
+_SQ = QualityParams.streaming()
+
+
+def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events file as a stream, mapped to the message record."""
+    schema = td.table(spark, sf_dir, "events").schema
+    raw = (spark.readStream.schema(schema)
+           .option("pathGlobFilter", "events.parquet")
+           .option("maxFilesPerTrigger", 1).parquet(sf_dir))
+    from ..operators.unify import map_feed
+    dirty = td.dirty_frame(raw, td.EVENTS, with_key=True)
+    rec = map_feed(dirty, td.mapping(td.EVENTS), keep=("row_key",))
+    return (rec.withColumnRenamed("amount", "purchase_amount")
+            .withColumn("ingestion_timestamp",
+                        F.lit(td.EVENTS_AS_OF).cast("timestamp")))
+
+
+def run_to_table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    out, ckpt = scratch_path(spark, name), scratch_path(spark, name + "-ckpt")
+    q = create_output_sink(df, "parquet", out, ckpt, "append",
+                           available_now=True)
+    q.awaitTermination()
+    return spark.read.schema(df.schema).parquet(out)
+
+
+def stream_flags(df: DataFrame) -> DataFrame:
+    a = F.coalesce(F.col("purchase_amount"), F.lit(0.0))
+    return df.withColumns({"is_anomaly": a > F.lit(td.GIVEN_FLAG_BOUND),
+                           "anomaly_severity": a / F.lit(td.GIVEN_FLAG_BOUND) - 1.0})
+
+
+_STREAM_FEED = f"""f AS (SELECT row_key, user_id, amount AS purchase_amount, city,
+  "timestamp", source_id, ingestion_timestamp FROM ({O.events_sql(True)}))"""
+DIMS = ("completeness", "consistency", "accuracy", "freshness", "timeliness")
+
+
+@register("stream_quality", f"""WITH {_STREAM_FEED}
+SELECT row_key, {O.quality_sql(_SQ, td.EVENTS_AS_OF)} FROM f""", DIMS)
+def q_stream_quality(spark, sf_dir):
+    """Q7 on a stream (stateless: every record comes out)."""
+    from ..operators import quality
+    s = quality.compute_quality_metrics(events_stream(spark, sf_dir), _SQ,
+                                        td.EVENTS_AS_OF)
+    return run_to_table(spark, s.select("row_key", *DIMS), "stream_quality")
+
+
+# final watermark: latest event time minus the 10-minute delay
+_WM = ("(SELECT max(CASE WHEN event_id % 17 = 0 THEN NULL ELSE ts END) "
+       "- INTERVAL 10 MINUTE FROM events)")
+
+
+@register("stream_sliding_reputation", f"""
+SELECT * FROM ({SLIDING_SQL}) AS s WHERE window_end <= {_WM}""",
+          ("source_reputation",))
+def q_stream_sliding_reputation(spark, sf_dir):
+    """ST1 + ST5: watermark, hopping windows, stream-stream join back."""
+    s = with_watermark(stream_flags(events_stream(spark, sf_dir))
+                       .withColumnRenamed("purchase_amount", "amount"))
+    from ..streaming.job import sliding_stream_reputation
+    out = sliding_stream_reputation(s)
+    return run_to_table(spark, out.select(
+        "row_key", "source_id", "window_start", "window_end",
+        "anomalies_in_window", "total_in_window", "source_reputation"),
+        "stream_sliding")
+
+
+EXACT_SQL = f"""WITH {_FLAGGED},
+k AS (SELECT *, CAST(floor(epoch("timestamp")) AS BIGINT) AS sec FROM q
+      WHERE "timestamp" IS NOT NULL),
+w AS (SELECT row_key, source_id, sec, CAST(SUM({_A}) OVER win AS BIGINT) AS a,
+        COUNT(*) OVER win AS n FROM k
+      WINDOW win AS (PARTITION BY source_id ORDER BY sec
+                     RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW))
+SELECT row_key, source_id, a AS anomalies_in_window, n AS total_in_window,
+  1.0::DOUBLE - a::DOUBLE / n AS source_reputation
+FROM w WHERE sec + 1 <= epoch({_WM})"""
+
+
+@register("stream_reputation_exact", EXACT_SQL, ("source_reputation",))
+def q_stream_reputation_exact(spark, sf_dir):
+    """ST6: keyed-state trailing window, equal to the batch R2 values for
+    every record whose second the final watermark has closed."""
+    s = with_watermark(stream_flags(events_stream(spark, sf_dir))
+                       .withColumnRenamed("purchase_amount", "amount"))
+    out = exact_stream_reputation(s, 3600)
+    return run_to_table(spark, out.select(
+        "row_key", "source_id", "anomalies_in_window", "total_in_window",
+        "source_reputation"), "stream_exact")
+
+
+@register("stream_trust")
+def q_stream_trust(spark, sf_dir):
+    """ST7 end to end on a stream: quality, forest scores (model fitted on
+    the batch table), sliding reputation, stream trust, short output."""
+    from .catalog_forest import events_forest
+    _, model = events_forest(spark, sf_dir)
+    cfg = StreamingPipelineConfig(include_intermediate=True)
+    out = build_stream(events_stream(spark, sf_dir), model, cfg,
+                       td.EVENTS_AS_OF)
+    return run_to_table(spark, out, "stream_trust")
+
+
+@register("stream_forest_scoring")
+def q_stream_forest_scoring(spark, sf_dir):
+    """A saved forest applied to a stream, no fitting in the stream."""
+    from .catalog_forest import events_forest
+    from ..operators.forest import IsolationForestModel
+    _, model = events_forest(spark, sf_dir)
+    path = scratch_path(spark, "forest-model")
+    model.save(spark, path)
+    loaded = IsolationForestModel.load(spark, path)
+    s = loaded.transform(events_stream(spark, sf_dir),
+                         feature_col="purchase_amount")
+    return run_to_table(spark, s.select("row_key", "source_id",
+                                        "purchase_amount", "is_anomaly",
+                                        "anomaly_severity"), "stream_forest")
+
+
+@register("stream_micro_batch")
+def q_stream_micro_batch(spark, sf_dir):
+    """ST9: per-micro-batch reputation (R4) inside ``foreachBatch``."""
+    from ..streaming.job import create_streaming_pipeline
+    out = scratch_path(spark, "stream-mb")
+    cfg = StreamingPipelineConfig(
+        output_path=out, checkpoint_dir=scratch_path(spark, "stream-mb-ckpt"),
+        reputation_mode="micro_batch", include_intermediate=True)
+    q = create_streaming_pipeline(spark, cfg, model=stream_flags,
+                                  source=events_stream(spark, sf_dir),
+                                  available_now=True, as_of=td.EVENTS_AS_OF)
+    q.awaitTermination()
+    return spark.read.parquet(out)
+
+
+__all__ = ["reputation", "trust", "clean", "TrustParams", "score_stream"]

@@ -72,7 +72,12 @@ def _null_if(key: Column, m: int, value: Column) -> Column:
 def dirty_table(spark: SparkSession, sf_dir: str, feed: HarnessFeed,
                 with_key: bool = False) -> DataFrame:
     """The raw table, mapped columns nulled by key, original names kept."""
-    df = table(spark, sf_dir, feed.table)
+    return dirty_frame(table(spark, sf_dir, feed.table), feed, with_key)
+
+
+def dirty_frame(df: DataFrame, feed: HarnessFeed, with_key: bool = False
+                ) -> DataFrame:
+    """``dirty_table`` on a given (possibly streaming) frame."""
     k = F.expr(feed.key)
     if feed.city_expr:
         df = df.withColumn(feed.city, F.expr(feed.city_expr))
