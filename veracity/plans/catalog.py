@@ -439,7 +439,7 @@ def q_unify_permissive(spark, sf_dir):
                               unify.unify_permissive(li, l_map)])
 
 
-@register("adapt_schema", f"""
+ADAPT_SQL = f"""
 WITH c AS (SELECT
   CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE c_custkey END AS amount, c_name,
   c_nationkey,
@@ -455,7 +455,10 @@ SELECT amount, c_name, c_nationkey, c_acctbal, c_mktsegment,
    AS completeness,
   CAST(CASE WHEN amount IS NULL THEN 0.0 WHEN amount >= 0 AND amount <= 100000
    THEN 1.0 ELSE 0.0 END AS DOUBLE) AS accuracy
-FROM c""", ("c_acctbal", "completeness", "accuracy"))
+FROM c"""
+
+
+@register("adapt_schema", ADAPT_SQL, ("c_acctbal", "completeness", "accuracy"))
 def q_adapt_schema(spark, sf_dir):
     """U11 on customer: the first numeric column becomes the amount; then
     dynamic completeness over the adapted columns."""
@@ -576,3 +579,52 @@ def q_json_roundtrip(spark, sf_dir):
     out = messages.prepare_ingestion_fields(parsed, as_of=td.EVENTS_AS_OF)
     return out.select("row_key", "user_id", "purchase_amount", "city",
                       "timestamp", "source_id")
+
+
+# ------------------------------------------------------------ X2, P8, S3
+@register("append_union", " UNION ALL ".join(
+    f"({O.feed_sql(td.FEEDS[n], tag=n)})" for n in td.FOUR), ("amount",))
+def q_append_union(spark, sf_dir):
+    """The first feed overwrites a Parquet folder, the others
+    append, then the folder is read back (types aligned before writing)."""
+    from ..session import scratch_path
+    from ..sources import files
+    return files.append_feeds(td.four_feeds(spark, sf_dir),
+                              scratch_path(spark, "append-union"))
+
+
+EXACT_N = 1000
+
+
+@register("exact_sample", f"""
+WITH e AS ({O.events_sql(True)})
+SELECT row_key, source_id, amount FROM e
+ORDER BY CAST(('0x' || substr(md5(CAST(row_key AS VARCHAR) || '#42'), 1, 8)) AS BIGINT),
+  row_key LIMIT {EXACT_N}""", ("amount",))
+def q_exact_sample(spark, sf_dir):
+    """Exactly n rows, those with the smallest key hashes (the sample
+    size is the operator)."""
+    e = td.events_feed(spark, sf_dir, with_key=True)
+    return reports.exact_sample(e, EXACT_N, ["row_key"], 42, "md5").select(
+        "row_key", "source_id", "amount")
+
+
+@register("csv_upload_quality", ADAPT_SQL,
+          ("c_acctbal", "completeness", "accuracy"))
+def q_csv_upload_quality(spark, sf_dir):
+    """Customer written as CSV with a ``NULL`` token, read
+    back with header and inferred types, adapted and scored."""
+    from ..session import scratch_path
+    from ..sources import files
+    path = scratch_path(spark, "upload-csv")
+    (td.dirty_table(spark, sf_dir, td.CUSTOMER).write.mode("overwrite")
+     .option("header", "true").option("nullValue", "NULL").csv(path))
+    raw = files.read_csv(spark, path, null_value="NULL")
+    a = unify.adapt_schema(raw, td.TPCH_AS_OF)
+    scored = quality.compute_quality_metrics(a, QualityParams.batch(),
+                                             td.TPCH_AS_OF)
+    return scored.select(F.col("amount").cast("long").alias("amount"),
+                         "c_name", F.col("c_nationkey").cast("int")
+                         .alias("c_nationkey"), "c_acctbal", "c_mktsegment",
+                         "source_id", "user_id", "city", "timestamp",
+                         "completeness", "accuracy")
