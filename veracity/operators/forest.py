@@ -352,3 +352,65 @@ def detect_anomalies_streaming(df: DataFrame, model: IsolationForestModel
     if isinstance(model, str):
         model = IsolationForestModel.load(df.sparkSession, model)
     return model.transform(df)
+
+
+# ------------------------------------------------- closed form (exact check)
+def expected_depth_exact(x: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """Expected isolation depth over infinitely many fully grown trees.
+
+    ``a``: the distinct sample values, sorted.  A point equal to a_i:
+    sum over gaps j of g_j / (a_(j+1) - a_i) (gaps right of it) or
+    g_j / (a_i - a_j) (gaps left of it).  A point inside gap k, L and R
+    away from its ends: 1 + sum over the other gaps of
+    g / (L + R + M + g) * (1 + L / (M + g)) (right side, M from a_(k+1))
+    or (1 + R / (M + g)) (left side, M from a_k).  Points outside the
+    sample range take the depth of the nearest end point.
+    """
+    a = np.asarray(a, dtype=float)
+    x = np.asarray(x, dtype=float)
+    n = len(a)
+    out = np.zeros(len(x))
+    if n < 2:
+        return out
+    lo, hi = a[:-1], a[1:]
+    g = hi - lo
+    xc = np.clip(x, a[0], a[-1])
+    idx = np.searchsorted(a, xc, side="left")
+    ins = a[np.minimum(idx, n - 1)] == xc
+    if ins.any():
+        X = xc[ins][:, None]
+        right = lo[None, :] >= X
+        out[ins] = np.where(right, g / np.where(right, hi - X, 1.0),
+                            g / np.where(right, 1.0, X - lo)).sum(axis=1)
+    if (~ins).any():
+        Y = xc[~ins][:, None]
+        k = idx[~ins] - 1
+        ak, ak1 = a[k][:, None], a[k + 1][:, None]
+        L, R = Y - ak, ak1 - Y
+        right = lo[None, :] >= ak1
+        left = hi[None, :] <= ak
+        Mr = np.where(right, lo[None, :] - ak1, 0.0)
+        Ml = np.where(left, ak - hi[None, :], 0.0)
+        tr = g / (L + R + Mr + g) * (1.0 + L / (Mr + g))
+        tl = g / (L + R + Ml + g) * (1.0 + R / (Ml + g))
+        out[~ins] = 1.0 + np.where(right, tr, 0.0).sum(axis=1) + \
+            np.where(left, tl, 0.0).sum(axis=1)
+    return out
+
+
+def exact_isolation_scores(values: DataFrame, sample: np.ndarray,
+                           col: str = "x") -> DataFrame:
+    """Add ``depth`` and ``score`` = 2^(-depth / c(n)) to ``values``,
+    scored in Arrow batches against the broadcast (bounded) sample."""
+    spark = values.sparkSession
+    a = np.unique(np.asarray(sample, dtype=float))
+    c_n = float(average_path_length([len(a)])[0]) or 1.0
+    bc = spark.sparkContext.broadcast(a)
+
+    @F.pandas_udf("double")
+    def depth(x: pd.Series) -> pd.Series:
+        return pd.Series(expected_depth_exact(x.to_numpy(dtype=float),
+                                              bc.value))
+
+    out = values.withColumn("depth", depth(F.col(col).cast("double")))
+    return out.withColumn("score", F.pow(F.lit(2.0), -F.col("depth") / c_n))

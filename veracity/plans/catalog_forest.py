@@ -86,3 +86,79 @@ def q_trust_by_source_forest(spark, sf_dir):
 def q_top_anomalies_forest(spark, sf_dir):
     """P5 over forest-scored events (the top 10 is the report)."""
     return reports.top_anomalies(forest_scored(spark, sf_dir), 10)
+
+
+# ------------------------------------------------- exact closed form
+EXACT_SAMPLE = 256
+
+
+def _exact_sample(spark, sf_dir):
+    """Distinct amounts of the 256 rows with the smallest md5 key hashes
+    (the sample size is the operator's parameter)."""
+    e = td.events_feed(spark, sf_dir, with_key=True).where(
+        F.col("amount").isNotNull())
+    rows = (e.withColumn("h", key_hash(["row_key"], 42, "md5"))
+            .orderBy("h", "row_key").limit(EXACT_SAMPLE)
+            .select("amount").distinct().collect())   # bounded: 256 values
+    return sorted(r["amount"] for r in rows)
+
+
+_EXACT_SQL = f"""WITH e AS ({O.events_sql(True)}),
+s AS (SELECT DISTINCT amount AS a FROM (SELECT amount FROM e WHERE amount IS NOT NULL
+      ORDER BY {_MD5_SQL}, row_key LIMIT {EXACT_SAMPLE})),
+p AS (SELECT a, lead(a) OVER (ORDER BY a) AS nxt FROM s),
+g AS (SELECT a AS lo, nxt AS hi, nxt - a AS gap FROM p WHERE nxt IS NOT NULL),
+ends AS (SELECT min(a) AS amin, max(a) AS amax, count(*) AS n FROM s),
+xs AS (SELECT DISTINCT amount AS x FROM e WHERE amount IS NOT NULL
+       UNION SELECT 0.0::DOUBLE),
+xc AS (SELECT x, LEAST(GREATEST(x, amin), amax) AS c FROM xs, ends),
+ins AS (SELECT xc.x, SUM(CASE WHEN g.lo >= xc.c THEN g.gap / (g.hi - xc.c)
+                              ELSE g.gap / (xc.c - g.lo) END) AS depth
+        FROM xc JOIN s ON s.a = xc.c, g GROUP BY xc.x),
+inside AS (SELECT xc.x, xc.c, k.lo AS ak, k.hi AS ak1 FROM xc JOIN g AS k
+           ON k.lo < xc.c AND xc.c < k.hi),
+gapd AS (SELECT i.x, 1.0 + SUM(CASE
+    WHEN g.lo >= i.ak1 THEN g.gap / ((i.c - i.ak) + (i.ak1 - i.c) + (g.lo - i.ak1) + g.gap)
+         * (1.0 + (i.c - i.ak) / ((g.lo - i.ak1) + g.gap))
+    WHEN g.hi <= i.ak THEN g.gap / ((i.c - i.ak) + (i.ak1 - i.c) + (i.ak - g.hi) + g.gap)
+         * (1.0 + (i.ak1 - i.c) / ((i.ak - g.hi) + g.gap))
+    ELSE 0.0 END) AS depth FROM inside AS i, g GROUP BY i.x),
+d AS (SELECT * FROM ins UNION ALL SELECT * FROM gapd),
+cn AS (SELECT 2.0 * (ln(n - 1.0) + 0.5772156649015329) - 2.0 * (n - 1.0) / n AS c FROM ends),
+sc AS (SELECT d.x, d.depth, pow(2.0, -d.depth / cn.c) AS score FROM d, cn)"""
+
+
+@register("isolation_depth_exact", _EXACT_SQL + """
+SELECT x AS amount, depth, score FROM sc WHERE x IN (SELECT x FROM xs)""",
+          ("amount", "depth", "score"))
+def q_isolation_depth_exact(spark, sf_dir):
+    """Expected isolation depth and score of every distinct amount (and of
+    0.0, the scoring fill) under infinitely many unbounded trees."""
+    sample = _exact_sample(spark, sf_dir)
+    e = td.events_feed(spark, sf_dir)
+    xs = (e.where(F.col("amount").isNotNull()).select(F.col("amount").alias("x"))
+          .union(spark.range(1).select(F.lit(0.0).alias("x"))).distinct())
+    out = forest.exact_isolation_scores(xs, sample)
+    return out.select(F.col("x").alias("amount"), "depth", "score")
+
+
+@register("isolation_flags_exact", _EXACT_SQL + """,
+thr AS (SELECT quantile_cont(sc.score, 0.95) AS t FROM sc JOIN s ON sc.x = s.a)
+SELECT e.row_key, sc.score > thr.t AS is_anomaly,
+  sc.score - thr.t AS anomaly_severity
+FROM e JOIN sc ON sc.x = COALESCE(e.amount, 0.0::DOUBLE), thr""",
+          ("anomaly_severity",))
+def q_isolation_flags_exact(spark, sf_dir):
+    """Flags from the closed form: threshold = 95 % quantile of the sample
+    points' scores; a null amount is scored as 0.0."""
+    sample = _exact_sample(spark, sf_dir)
+    scores = q_isolation_depth_exact(spark, sf_dir).select(
+        F.col("amount").alias("x"), "score")
+    sample_df = spark.createDataFrame([(float(v),) for v in sample], "x double")
+    thr = (scores.join(sample_df, "x")
+           .agg(F.percentile("score", 0.95).alias("t")).first()["t"])
+    e = td.events_feed(spark, sf_dir, with_key=True).withColumn(
+        "x", F.coalesce(F.col("amount"), F.lit(0.0)))
+    out = e.join(scores, "x")    # one score per distinct amount
+    return out.select("row_key", (F.col("score") > F.lit(thr)).alias("is_anomaly"),
+                      (F.col("score") - F.lit(thr)).alias("anomaly_severity"))
