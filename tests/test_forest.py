@@ -70,3 +70,19 @@ def test_scoring_is_one_python_stage(spark):
     m = forest.fit_isolation_forest(df, ForestParams(key_cols=("event_id",)))
     plan = m.transform(df)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
+
+
+def test_random_trees_converge_to_closed_form():
+    """Mean depth of many unbounded random trees -> the exact expectation."""
+    rng = np.random.default_rng(3)
+    a = np.unique(np.round(rng.exponential(20, 40), 2))
+    probes = np.concatenate([a[[0, 5, 17, -1]], [(a[3] + a[4]) / 2, a[-1] + 9]])
+    total = np.zeros(len(probes))
+    trees = 3000
+    for t in range(trees):
+        leaves = forest.grow_tree(a, np.random.default_rng([9, t]), 10_000)
+        for lo, hi, d in leaves:
+            total += np.where((lo < probes) & (probes <= hi), d, 0.0)
+    approx = total / trees
+    exact = forest.expected_depth_exact(probes, a)
+    assert np.allclose(approx, exact, atol=0.15)

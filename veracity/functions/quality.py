@@ -38,10 +38,15 @@ def completeness_fields(columns: Iterable[str]) -> list[str]:
     return [c for c in columns if c not in DERIVED_COLUMNS]
 
 
-def completeness(fields: Iterable[str]) -> Column:
-    """Share of non-null fields; NaN and empty strings count as present."""
+def completeness(fields: Iterable[str], available=None) -> Column:
+    """Share of non-null fields; NaN and empty strings count as present.
+
+    With ``available`` (the frame's columns), a listed field the frame
+    lacks counts as missing instead of failing the analysis."""
     fields = list(fields)
-    present = [F.when(F.col(c).isNull(), 0.0).otherwise(1.0) for c in fields]
+    present = [F.when(F.col(c).isNull(), 0.0).otherwise(1.0)
+               if available is None or c in available else F.lit(0.0)
+               for c in fields]
     total = F.lit(0.0)
     for p in present:
         total = total + p

@@ -28,7 +28,7 @@ def compute_quality_metrics(df: DataFrame,
                  else q.as_of_column(as_of))
     ts = _as_time(df, p.timestamp_col)
     cols = {
-        "completeness": q.completeness(fields),
+        "completeness": q.completeness(fields, df.columns),
         "consistency": q.consistency(p.amount_col),
         "accuracy": q.accuracy(p.amount_col, p.max_amount),
         "freshness": q.freshness(ts, as_of, p.freshness_days),
