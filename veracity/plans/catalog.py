@@ -27,6 +27,9 @@ _SQL: dict[str, str] = {}
 def register(name: str, sql: str | None = None, doubles=()):
     def deco(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            # the harness's fixed times are UTC wall-clock, as in the oracle
+            if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+                spark.conf.set("spark.sql.session.timeZone", "UTC")
             return round_doubles(fn(spark, sf_dir))
         run.__name__ = fn.__name__
         run.__doc__ = fn.__doc__
