@@ -67,3 +67,17 @@ def test_encode_then_parse_roundtrip(spark):
     assert back.first().asDict() == df.first().asDict()
     assert messages.encode_messages(df).first().key == "u"
     assert F is not None
+
+
+def test_upload_analysis_job(spark, tmp_path):
+    """S3 + U11 + forest + P4 + P5 on a CSV with NULL tokens."""
+    from veracity.plans import batch
+    path = str(tmp_path / "upload")
+    (spark.read.parquet("/root/testdata/sf0.01/customer.parquet")
+     .withColumn("c_acctbal", F.when(F.col("c_custkey") % 13 == 0, None)
+                 .otherwise(F.col("c_acctbal")))
+     .write.option("header", "true").option("nullValue", "NULL").csv(path))
+    summary, top = batch.analyze_upload(spark, path, AS_OF)
+    s = summary.collect()
+    assert len(s) == 1 and s[0].total_records == 1500
+    assert 0 < top.count() <= 10

@@ -11,8 +11,6 @@ holds most of the rows.
 
 from __future__ import annotations
 
-import math
-
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -247,5 +245,5 @@ __all__ = [
     "compute_source_reputation_streaming", "compute_source_reputation_recent",
     "compute_sliding_reputation",
     "compute_source_reputation_exponential_moving_average",
-    "source_stats", "epoch_seconds", "parse_duration", "math",
+    "source_stats", "epoch_seconds", "parse_duration",
 ]

@@ -14,11 +14,9 @@ from pyspark.sql import functions as F
 from ..params import QualityParams
 from ..session import scratch_path
 from ..streaming.job import (StreamingPipelineConfig, build_stream,
-                             score_stream, with_watermark)
+                             with_watermark)
 from ..streaming.sinks import create_output_sink
 from ..streaming.state import exact_stream_reputation
-from ..operators import reputation, trust, clean
-from ..params import TrustParams
 from . import oracle as O
 from . import testdata as td
 from .catalog import register
@@ -156,5 +154,3 @@ def q_stream_micro_batch(spark, sf_dir):
     q.awaitTermination()
     return spark.read.parquet(out)
 
-
-__all__ = ["reputation", "trust", "clean", "TrustParams", "score_stream"]

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..operators import reputation
 from . import oracle as O
 from . import testdata as td
@@ -117,5 +115,3 @@ def q_ema_reputation(spark, sf_dir):
     return out.select("row_key", "source_id", "ema_anomaly_rate",
                       "source_reputation")
 
-
-__all__ = ["F"]
