@@ -8,8 +8,9 @@ the session: the shared checkpoint folder.
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -45,13 +46,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     The cluster names a shared folder there; it is read from the session
-    and used as is.  Only when the setting is absent (local tests) a fresh
-    folder under the system temp dir is created and recorded.
+    and used as is.  When the setting is absent, a local master gets a
+    fresh folder under the system temp dir (tests); any other master
+    raises, since a driver-local folder is invisible to its executors.
     """
     conf = spark.sparkContext.getConf()
     path = conf.get("spark.checkpoint.dir", None) or spark.conf.get(
         "spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(
+                f"spark.checkpoint.dir is not set and the master is {master}: "
+                "name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="veracity-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -60,10 +67,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh sub-folder of the shared checkpoint folder for written tables."""
+    """A fresh name under the shared checkpoint folder for a written table.
+
+    Only the name is made; Spark's writer creates the folder on whatever
+    file system the checkpoint folder lives.
+    """
     base = ensure_checkpoint_dir(spark)
-    if "://" not in base:
-        os.makedirs(base, exist_ok=True)
-        return tempfile.mkdtemp(prefix=f"{name}-", dir=base)
-    import uuid
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def delete_path(spark: SparkSession, path: str) -> bool:
+    """Delete a scratch table through the file system Spark resolves."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.delete(p, True)
