@@ -59,10 +59,167 @@ FROM sized JOIN comp ON id = doc_id
 """
 
 
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import plan_mix
+    return plan_mix(read_table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "source_size", "target", "taken")
+
+
+OP2_SQL = r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(
+           text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         ('0x' || substr(md5('13|' || coalesce(doc_id::VARCHAR, '') || '|'
+           || coalesce(md5(text), '')), 1, 15))::BIGINT AS k
+  FROM documents),
+per AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+         [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3
+                   + 1] AS w
+  FROM docs GROUP BY source),
+-- sources reach their cap in the order of cap / weight
+ordered AS (
+  SELECT *, coalesce(sum(2 * source_size) OVER before, 0) AS used,
+         sum(w) OVER () - coalesce(sum(w) OVER before, 0) AS weights,
+         150 * sum(source_size) OVER () AS budget
+  FROM per WINDOW before AS (
+    ORDER BY 2 * source_size / w, source NULLS LAST
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+level AS (
+  SELECT budget - 100 * used AS left_, weights FROM ordered
+  WHERE w * (budget - 100 * used) < 200 * source_size * weights
+  ORDER BY 2 * source_size / w, source NULLS LAST LIMIT 1),
+targets AS (
+  SELECT o.source, o.source_size, CASE
+    WHEN l.left_ IS NULL
+      OR o.w * l.left_ >= 200 * o.source_size * l.weights
+    THEN (2 * o.source_size)::DOUBLE
+    ELSE o.w::DOUBLE * l.left_::DOUBLE / (100 * l.weights)::DOUBLE
+    END AS target
+  FROM ordered o LEFT JOIN level l ON true),
+placed AS (
+  SELECT d.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY k
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place
+  FROM docs d),
+goals AS (
+  SELECT p.doc_id, p.size, p.place, t.source_size, t.target,
+         round(t.target)::BIGINT AS goal
+  FROM placed p JOIN targets t ON p.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, CASE WHEN source_size = 0 THEN 0
+  ELSE (goal // source_size) * size + least(greatest(
+    goal - (goal // source_size) * source_size - place, 0), size)
+  END::BIGINT AS taken
+FROM goals
+"""
+
+
+def op3_shard_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shard_table
+    return shard_table(read_table(spark, sf_dir, "documents"))
+
+
+def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archive_pages
+    return archive_pages(read_table(spark, sf_dir, "pages"))
+
+
+OP4_SQL = r"""
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS n,
+         sha1(coalesce(html, '')) AS h FROM pages),
+d AS (
+  SELECT page_id, n, array_to_string(list_transform(range(0, 32),
+    lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((
+      ('0x' || substr(h, (1 + 5 * (k // 4))::INT, 5))::BIGINT
+      >> (15 - 5 * (k % 4))) & 31)::INT, 1)), '') AS digest
+  FROM p),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY digest, n) AS top FROM d)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+  CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> top THEN top END AS refers_to
+FROM m
+"""
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import format_turns, read_back
+    from .common import save
+    said = "</s>[INST] ok [/INST]"
+    own = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(said).alias("text"))
+    rows = read_table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", "role", "text").unionByName(own)
+    return read_back(save(format_turns(rows), "chat"))
+
+
+OP5_SQL = r"""
+WITH rows_ AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'),
+                   (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+shown AS (
+  SELECT *, length(role) + length(text)
+    + len(regexp_extract_all(role || ' ' || text,
+        '␛|<\|begin\|>|<\|turn\|>|<\|text\|>|<\|end\|>|<s>|</s>|\[INST\]'
+        || '|\[/INST\]|<<SYS>>|<</SYS>>|<\|im_start\|>|<\|im_end\|>'
+        || '|<\|endoftext\|>'))
+    + length('<|turn|><|text|><|end|>') AS chars
+  FROM rows_)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn,
+                    role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT
+    AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text)
+                  FILTER (role = 'assistant'), '')) AS loss_sha256,
+  (sum(chars) + length('<|begin|>'))::BIGINT AS formatted_chars
+FROM shown GROUP BY conv_id
+"""
+
+
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embed import link_vectors
+    return link_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
+OP6_SQL = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e)))
+        = 0
+    AND len(list_filter(embedding, lambda e: e <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
+  ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+  WHERE list_cosine_similarity(a.x, b.x) >= 0.9),
+reach AS (
+  SELECT vec_id AS id, vec_id AS r FROM embeddings
+  UNION SELECT links.b, reach.r FROM reach JOIN links ON links.a = reach.id),
+comp AS (SELECT id, min(r) AS c FROM reach GROUP BY id),
+n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, c AS component_id,
+       e.vec_id = c AS kept
+FROM embeddings e JOIN comp ON id = e.vec_id LEFT JOIN n ON n.a = e.vec_id
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
+    "op2_mix_sources": op2_mix_sources,
+    "op3_shard_shuffle": op3_shard_shuffle,
+    "op4_warc_revisits": op4_warc_revisits,
+    "op5_chat_format": op5_chat_format,
+    "op6_embedding_dedup": op6_embedding_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_minhash_dedup": OP1_SQL,
+    "op2_mix_sources": OP2_SQL,
+    "op4_warc_revisits": OP4_SQL,
+    "op5_chat_format": OP5_SQL,
+    "op6_embedding_dedup": OP6_SQL,
 }
