@@ -9,6 +9,7 @@ sums and finished with a mixing step; 64 bits stand for the word.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -141,7 +142,7 @@ def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8), offsets.astype(np.int64)
 
 
-def row_chunks(offsets: np.ndarray, limit: int = 4 << 20
+def row_chunks(offsets: np.ndarray, limit: int = 1 << 20
                ) -> Iterator[tuple[int, int]]:
     """Row ranges whose texts have about ``limit`` bytes (one row at least)."""
     a, n = 0, len(offsets) - 1
@@ -188,19 +189,34 @@ def shingles(h: np.ndarray, border: np.ndarray, width: int
 
 # --- tables -------------------------------------------------------------
 
+@contextmanager
+def text_batches(spark: SparkSession, size: str = "4m") -> Iterator[None]:
+    """Arrow batches of about ``size`` bytes for the Python stages that run
+    inside: whole texts are long, and a batch is held by the JVM and by
+    Python at once."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
 def own_columns(df: DataFrame, names: dict[str, str]) -> DataFrame:
     """Only the named columns under the operator's own names, so that extra
     columns of the input never clash."""
     return df.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
+def save(df: DataFrame, name: str, compression: str = "snappy"
+         ) -> DataFrame:
     """Write to the shared scratch folder and read back: lineage is cut and
     a lost executor loses nothing."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     schema = df.schema
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
