@@ -207,6 +207,69 @@ FROM embeddings e JOIN comp ON id = e.vec_id LEFT JOIN n ON n.a = e.vec_id
 """
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import contamination
+    return contamination(read_table(spark, sf_dir, "documents"),
+                         read_table(spark, sf_dir, "benchmark"))
+
+
+OP8_SQL = r"""
+WITH dw AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(
+    text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+iw AS (
+  SELECT item_id, coalesce(regexp_extract_all(translate(
+    text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, least(13, len(w)) AS n, array_to_string(
+    w[k:k + least(13, len(w)) - 1], ' ') AS win
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1))
+          AS k FROM iw WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM windows),
+grams AS (
+  SELECT doc_id, n, k, array_to_string(w[k:k + n - 1], ' ') AS win
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k
+        FROM dw, sizes WHERE len(w) >= n)),
+found AS (
+  SELECT g.doc_id, g.k, g.n, x.item_id FROM grams g JOIN windows x
+  ON g.n = x.n AND g.win = x.win),
+hit AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (
+    SELECT doc_id, unnest(range(k, k + n)) AS p FROM found) GROUP BY doc_id),
+items AS (
+  SELECT doc_id, count(*) AS n_items,
+         string_agg(item, ',' ORDER BY item) AS names
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM found)
+  GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words,
+  coalesce(n_hit, 0)::BIGINT AS n_hit,
+  coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(names, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w)
+    AS contaminated
+FROM dw d LEFT JOIN hit h ON h.doc_id = d.doc_id
+LEFT JOIN items i ON i.doc_id = d.doc_id
+"""
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+    return toxicity(read_table(spark, sf_dir, "documents"),
+                    read_table(spark, sf_dir, "labels"))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import license_report
+    return license_report(read_table(spark, sf_dir, "documents"))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tokencount import section_table
+    return section_table(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_mix_sources": op2_mix_sources,
@@ -214,6 +277,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_warc_revisits": op4_warc_revisits,
     "op5_chat_format": op5_chat_format,
     "op6_embedding_dedup": op6_embedding_dedup,
+    "op7_toxicity": op7_toxicity,
+    "op8_decontaminate": op8_decontaminate,
+    "op9_license_scan": op9_license_scan,
+    "op10_token_counts": op10_token_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -222,4 +289,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_warc_revisits": OP4_SQL,
     "op5_chat_format": OP5_SQL,
     "op6_embedding_dedup": OP6_SQL,
+    "op8_decontaminate": OP8_SQL,
 }
