@@ -3,7 +3,8 @@
 Templates and documents are read as word sequences.  Their word trigrams
 are winnowed: of every ``window`` consecutive trigram hashes the smallest
 is kept, so two texts that share ``window + 2`` words in a row are sure to
-share a fingerprint.  The templates' fingerprints form a small inverted
+share a fingerprint (a notice too short for that is looked up by all its
+trigrams).  The templates' fingerprints form a small inverted
 index (its size is that of the templates, a parameter).  A document's
 fingerprints looked up in it give candidates: a template and the diagonal
 its words would lie on.  A banded alignment around the diagonal then
@@ -70,7 +71,7 @@ class LicenseParams:
     ``band``: words that may be missing or extra on either side."""
 
     gram: int = 3
-    window: int = 2
+    window: int = 4
     band: int = 6
     coverage: float = 0.8
 
@@ -84,6 +85,7 @@ class _Index:
     hashes: np.ndarray
     template: np.ndarray
     offset: np.ndarray
+    short: list[bool]       # fewer grams than a winnowing window
 
 
 def _words(text: bytes) -> np.ndarray:
@@ -128,7 +130,8 @@ def _index(templates: Sequence[tuple[str, str]], p: LicenseParams) -> _Index:
     order = np.argsort(h, kind="stable")
     return _Index(names, words, h[order],
                   np.concatenate(template)[order] if hashes else h,
-                  np.concatenate(offset)[order] if hashes else h)
+                  np.concatenate(offset)[order] if hashes else h,
+                  [len(g) < p.window for g in hashes])
 
 
 def align(template: np.ndarray, text: np.ndarray, diagonal: int, band: int
@@ -179,13 +182,14 @@ def _candidates(ix: _Index, g: np.ndarray, p: LicenseParams):
     hit = np.flatnonzero(ix.hashes[at] == g)
     if not len(hit):
         return []
-    picked = _winnow(g, p.window)
-    hit = hit[np.isin(hit, picked)]
+    picked = set(_winnow(g, p.window).tolist())
     out = []
     for pos in hit.tolist():
         k = int(at[pos])
         while k < len(ix.hashes) and ix.hashes[k] == g[pos]:
-            out.append((int(ix.template[k]), pos - int(ix.offset[k])))
+            t = int(ix.template[k])
+            if pos in picked or ix.short[t]:
+                out.append((t, pos - int(ix.offset[k])))
             k += 1
     out.sort()
     kept = []
