@@ -9,14 +9,13 @@ missed with probability (1 - p)^m + m p (1 - p)^(m - 1), p = s^r: 1.8e-4
 at 0.8, 7e-6 at 0.85, below 1e-8 at 0.9.
 
 Every candidate is confirmed on the full shingle sets.  Equal sets are
-first reduced to one representative (128-bit sums of the shingles), and
-within a table a set is compared with the smallest id of its bucket.  What
-those links leave in different components although they share a bucket is
-then compared pair by pair, so a bucket costs pairs only for the sets
-that its largest component does not hold.  Before sets are fetched, pairs
-that can't reach the threshold by their sizes, or agree in so few of the
-48 minhashes that a true pair would do so once in ten million, are
-dropped.
+first reduced to one representative (128-bit sums of the shingles).  Each
+set is then compared with one other, the hub of a bucket that it shares
+most tables with, unless sizes or sketches (two bits of each minhash) rule
+the pair out; that links nearly all copies without listing pairs.  What is
+left in different components although it shares a bucket is compared
+exactly, in blocks, so a bucket costs comparisons only for the sets that
+its largest component does not hold.
 """
 
 from __future__ import annotations
@@ -43,6 +42,7 @@ class MinHashParams:
     collections: int = 16
     per_collection: int = 3
     seed: int = 7
+    block_bytes: int = 2 << 20
 
 
 SET_SCHEMA = ("doc_id long, n_shingles long, d1 long, d2 long, "
@@ -165,6 +165,82 @@ def _possible(pairs: DataFrame, sets: DataFrame, p: MinHashParams
         .select("a", "b"))
 
 
+def _across(bucket_rows: DataFrame, comp: DataFrame, full: DataFrame,
+            p: MinHashParams) -> DataFrame:
+    """Links between sets of one bucket that are in two components.
+
+    The sets of such a bucket outside its largest component are compared
+    with all of the bucket's.  Buckets with the same largest component
+    share their sets (a superset of the pairs), which travel in blocks of
+    bounded bytes: a pair of blocks is a row, and only links come out.
+    """
+    kc = (bucket_rows.join(comp, "id", "left")
+          .select("key", "id", F.coalesce("component", "id").alias("comp")))
+    per = kc.groupBy("key", "comp").agg(F.count("*").alias("c"))
+    mixed = (per.groupBy("key").agg(F.count("*").alias("k"),
+                                    F.max(F.struct("c", "comp")).alias("top"))
+             .where("k > 1").select("key", F.col("top.comp").alias("main")))
+    rows = C.save(kc.join(mixed, "key").groupBy("main", "id", "comp").agg(
+        F.lit(1).alias("one")).drop("one").join(full, "id"), "minhash-across")
+    size = F.octet_length("elements")
+    outside = F.col("comp") != F.col("main")
+    blocks = rows.groupBy("main").agg(
+        F.ceil(F.sum(size) / p.block_bytes).alias("ny"),
+        F.ceil(F.sum(F.when(outside, size)) / p.block_bytes).alias("nx"))
+    rows = rows.join(blocks, "main")
+    item = F.struct("id", "comp", "elements")
+
+    def packed(part: DataFrame, count: str, out: str) -> DataFrame:
+        block = F.pmod(F.xxhash64("id"), F.col(count))
+        return part.withColumn(f"b{out}", block).groupBy(
+            "main", f"b{out}").agg(F.collect_list(item).alias(out))
+    pairs = packed(rows.where(outside), "nx", "x").join(
+        packed(rows, "ny", "y"), "main")
+    return C.cut(pairs.repartition("main", "bx", "by").select("x", "y")
+                 .mapInArrow(_compare_blocks(p.percent), "a long, b long")
+                 .distinct())
+
+
+def _compare_blocks(percent: int):
+    """Per set of the first block, one link to each component of the
+    second that holds a similar set."""
+    def sets(item) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        s = item.values
+        return (s.field("id").to_numpy(), s.field("comp").to_numpy(),
+                [np.frombuffer(e.as_buffer(), np.uint64)
+                 for e in s.field("elements")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = [], []
+            for xs, ys in zip(batch.column(0), batch.column(1), strict=True):
+                xi, xc, xe = sets(xs)
+                yi, yc, ye = sets(ys)
+                n = np.array([len(e) for e in ye])
+                flat = np.concatenate(ye)
+                order = np.argsort(flat, kind="stable")
+                owner = np.repeat(np.arange(len(ye)), n)[order]
+                flat = flat[order]
+                for i, c, e in zip(xi, xc, xe, strict=True):
+                    lo = np.searchsorted(flat, e, "left")
+                    k = np.searchsorted(flat, e, "right") - lo
+                    at = np.repeat(lo - np.cumsum(k) + k, k) + np.arange(
+                        int(k.sum()))
+                    same = np.bincount(owner[at], minlength=len(ye))
+                    ok = (100 * same >= percent * (len(e) + n - same)) & (
+                        yc != c)
+                    _, one = np.unique(yc[ok], return_index=True)
+                    b.append(yi[ok][one])
+                    a.append(np.full(len(one), i))
+            a = np.concatenate(a) if a else np.empty(0, np.int64)
+            b = np.concatenate(b) if b else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.minimum(a, b).astype(np.int64)),
+                 pa.array(np.maximum(a, b).astype(np.int64))],
+                names=["a", "b"])
+    return run
+
+
 def near_duplicates(docs: DataFrame, params: MinHashParams = MinHashParams(),
                     id_col: str = "doc_id", text_col: str = "text"
                     ) -> DataFrame:
@@ -210,55 +286,40 @@ def _near_duplicates(docs: DataFrame, p: MinHashParams) -> DataFrame:
         "flatten(transform(vs, (x, i) -> transform("
         "slice(vs, i + 2, size(vs)), y -> xxhash64(x, y))))")).alias("key"))
     keys = C.save(keys, "minhash-keys")
-    buckets = keys.groupBy("key").agg(F.min("id").alias("rep"),
-                                      F.count("*").alias("c")).where("c > 1")
+    buckets = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     buckets = C.save(buckets, "minhash-buckets")
 
-    # First links: every set with one smallest id it may be linked to.
-    star = (keys.join(buckets.select("key", "rep"), "key")
-            .where("id <> rep").select(F.col("rep").alias("a"),
-                                       F.col("id").alias("b")).distinct())
-    star = C.cut(_possible(star, reps, p))
-    first = star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    ids = C.cut(keys.join(buckets.select("key"), "key", "left_semi")
-                .select("id").distinct())
+    # First links: in each bucket the set that meets most others stands for
+    # it, and every set proposes the one it shares most tables with.
+    bucket_rows = C.save(keys.join(buckets, "key"), "minhash-bucket-rows")
+    degree = bucket_rows.groupBy("id").agg(F.sum("c").alias("deg"))
+    hubs = (bucket_rows.join(degree, "id").groupBy("key")
+            .agg(F.max(F.struct(F.col("deg"), (-F.col("id")).alias("neg")))
+                 .alias("hub"))
+            .select("key", (-F.col("hub.neg")).alias("hub")))
+    first = (bucket_rows.join(hubs, "key").where("id <> hub")
+             .groupBy("id", "hub").agg(F.count("*").alias("tables"))
+             .groupBy("id").agg(F.max(F.struct(
+                 F.col("tables"), (-F.col("hub")).alias("neg"))).alias("top"))
+             .select(F.least("id", -F.col("top.neg")).alias("a"),
+                     F.greatest("id", -F.col("top.neg")).alias("b"))
+             .distinct())
+    first = _possible(first, reps, p)
+    ids = C.cut(bucket_rows.select("id").distinct())
     full = C.save(
         C.semi_join(docs.withColumnRenamed("doc_id", "id"), ids, "id")
         .mapInArrow(_full_sets(p.shingle), "id long, elements binary")
         .dropDuplicates(["id", "elements"]), "minhash-elements")
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        x = full.select(F.col("id").alias("a"), F.col("elements").alias("x"))
-        y = full.select(F.col("id").alias("b"), F.col("elements").alias("y"))
-        return C.cut(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
-                     .mapInArrow(_confirm(p.percent), "a long, b long"))
-
-    links = confirmed(first)
+    x = full.select(F.col("id").alias("a"), F.col("elements").alias("x"))
+    y = full.select(F.col("id").alias("b"), F.col("elements").alias("y"))
+    links = C.cut(first.join(x, "a").join(y, "b").select("a", "b", "x", "y")
+                  .mapInArrow(_confirm(p.percent), "a long, b long"))
     comp = C.components(links)
 
-    # Then every pair of a bucket that is still in two components.
-    kc = (keys.join(buckets.select("key"), "key", "left_semi")
-          .join(comp, "id", "left")
-          .select("key", "id", F.coalesce("component", "id").alias("comp")))
-    per = kc.groupBy("key", "comp").agg(F.count("*").alias("c"))
-    mixed = (per.groupBy("key").agg(F.count("*").alias("k"),
-                                    F.max(F.struct("c", "comp")).alias("top"))
-             .where("k > 1").select("key", F.col("top.comp").alias("main")))
-    rows = C.cut(kc.join(mixed, "key"))
-    if not rows.isEmpty():
-        x = rows.where("comp <> main").select(
-            "key", F.col("id").alias("p"), F.col("comp").alias("cp"))
-        y = rows.select("key", F.col("id").alias("q"),
-                        F.col("comp").alias("cq"), "main")
-        pairs = (x.join(y, "key").where("cp <> cq")
-                 .where("cq = main OR p < q")
-                 .select(F.least("p", "q").alias("a"),
-                         F.greatest("p", "q").alias("b")).distinct())
-        pairs = C.cut(_possible(pairs, reps, p))
-        pairs = pairs.join(first, ["a", "b"], "left_anti")
-        more = confirmed(pairs)
-        if not more.isEmpty():
-            comp = C.components(links.union(more))
+    # Then all sets that share a bucket across components.
+    more = _across(bucket_rows, comp, full, p)
+    if not more.isEmpty():
+        comp = C.components(links.union(more))
 
     named_groups = groups.join(comp, "id", "left").select(
         *digest, F.coalesce("component", "id").alias("component_id"),
