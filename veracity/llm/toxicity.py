@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
+from .minhash import MinHashParams, near_duplicates
 
 # --- fixed values: characters written for letters they resemble ---
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g",
@@ -59,13 +60,14 @@ class ToxicityParams:
 
     sample_rows: int = 20_000
     threshold: float = 0.7
+    symbol_cost: float = 3.0
     leet_cost: float = 0.4
     repeat_cost: float = 0.8
     space_cost: float = 0.2
-    prefixes: tuple[int, ...] = (4, 5, 6)
+    prefixes: tuple[int, ...] = (4, 5, 6, 7, 8)
     min_support: int = 5
     min_precision: float = 0.95
-    lexicon_size: int = 2_000
+    chance: float = 1e-3
     candidates: int = 20_000
     seed: int = 17
 
@@ -130,7 +132,7 @@ def restore(span: str, model, p: ToxicityParams) -> str:
         if ch.isalpha():
             options.append((ch, 0.0))
         else:
-            options.append((" ", 1.5 if ch in LEET else 0.0))
+            options.append((" ", p.symbol_cost if ch in LEET else 0.0))
             options += [(x, p.leet_cost) for x in LEET.get(ch, "")]
             if ch in SEPARATORS:
                 options.append(("", p.space_cost))
@@ -287,18 +289,30 @@ def _hits(w, p: ToxicityParams, keep):
     return run
 
 
-def _cover(rows: list, names: list[str], p: ToxicityParams) -> list[int]:
-    """Features that explain toxic documents, each chosen for those that
-    the earlier ones leave over: a word that only comes along with one
-    already chosen adds nothing and stays out."""
+def _lexicon(rows: list, names: list[str], n_features: int,
+             p: ToxicityParams) -> list[int]:
+    """Features that tell toxic documents.
+
+    First those in so many of them, and hardly any other, that chance
+    would bring up one among all features with probability ``chance``.
+    Then, for the toxic documents without any, the ones that explain most
+    of what is left: a word that only comes along with a chosen one adds
+    nothing and stays out."""
     toxic = [set(r["found"]) for r in rows if r["label"] == 1]
     clean = Counter(x for r in rows if r["label"] == 0 for x in r["found"])
     where: dict[int, set[int]] = {}
     for i, s in enumerate(toxic):
         for x in s:
             where.setdefault(x, set()).add(i)
-    left, chosen = set(range(len(toxic))), []
-    while len(chosen) < p.lexicon_size:
+    rate = min(max(len(toxic) / max(len(rows), 1), 1e-3), 0.5)
+    sure = math.log(n_features / p.chance + 1) / -math.log(rate)
+    chosen = sorted(x for x in where if len(where[x]) >= max(
+        sure, p.min_support) and len(where[x]) >= p.min_precision * (
+        len(where[x]) + clean[x]))
+    left = set(range(len(toxic)))
+    for x in chosen:
+        left -= where.pop(x)
+    while True:
         def worth(x):
             new = len(where[x] & left)
             return (new, new / (new + clean[x]), len(names[x]), names[x])
@@ -346,15 +360,20 @@ def fit(docs: DataFrame, labels: DataFrame,
     d = C.own_columns(docs, {id_col: "id", text_col: "text"}).select(
         F.col("id").cast("long"), F.coalesce(F.col("text").cast("string"),
                                              F.lit("")).alias("text"))
-    # copies of a text count once
-    rows = C.save(d.join(F.broadcast(sample), "id").dropDuplicates(["text"])
-                  .select("id", "y", "text"), "toxicity-sample")
+    # a group of near copies counts once
+    rows = C.save(d.join(F.broadcast(sample), "id").select("id", "y", "text"),
+                  "toxicity-sample")
+    kept = near_duplicates(rows, MinHashParams(shingle=2), "id").where("kept")
+    rows = C.save(rows.join(kept.select(F.col("doc_id").alias("id")), "id",
+                            "left_semi"), "toxicity-distinct")
     w = spark.sparkContext.broadcast(chars.tolist())
     with C.text_batches(spark):
         counts = rows.mapInArrow(
             _count_features(w, p), "feature string, clean long, toxic long")
         counts = counts.groupBy("feature").agg(
             F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+        counts = C.cut(counts)
+        n_features = counts.count()
         names = [r["feature"] for r in counts.where(
             (F.col("toxic") >= p.min_support)
             & (F.col("toxic") >= p.min_precision * (
@@ -366,7 +385,7 @@ def fit(docs: DataFrame, labels: DataFrame,
         seen = rows.mapInArrow(
             _hits(w, p, keep), "label int, words long, found array<int>"
         ).collect()
-    chosen = _cover(seen, names, p)
+    chosen = _lexicon(seen, names, n_features, p)
     lexicon = tuple(names[x] for x in chosen)
     picked = set(chosen)
     if not seen:
