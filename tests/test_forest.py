@@ -20,7 +20,7 @@ def test_step_function_equals_tree_walk():
     x = rng.exponential(30, 256)
     rows = []
     for t in range(5):
-        for lo, hi, d in forest.grow_tree(x, np.random.default_rng([1, t]), 8):
+        for lo, hi, d in forest.grow_tree(x, forest.hash_draw(1, t), 8):
             rows.append((t, lo, hi, d))
     import pandas as pd
     leaves = pd.DataFrame(rows, columns=["tree", "lo", "hi", "depth"])
@@ -80,9 +80,44 @@ def test_random_trees_converge_to_closed_form():
     total = np.zeros(len(probes))
     trees = 3000
     for t in range(trees):
-        leaves = forest.grow_tree(a, np.random.default_rng([9, t]), 10_000)
+        leaves = forest.grow_tree(a, forest.hash_draw(9, t), 10_000)
         for lo, hi, d in leaves:
             total += np.where((lo < probes) & (probes <= hi), d, 0.0)
     approx = total / trees
     exact = forest.expected_depth_exact(probes, a)
     assert np.allclose(approx, exact, atol=0.15)
+
+
+@pytest.mark.parametrize("n", [0, 1, 20, 1500])
+def test_small_frames_fit_and_score(spark, n):
+    df = spark.range(n).select("id", (F.col("id") % 37).cast("double")
+                               .alias("amount"))
+    out = forest.detect_anomalies(df, 0.02)
+    assert out.count() == n
+    if n <= 1:
+        assert out.where("is_anomaly").count() == 0
+
+
+def test_median_is_exact(spark):
+    rng = np.random.default_rng(2)
+    for x in (rng.normal(size=30_001), rng.integers(0, 9, 20_000) * 1.5,
+              np.r_[np.zeros(9_000), rng.normal(size=9_001)], np.array([4.0])):
+        df = spark.createDataFrame([(float(v),) for v in x], "x double")
+        assert forest.sample_median(df) == np.median(x)
+    assert forest.sample_median(df.where("x < 0")) is None
+
+
+def test_damaged_model_is_left_untouched(spark, tmp_path):
+    df = spark.range(300).select("id", F.col("id").cast("double")
+                                 .alias("amount"))
+    path = str(tmp_path / "m")
+    forest.train_initial_model(df, path, ForestParams(key_cols=("id",)))
+    for f in (tmp_path / "m" / "leaves").glob("part-*"):
+        f.write_bytes(b"no parquet")
+    for f in (tmp_path / "m" / "leaves").glob(".part-*.crc"):
+        f.unlink()
+    with pytest.raises(Exception) as e:
+        forest.train_initial_model(df, path)
+    assert not isinstance(e.value, FileNotFoundError)
+    assert [f.read_bytes() for f in (tmp_path / "m" / "leaves").glob("part-*")
+            ] == [b"no parquet"]

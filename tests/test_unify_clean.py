@@ -41,7 +41,7 @@ def test_producer_cleaning(spark):
     good = clean.clean_records(df).collect()
     assert [(r.user_id, r.purchase_amount) for r in good] == [("u1", None), ("u2", None)]
     bad = clean.reject_records(df).collect()
-    assert bad[0].reject_reason == "Missing required field: user_id"
+    assert bad[0].reject_reason == "no_user_id"
     absent = clean.clean_records(df.drop("purchase_amount", "source_id"))
     r = absent.first()
     assert r.purchase_amount == 0.0 and r.source_id == "unknown"

@@ -7,10 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.quality import as_of_column
 
-STREAM_RECORD = ("user_id", "purchase_amount", "city", "timestamp",
-                 "source_id")
-
-
 def _text(df: DataFrame, name: str, absent: str | None) -> F.Column:
     """Trimmed text; a null cell reads as '' (the CSV reader's empty)."""
     if name not in df.columns:
@@ -51,12 +47,11 @@ def clean_records(df: DataFrame, as_of=None, keep=()) -> DataFrame:
 
 
 def reject_records(df: DataFrame, as_of=None, keep=()) -> DataFrame:
-    """The complement of ``clean_records``, with the reason."""
+    """The complement of ``clean_records``, with the field that lacks."""
     cols = cleaned_columns(df, as_of)
     out = df.select(*keep, *[c.alias(n) for n, c in cols.items()])
-    reason = (F.when(F.length(F.col("user_id")) == 0,
-                     "Missing required field: user_id")
-              .otherwise("Missing required field: timestamp"))
+    reason = F.when(F.length(F.col("user_id")) == 0,
+                    "no_user_id").otherwise("no_timestamp")
     return out.where(~_valid()).withColumn("reject_reason", reason)
 
 
@@ -74,10 +69,10 @@ def replay_slice(df: DataFrame, row_col: str, start_row: int = 0,
 
 
 # --- fixed values: output column lists ---
-OUTPUT_FULL = ("user_id", "purchase_amount", "city", "timestamp", "source_id",
-               "ingestion_timestamp", "completeness", "consistency",
-               "accuracy", "freshness", "timeliness", "is_anomaly",
-               "anomaly_severity", "source_reputation", "trust_score")
+OUTPUT_FULL = ("user_id", "source_id", "purchase_amount", "city",
+               "timestamp", "completeness", "consistency", "accuracy",
+               "freshness", "timeliness", "is_anomaly", "anomaly_severity",
+               "source_reputation", "temporal_decay", "trust_score")
 OUTPUT_SHORT = ("user_id", "source_id", "timestamp", "is_anomaly",
                 "source_reputation", "trust_score")
 BATCH_SINGLE = ("user_id", "source_id", "completeness", "consistency",

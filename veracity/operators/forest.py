@@ -7,22 +7,18 @@ average path length of an unsuccessful search in a binary search tree.
 score(x) = 2^(-mean depth / c(max_samples)); the flag threshold is the
 (1 - contamination) quantile of the training scores.
 
-How it maps onto Spark, and why it holds at scale:
-
-* **Training sample** (A1): a hash of each row's key decides membership,
-  so the sample does not depend on partitioning.  Its size and median are
-  one aggregate job; the median is exact (linear interpolation) up to a
-  checked size and an approximate percentile beyond it.
-* **Per-tree samples**: a tree needs only ``max_samples`` points.  When
-  the training sample holds at least trees x max_samples rows, the trees
-  take disjoint slices of the rows with the smallest hashes: a filter on
-  the hash selects a bounded candidate set (re-widened until it is big
-  enough, so the choice is exact), ranked in one bounded window.  Smaller
-  samples are replicated once per tree (at most trees^2 x max_samples
-  rows) and each tree keeps the rows with its own smallest hashes.
-  Nothing here grows with the input size.
-* **Growth** (A3): ``groupBy("tree").applyInPandas`` grows the trees in
-  parallel, one bounded group per tree.  The model is a table of leaves
+Everything random is a hash, so a fit repeats on any cluster and in SQL:
+
+* **Training sample** (A1): rows whose key hash is below the fraction, and
+  at least the ``max_samples`` smallest hashes, so that a small table
+  trains on what it has.
+* **Per-tree samples**: an integer mix of the row's key hash and the tree
+  number orders the rows anew for each tree; the tree takes the first
+  ``max_samples``.  Only rows below a cut that leaves a few times as many
+  are copied per tree; the cut is widened until every tree is full.
+* **Cuts** (A3): the cut of a node is lo + u (hi - lo), u from the md5 of
+  (seed, tree, node).  ``groupBy("tree").applyInPandas`` grows the trees
+  in parallel, one bounded group per tree.  The model is a table of leaves
   (tree, lo, hi, depth): the leaf holds the values in (lo, hi].
 * **One feature => a step function**: all trees together are constant
   between consecutive cut points, so the forest compiles into a sorted
@@ -37,6 +33,7 @@ How it maps onto Spark, and why it holds at scale:
 
 from __future__ import annotations
 
+import hashlib
 import math
 from dataclasses import dataclass, field
 
@@ -45,12 +42,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.hashing import unit_hash
+from ..functions.hashing import key_hash
 from ..params import ForestParams
+from ..sources.files import path_exists
 from .lookup import materialize
 
 EULER_GAMMA = 0.5772156649015329
-EXACT_MEDIAN_ROWS = 2_000_000
+# Digits kept of depths and scores, so that sums in another order agree.
+DEPTH_PLACES, SCORE_PLACES = 9, 12
 
 
 def average_path_length(n) -> np.ndarray:
@@ -65,8 +64,16 @@ def average_path_length(n) -> np.ndarray:
     return out
 
 
-def grow_tree(values: np.ndarray, rng: np.random.Generator,
-              max_depth: int) -> list[tuple[float, float, float]]:
+def hash_draw(seed: int, tree: int):
+    """node number -> u in [0, 1), from an md5 (children of n: 2n, 2n + 1)."""
+    def draw(node: int) -> float:
+        text = f"{seed}|{tree}|{node}".encode()
+        return int(hashlib.md5(text).hexdigest()[:8], 16) / 2.0 ** 32
+    return draw
+
+
+def grow_tree(values: np.ndarray, draw, max_depth: int
+              ) -> list[tuple[float, float, float]]:
     """Leaves (lo, hi, path length) of one isolation tree over 1-D values.
 
     A node splits at a uniform cut in [min, max); values <= cut go left.
@@ -74,19 +81,19 @@ def grow_tree(values: np.ndarray, rng: np.random.Generator,
     """
     v = np.sort(np.asarray(values, dtype=float))
     leaves = []
-    stack = [(v, -math.inf, math.inf, 0)]
+    stack = [(v, -math.inf, math.inf, 0, 1)]
     while stack:
-        x, lo, hi, d = stack.pop()
+        x, lo, hi, d, node = stack.pop()
         n = len(x)
         if d >= max_depth or n <= 1 or x[0] == x[-1]:
             leaves.append((lo, hi, d + float(average_path_length([n])[0])))
             continue
-        cut = rng.uniform(x[0], x[-1])
+        cut = float(x[0] + draw(node) * (x[-1] - x[0]))
         if cut >= x[-1]:
-            cut = x[0]
+            cut = float(x[0])
         k = int(np.searchsorted(x, cut, side="right"))
-        stack.append((x[:k], lo, cut, d + 1))
-        stack.append((x[k:], cut, hi, d + 1))
+        stack.append((x[:k], lo, cut, d + 1, 2 * node))
+        stack.append((x[k:], cut, hi, d + 1, 2 * node + 1))
     return leaves
 
 
@@ -109,7 +116,8 @@ class StepFunction:
             h = t["hi"].to_numpy(dtype=float)
             total += t["depth"].to_numpy(dtype=float)[
                 np.searchsorted(h, probes, side="left")]
-        return cls(breaks, total / max(1, trees.ngroups))
+        return cls(breaks, np.round(total / max(1, trees.ngroups),
+                                    DEPTH_PLACES))
 
     def interval(self, x: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.breaks, x, side="left")
@@ -128,9 +136,10 @@ class IsolationForestModel:
 
     def __post_init__(self):
         self.steps = StepFunction.compile(self.leaves)
-        self.scores = np.power(
+        self.scores = np.round(np.power(
             2.0, -self.steps.depths /
-            float(average_path_length([self.max_samples])[0] or 1.0))
+            float(average_path_length([self.max_samples])[0] or 1.0)),
+            SCORE_PLACES)
 
     # -------------------------------------------------------------- scoring
     def _udfs(self, spark: SparkSession, fill: float):
@@ -180,78 +189,125 @@ class IsolationForestModel:
             "tree long, lo double, hi double, depth double")
 
     def save(self, spark: SparkSession, path: str) -> None:
-        """The model as two small Parquet tables (no pickle)."""
+        """The model as two small Parquet tables (no pickle).
+
+        ``meta`` is written last: a folder without it is no model."""
         self.leaves_frame(spark).coalesce(1).write.mode("overwrite").parquet(
             f"{path}/leaves")
+        p = self.params
         meta = pd.DataFrame([{
             "sample_size": int(self.sample_size),
             "max_samples": int(self.max_samples),
             "threshold": float(self.threshold), "median": float(self.median),
-            "contamination": float(self.params.contamination),
-            "feature_col": self.params.feature_col,
-            "score_fill": float(self.params.score_fill)}])
+            "contamination": float(p.contamination),
+            "feature_col": p.feature_col, "score_fill": float(p.score_fill),
+            "n_trees": int(p.n_trees), "tree_samples": int(p.max_samples),
+            "seed": int(p.seed), "sample_fraction": float(p.sample_fraction)}])
         spark.createDataFrame(meta).coalesce(1).write.mode("overwrite") \
             .parquet(f"{path}/meta")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "IsolationForestModel":
-        """Read a saved model; a missing path raises FileNotFoundError."""
-        try:
-            meta = spark.read.parquet(f"{path}/meta").first()
-            leaves = spark.read.parquet(f"{path}/leaves").toPandas()
-        except Exception as e:  # noqa: BLE001  (AnalysisException: no path)
-            raise FileNotFoundError(path) from e
-        params = ForestParams(contamination=meta["contamination"],
-                              feature_col=meta["feature_col"],
-                              score_fill=meta["score_fill"])
+        """Read a saved model.  A path without one raises
+        FileNotFoundError; a damaged model raises what Spark raises."""
+        if not path_exists(spark, f"{path}/meta/_SUCCESS"):
+            raise FileNotFoundError(path)
+        meta = spark.read.parquet(f"{path}/meta").first()
+        leaves = spark.read.parquet(f"{path}/leaves").toPandas()
+        params = ForestParams(
+            n_trees=meta["n_trees"], max_samples=meta["tree_samples"],
+            contamination=meta["contamination"], seed=meta["seed"],
+            sample_fraction=meta["sample_fraction"],
+            feature_col=meta["feature_col"], score_fill=meta["score_fill"])
         return cls(leaves, int(meta["sample_size"]), int(meta["max_samples"]),
                    float(meta["threshold"]), float(meta["median"]), params)
 
 
 # ------------------------------------------------------------------ fitting
 def training_sample(df: DataFrame, params: ForestParams) -> DataFrame:
-    """A1: (x, u): the feature and the row's hash in [0, 1), for rows with
-    u < fraction."""
+    """A1: (x, h): the feature and the row's 32-bit key hash, for rows with
+    h / 2^32 < fraction, or the ``max_samples`` smallest hashes if those
+    are more.  Without key columns the whole row is hashed; equal rows are
+    then in or out together."""
     keys = list(params.key_cols or df.columns)
-    u = unit_hash(keys, params.seed)
-    return (df.select(F.col(params.feature_col).cast("double").alias("x"),
-                      u.alias("u"))
-            .where(F.col("u") < F.lit(float(params.sample_fraction))))
-
-
-def sample_median(sample: DataFrame, n: int) -> float | None:
-    """A2: the median of x (exact up to a checked size)."""
-    if n <= EXACT_MEDIAN_ROWS:
-        m = sample.agg(F.percentile("x", 0.5).alias("m")).first()["m"]
-    else:
-        m = sample.agg(F.percentile_approx("x", 0.5, 1_000_000)
-                       .alias("m")).first()["m"]
-    return None if m is None else float(m)
+    rows = df.select(F.col(params.feature_col).cast("double").alias("x"),
+                     key_hash(keys, params.seed, "md5").alias("h"))
+    cut = int(round(float(params.sample_fraction) * 2 ** 32))
+    sample = materialize(rows.where(F.col("h") < cut))
+    if sample.count() < params.max_samples:
+        sample = materialize(rows.orderBy("h", "x").limit(params.max_samples))
+    return sample
+
+
+def sample_median(sample: DataFrame, col: str = "x") -> float | None:
+    """A2: the exact median of a column, by the same method at any size.
+
+    The values are bracketed by approximate quantiles, counted, and the
+    bracket that holds the middle rank is taken again, until few distinct
+    values are left to count one by one."""
+    x = F.col(col)
+    inside = sample.where(x.isNotNull()).select(x.cast("double").alias("x"))
+    n = inside.count()
+    if not n:
+        return None
+
+    def at(rank: int) -> float:
+        part, before = inside, 0
+        while True:
+            top = (part.groupBy("x").agg(F.count("*").alias("c"))
+                   .orderBy("x").limit(4097).collect())
+            if len(top) <= 4096:
+                for r in top:
+                    before += r["c"]
+                    if before > rank:
+                        return float(r["x"])
+            marks = sorted(set(part.agg(F.percentile_approx(
+                "x", [k / 64 for k in range(65)], 10_000)).first()[0]))
+            below = part.agg(*[F.sum((F.col("x") < m).cast("long"))
+                               .alias(f"b{k}") for k, m in enumerate(marks)]
+                             ).first()
+            k = max(k for k in range(len(marks)) if before + below[k] <= rank)
+            equal = part.where(F.col("x") == marks[k]).count()
+            if before + below[k] + equal > rank:
+                return float(marks[k])
+            before += below[k] + equal
+            high = marks[k + 1] if k + 1 < len(marks) else None
+            part = part.where(F.col("x") > marks[k])
+            if high is not None:
+                part = part.where(F.col("x") <= high)
+    lo, hi = at((n - 1) // 2), at(n // 2)
+    return lo + (hi - lo) / 2 if hi != lo else lo
+
+
+# --- fixed values of the tree mix, repeated by the oracle ---
+_MIX = (2147483629, 7919, 2147483587, 104729, 4294967291)
+# --- end of fixed values ---
+
+
+def tree_hash(h: Column, tree: Column) -> Column:
+    """The row's place in the order of a tree: 0 .. 2^32 - 6."""
+    m1, a1, m2, a2, m = _MIX
+    return ((h % m1 + tree * a1) * (h % m2 + tree * a2)) % m
 
 
 def _tree_samples(sample: DataFrame, n: int, psi: int,
                   params: ForestParams) -> DataFrame:
-    """(tree, x): at most ``psi`` points per tree, a bounded set."""
-    T = params.n_trees
-    need = T * psi
-    if n >= need:
-        frac = float(params.sample_fraction)
-        tau = frac * min(1.0, 2.0 * need / n)
-        while True:
-            cand = sample.where(F.col("u") < F.lit(tau))
-            if tau >= frac or cand.count() >= need:
-                break
-            tau = min(frac, tau * 2.0)
-        w = Window.orderBy("u", "x")     # bounded: about 2 x need rows
-        ranked = cand.withColumn("r", F.row_number().over(w) - 1)
-        return ranked.where(F.col("r") < need).select(
-            (F.col("r") / psi).cast("long").alias("tree"), "x")
-    per_tree = (sample
-                .withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(T - 1))))
-                .withColumn("h", F.xxhash64("u", "x", "tree", F.lit(params.seed))))
-    w = Window.partitionBy("tree").orderBy("h", "u")
-    return (per_tree.withColumn("r", F.row_number().over(w))
-            .where(F.col("r") <= psi).select(F.col("tree").cast("long"), "x"))
+    """(tree, x): ``psi`` points per tree, a bounded set."""
+    trees = F.sequence(F.lit(0).cast("long"),
+                       F.lit(params.n_trees - 1).cast("long"))
+    w = Window.partitionBy("tree").orderBy("th", "h", "x")
+    share = min(1.0, 4.0 * psi / n)
+    while True:
+        limit = int(share * _MIX[-1])
+        near = F.filter(trees, lambda t: tree_hash(F.col("h"), t) <= limit)
+        rows = (sample.select("h", "x", F.explode(near).alias("tree"))
+                .withColumn("th", tree_hash(F.col("h"), F.col("tree")))
+                .withColumn("r", F.row_number().over(w))
+                .where(F.col("r") <= psi).select("tree", "x"))
+        rows = materialize(rows)
+        if share >= 1.0 or rows.count() == params.n_trees * psi:
+            return rows
+        share = min(1.0, 4 * share)
 
 
 def _grow_all(samples: DataFrame, params: ForestParams, psi: int
@@ -261,19 +317,16 @@ def _grow_all(samples: DataFrame, params: ForestParams, psi: int
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(pdf["tree"].iloc[0])
-        rng = np.random.default_rng([seed, tree])
-        leaves = grow_tree(pdf["x"].to_numpy(), rng, depth_cap)
+        leaves = grow_tree(pdf["x"].to_numpy(), hash_draw(seed, tree),
+                           depth_cap)
         return pd.DataFrame({"tree": tree,
                              "lo": [a for a, _, _ in leaves],
                              "hi": [b for _, b, _ in leaves],
                              "depth": [d for _, _, d in leaves]})
 
-    leaves = materialize(samples.groupBy("tree").applyInPandas(
-        grow, "tree long, lo double, hi double, depth double"))
-    bound = params.n_trees * psi
-    if leaves.count() > bound:   # at most one leaf per sample point
-        raise RuntimeError("model larger than trees x max_samples")
-    return leaves.toPandas()
+    # at most one leaf per sample point
+    return samples.groupBy("tree").applyInPandas(
+        grow, "tree long, lo double, hi double, depth double").toPandas()
 
 
 def _quantile_from_histogram(levels: np.ndarray, counts: np.ndarray,
@@ -296,11 +349,13 @@ def fit_isolation_forest(df: DataFrame, params: ForestParams | None = None
     sample median (scoring fills 0.0, as the reference does)."""
     p = params or ForestParams()
     spark = df.sparkSession
-    sample = materialize(training_sample(df, p))
+    sample = training_sample(df, p)
     n = sample.count()
-    if n == 0:
-        raise ValueError("empty training sample")
-    median = sample_median(sample, n)
+    if n == 0:      # nothing to learn: one leaf, and nothing above it
+        leaf = pd.DataFrame([(0, -math.inf, math.inf, 0.0)],
+                            columns=["tree", "lo", "hi", "depth"])
+        return IsolationForestModel(leaf, 0, 0, 1.0, 0.0, p)
+    median = sample_median(sample)
     filled = sample.withColumn("x", F.coalesce(
         F.col("x"), F.lit(median if median is not None else 0.0)))
     psi = min(int(p.max_samples), n)
@@ -398,6 +453,12 @@ def expected_depth_exact(x: np.ndarray, a: np.ndarray) -> np.ndarray:
     return out
 
 
+def exact_scores(x: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """2^(-expected depth / c(n)) of ``x`` for the sample ``a``."""
+    c_n = float(average_path_length([len(a)])[0]) or 1.0
+    return np.power(2.0, -expected_depth_exact(x, a) / c_n)
+
+
 def exact_isolation_scores(values: DataFrame, sample: np.ndarray,
                            col: str = "x") -> DataFrame:
     """Add ``depth`` and ``score`` = 2^(-depth / c(n)) to ``values``,

@@ -8,6 +8,7 @@ at the data on the driver: schema decisions use the schema only.
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,9 +24,13 @@ _NUMERIC_PREFIXES = ("int", "bigint", "smallint", "tinyint", "double",
                      "float", "decimal", "long")
 
 
+def _names(spec) -> tuple[str, ...]:
+    return tuple(spec) if isinstance(spec, (tuple, list)) else (spec,)
+
+
 def _source(df: DataFrame, spec) -> Column | None:
     """The column(s) a target maps from; several candidates coalesce."""
-    names = spec if isinstance(spec, (tuple, list)) else (spec,)
+    names = dict.fromkeys(_names(spec))
     present = [F.col(f"`{n}`") for n in names if n in df.columns]
     if not present:
         return None
@@ -91,7 +96,7 @@ def map_feed(df: DataFrame, mapping: FeedMapping, keep=()) -> DataFrame:
 
 def _is_temporal(df: DataFrame, spec) -> bool:
     types = dict(df.dtypes)
-    names = spec if isinstance(spec, (tuple, list)) else (spec,)
+    names = _names(spec)
     found = [types[n] for n in names if n in types]
     return bool(found) and all(t.startswith(("timestamp", "date"))
                                for t in found)
@@ -144,9 +149,13 @@ def unify_permissive(df: DataFrame, mapping: FeedMapping | None,
     become null, a typed deviation from the text placeholder), rows null in
     user id, amount or timestamp are dropped.  City may stay null."""
     lowered = df.toDF(*[c.lower() for c in df.columns])
+    # a file that already has a column's unified name keeps it
     m = mapping or FeedMapping(PERMISSIVE_UNKNOWN_TAG, columns={
         t: t for t in UNIFIED_COLUMNS if t != "source_id"},
         constants={"source_id": PERMISSIVE_UNKNOWN_TAG})
+    m = replace(m, columns={
+        t: (*_names(m.columns.get(t, ())), t)
+        for t in UNIFIED_COLUMNS if t != "source_id"})
     c = _mapped(lowered, m, missing_literal=True)
     for t in ("amount", "timestamp"):
         if t not in m.constants and _source(lowered, m.columns.get(t, t)) is None:

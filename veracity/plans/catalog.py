@@ -368,6 +368,27 @@ def q_output_multi(spark, sf_dir):
     return clean.final_projection(scored_events(spark, sf_dir), True)
 
 
+@register("output_single", SCORED + """
+SELECT user_id, source_id, completeness, consistency, accuracy, freshness,
+  timeliness, is_anomaly, source_reputation, temporal_decay, trust_score
+FROM t""", DIMS + ("source_reputation", "temporal_decay", "trust_score"))
+def q_output_single(spark, sf_dir):
+    return clean.final_projection(scored_events(spark, sf_dir), False)
+
+
+@register("output_full", SCORED + """
+SELECT user_id, source_id, amount AS purchase_amount, city, "timestamp",
+  completeness, consistency, accuracy, freshness, timeliness, is_anomaly,
+  anomaly_severity, source_reputation, temporal_decay, trust_score
+FROM t""", ("purchase_amount",) + DIMS + (
+    "anomaly_severity", "source_reputation", "temporal_decay", "trust_score"))
+def q_output_full(spark, sf_dir):
+    """U14 with the intermediate columns."""
+    s = scored_events(spark, sf_dir).withColumnRenamed("amount",
+                                                       "purchase_amount")
+    return clean.prepare_output_columns(s, include_intermediate=True)
+
+
 # ------------------------------------------------------------ unification
 def _four_sql(as_of=td.EVENTS_AS_OF):
     parts = [O.feed_sql(td.FEEDS[n], tag=n) for n in td.FOUR]
@@ -442,6 +463,40 @@ def q_unify_permissive(spark, sf_dir):
                               unify.unify_permissive(li, l_map)])
 
 
+@register("unify_permissive_files", f"""
+WITH o AS ({O.feed_sql(td.ORDERS)}), l AS ({O.feed_sql(td.LINEITEM)}),
+e AS ({O.feed_sql(td.EVENTS)}),
+u AS (
+  SELECT user_id, amount, city, "timestamp", 'ecommerce' AS source_id FROM o
+  UNION ALL SELECT user_id, amount, 'unknown', "timestamp", 'subscriptions'
+    FROM l
+  UNION ALL SELECT user_id, amount, city, "timestamp", 'taxi' FROM e
+  UNION ALL SELECT user_id, amount, COALESCE(city, 'unknown'), "timestamp",
+    'transactions' FROM o)
+SELECT * FROM u WHERE user_id IS NOT NULL AND amount IS NOT NULL
+  AND "timestamp" IS NOT NULL""", ("amount",))
+def q_unify_permissive_files(spark, sf_dir):
+    """U10 over the four file mappings, picked by file name: headers as the
+    files have them, the last file already in unified names."""
+    from ..sources.feeds import mapping_for_file
+
+    def feed(feed, file, names):
+        df = td.dirty_table(spark, sf_dir, feed)
+        cols = (feed.user_id, feed.amount, feed.city, feed.timestamp)
+        df = df.select(*[F.col(c).alias(n) for c, n in zip(cols, names)
+                         if n])
+        return unify.unify_permissive(df, mapping_for_file(file))
+    return unify.unify_feeds([
+        feed(td.ORDERS, "raw/ecommerce_data.csv",
+             ("Customer_ID", "Purchase_Amount", "Location", "Purchase_Time")),
+        feed(td.LINEITEM, "raw/subscription_data.csv",
+             ("subscriber_id", "monthly_fee", None, "signup_date")),
+        feed(td.EVENTS, "raw/taxi_data.csv",
+             ("user_id", "fare_amount", "pickup_location", "pickup_time")),
+        feed(td.ORDERS, "raw/transactions.csv",
+             ("user_id", "amount", "city", "timestamp"))])
+
+
 ADAPT_SQL = f"""
 WITH c AS (SELECT
   CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE c_custkey END AS amount, c_name,
@@ -520,8 +575,8 @@ def q_clean_records(spark, sf_dir):
 
 @register("clean_rejects", _RAW_TEXT_SQL + """
 SELECT row_index, user_id, source_id, "timestamp", city, purchase_amount,
-  CASE WHEN length(user_id) = 0 THEN 'Missing required field: user_id'
-       ELSE 'Missing required field: timestamp' END AS reject_reason
+  CASE WHEN length(user_id) = 0 THEN 'no_user_id'
+       ELSE 'no_timestamp' END AS reject_reason
 FROM r WHERE NOT (length(user_id) > 0 AND length("timestamp") > 0)""",
           ("purchase_amount",))
 def q_clean_rejects(spark, sf_dir):
@@ -565,8 +620,7 @@ def q_json_roundtrip(spark, sf_dir):
                    F.when(F.col("row_key") % WRONG_TYPE == 0, F.lit("x"))
                    .otherwise(F.col("amount").cast("string"))
                    .alias("purchase_amount_text"), "amount", "city",
-                   F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
-                   .alias("timestamp"), "source_id")
+                   "timestamp", "source_id")
     good = rec.withColumnRenamed("amount", "purchase_amount").drop(
         "purchase_amount_text")
     msgs = messages.encode_messages(good, key_col="user_id",

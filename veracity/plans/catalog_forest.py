@@ -1,9 +1,9 @@
-"""Forest queries: the hash sample and median (SQL-checked), the fitted
-forest and the full forest-scored pipeline (checked by rows and by the
-properties in tests/test_forest.py)."""
+"""Forest queries: the hash sample and median, the fitted forest (grown
+again by a recursive SQL query), and what is scored with it."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions.hashing import key_hash
@@ -40,7 +40,7 @@ SELECT row_key, COALESCE(amount, m.med) AS amount FROM e, m""", ("amount",))
 def q_median_impute(spark, sf_dir):
     """A2: nulls take the median of the training sample."""
     sample = _md5_sample(spark, sf_dir).select(F.col("amount").alias("x"))
-    med = forest.sample_median(sample, sample.count())
+    med = forest.sample_median(sample)
     e = td.events_feed(spark, sf_dir, with_key=True)
     return e.select("row_key", F.coalesce("amount", F.lit(med)).alias("amount"))
 
@@ -52,7 +52,61 @@ def events_forest(spark, sf_dir, params: ForestParams | None = None):
     return e, forest.fit_isolation_forest(e, p)
 
 
-@register("isolation_forest")
+# The same forest in SQL: the sample of at least 256 rows, 256 per tree by
+# a mix of key hash and tree number, cuts from md5(seed|tree|node).
+FOREST_CTES = f"""
+e AS ({O.events_sql(True)}),
+h AS (SELECT row_key, amount, {_MD5_SQL} AS h FROM e),
+smp AS (SELECT h, amount FROM (SELECT *, row_number() OVER (
+          ORDER BY h, amount) AS rk FROM h) WHERE h < {_CUT} OR rk <= 256),
+med AS (SELECT quantile_cont(amount, 0.5) AS m FROM smp),
+xs AS (SELECT h, COALESCE(amount, m) AS x FROM smp, med),
+th AS (SELECT t, h, x, ((h % 2147483629 + t * 7919)
+         * (h % 2147483587 + t * 104729)) % 4294967291 AS th
+       FROM xs, range(100) AS r(t)),
+pts AS (SELECT t, x FROM (SELECT *, row_number() OVER (
+          PARTITION BY t ORDER BY th, h, x) AS r FROM th) WHERE r <= 256),
+g AS (
+  SELECT t, 1::BIGINT AS node, 0 AS d, x, '-inf'::DOUBLE AS lo,
+         'inf'::DOUBLE AS hi FROM pts
+  UNION ALL
+  SELECT t, node * 2 + (CASE WHEN x > cut THEN 1 ELSE 0 END), d + 1, x,
+         CASE WHEN x > cut THEN cut ELSE lo END,
+         CASE WHEN x > cut THEN hi ELSE cut END
+  FROM (SELECT *, CASE WHEN c0 >= mx THEN mn ELSE c0 END AS cut FROM (
+    SELECT *, mn + (('0x' || substr(md5('42|' || t || '|' || node), 1, 8))
+                    ::BIGINT / 4294967296.0::DOUBLE) * (mx - mn) AS c0
+    FROM (SELECT *, min(x) OVER w AS mn, max(x) OVER w AS mx,
+                 count(*) OVER w AS c FROM g
+          WINDOW w AS (PARTITION BY t, node))))
+  WHERE c > 1 AND mn < mx AND d < 8),
+leaves AS (
+  SELECT t, lo, hi, d + CASE WHEN c <= 1 THEN 0 WHEN c = 2 THEN 1 ELSE
+    2 * (ln(c - 1.0::DOUBLE) + 0.5772156649015329) - 2 * (c - 1.0::DOUBLE) / c
+    END AS depth
+  FROM (SELECT t, node, any_value(d) AS d, any_value(lo) AS lo,
+               any_value(hi) AS hi, count(*)::DOUBLE AS c, min(x) AS mn,
+               max(x) AS mx FROM g GROUP BY t, node)
+  WHERE NOT (c > 1 AND mn < mx AND d < 8)),
+vals AS (SELECT DISTINCT COALESCE(amount, 0.0::DOUBLE) AS x FROM e
+         UNION SELECT x FROM xs),
+deep AS (SELECT v.x, round(avg(l.depth), 9) AS depth
+         FROM (SELECT x, t FROM vals, range(100) AS r(t)) AS v
+         ASOF JOIN leaves AS l ON v.t = l.t AND v.x <= l.hi GROUP BY v.x),
+sc AS (SELECT x, round(pow(2.0::DOUBLE, -depth / (2 * (ln(255.0::DOUBLE)
+         + 0.5772156649015329) - 2 * 255.0::DOUBLE / 256)), 12) AS score
+       FROM deep),
+thr AS (SELECT quantile_cont(score, 0.95) AS t FROM xs JOIN sc USING (x)),
+flags AS (SELECT e.row_key, sc.score > thr.t AS is_anomaly,
+            sc.score - thr.t AS anomaly_severity
+          FROM e JOIN sc ON sc.x = COALESCE(e.amount, 0.0::DOUBLE), thr)"""
+FOREST_SCORED = f"WITH RECURSIVE {FOREST_CTES}, " + O.scored_events_sql(
+    flags="flags")
+
+
+@register("isolation_forest", f"""WITH RECURSIVE {FOREST_CTES}
+SELECT row_key, source_id, amount, is_anomaly, anomaly_severity
+FROM e JOIN flags USING (row_key)""", ("amount", "anomaly_severity"))
 def q_isolation_forest(spark, sf_dir):
     """Fit on a 10 % hash sample, flag every event."""
     e, model = events_forest(spark, sf_dir)
@@ -60,7 +114,9 @@ def q_isolation_forest(spark, sf_dir):
                                      "is_anomaly", "anomaly_severity")
 
 
-@register("isolation_forest_model")
+@register("isolation_forest_model", f"""WITH RECURSIVE {FOREST_CTES}
+SELECT t::BIGINT AS tree, lo, hi, depth FROM leaves""",
+          ("lo", "hi", "depth"))
 def q_isolation_forest_model(spark, sf_dir):
     """The model table (tree, lo, hi, depth)."""
     _, model = events_forest(spark, sf_dir)
@@ -76,13 +132,22 @@ def forest_scored(spark, sf_dir, as_of=td.EVENTS_AS_OF):
     return trust.compute_trust_score(r, TrustParams.batch(), as_of)
 
 
-@register("trust_by_source_forest")
+@register("trust_by_source_forest", FOREST_SCORED + """
+SELECT source_id, ROUND(AVG(trust_score), 2) AS avg_trust_score,
+       ROUND(AVG(completeness), 3) AS avg_completeness,
+       ROUND(AVG(accuracy), 3) AS avg_accuracy
+FROM t GROUP BY source_id ORDER BY source_id""")
 def q_trust_by_source_forest(spark, sf_dir):
     """P1 over forest-scored events."""
     return reports.trust_by_source(forest_scored(spark, sf_dir))
 
 
-@register("top_anomalies_forest")
+@register("top_anomalies_forest", FOREST_SCORED + """
+SELECT user_id, source_id, amount, trust_score, anomaly_severity FROM t
+WHERE is_anomaly
+ORDER BY anomaly_severity DESC NULLS LAST, user_id ASC NULLS LAST,
+  source_id ASC NULLS LAST, amount ASC NULLS LAST, trust_score ASC NULLS LAST
+LIMIT 10""", ("amount", "trust_score", "anomaly_severity"))
 def q_top_anomalies_forest(spark, sf_dir):
     """P5 over forest-scored events (the top 10 is the report)."""
     return reports.top_anomalies(forest_scored(spark, sf_dir), 10)
@@ -93,14 +158,14 @@ EXACT_SAMPLE = 256
 
 
 def _exact_sample(spark, sf_dir):
-    """Distinct amounts of the 256 rows with the smallest md5 key hashes
+    """Amounts of the 256 rows with the smallest md5 key hashes, sorted
     (the sample size is the operator's parameter)."""
     e = td.events_feed(spark, sf_dir, with_key=True).where(
         F.col("amount").isNotNull())
     rows = (e.withColumn("h", key_hash(["row_key"], 42, "md5"))
             .orderBy("h", "row_key").limit(EXACT_SAMPLE)
-            .select("amount").distinct().collect())   # bounded: 256 values
-    return sorted(r["amount"] for r in rows)
+            .select("amount").collect())   # bounded: 256 values
+    return sorted({r["amount"] for r in rows})
 
 
 _EXACT_SQL = f"""WITH e AS ({O.events_sql(True)}),
@@ -151,14 +216,11 @@ FROM e JOIN sc ON sc.x = COALESCE(e.amount, 0.0::DOUBLE), thr""",
 def q_isolation_flags_exact(spark, sf_dir):
     """Flags from the closed form: threshold = 95 % quantile of the sample
     points' scores; a null amount is scored as 0.0."""
-    sample = _exact_sample(spark, sf_dir)
-    scores = q_isolation_depth_exact(spark, sf_dir).select(
-        F.col("amount").alias("x"), "score")
-    sample_df = spark.createDataFrame([(float(v),) for v in sample], "x double")
-    thr = (scores.join(sample_df, "x")
-           .agg(F.percentile("score", 0.95).alias("t")).first()["t"])
+    sample = np.array(_exact_sample(spark, sf_dir))
+    thr = float(np.quantile(forest.exact_scores(sample, sample), 0.95))
     e = td.events_feed(spark, sf_dir, with_key=True).withColumn(
         "x", F.coalesce(F.col("amount"), F.lit(0.0)))
-    out = e.join(scores, "x")    # one score per distinct amount
+    # the score is a function of the amount: no distinct, no join
+    out = forest.exact_isolation_scores(e, sample)
     return out.select("row_key", (F.col("score") > F.lit(thr)).alias("is_anomaly"),
                       (F.col("score") - F.lit(thr)).alias("anomaly_severity"))

@@ -86,8 +86,13 @@ QSUM = "(completeness + consistency + accuracy + freshness + timeliness)"
 
 
 def scored_events_sql(as_of: str = td.EVENTS_AS_OF, with_key: bool = True,
-                      default_rep: float | None = None) -> str:
-    """CTE text: events, quality, given flag, reputation, decay, trust."""
+                      default_rep: float | None = None,
+                      flags: str | None = None) -> str:
+    """CTE text: events, quality, flag (the given one, or those of a table
+    ``flags`` by row_key), reputation, decay, trust."""
+    flag_cols = flags_sql() if flags is None else (
+        f"{flags}.is_anomaly, {flags}.anomaly_severity")
+    joined = "f" if flags is None else f"f JOIN {flags} USING (row_key)"
     p = QualityParams.batch(completeness_fields=(
         "user_id", "amount", "city", "timestamp", "source_id"))
     rep = "r.source_reputation"
@@ -95,7 +100,7 @@ def scored_events_sql(as_of: str = td.EVENTS_AS_OF, with_key: bool = True,
         rep = f"COALESCE(r.source_reputation, {dbl(default_rep)})"
     return f"""
 f AS ({events_sql(with_key, as_of)}),
-q AS (SELECT *, {quality_sql(p, as_of)}, {flags_sql()} FROM f),
+q AS (SELECT f.*, {quality_sql(p, as_of)}, {flag_cols} FROM {joined}),
 r AS (SELECT source_id, 1.0::DOUBLE - SUM(CASE WHEN is_anomaly THEN 1 ELSE 0 END)::DOUBLE
              / COUNT(*) AS source_reputation FROM q GROUP BY source_id),
 s AS (SELECT q.*, r.source_reputation,

@@ -67,9 +67,29 @@ def append_feeds(frames: Sequence[DataFrame], path: str) -> DataFrame:
     return first.sparkSession.read.parquet(path)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists, asked of the file system it names."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(
+        spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def has_data_source(spark: SparkSession, class_name: str) -> bool:
+    """Whether a connector's class can be loaded by the driver."""
+    jvm = spark.sparkContext._jvm
+    loader = jvm.java.lang.Thread.currentThread().getContextClassLoader()
+    name = class_name.replace(".", "/") + ".class"
+    return loader.getResource(name) is not None
+
+
 def write_delta(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Delta when its connector is on the classpath, else Parquet."""
-    try:
+    """Delta when its connector is on the classpath, else Parquet.
+
+    Only the connector's absence leads to Parquet; any error of the write
+    itself is raised."""
+    if has_data_source(df.sparkSession, "io.delta.sql.DeltaSparkSession"
+                       "Extension"):
         df.write.format("delta").mode(mode).save(path)
-    except Exception:  # noqa: BLE001  (connector absent)
+    else:
         write_parquet(df, path, mode)

@@ -24,8 +24,9 @@ TRANSACTION_SCHEMA = StructType([
     StructField("source_id", StringType(), False),
 ])
 DEFAULT_TOPIC = "transactions"
-DEFAULT_GROUP = "trust-score-processor"
 # --- end of fixed values ---
+# Timestamps in messages keep their microseconds.
+MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
 
 def load_kafka_stream(spark: SparkSession, bootstrap_servers: str,
@@ -83,7 +84,8 @@ def encode_messages(df: DataFrame, key_col: str = "user_id",
     """S14 core: one JSON message per record, keyed by ``key_col``."""
     cols = list(columns or [c for c in df.columns if c not in keep])
     return df.select(*keep, F.col(key_col).cast("string").alias("key"),
-                     F.to_json(F.struct(*cols)).alias("value"))
+                     F.to_json(F.struct(*cols), {
+                         "timestampFormat": MICROS}).alias("value"))
 
 
 def publish_messages(df: DataFrame, bootstrap_servers: str,
