@@ -20,6 +20,7 @@ from ..streaming.state import exact_stream_reputation
 from . import oracle as O
 from . import testdata as td
 from .catalog import register
+from .catalog_forest import FOREST_CTES
 from .catalog_windows import _A, _FLAGGED, SLIDING_SQL
 
 _SQ = QualityParams.streaming()
@@ -74,7 +75,9 @@ _WM = ("(SELECT max(CASE WHEN event_id % 17 = 0 THEN NULL ELSE ts END) "
 
 
 @register("stream_sliding_reputation", f"""
-SELECT * FROM ({SLIDING_SQL}) AS s WHERE window_end <= {_WM}""",
+SELECT s.*, e."timestamp" FROM ({SLIDING_SQL}) AS s
+JOIN ({O.events_sql(True)}) AS e USING (row_key)
+WHERE window_end <= {_WM} OR e."timestamp" IS NULL""",
           ("source_reputation",))
 def q_stream_sliding_reputation(spark, sf_dir):
     """ST1 + ST5: watermark, hopping windows, stream-stream join back."""
@@ -83,7 +86,7 @@ def q_stream_sliding_reputation(spark, sf_dir):
     from ..streaming.job import sliding_stream_reputation
     out = sliding_stream_reputation(s)
     return run_to_table(spark, out.select(
-        "row_key", "source_id", "window_start", "window_end",
+        "row_key", "source_id", "timestamp", "window_start", "window_end",
         "anomalies_in_window", "total_in_window", "source_reputation"),
         "stream_sliding")
 
@@ -91,13 +94,15 @@ def q_stream_sliding_reputation(spark, sf_dir):
 EXACT_SQL = f"""WITH {_FLAGGED},
 k AS (SELECT *, CAST(floor(epoch("timestamp")) AS BIGINT) AS sec FROM q
       WHERE "timestamp" IS NOT NULL),
-w AS (SELECT row_key, source_id, sec, CAST(SUM({_A}) OVER win AS BIGINT) AS a,
+w AS (SELECT row_key, source_id, "timestamp", sec, CAST(SUM({_A}) OVER win AS BIGINT) AS a,
         COUNT(*) OVER win AS n FROM k
       WINDOW win AS (PARTITION BY source_id ORDER BY sec
                      RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW))
-SELECT row_key, source_id, a AS anomalies_in_window, n AS total_in_window,
-  1.0::DOUBLE - a::DOUBLE / n AS source_reputation
-FROM w WHERE sec + 1 <= epoch({_WM})"""
+SELECT row_key, source_id, "timestamp", a AS anomalies_in_window,
+  n AS total_in_window, 1.0::DOUBLE - a::DOUBLE / n AS source_reputation
+FROM w WHERE sec + 1 <= epoch({_WM})
+UNION ALL SELECT row_key, source_id, NULL, NULL, NULL, NULL FROM q
+WHERE "timestamp" IS NULL"""
 
 
 @register("stream_reputation_exact", EXACT_SQL, ("source_reputation",))
@@ -108,11 +113,36 @@ def q_stream_reputation_exact(spark, sf_dir):
                        .withColumnRenamed("purchase_amount", "amount"))
     out = exact_stream_reputation(s, 3600)
     return run_to_table(spark, out.select(
-        "row_key", "source_id", "anomalies_in_window", "total_in_window",
-        "source_reputation"), "stream_exact")
-
-
-@register("stream_trust")
+        "row_key", "source_id", "timestamp", "anomalies_in_window",
+        "total_in_window", "source_reputation"), "stream_exact")
+
+
+# quality, forest flags and sliding reputation of the stream's records
+STREAM_TRUST_SQL = f"""WITH RECURSIVE {FOREST_CTES}, {_STREAM_FEED},
+q AS (SELECT f.*, {O.quality_sql(_SQ, td.EVENTS_AS_OF)}, flags.is_anomaly,
+        flags.anomaly_severity,
+        CAST(floor(epoch("timestamp") / 600) AS BIGINT) AS b
+      FROM f JOIN flags USING (row_key)),
+pb AS (SELECT source_id, b, SUM(CASE WHEN is_anomaly THEN 1 ELSE 0 END) AS a,
+         COUNT(*) AS n FROM q WHERE b IS NOT NULL GROUP BY source_id, b),
+w AS (SELECT source_id, b, SUM(a) OVER win AS wa, SUM(n) OVER win AS wn FROM pb
+      WINDOW win AS (PARTITION BY source_id ORDER BY b
+                     RANGE BETWEEN 5 PRECEDING AND CURRENT ROW)),
+s AS (SELECT q.*, 1.0::DOUBLE - w.wa::DOUBLE / w.wn AS source_reputation,
+        exp(-0.05::DOUBLE * datediff('day', ingestion_timestamp,
+            {O.ts_lit(td.EVENTS_AS_OF)})) AS temporal_decay
+      FROM q LEFT JOIN w ON q.source_id = w.source_id AND q.b = w.b
+      WHERE q.b IS NULL OR (q.b + 1) * 600 <= epoch({_WM}))
+SELECT user_id, source_id, purchase_amount, city, "timestamp", completeness,
+  consistency, accuracy, freshness, timeliness, is_anomaly, anomaly_severity,
+  source_reputation, temporal_decay, {O.QSUM} / 5.0::DOUBLE
+  * COALESCE(source_reputation, 0.5::DOUBLE) * temporal_decay * 100.0::DOUBLE
+  AS trust_score FROM s"""
+FULL_DOUBLES = ("purchase_amount",) + DIMS + (
+    "anomaly_severity", "source_reputation", "temporal_decay", "trust_score")
+
+
+@register("stream_trust", STREAM_TRUST_SQL, FULL_DOUBLES)
 def q_stream_trust(spark, sf_dir):
     """ST7 end to end on a stream: quality, forest scores (model fitted on
     the batch table), sliding reputation, stream trust, short output."""
@@ -124,7 +154,10 @@ def q_stream_trust(spark, sf_dir):
     return run_to_table(spark, out, "stream_trust")
 
 
-@register("stream_forest_scoring")
+@register("stream_forest_scoring", f"""WITH RECURSIVE {FOREST_CTES}
+SELECT row_key, source_id, amount AS purchase_amount, is_anomaly,
+  anomaly_severity FROM e JOIN flags USING (row_key)""",
+          ("purchase_amount", "anomaly_severity"))
 def q_stream_forest_scoring(spark, sf_dir):
     """A saved forest applied to a stream, no fitting in the stream."""
     from .catalog_forest import events_forest
@@ -140,7 +173,19 @@ def q_stream_forest_scoring(spark, sf_dir):
                                         "anomaly_severity"), "stream_forest")
 
 
-@register("stream_micro_batch")
+@register("stream_micro_batch", f"""WITH {_STREAM_FEED},
+q AS (SELECT *, {O.quality_sql(_SQ, td.EVENTS_AS_OF)},
+        COALESCE(purchase_amount, 0.0::DOUBLE) > 150.0 AS is_anomaly,
+        COALESCE(purchase_amount, 0.0::DOUBLE) / 150.0::DOUBLE - 1.0::DOUBLE
+          AS anomaly_severity FROM f),
+r AS (SELECT source_id, 1.0::DOUBLE - SUM(CASE WHEN is_anomaly THEN 1 ELSE 0
+        END)::DOUBLE / COUNT(*) AS source_reputation FROM q GROUP BY source_id)
+SELECT user_id, q.source_id, purchase_amount, city, "timestamp", completeness,
+  consistency, accuracy, freshness, timeliness, is_anomaly, anomaly_severity,
+  source_reputation, 1.0::DOUBLE AS temporal_decay,
+  {O.QSUM} / 5.0::DOUBLE * source_reputation * 100.0::DOUBLE AS trust_score,
+  0 AS batch_id
+FROM q LEFT JOIN r ON q.source_id = r.source_id""", FULL_DOUBLES)
 def q_stream_micro_batch(spark, sf_dir):
     """ST9: per-micro-batch reputation (R4) inside ``foreachBatch``."""
     from ..streaming.job import create_streaming_pipeline

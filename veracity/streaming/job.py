@@ -75,33 +75,55 @@ def score_stream(df: DataFrame, model, config: StreamingPipelineConfig,
 def sliding_stream_reputation(df: DataFrame, window_duration="1 hour",
                               sliding_duration="10 minutes",
                               source_col: str = "source_id",
-                              ts_col: str = "timestamp") -> DataFrame:
+                              ts_col: str = "timestamp",
+                              salts: int = 16) -> DataFrame:
     """ST5 on a stream: each record joins the window that closes at the
-    end of its slide bucket, [end - W, end)."""
+    end of its slide bucket, [end - W, end).
+
+    A window is one small row; it is copied ``salts`` times and a record
+    picks a copy by its hash, so the records of one source and bucket go
+    to ``salts`` state partitions.  A record without a source or timestamp
+    belongs to no window: it passes at once with a null reputation.
+    """
     W = reputation.parse_duration(window_duration)
     S = reputation.parse_duration(sliding_duration)
-    wins = (df.groupBy(F.window(ts_col, f"{W} seconds", f"{S} seconds")
-                       .alias("win"), F.col(source_col).alias("__src"))
+    placed = df.where(F.col(ts_col).isNotNull()
+                      & F.col(source_col).isNotNull())
+    wins = (placed.groupBy(F.window(ts_col, f"{W} seconds", f"{S} seconds")
+                           .alias("win"), F.col(source_col).alias("__src"))
             .agg(F.sum(F.col("is_anomaly").cast("long"))
                  .alias("anomalies_in_window"),
-                 F.count(F.lit(1)).alias("total_in_window")))
-    recs = (df.withColumn("win", F.window(ts_col, f"{W} seconds",
-                                          f"{S} seconds"))
+                 F.count(F.lit(1)).alias("total_in_window"))
+            .withColumn("__wsalt", F.explode(F.sequence(
+                F.lit(0), F.lit(salts - 1)))))
+    recs = (placed.withColumn("__salt", F.pmod(
+                F.xxhash64(*df.columns), F.lit(salts)).cast("int"))
+            .withColumn("win", F.window(ts_col, f"{W} seconds",
+                                        f"{S} seconds"))
             .where((F.col("win.end") > F.col(ts_col))
                    & (F.col("win.end") <= F.col(ts_col)
                       + F.expr(f"INTERVAL {S} SECONDS")))
             .withColumn("__t", F.unix_micros(F.col(ts_col).cast("timestamp")))
             .drop(ts_col))
     joined = recs.join(wins, (recs["win"] == wins["win"])
-                       & (recs[source_col] == wins["__src"]), "inner")
-    return (joined.select(
+                       & (recs[source_col] == wins["__src"])
+                       & (recs["__salt"] == wins["__wsalt"]), "inner")
+    joined = (joined.select(
         recs["*"], "anomalies_in_window", "total_in_window",
         (1.0 - F.col("anomalies_in_window") / F.col("total_in_window"))
         .alias("source_reputation"),
         wins["win.start"].alias("window_start"),
         wins["win.end"].alias("window_end"))
         .withColumn(ts_col, F.timestamp_micros("__t"))
-        .drop("__t", "win"))
+        .drop("__t", "win", "__salt"))
+    rest = df.where(F.col(ts_col).isNull() | F.col(source_col).isNull())
+    rest = rest.select(
+        *df.columns, F.lit(None).cast("long").alias("anomalies_in_window"),
+        F.lit(None).cast("long").alias("total_in_window"),
+        F.lit(None).cast("double").alias("source_reputation"),
+        F.lit(None).cast("timestamp").alias("window_start"),
+        F.lit(None).cast("timestamp").alias("window_end"))
+    return joined.unionByName(rest)
 
 
 def apply_stream_reputation(df: DataFrame, config: StreamingPipelineConfig
@@ -158,12 +180,14 @@ def _micro_batch_pipeline(spark, cfg, model, source, available_now, as_of):
     scored = score_stream(parsed, model, cfg, as_of)
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()     # read twice: the sources' counts, the records
         r = reputation.compute_source_reputation_batch_reference(batch)
         out = trust.compute_trust_score(r, TrustParams.streaming(), as_of)
         # one folder per batch, overwritten on a retry: exactly-once output
         (clean.prepare_output_columns(out, cfg.include_intermediate)
          .write.mode("overwrite").format(cfg.output_format)
          .save(f"{cfg.output_path}/batch_id={batch_id}"))
+        batch.unpersist()
 
     w = (scored.writeStream.foreachBatch(per_batch)
          .option("checkpointLocation", cfg.checkpoint_dir))

@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..sources.messages import MICROS
+
 STATE_SCHEMA = ("hist_sec array<long>, hist_n array<long>, hist_a array<long>, "
                 "pend_sec array<long>, pend_a array<long>, "
                 "pend_body array<string>")
@@ -35,11 +37,14 @@ def _exact_processor(window_seconds: int):
         source = key[0]
         if state.exists:
             (hs, hn, ha, ps, pa, pb) = state.get
-            hist = pd.DataFrame({"sec": list(hs), "n": list(hn), "a": list(ha)})
-            pend = pd.DataFrame({"sec": list(ps), "a": list(pa), "body": list(pb)})
         else:
-            hist = pd.DataFrame({"sec": [], "n": [], "a": []})
-            pend = pd.DataFrame({"sec": [], "a": [], "body": []})
+            hs = hn = ha = ps = pa = pb = ()
+        hist = pd.DataFrame({"sec": np.array(hs, np.int64),
+                             "n": np.array(hn, np.int64),
+                             "a": np.array(ha, np.int64)})
+        pend = pd.DataFrame({"sec": np.array(ps, np.int64),
+                             "a": np.array(pa, np.int64),
+                             "body": np.array(pb, object)})
         wm_ms = max(int(state.getCurrentWatermarkMs()), 0)
         fresh = [b[["__sec", "__a", "__body"]] for b in batches]
         if fresh:
@@ -99,19 +104,27 @@ def exact_stream_reputation(df: DataFrame, window_seconds: int = 3600,
                             ts_col: str = "timestamp") -> DataFrame:
     """Per-record trailing-window reputation of a watermarked stream.
 
-    The record travels through the state as JSON text and is restored
-    after; rows without a timestamp cannot be placed and are dropped.
+    The record travels through the state as JSON text, timestamps to the
+    microsecond, and is restored after.  Rows without a timestamp cannot
+    be placed: they pass at once with a null reputation.
     """
+    text = {"timestampFormat": MICROS, "timestampNTZFormat": MICROS}
     keyed = df.where(F.col(ts_col).isNotNull()).select(
         F.col(source_col).alias("source_id"),
         F.col(ts_col).cast("timestamp").cast("long").alias("__sec"),
         F.col(flag_col).cast("long").alias("__a"),
-        F.to_json(F.struct(*[F.col(c) for c in df.columns])).alias("__body"),
+        F.to_json(F.struct(*[F.col(c) for c in df.columns]), text)
+        .alias("__body"),
         F.col(ts_col))
     out = keyed.groupBy("source_id").applyInPandasWithState(
         _exact_processor(window_seconds), OUT_SCHEMA, STATE_SCHEMA, "append",
         GroupStateTimeout.EventTimeTimeout)
-    body = F.from_json("body", df.schema)
-    return out.select(body.alias("r"), "anomalies_in_window",
-                      "total_in_window", "source_reputation").select(
+    body = F.from_json("body", df.schema, text)
+    out = out.select(body.alias("r"), "anomalies_in_window",
+                     "total_in_window", "source_reputation").select(
         "r.*", "anomalies_in_window", "total_in_window", "source_reputation")
+    rest = df.where(F.col(ts_col).isNull()).select(
+        *df.columns, F.lit(None).cast("long").alias("anomalies_in_window"),
+        F.lit(None).cast("long").alias("total_in_window"),
+        F.lit(None).cast("double").alias("source_reputation"))
+    return out.unionByName(rest)
