@@ -3,6 +3,8 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from veracity.operators import reputation as R
 
@@ -21,11 +23,11 @@ ROWS = [(1, "a", 0, True), (2, "a", 3600, False), (3, "a", 3601, False),
         (7, "a", None, False), (8, "a", None, True)]
 
 
-@pytest.mark.parametrize("method", ["direct", "bucketed"])
-def test_window_edges(spark, method):
+@pytest.mark.parametrize("chunk", [1800, 86_400])
+def test_window_edges(spark, chunk):
     df = _frame(spark, ROWS)
     out = {r.row_key: r for r in R.compute_source_reputation_streaming(
-        df, 3600, method=method, chunk_seconds=1800).collect()}
+        df, 3600, chunk_seconds=chunk).collect()}
     assert out[2].total_in_window == 2        # frame inclusive at 3600 s
     assert out[3].total_in_window == 3        # t+3601 leaves t out ...
     assert out[3].anomalies_in_window == 1    # ... and counts its peer
@@ -35,14 +37,47 @@ def test_window_edges(spark, method):
     assert out[8].source_reputation == pytest.approx(0.5)
 
 
-def test_direct_equals_bucketed_on_events(spark):
+def _direct(df, seconds):
+    """The textbook form: one window per source over the records."""
+    w = (Window.partitionBy("source_id").orderBy("__sec")
+         .rangeBetween(-seconds, 0))
+    return df.withColumn("__sec", R.epoch_seconds("timestamp")).select(
+        "row_key", F.sum(F.col("is_anomaly").cast("long")).over(w).alias("a"),
+        F.count(F.lit(1)).over(w).alias("n"))
+
+
+def test_chunked_equals_direct_on_events(spark):
     from veracity.plans.catalog_windows import flagged_events
     df = flagged_events(spark, "/root/testdata/sf0.001")
     cols = ["row_key", "anomalies_in_window", "total_in_window"]
-    a = R.compute_source_reputation_streaming(df, method="direct").select(cols)
-    b = R.compute_source_reputation_streaming(df, method="bucketed",
-                                              chunk_seconds=7200).select(cols)
-    assert sorted(a.collect()) == sorted(b.collect())
+    a = _direct(df, 3600)
+    b = R.compute_source_reputation_streaming(df, chunk_seconds=7200)
+    assert sorted(map(tuple, a.collect())) == sorted(
+        map(tuple, b.select(cols).collect()))
+
+
+def test_chunked_ema_equals_one_fold(spark):
+    rows = [(i, "ab"[i % 2], 600 * (i * i % 977), i % 3 == 0)
+            for i in range(400)]
+    df = _frame(spark, rows)
+    ema = R.compute_source_reputation_exponential_moving_average
+    a = {r.row_key: r.ema_anomaly_rate for r in ema(df).collect()}
+    b = {r.row_key: r.ema_anomaly_rate
+         for r in ema(df, chunk_buckets=7).collect()}
+    assert a.keys() == b.keys()
+    assert all(a[k] == pytest.approx(b[k]) for k in a)
+
+
+def test_broadcast_is_decided_by_bytes(spark):
+    from veracity.operators.lookup import lookup_join, table_bytes
+    big = spark.range(50).select("id", F.repeat(F.lit("x"), 1000).alias("s"))
+    assert 50_000 < table_bytes(big) < 60_000
+    for limit, join in ((10 ** 6, "BroadcastHashJoin"), (10, "SortMergeJoin")):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        plan = lookup_join(spark.range(9), big, ["id"],
+                           max_broadcast_bytes=limit)
+        assert join in plan._jdf.queryExecution().executedPlan().toString()
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_whole_data_reputation_and_null_source(spark):

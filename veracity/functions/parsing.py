@@ -27,13 +27,3 @@ def parse_timestamp(c: str | Column, patterns=(ISO_PATTERN,),
     if lenient:
         tries.append(F.try_to_timestamp(F.trim(s)))
     return tries[0] if len(tries) == 1 else F.coalesce(*tries)
-
-
-def to_double(c: str | Column) -> Column:
-    """Text to double; blank or unparsable becomes null (``try_cast``)."""
-    return F.trim(_c(c).cast("string")).try_cast("double")
-
-
-def blank_to_null(c: str | Column) -> Column:
-    s = F.trim(_c(c).cast("string"))
-    return F.when(F.length(s) > 0, s)

@@ -3,8 +3,8 @@
 Several operators are two-pass: aggregate per key, then give every record
 its key's value.  The aggregate is materialised once (``checkpoint`` into
 the shared checkpoint folder, so a lost executor does not recompute the
-upstream), its row count is checked, and only a table under the bound is
-broadcast.  Anything bigger is joined with a shuffle, where AQE can split
+upstream), its size in bytes is checked, and only a table under the bound
+is broadcast.  Anything bigger is joined with a shuffle, where AQE can split
 skewed partitions.
 """
 
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 
-DEFAULT_BROADCAST_ROWS = 1_000_000
+DEFAULT_BROADCAST_BYTES = 64 << 20
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -26,10 +26,22 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def table_bytes(df: DataFrame) -> int:
+    """Bytes of a frame's rows: 8 per fixed-width field and the length of
+    the texts, plus 16 per row; one aggregate."""
+    texts = [c for c, t in df.dtypes if t in ("string", "binary")]
+    fixed = 16 + 8 * len(df.columns)
+    length = F.lit(0)
+    for c in texts:
+        length = length + F.coalesce(F.octet_length(c), F.lit(0))
+    r = df.agg(F.count(F.lit(1)), F.sum(length)).first()
+    return r[0] * fixed + (r[1] or 0)
+
+
 def lookup_join(records: DataFrame, lookup: DataFrame, keys: Sequence[str],
                 how: str = "left", null_safe: bool = False,
-                max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
-                materialized: bool = False) -> DataFrame:
+                max_broadcast_bytes: int = DEFAULT_BROADCAST_BYTES
+                ) -> DataFrame:
     """Join ``lookup`` (one row per key) onto ``records``.
 
     ``null_safe`` matches null keys to null keys (``<=>``), which the
@@ -37,8 +49,8 @@ def lookup_join(records: DataFrame, lookup: DataFrame, keys: Sequence[str],
     nothing.
     """
     keys = list(keys)
-    small = lookup if materialized else materialize(lookup)
-    fits = small.count() <= max_broadcast_rows
+    small = materialize(lookup)
+    fits = table_bytes(small) <= max_broadcast_bytes
     if not null_safe:
         return records.join(F.broadcast(small) if fits else small,
                             on=keys, how=how)

@@ -11,11 +11,12 @@ holds most of the rows.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .lookup import DEFAULT_BROADCAST_ROWS, lookup_join
+from .lookup import DEFAULT_BROADCAST_BYTES, lookup_join, materialize
 
 
 def epoch_seconds(ts_col: str) -> F.Column:
@@ -51,7 +52,7 @@ def source_stats(df: DataFrame, source_col: str = "source_id",
 def compute_source_reputation(df: DataFrame, source_col: str = "source_id",
                               flag_col: str = "is_anomaly",
                               empty_value: float | None = None,
-                              max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS
+                              max_broadcast_bytes: int = DEFAULT_BROADCAST_BYTES
                               ) -> DataFrame:
     """reputation = 1 - anomalies / records, per source over all rows.
 
@@ -66,7 +67,7 @@ def compute_source_reputation(df: DataFrame, source_col: str = "source_id",
             F.lit(float(empty_value)))
     lookup = stats.select(source_col, rep.alias("source_reputation"))
     return lookup_join(df, lookup, [source_col], how="left",
-                       max_broadcast_rows=max_broadcast_rows)
+                       max_broadcast_bytes=max_broadcast_bytes)
 
 
 def compute_source_reputation_batch_reference(df: DataFrame, **kw
@@ -77,27 +78,18 @@ def compute_source_reputation_batch_reference(df: DataFrame, **kw
 
 # ---------------------------------------------------------------- R2 / R3
 def _trailing_counts(df: DataFrame, window_seconds: int, source_col: str,
-                     flag_col: str, ts_col: str, chunk_seconds: int,
-                     method: str) -> DataFrame:
+                     flag_col: str, ts_col: str, chunk_seconds: int
+                     ) -> DataFrame:
     """(source, __sec, __wa, __wn): anomalies and rows in [sec-W, sec].
 
-    ``method="direct"`` is the textbook window over the records, one
-    source per task.  ``"bucketed"`` (default) reduces to one row per
-    (source, second) first, copies each second into every time chunk
-    whose rows can see it (at most 1 + W/chunk copies), and runs the
-    window per (source, chunk): exact, and parallel within a source.
+    Records are reduced to one row per (source, second) first; each second
+    is copied into every time chunk whose rows can see it (at most
+    1 + W/chunk copies), and the window runs per (source, chunk): exact,
+    and parallel within a source.
     """
     W = int(window_seconds)
     sec = epoch_seconds(ts_col)
     flag = F.col(flag_col).cast("int")
-    if method == "direct":
-        w = (Window.partitionBy(source_col).orderBy("__sec")
-             .rangeBetween(-W, 0))
-        return (df.select(source_col, sec.alias("__sec"), flag.alias("__a"))
-                .select(source_col, "__sec",
-                        F.sum("__a").over(w).alias("__wa"),
-                        F.count(F.lit(1)).over(w).alias("__wn"))
-                .dropDuplicates([source_col, "__sec"]))
     C = int(chunk_seconds)
     per_sec = (df.select(source_col, sec.alias("__sec"), flag.alias("__a"))
                .groupBy(source_col, "__sec")
@@ -121,9 +113,9 @@ def compute_source_reputation_streaming(
         df: DataFrame, window_duration: str | int = "1 hour",
         sliding_duration: str | int = "10 minutes", *,
         source_col: str = "source_id", flag_col: str = "is_anomaly",
-        ts_col: str = "timestamp", method: str = "bucketed",
+        ts_col: str = "timestamp",
         chunk_seconds: int = 86_400,
-        max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+        max_broadcast_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
     """R2: trailing-window reputation per source, range [t - W, t] seconds.
 
     Peers in the same second are counted; a null timestamp forms its own
@@ -134,7 +126,7 @@ def compute_source_reputation_streaming(
     """
     W = parse_duration(window_duration)
     counts = _trailing_counts(df, W, source_col, flag_col, ts_col,
-                              chunk_seconds, method)
+                              chunk_seconds)
     rep = F.when(F.col("__wn") > 0, 1.0 - F.col("__wa") / F.col("__wn")
                  ).otherwise(0.5)
     lookup = counts.select(source_col, "__sec",
@@ -143,7 +135,7 @@ def compute_source_reputation_streaming(
                            rep.alias("source_reputation"))
     keyed = df.withColumn("__sec", epoch_seconds(ts_col))
     return lookup_join(keyed, lookup, [source_col, "__sec"], null_safe=True,
-                       max_broadcast_rows=max_broadcast_rows).drop("__sec")
+                       max_broadcast_bytes=max_broadcast_bytes).drop("__sec")
 
 
 def compute_source_reputation_recent(df: DataFrame, seconds: int = 600,
@@ -162,7 +154,7 @@ def compute_sliding_reputation(df: DataFrame, window_duration="1 hour",
                                source_col: str = "source_id",
                                flag_col: str = "is_anomaly",
                                ts_col: str = "timestamp",
-                               max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS
+                               max_broadcast_bytes: int = DEFAULT_BROADCAST_BYTES
                                ) -> DataFrame:
     """ST5 on a bounded frame: hopping windows W / slide per source.
 
@@ -198,23 +190,25 @@ def compute_sliding_reputation(df: DataFrame, window_duration="1 hour",
         .alias("source_reputation"))
     keyed = df.withColumn("__eb", bucket + 1)
     return lookup_join(keyed, lookup, [source_col, "__eb"], null_safe=True,
-                       max_broadcast_rows=max_broadcast_rows).drop("__eb")
+                       max_broadcast_bytes=max_broadcast_bytes).drop("__eb")
 
 
 # ---------------------------------------------------------------- EMA
 def compute_source_reputation_exponential_moving_average(
         df: DataFrame, alpha: float = 0.3, bucket_duration="10 minutes", *,
         source_col: str = "source_id", flag_col: str = "is_anomaly",
-        ts_col: str = "timestamp",
-        max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+        ts_col: str = "timestamp", chunk_buckets: int = 8192,
+        max_broadcast_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
     """R3 as documented: exponentially smoothed anomaly rate per source.
 
     rate_b = anomalies / rows of time bucket b; ema_1 = rate_1,
     ema_b = alpha * rate_b + (1 - alpha) * ema_(b-1) over the source's
     non-empty buckets in time order; reputation = 1 - ema of the record's
-    bucket.  Records are first reduced per (source, bucket), so the series
-    a task folds has one row per bucket, bounded by the time span, not by
-    the number of records.  Null timestamps get a null reputation.
+    bucket.  Records are first reduced per (source, bucket).  The
+    recurrence is linear, so a chunk of ``chunk_buckets`` buckets as a
+    whole is one (scale, offset); these, a row per chunk, are chained per
+    source, and each chunk is then folded from the value carried into it.
+    Null timestamps get a null reputation.
     """
     S = parse_duration(bucket_duration)
     a = float(alpha)
@@ -224,20 +218,58 @@ def compute_source_reputation_exponential_moving_average(
               .where(F.col("__b").isNotNull())
               .groupBy(source_col, "__b")
               .agg((F.sum("__a") / F.count(F.lit(1))).alias("__rate")))
+    series = materialize(series.select(
+        F.col(source_col).alias("__src"), "__b", "__rate",
+        F.floor(F.col("__b") / chunk_buckets).alias("__chunk")))
+
+    def ema(rates, value):
+        out = []
+        for rate in rates:
+            value = rate if value is None else a * rate + (1.0 - a) * value
+            out.append(value)
+        return out
+
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        rates = pdf.sort_values("__b")["__rate"]
+        return pd.DataFrame({
+            "__src": pdf["__src"].iloc[:1], "__chunk": pdf["__chunk"].iloc[:1],
+            "__scale": (1.0 - a) ** len(pdf), "__offset": ema(rates, 0.0)[-1],
+            "__end": ema(rates, None)[-1]})
+
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("__chunk")
+        carried, value = [], None
+        for scale, offset, end in zip(pdf["__scale"], pdf["__offset"],
+                                      pdf["__end"]):
+            carried.append(value)
+            value = end if value is None else scale * value + offset
+        return pd.DataFrame({"__src": pdf["__src"], "__chunk": pdf["__chunk"],
+                             "__in": np.array(carried, float)})
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("__b")
-        ema = pdf["__rate"].ewm(alpha=a, adjust=False).mean()
-        return pd.DataFrame({source_col: pdf[source_col], "__b": pdf["__b"],
-                             "ema_anomaly_rate": ema.to_numpy()})
-
-    smoothed = series.groupBy(source_col).applyInPandas(
+        value = pdf["__in"].iloc[0]
+        return pd.DataFrame({
+            source_col: pdf["__src"], "__b": pdf["__b"],
+            "ema_anomaly_rate": ema(pdf["__rate"], None if pd.isna(value)
+                                    else float(value))})
+
+    chained = series.groupBy("__src", "__chunk").applyInPandas(
+        whole, "__src string, __chunk long, __scale double, "
+        "__offset double, __end double").groupBy("__src").applyInPandas(
+        chain, "__src string, __chunk long, __in double")
+    chained = chained.select(F.col("__src").alias("__s"),
+                             F.col("__chunk").alias("__c"), "__in")
+    smoothed = series.join(
+        chained, F.col("__src").eqNullSafe(F.col("__s"))
+        & (F.col("__chunk") == F.col("__c"))).drop("__s", "__c")
+    smoothed = smoothed.groupBy("__src", "__chunk").applyInPandas(
         fold, f"`{source_col}` string, __b long, ema_anomaly_rate double")
     lookup = smoothed.withColumn("source_reputation",
                                  1.0 - F.col("ema_anomaly_rate"))
     keyed = df.withColumn("__b", bucket)
     return lookup_join(keyed, lookup, [source_col, "__b"], null_safe=True,
-                       max_broadcast_rows=max_broadcast_rows).drop("__b")
+                       max_broadcast_bytes=max_broadcast_bytes).drop("__b")
 
 
 __all__ = [

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.parsing import parse_timestamp
@@ -37,10 +37,13 @@ def _source(df: DataFrame, spec) -> Column | None:
     return present[0] if len(present) == 1 else F.coalesce(*present)
 
 
-def _surrogate_id(prefix: str = "") -> Column:
-    """Unique (not dense, not stable across reruns) generated id."""
-    gen = F.monotonically_increasing_id().cast("string")
-    return F.concat(F.lit(prefix), gen) if prefix else gen
+def _surrogate_id(df: DataFrame, prefix: str = "") -> Column:
+    """Unique generated id: the row's hash and a number among equal rows,
+    so it stays the same when the rows are read again."""
+    key = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    number = F.row_number().over(Window.partitionBy(key).orderBy(key))
+    return F.concat(F.lit(prefix), F.lower(F.hex(key)), F.lit("-"),
+                    number.cast("string"))
 
 
 def typed_unified(user_id: Column, amount: Column, city: Column,
@@ -71,9 +74,9 @@ def _mapped(df: DataFrame, m: FeedMapping, missing_literal: bool = False
             c = _source(df, m.columns[target])
         if target == "user_id":
             if m.surrogate_user_id:
-                c = _surrogate_id()
+                c = _surrogate_id(df)
             elif c is None and m.surrogate_if_missing is not None:
-                c = _surrogate_id(m.surrogate_if_missing)
+                c = _surrogate_id(df, m.surrogate_if_missing)
         if target in m.defaults:
             c = (F.lit(m.defaults[target]) if c is None
                  else F.coalesce(c.cast("string"), F.lit(m.defaults[target])))

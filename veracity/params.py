@@ -6,7 +6,7 @@ other constants; the constants live here, together.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
 # --- fixed values (must equal the reference's to reproduce its scores) ---
 # Columns left out of dynamic completeness (derived columns):
@@ -97,20 +97,3 @@ class ForestParams:
     # Training imputes the sample median, scoring imputes this constant.
     score_fill: float = 0.0
     key_cols: tuple[str, ...] | None = None
-
-
-@dataclass(frozen=True)
-class ReputationParams:
-    """Window settings of the rolling reputations."""
-
-    window_seconds: int = 3600
-    recent_seconds: int = 600
-    slide_seconds: int = 600
-    # Time chunk that splits one source's timeline over many tasks.
-    chunk_seconds: int = 86_400
-    ema_alpha: float = 0.3
-    ema_bucket_seconds: int = 600
-    # Largest per-source lookup that is broadcast; bigger ones are joined
-    # with a shuffle.
-    broadcast_max_rows: int = 1_000_000
-    extra: dict = field(default_factory=dict)

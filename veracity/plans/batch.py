@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators import clean, forest, quality, reports, reputation, trust
 from ..operators import unify
 from ..params import ForestParams, QualityParams, TrustParams
-from ..session import scratch_path
+from ..operators.lookup import materialize
+from ..session import delete_path, scratch_path
 from ..sources import files
 
 
@@ -59,8 +60,10 @@ def multi_source_job(spark: SparkSession, feeds, as_of=None,
     opath = output_path or scratch_path(spark, "trust_scores")
     files.write_parquet(scored, opath)
     out = spark.read.parquet(opath)
-    return JobResult(out, reports.trust_by_source(out),
-                     unify.feed_counts(unified))
+    counts = materialize(unify.feed_counts(unified))
+    if unified_path is None:
+        delete_path(spark, upath)
+    return JobResult(out, reports.trust_by_source(out), counts)
 
 
 def single_source_job(spark: SparkSession, unified_path: str, as_of=None,
@@ -76,7 +79,11 @@ def single_source_job(spark: SparkSession, unified_path: str, as_of=None,
 def analyze_upload(spark: SparkSession, path: str, as_of=None
                    ) -> tuple[DataFrame, DataFrame]:
     """U11 + Q7 + A6 + R1 + T2, then P4 and P5, on a CSV upload."""
-    raw = files.read_csv(spark, path, null_value="NULL")
+    raw = files.read_csv(spark, path, null_value="NULL", infer=True)
     df = unify.adapt_schema(raw, as_of)
-    scored = reports.persist_scored(score_records(df, as_of))
-    return reports.trust_summary(scored), reports.top_anomalies(scored, 10)
+    scored = reports.persist_scored(score_records(
+        df, as_of, fparams=ForestParams(sample_fraction=0.1)))
+    out = (materialize(reports.trust_summary(scored)),
+           materialize(reports.top_anomalies(scored, 10)))
+    scored.unpersist()
+    return out

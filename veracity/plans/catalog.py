@@ -638,6 +638,54 @@ def q_json_roundtrip(spark, sf_dir):
                       "timestamp", "source_id")
 
 
+@register("feed_directory", f"""
+WITH o AS ({O.feed_sql(td.ORDERS)}), l AS ({O.feed_sql(td.LINEITEM)}),
+u AS (
+  SELECT user_id, amount, city, "timestamp", 'ecommerce' AS source_id FROM o
+  UNION ALL SELECT user_id, amount, 'unknown', "timestamp", 'subscriptions'
+    FROM l)
+SELECT * FROM u WHERE user_id IS NOT NULL AND amount IS NOT NULL
+  AND "timestamp" IS NOT NULL""", ("amount",))
+def q_feed_directory(spark, sf_dir):
+    """S4 + U10: a folder of CSV files, each mapped by its name."""
+    from ..session import scratch_path
+    from ..sources import files
+    from ..sources.feeds import PERMISSIVE_MAPPINGS
+    folder = scratch_path(spark, "feeds")
+    for feed, name, heads in (
+            (td.ORDERS, "ecommerce_data.csv",
+             ("customer_id", "purchase_amount", "location", "purchase_time")),
+            (td.LINEITEM, "subscription_data.csv",
+             ("subscriber_id", "monthly_fee", "city", "signup_date"))):
+        df = td.dirty_table(spark, sf_dir, feed)
+        cols = (feed.user_id, feed.amount, feed.city, feed.timestamp)
+        df.select(*[F.col(c).alias(n) for c, n in zip(cols, heads)]
+                  ).write.option("header", "true").csv(f"{folder}/{name}")
+    return unify.unify_feeds([
+        unify.unify_permissive(df, m) for df, m in files.read_feed_directory(
+            spark, folder, PERMISSIVE_MAPPINGS)])
+
+
+@register("surrogate_ids", f"""
+WITH l AS ({O.feed_sql(td.LINEITEM)})
+SELECT COUNT(*) AS records, COUNT(*) AS ids, COUNT(*) AS same_again FROM l
+WHERE amount IS NOT NULL AND "timestamp" IS NOT NULL""")
+def q_surrogate_ids(spark, sf_dir):
+    """Generated ids are unique and the same when generated again."""
+    from ..sources.feeds import STRICT_MAPPINGS
+    ecommerce = next(m for m in STRICT_MAPPINGS if m.name == "ecommerce")
+    li = td.dirty_table(spark, sf_dir, td.LINEITEM).select(
+        F.col("l_extendedprice").alias("order_value"),
+        F.col("l_returnflag").alias("location"),
+        F.col("l_shipdate").alias("order_date"))
+    a = unify.unify_strict(li, ecommerce)
+    b = unify.unify_strict(li.repartition(7), ecommerce)
+    both = a.select("user_id").join(b.select("user_id"), "user_id")
+    return a.agg(F.count("*").alias("records"),
+                 F.countDistinct("user_id").alias("ids")).join(
+        both.agg(F.count("*").alias("same_again")))
+
+
 # ------------------------------------------------------------ X2, P8, S3
 @register("append_union", " UNION ALL ".join(
     f"({O.feed_sql(td.FEEDS[n], tag=n)})" for n in td.FOUR), ("amount",))
@@ -676,7 +724,7 @@ def q_csv_upload_quality(spark, sf_dir):
     path = scratch_path(spark, "upload-csv")
     (td.dirty_table(spark, sf_dir, td.CUSTOMER).write.mode("overwrite")
      .option("header", "true").option("nullValue", "NULL").csv(path))
-    raw = files.read_csv(spark, path, null_value="NULL")
+    raw = files.read_csv(spark, path, null_value="NULL", infer=True)
     a = unify.adapt_schema(raw, td.TPCH_AS_OF)
     scored = quality.compute_quality_metrics(a, QualityParams.batch(),
                                              td.TPCH_AS_OF)

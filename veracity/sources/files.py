@@ -13,30 +13,42 @@ from .feeds import FeedMapping, mapping_for_file
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | None = None,
-             null_value: str | None = None, header: bool = True) -> DataFrame:
-    """CSV with a header.  Give a schema on large inputs; without
-    one the types are inferred (one extra pass over the file)."""
+             null_value: str | None = None, header: bool = True,
+             infer: bool = False) -> DataFrame:
+    """CSV with a header.  Without a schema every column is text
+    (only the header is read beforehand; ids like 007 stay as they are)
+    and the mapping casts it; ``infer`` types the columns, which reads the
+    whole file once more."""
     r = spark.read.option("header", str(header).lower())
     if null_value is not None:
         r = r.option("nullValue", null_value)
-    r = r.schema(schema) if schema is not None else r.option("inferSchema",
-                                                             "true")
+    r = r.schema(schema) if schema is not None else r.option(
+        "inferSchema", str(infer).lower())
     return r.csv(path)
 
 
 def load_csv_data(spark: SparkSession, path: str,
                   schema: StructType | None = None, as_of=None) -> DataFrame:
-    """CSV plus an ``ingestion_timestamp``."""
-    return read_csv(spark, path, schema).withColumn(
+    """CSV, types inferred, plus an ``ingestion_timestamp``."""
+    return read_csv(spark, path, schema, infer=schema is None).withColumn(
         "ingestion_timestamp", as_of_column(as_of))
 
 
-def read_feed_directory(spark: SparkSession, paths: Sequence[str],
+def list_paths(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match a glob, asked of the file system it names."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(pattern)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(s.getPath().toString() for s in fs.globStatus(p) or [])
+
+
+def read_feed_directory(spark: SparkSession, folder: str,
                         mappings: Sequence[FeedMapping]
                         ) -> list[tuple[DataFrame, FeedMapping | None]]:
-    """Every CSV file with the mapping its name selects (one scan per
-    file; the schema decision uses headers only)."""
-    return [(read_csv(spark, p), mapping_for_file(p, mappings)) for p in paths]
+    """Every CSV of a folder with the mapping its name selects (one
+    scan per file; the schema decision uses headers only)."""
+    return [(read_csv(spark, p), mapping_for_file(p, mappings))
+            for p in list_paths(spark, f"{folder}/*.csv")]
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
