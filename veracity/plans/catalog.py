@@ -92,7 +92,7 @@ def q_trust_by_source(spark, sf_dir):
 # ------------------------------------------------------------ Q1-Q8
 @register("quality_events", f"""
 WITH f AS ({O.events_sql(True)})
-SELECT row_key, {O.quality_sql(EVQ, td.EVENTS_AS_OF)} FROM f""", DIMS)
+SELECT row_key, {O.quality_sql("batch", td.EVENTS_AS_OF)} FROM f""", DIMS)
 def q_quality_events(spark, sf_dir):
     f = td.events_feed(spark, sf_dir, with_key=True)
     return quality.compute_quality_metrics(f, EVQ, td.EVENTS_AS_OF).select(
@@ -106,7 +106,7 @@ _SQ = QualityParams.streaming()
 WITH f AS (SELECT row_key, user_id, amount AS purchase_amount, city,
                   "timestamp", source_id, ingestion_timestamp
            FROM ({O.events_sql(True)}))
-SELECT row_key, {O.quality_sql(_SQ, td.EVENTS_AS_OF)} FROM f""", DIMS)
+SELECT row_key, {O.quality_sql("stream", td.EVENTS_AS_OF)} FROM f""", DIMS)
 def q_quality_events_streaming(spark, sf_dir):
     f = td.events_feed(spark, sf_dir, with_key=True).withColumnRenamed(
         "amount", "purchase_amount")
@@ -116,7 +116,7 @@ def q_quality_events_streaming(spark, sf_dir):
 
 @register("quality_orders", f"""
 WITH f AS ({O.feed_sql(td.ORDERS, with_key=True, ingestion=O.ts_lit(td.TPCH_AS_OF))})
-SELECT row_key, {O.quality_sql(EVQ, td.TPCH_AS_OF)} FROM f""", DIMS)
+SELECT row_key, {O.quality_sql("batch", td.TPCH_AS_OF)} FROM f""", DIMS)
 def q_quality_orders(spark, sf_dir):
     f = td.raw_feed(spark, sf_dir, td.ORDERS, with_key=True).withColumn(
         "ingestion_timestamp", F.lit(td.TPCH_AS_OF).cast("timestamp"))
@@ -206,7 +206,7 @@ def q_trust_score(spark, sf_dir):
 @register("trust_score_default", _NS + f""",
 s0 AS (SELECT q.*, r.source_reputation
        FROM q LEFT JOIN r ON q.source_id = r.source_id),
-s AS (SELECT *, {O.quality_sql(EVQ, td.EVENTS_AS_OF)} FROM s0)
+s AS (SELECT *, {O.quality_sql("batch", td.EVENTS_AS_OF)} FROM s0)
 SELECT row_key, source_id, source_reputation,
   {O.QSUM} / 5.0::DOUBLE * COALESCE(source_reputation, 0.5::DOUBLE)
   * exp(-0.05::DOUBLE * datediff('day', ingestion_timestamp, {O.ts_lit(td.EVENTS_AS_OF)}))
@@ -234,7 +234,7 @@ _SPREAD_SQL = (f"{O.ts_lit(td.EVENTS_AS_OF)} - "
 @register("temporal_decay", f"""
 WITH f0 AS ({O.events_sql(True)}),
 f AS (SELECT * REPLACE ({_SPREAD_SQL} AS ingestion_timestamp) FROM f0),
-q AS (SELECT *, {O.quality_sql(EVQ, td.EVENTS_AS_OF)}, {O.flags_sql()} FROM f),
+q AS (SELECT *, {O.quality_sql("batch", td.EVENTS_AS_OF)}, {O.flags_sql()} FROM f),
 r AS (SELECT source_id, 1.0::DOUBLE - SUM(CASE WHEN is_anomaly THEN 1 ELSE 0 END)::DOUBLE
       / COUNT(*) AS source_reputation FROM q GROUP BY source_id),
 s AS (SELECT q.*, r.source_reputation, exp(-0.05::DOUBLE * datediff('day',
@@ -463,6 +463,60 @@ def q_unify_permissive(spark, sf_dir):
                               unify.unify_permissive(li, l_map)])
 
 
+def _with_headers(spark, sf_dir, feed, names):
+    """A harness feed's user, amount, city and timestamp as text columns of
+    a file with those headers (None: the file lacks the column)."""
+    df = td.dirty_table(spark, sf_dir, feed)
+    cols = (feed.user_id, feed.amount, feed.city, feed.timestamp)
+    return df.select(*[F.col(c).cast("string").alias(n)
+                       for c, n in zip(cols, names) if n])
+
+
+@register("unify_loader_files", f"""
+WITH u AS ({O.feed_sql(td.ORDERS, tag="transactions")}
+  UNION ALL {O.feed_sql(td.LINEITEM, tag="ecommerce")}
+  UNION ALL {O.feed_sql(td.EVENTS, tag="subscription")}
+  UNION ALL {O.feed_sql(td.CUSTOMER_FEED, tag="taxi")})
+SELECT user_id, amount, COALESCE(city, 'unknown') AS city, "timestamp",
+  source_id, {O.ts_lit(td.EVENTS_AS_OF)} AS ingestion_timestamp
+FROM u WHERE amount IS NOT NULL AND amount > 0 AND "timestamp" IS NOT NULL""",
+          ("amount",))
+def q_unify_loader_files(spark, sf_dir):
+    """U1-U6 with the loader mappings: all-text files in their headers."""
+    from ..sources.feeds import ECOMMERCE, SUBSCRIPTION, TAXI, TRANSACTIONS
+    feeds = [(td.ORDERS, TRANSACTIONS), (td.LINEITEM, ECOMMERCE),
+             (td.EVENTS, SUBSCRIPTION), (td.CUSTOMER_FEED, TAXI)]
+    heads = ("user_id", "amount", "city", "timestamp")
+    return unify.load_all_sources(
+        [(_with_headers(spark, sf_dir, f, [m.columns[h] for h in heads]), m)
+         for f, m in feeds], td.EVENTS_AS_OF)
+
+
+@register("unify_strict_files", f"""
+WITH u AS (
+  SELECT user_id, amount, city, "timestamp", 'transactions' AS source_id
+    FROM ({O.feed_sql(td.ORDERS)})
+  UNION ALL SELECT user_id, amount, COALESCE(city, 'unknown'), "timestamp",
+    'subscription' FROM ({O.feed_sql(td.EVENTS)})
+  UNION ALL SELECT user_id, amount, 'NYC', "timestamp", 'taxi'
+    FROM ({O.feed_sql(td.CUSTOMER_FEED)}))
+SELECT * FROM u WHERE user_id IS NOT NULL AND amount IS NOT NULL
+  AND city IS NOT NULL AND "timestamp" IS NOT NULL""", ("amount",))
+def q_unify_strict_files(spark, sf_dir):
+    """U8 with the strict mappings (the generated ids of the fourth one
+    are ``surrogate_ids``)."""
+    from ..sources.feeds import STRICT_MAPPINGS
+    m = {x.name: x for x in STRICT_MAPPINGS}
+    feeds = [(td.ORDERS, m["transactions"],
+              ("user_id", "purchase_amount", "city", "timestamp")),
+             (td.EVENTS, m["subscription"],
+              ("user_uuid", "monthly_billing", "city_name", "created_at")),
+             (td.CUSTOMER_FEED, m["taxi"],
+              ("passenger_id", "fare_amount", None, "trip_timestamp"))]
+    return unify.unify_feeds([unify.unify_strict(
+        _with_headers(spark, sf_dir, f, h), x) for f, x, h in feeds])
+
+
 @register("unify_permissive_files", f"""
 WITH o AS ({O.feed_sql(td.ORDERS)}), l AS ({O.feed_sql(td.LINEITEM)}),
 e AS ({O.feed_sql(td.EVENTS)}),

@@ -60,7 +60,7 @@ DIMS = ("completeness", "consistency", "accuracy", "freshness", "timeliness")
 
 
 @register("stream_quality", f"""WITH {_STREAM_FEED}
-SELECT row_key, {O.quality_sql(_SQ, td.EVENTS_AS_OF)} FROM f""", DIMS)
+SELECT row_key, {O.quality_sql("stream", td.EVENTS_AS_OF)} FROM f""", DIMS)
 def q_stream_quality(spark, sf_dir):
     """Q7 on a stream (stateless: every record comes out)."""
     from ..operators import quality
@@ -119,7 +119,7 @@ def q_stream_reputation_exact(spark, sf_dir):
 
 # quality, forest flags and sliding reputation of the stream's records
 STREAM_TRUST_SQL = f"""WITH RECURSIVE {FOREST_CTES}, {_STREAM_FEED},
-q AS (SELECT f.*, {O.quality_sql(_SQ, td.EVENTS_AS_OF)}, flags.is_anomaly,
+q AS (SELECT f.*, {O.quality_sql("stream", td.EVENTS_AS_OF)}, flags.is_anomaly,
         flags.anomaly_severity,
         CAST(floor(epoch("timestamp") / 600) AS BIGINT) AS b
       FROM f JOIN flags USING (row_key)),
@@ -174,7 +174,7 @@ def q_stream_forest_scoring(spark, sf_dir):
 
 
 @register("stream_micro_batch", f"""WITH {_STREAM_FEED},
-q AS (SELECT *, {O.quality_sql(_SQ, td.EVENTS_AS_OF)},
+q AS (SELECT *, {O.quality_sql("stream", td.EVENTS_AS_OF)},
         COALESCE(purchase_amount, 0.0::DOUBLE) > 150.0 AS is_anomaly,
         COALESCE(purchase_amount, 0.0::DOUBLE) / 150.0::DOUBLE - 1.0::DOUBLE
           AS anomaly_severity FROM f),

@@ -6,10 +6,22 @@ plans.  Doubles are rounded to 6 places on both sides before comparison.
 
 from __future__ import annotations
 
-from ..params import QualityParams
 from . import testdata as td
 
 D = "DOUBLE"
+# The published constants, written out here on purpose: the engine takes
+# its own from ``params``, so a wrong one there shows as a mismatch.
+CONSTANTS = {
+    "batch": {"amount": "amount", "max": 100000, "fresh": 365, "grace": 7,
+              "horizon": 365},
+    "stream": {"amount": "purchase_amount", "max": 10000, "fresh": 30,
+               "grace": 7, "horizon": 45},
+}
+FIELDS = {
+    "batch": ("user_id", "amount", "city", "timestamp", "source_id"),
+    "stream": ("user_id", "purchase_amount", "city", "timestamp",
+               "source_id"),
+}
 
 
 def dbl(x) -> str:
@@ -33,10 +45,10 @@ def feed_sql(feed: td.HarnessFeed, tag: str | None = None,
     if with_key:
         cols.append(f"CAST({k} AS BIGINT) AS row_key")
     cols.append(f"{_null_if(k, td.NULL_USER, f'CAST({feed.user_id} AS VARCHAR)')} AS user_id")
-    cols.append(f"{_null_if(k, td.NULL_AMOUNT, dbl(feed.amount))} AS amount")
+    cols.append(f"{_null_if(k, td.NULL_AMOUNT, dbl(feed.amount_expr or feed.amount))} AS amount")
     cols.append((f"{_null_if(k, td.NULL_CITY, f'CAST({city} AS VARCHAR)')}"
                  if feed.city else "CAST(NULL AS VARCHAR)") + " AS city")
-    cols.append((f"{_null_if(k, td.NULL_TIMESTAMP, f'CAST({feed.timestamp} AS TIMESTAMP)')}"
+    cols.append((f"{_null_if(k, td.NULL_TIMESTAMP, f'CAST({feed.ts_sql or feed.timestamp} AS TIMESTAMP)')}"
                  if feed.timestamp else "CAST(NULL AS TIMESTAMP)")
                 + ' AS "timestamp"')
     src = f"'{tag or feed.tag}'" if (tag or feed.tag) else feed.source_col
@@ -56,28 +68,27 @@ def flags_sql(bound: float = td.GIVEN_FLAG_BOUND) -> str:
             f"{a} / {dbl(bound)} - 1.0::DOUBLE AS anomaly_severity")
 
 
-def quality_sql(p: QualityParams, as_of: str, fields=None,
+def quality_sql(kind: str, as_of: str,
                 ingestion: str = "ingestion_timestamp") -> str:
     """The five dimension columns, as SQL select items."""
-    fields = list(fields or p.completeness_fields or
-                  ("user_id", "amount", "city", "timestamp", "source_id"))
-    amt, ts = p.amount_col, f'"{p.timestamp_col}"'
+    k, fields = CONSTANTS[kind], FIELDS[kind]
+    amt, ts = k["amount"], '"timestamp"'
     comp = " + ".join(f'(CASE WHEN "{c}" IS NULL THEN 0.0 ELSE 1.0 END)'
                       for c in fields)
     d = f"datediff('day', {ts}, {ts_lit(as_of)})"
     delay = f"datediff('day', {ts}, {ingestion})"
-    span = p.horizon_days - p.grace_days
+    span = k["horizon"] - k["grace"]
     return ", ".join([
         f"{dbl(f'({comp}) / {max(1, len(fields))}')} AS completeness",
         f"CASE WHEN {amt} IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE AS consistency",
         (f"CASE WHEN {amt} IS NULL THEN 0.0 WHEN {amt} >= 0 AND {amt} <= "
-         f"{dbl(p.max_amount)} THEN 1.0 ELSE 0.0 END::DOUBLE AS accuracy"),
+         f"{dbl(k['max'])} THEN 1.0 ELSE 0.0 END::DOUBLE AS accuracy"),
         (f"CASE WHEN {ts} IS NULL THEN 0.0::DOUBLE WHEN {d} <= 0 THEN 1.0::DOUBLE "
-         f"WHEN {d} >= {p.freshness_days} THEN 0.0::DOUBLE "
-         f"ELSE 1.0::DOUBLE - {d} / {dbl(p.freshness_days)} END AS freshness"),
-        (f"CASE WHEN {ts} IS NULL THEN 0.0::DOUBLE WHEN {delay} <= {p.grace_days} "
-         f"THEN 1.0::DOUBLE WHEN {delay} >= {p.horizon_days} THEN 0.0::DOUBLE "
-         f"ELSE 1.0::DOUBLE - ({delay} - {p.grace_days}) / {dbl(span)} END "
+         f"WHEN {d} >= {k['fresh']} THEN 0.0::DOUBLE "
+         f"ELSE 1.0::DOUBLE - {d} / {dbl(k['fresh'])} END AS freshness"),
+        (f"CASE WHEN {ts} IS NULL THEN 0.0::DOUBLE WHEN {delay} <= {k['grace']} "
+         f"THEN 1.0::DOUBLE WHEN {delay} >= {k['horizon']} THEN 0.0::DOUBLE "
+         f"ELSE 1.0::DOUBLE - ({delay} - {k['grace']}) / {dbl(span)} END "
          f"AS timeliness"),
     ])
 
@@ -93,14 +104,12 @@ def scored_events_sql(as_of: str = td.EVENTS_AS_OF, with_key: bool = True,
     flag_cols = flags_sql() if flags is None else (
         f"{flags}.is_anomaly, {flags}.anomaly_severity")
     joined = "f" if flags is None else f"f JOIN {flags} USING (row_key)"
-    p = QualityParams.batch(completeness_fields=(
-        "user_id", "amount", "city", "timestamp", "source_id"))
     rep = "r.source_reputation"
     if default_rep is not None:
         rep = f"COALESCE(r.source_reputation, {dbl(default_rep)})"
     return f"""
 f AS ({events_sql(with_key, as_of)}),
-q AS (SELECT f.*, {quality_sql(p, as_of)}, {flag_cols} FROM {joined}),
+q AS (SELECT f.*, {quality_sql("batch", as_of)}, {flag_cols} FROM {joined}),
 r AS (SELECT source_id, 1.0::DOUBLE - SUM(CASE WHEN is_anomaly THEN 1 ELSE 0 END)::DOUBLE
              / COUNT(*) AS source_reputation FROM q GROUP BY source_id),
 s AS (SELECT q.*, r.source_reputation,

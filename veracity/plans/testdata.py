@@ -10,7 +10,7 @@ table is read.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,12 +44,18 @@ class HarnessFeed:
     source_col: str | None = None
     city_expr: str | None = None   # derived city column (Spark SQL)
     city_sql: str | None = None    # the same in DuckDB
+    amount_expr: str | None = None  # amount replaced by it (any SQL)
+    ts_expr: str | None = None     # derived timestamp column (Spark SQL)
+    ts_sql: str | None = None      # the same in DuckDB
 
 
 EVENTS = HarnessFeed("events", "event_id", "user_id", "value", "city", "ts",
                      None, source_col="event_type",
                      city_expr="get_json_object(props, '$.k')",
-                     city_sql="json_extract_string(props, '$.k')")
+                     city_sql="json_extract_string(props, '$.k')",
+                     # past accuracy's upper bounds, and below zero
+                     amount_expr="CASE WHEN event_id % 29 = 0 THEN value * 1000 "
+                     "WHEN event_id % 31 = 0 THEN -value ELSE value END")
 ORDERS = HarnessFeed("orders", "o_orderkey", "o_custkey", "o_totalprice",
                      "o_orderpriority", "o_orderdate", "orders")
 LINEITEM = HarnessFeed("lineitem", "l_orderkey * 10 + l_linenumber",
@@ -57,7 +63,13 @@ LINEITEM = HarnessFeed("lineitem", "l_orderkey * 10 + l_linenumber",
                        "l_shipdate", "lineitem")
 CUSTOMER = HarnessFeed("customer", "c_custkey", "c_custkey", "c_acctbal",
                        "c_mktsegment", None, "customer")
-FEEDS = {f.table: f for f in (EVENTS, ORDERS, LINEITEM, CUSTOMER)}
+# the customers as a feed: with a timestamp, so that they count
+CUSTOMER_FEED = replace(
+    CUSTOMER, timestamp="c_since",
+    ts_expr="timestamp'2024-01-01 00:00:00' "
+    "+ make_dt_interval(cast(c_custkey % 30 as int))",
+    ts_sql="TIMESTAMP '2024-01-01' + to_days(CAST(c_custkey % 30 AS INTEGER))")
+FEEDS = {f.table: f for f in (EVENTS, ORDERS, LINEITEM, CUSTOMER_FEED)}
 FOUR = ("orders", "lineitem", "events", "customer")
 
 
@@ -81,6 +93,10 @@ def dirty_frame(df: DataFrame, feed: HarnessFeed, with_key: bool = False
     k = F.expr(feed.key)
     if feed.city_expr:
         df = df.withColumn(feed.city, F.expr(feed.city_expr))
+    if feed.amount_expr:
+        df = df.withColumn(feed.amount, F.expr(feed.amount_expr))
+    if feed.ts_expr:
+        df = df.withColumn(feed.timestamp, F.expr(feed.ts_expr))
     rules = {feed.user_id: NULL_USER, feed.amount: NULL_AMOUNT}
     if feed.city:
         rules[feed.city] = NULL_CITY
