@@ -63,3 +63,24 @@ def test_exact_mode_drops_late_rows(spark, tmp_path):
     # the 12:00 rows are closed and emitted once; the late row never shows
     assert got.where(F.col("timestamp") == dt.datetime(2024, 1, 1, 12, 30)).count() == 0
     assert got.count() == 3
+
+
+def test_stateful_restart_between_batches(spark, tmp_path):
+    """Half of the files, a stop, the other half: as in one run."""
+    from veracity.plans import catalog_stream as S
+    from veracity.streaming.sinks import create_output_sink
+    sf = "/root/testdata/sf0.001"
+    one = S.q_stream_sliding_batches(spark, sf)
+    folder = str(tmp_path / "parts")
+    out, ckpt = str(tmp_path / "out"), str(tmp_path / "ckpt")
+    for parts in (range(3), range(3, S.PARTS + 1)):
+        S.write_event_parts(spark, sf, folder, parts)
+        q = create_output_sink(
+            S.sliding_columns(S.events_stream(spark, sf, folder)), "parquet",
+            out, ckpt, "append", available_now=True)
+        q.awaitTermination()
+    two = spark.read.schema(one.schema).parquet(out)
+    assert sorted(map(repr, two.collect())) == sorted(
+        map(repr, one.collect()))
+    keys = [r.row_key for r in two.collect()]
+    assert len(keys) == len(set(keys)) < 1000

@@ -26,12 +26,32 @@ from .catalog_windows import _A, _FLAGGED, SLIDING_SQL
 _SQ = QualityParams.streaming()
 
 
-def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events file as a stream, mapped to the message record."""
+PARTS = 5
+LATE_KEY, LATE_BEFORE = 97, "2024-01-20 00:00:00"
+
+
+def write_event_parts(spark: SparkSession, sf_dir: str, folder: str,
+                      parts=range(PARTS + 1)) -> None:
+    """The events as ``PARTS`` files in time order and one more with rows
+    held back from the earlier ones, written one after the other."""
+    e = td.table(spark, sf_dir, "events")
+    late = (F.col("event_id") % LATE_KEY == 0) & (
+        F.col("ts") < F.lit(LATE_BEFORE).cast("timestamp_ntz"))
+    day = F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01"))
+    part = F.when(late, PARTS).otherwise(
+        F.least(F.floor(day / 6), F.lit(PARTS - 1)))
+    for k in parts:
+        e.where(part == k).coalesce(1).write.mode("append").parquet(folder)
+
+
+def events_stream(spark: SparkSession, sf_dir: str, folder: str | None = None
+                  ) -> DataFrame:
+    """The events file (or the files of a folder, one per micro-batch) as
+    a stream, mapped to the message record."""
     schema = td.table(spark, sf_dir, "events").schema
-    raw = (spark.readStream.schema(schema)
-           .option("pathGlobFilter", "events.parquet")
-           .option("maxFilesPerTrigger", 1).parquet(sf_dir))
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+    raw = reader.parquet(folder) if folder else reader.option(
+        "pathGlobFilter", "events.parquet").parquet(sf_dir)
     from ..operators.unify import map_feed
     dirty = td.dirty_frame(raw, td.EVENTS, with_key=True)
     rec = map_feed(dirty, td.mapping(td.EVENTS), keep=("row_key",))
@@ -91,6 +111,34 @@ def q_stream_sliding_reputation(spark, sf_dir):
         "stream_sliding")
 
 
+_IN_TIME = (f"""SELECT * FROM ({O.events_sql(True)}) WHERE NOT COALESCE(
+  row_key % {LATE_KEY} = 0 AND "timestamp" < TIMESTAMP '{LATE_BEFORE}',
+  FALSE)""")
+
+
+@register("stream_sliding_batches", f"""
+SELECT s.* FROM ({SLIDING_SQL.replace(O.events_sql(True), _IN_TIME)}) AS s
+JOIN ({O.events_sql(True)}) AS e USING (row_key)
+WHERE window_end <= {_WM} OR e."timestamp" IS NULL""",
+          ("source_reputation",))
+def q_stream_sliding_batches(spark, sf_dir):
+    """ST1 + ST5 over six micro-batches: the watermark moves, windows close
+    between batches, and the last file's late records are left out."""
+    folder = scratch_path(spark, "event-parts")
+    write_event_parts(spark, sf_dir, folder)
+    return run_to_table(spark, sliding_columns(
+        events_stream(spark, sf_dir, folder)), "stream_batches")
+
+
+def sliding_columns(stream: DataFrame) -> DataFrame:
+    from ..streaming.job import sliding_stream_reputation
+    s = with_watermark(stream_flags(stream).withColumnRenamed(
+        "purchase_amount", "amount"))
+    return sliding_stream_reputation(s).select(
+        "row_key", "source_id", "window_start", "window_end",
+        "anomalies_in_window", "total_in_window", "source_reputation")
+
+
 EXACT_SQL = f"""WITH {_FLAGGED},
 k AS (SELECT *, CAST(floor(epoch("timestamp")) AS BIGINT) AS sec FROM q
       WHERE "timestamp" IS NOT NULL),
