@@ -78,8 +78,15 @@ def main() -> None:
     res = timed("multi_source_job", lambda: batch.multi_source_job(
         spark, feeds, td.EVENTS_AS_OF))
     rows["multi_source_scored"] = res.scores.count()
-    timed("stream_trust", lambda: catalog_stream.q_stream_trust(
-        spark, sf_dir).count())
+    timed("isolation_flags_exact", lambda: noop(
+        catalog_forest.q_isolation_flags_exact(spark, sf_dir)))
+    rows["stream_trust"] = timed(
+        "stream_trust", lambda: catalog_stream.q_stream_trust(
+            spark, sf_dir).count())
+    timed("stream_sliding_reputation", lambda: noop(
+        catalog_stream.q_stream_sliding_reputation(spark, sf_dir)))
+    timed("stream_reputation_exact", lambda: noop(
+        catalog_stream.q_stream_reputation_exact(spark, sf_dir)))
 
     total = round(sum(times.values()), 3)
     m = re.search(r"sf([0-9.]+)", sf_dir)

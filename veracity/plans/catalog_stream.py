@@ -16,7 +16,7 @@ from ..session import scratch_path
 from ..streaming.job import (StreamingPipelineConfig, build_stream,
                              with_watermark)
 from ..streaming.sinks import create_output_sink
-from ..streaming.state import exact_stream_reputation
+from ..streaming.state import exact_stream_reputation, rocksdb_state
 from . import oracle as O
 from . import testdata as td
 from .catalog import register
@@ -142,27 +142,31 @@ def sliding_columns(stream: DataFrame) -> DataFrame:
 EXACT_SQL = f"""WITH {_FLAGGED},
 k AS (SELECT *, CAST(floor(epoch("timestamp")) AS BIGINT) AS sec FROM q
       WHERE "timestamp" IS NOT NULL),
-w AS (SELECT row_key, source_id, "timestamp", sec, CAST(SUM({_A}) OVER win AS BIGINT) AS a,
+w AS (SELECT row_key, user_id, source_id, amount, city, "timestamp", sec, CAST(SUM({_A}) OVER win AS BIGINT) AS a,
         COUNT(*) OVER win AS n FROM k
       WINDOW win AS (PARTITION BY source_id ORDER BY sec
                      RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW))
-SELECT row_key, source_id, "timestamp", a AS anomalies_in_window,
-  n AS total_in_window, 1.0::DOUBLE - a::DOUBLE / n AS source_reputation
+SELECT row_key, user_id, source_id, amount, city, "timestamp",
+  a AS anomalies_in_window, n AS total_in_window, 1.0::DOUBLE - a::DOUBLE / n AS source_reputation
 FROM w WHERE sec + 1 <= epoch({_WM})
-UNION ALL SELECT row_key, source_id, NULL, NULL, NULL, NULL FROM q
+UNION ALL SELECT row_key, user_id, source_id, amount, city, NULL, NULL,
+  NULL, NULL FROM q
 WHERE "timestamp" IS NULL"""
 
 
-@register("stream_reputation_exact", EXACT_SQL, ("source_reputation",))
+@register("stream_reputation_exact", EXACT_SQL,
+          ("amount", "source_reputation"))
 def q_stream_reputation_exact(spark, sf_dir):
     """ST6: keyed-state trailing window, equal to the batch R2 values for
     every record whose second the final watermark has closed."""
     s = with_watermark(stream_flags(events_stream(spark, sf_dir))
                        .withColumnRenamed("purchase_amount", "amount"))
     out = exact_stream_reputation(s, 3600)
-    return run_to_table(spark, out.select(
-        "row_key", "source_id", "timestamp", "anomalies_in_window",
-        "total_in_window", "source_reputation"), "stream_exact")
+    with rocksdb_state(spark):
+        return run_to_table(spark, out.select(
+            "row_key", "user_id", "source_id", "amount", "city", "timestamp",
+            "anomalies_in_window", "total_in_window", "source_reputation"),
+            "stream_exact")
 
 
 # quality, forest flags and sliding reputation of the stream's records

@@ -10,13 +10,15 @@ non-time windows there):
   aggregated with the watermark, joined back to each record by a
   stream-stream join on (source, window).  The join key is the window
   struct itself, so both sides' state is evicted by the watermark.
-* ``exact``: keyed state per source (``veracity.streaming.state``) that
-  reproduces the batch trailing-window value record for record.
+* ``exact``: keyed state of per-second counts per source
+  (``veracity.streaming.state``) that reproduces the batch trailing-window
+  value record for record; it needs the RocksDB state store.
 * ``micro_batch``: whole-micro-batch reputation (R4) in ``foreachBatch``.
 """
 
 from __future__ import annotations
 
+from contextlib import nullcontext
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,7 +30,7 @@ from ..operators.forest import IsolationForestModel
 from ..params import QualityParams, TrustParams
 from ..sources import messages
 from .sinks import create_output_sink
-from .state import exact_stream_reputation
+from .state import exact_stream_reputation, rocksdb_state
 
 
 @dataclass
@@ -166,9 +168,12 @@ def create_streaming_pipeline(spark: SparkSession,
         starting_offsets=cfg.starting_offsets,
         max_offsets_per_trigger=cfg.max_offsets_per_trigger, as_of=as_of)
     out = build_stream(parsed, m, cfg, as_of)
-    return create_output_sink(out, cfg.output_format, cfg.output_path,
-                              cfg.checkpoint_dir, cfg.output_mode,
-                              cfg.trigger_interval, available_now)
+    store = (rocksdb_state(spark) if cfg.reputation_mode == "exact"
+             else nullcontext())
+    with store:
+        return create_output_sink(out, cfg.output_format, cfg.output_path,
+                                  cfg.checkpoint_dir, cfg.output_mode,
+                                  cfg.trigger_interval, available_now)
 
 
 def _micro_batch_pipeline(spark, cfg, model, source, available_now, as_of):

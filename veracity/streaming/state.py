@@ -1,130 +1,122 @@
-"""ST6: exact trailing-window reputation on a stream, with keyed state.
+"""ST6: exact trailing-window reputation on a stream.
 
-Per source the state keeps (second -> rows, anomalies) for the last
-``window`` seconds and the records not yet emitted.  A record is emitted
-once the watermark has passed its second, so every peer of the same
-second (and every earlier row inside the window) has been seen: the
-result equals the batch form R2 on the same rows.  Records behind the
-watermark on arrival are dropped, as Spark's own stateful operators do.
+Records are counted per (source, second) by a windowed aggregate, which
+hands out a second once the watermark has passed it.  Keyed state per
+source holds nothing but the counts of the last ``window`` seconds and
+adds up each new second's trailing window.  The sums, copied ``salts``
+times, are joined back to the records on (source, second, salt) by a
+stream-stream join, so records keep their types, never pass through the
+keyed state, and a source with most of the records is spread over
+``salts`` join partitions.  The result equals the batch form R2 on the
+same rows; records behind the watermark on arrival are dropped, as
+Spark's own stateful operators do.
 
-State per source is bounded by the window (at most window + 1 seconds of
-counts) plus the records inside the watermark delay.
+The keyed step is Spark's ``transformWithState``, the stateful operator
+that may stand between other ones; it needs the RocksDB state store
+(``rocksdb_state``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from ..sources.messages import MICROS
-
-STATE_SCHEMA = ("hist_sec array<long>, hist_n array<long>, hist_a array<long>, "
-                "pend_sec array<long>, pend_a array<long>, "
-                "pend_body array<string>")
-OUT_SCHEMA = ("source_id string, body string, anomalies_in_window long, "
-              "total_in_window long, source_reputation double")
-
-
-def _exact_processor(window_seconds: int):
-    W = int(window_seconds)
-
-    def process(key, batches: Iterator[pd.DataFrame], state: GroupState):
-        source = key[0]
-        if state.exists:
-            (hs, hn, ha, ps, pa, pb) = state.get
-        else:
-            hs = hn = ha = ps = pa = pb = ()
-        hist = pd.DataFrame({"sec": np.array(hs, np.int64),
-                             "n": np.array(hn, np.int64),
-                             "a": np.array(ha, np.int64)})
-        pend = pd.DataFrame({"sec": np.array(ps, np.int64),
-                             "a": np.array(pa, np.int64),
-                             "body": np.array(pb, object)})
-        wm_ms = max(int(state.getCurrentWatermarkMs()), 0)
-        fresh = [b[["__sec", "__a", "__body"]] for b in batches]
-        if fresh:
-            new = pd.concat(fresh).rename(
-                columns={"__sec": "sec", "__a": "a", "__body": "body"})
-            # a second wholly behind the watermark is late: dropped
-            new = new[(new["sec"] + 1) * 1000 > wm_ms]
-            pend = pd.concat([pend, new], ignore_index=True)
-            add = new.groupby("sec").agg(n=("a", "size"), a=("a", "sum"))
-            hist = (pd.concat([hist, add.reset_index()])
-                    .groupby("sec", as_index=False).sum())
-        hist = hist.sort_values("sec")
-        # a second is closed once the watermark has passed all of it
-        done = (pend["sec"] + 1) * 1000 <= wm_ms
-        ready = pend[done]
-        rows = []
-        if len(ready):
-            secs = hist["sec"].to_numpy(dtype=np.int64)
-            cn = np.cumsum(hist["n"].to_numpy(dtype=np.int64))
-            ca = np.cumsum(hist["a"].to_numpy(dtype=np.int64))
-            t = ready["sec"].to_numpy(dtype=np.int64)
-            hi = np.searchsorted(secs, t, side="right") - 1
-            lo = np.searchsorted(secs, t - W, side="left") - 1
-            n = cn[hi] - np.where(lo >= 0, cn[np.maximum(lo, 0)], 0)
-            a = ca[hi] - np.where(lo >= 0, ca[np.maximum(lo, 0)], 0)
-            rows.append(pd.DataFrame({
-                "source_id": source, "body": ready["body"].to_numpy(),
-                "anomalies_in_window": a, "total_in_window": n,
-                "source_reputation": np.where(n > 0, 1.0 - a / np.maximum(n, 1),
-                                              0.5)}))
-        pend = pend[~done]
-        # seconds no open or future row can still see expire
-        hist = hist[hist["sec"] >= wm_ms // 1000 - 1 - W]
-        if len(pend) or len(hist):
-            state.update((hist["sec"].astype("int64").tolist(),
-                          hist["n"].astype("int64").tolist(),
-                          hist["a"].astype("int64").tolist(),
-                          pend["sec"].astype("int64").tolist(),
-                          pend["a"].astype("int64").tolist(),
-                          pend["body"].tolist()))
-            if len(pend):
-                nxt = (int(pend["sec"].min()) + 1) * 1000
-            else:
-                nxt = (int(hist["sec"].max()) + W + 2) * 1000
-            state.setTimeoutTimestamp(max(nxt, wm_ms + 1))
-        else:
-            state.remove()
-        if rows:
-            yield pd.concat(rows, ignore_index=True)
-
-    return process
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+PROVIDER_KEY = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = ("org.apache.spark.sql.execution.streaming.state."
+           "RocksDBStateStoreProvider")
+
+
+@contextmanager
+def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """The state store that queries started inside will use."""
+    old = spark.conf.get(PROVIDER_KEY)
+    spark.conf.set(PROVIDER_KEY, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(PROVIDER_KEY, old)
+
+
+class TrailingSums(StatefulProcessor):
+    """Per source: rows and anomalies of the seconds in [t - W, t]."""
+
+    def __init__(self, window_seconds: int):
+        self.window = int(window_seconds)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.counts = handle.getValueState(
+            "counts", "sec array<long>, n array<long>, a array<long>")
+
+    def handleInputRows(self, key, rows, timerValues
+                        ) -> Iterator[pd.DataFrame]:
+        # the aggregate hands out seconds in the watermark's order, so all
+        # earlier seconds of the source have been here
+        new = pd.concat(list(rows)).sort_values("sec")
+        held = self.counts.get() if self.counts.exists() else ((), (), ())
+        sec, n, a = (np.r_[np.array(h, np.int64), new[c].to_numpy(np.int64)]
+                     for h, c in zip(held, ("sec", "n", "a"), strict=True))
+        sum_n, sum_a = np.r_[0, np.cumsum(n)], np.r_[0, np.cumsum(a)]
+        t = new["sec"].to_numpy(np.int64)
+        lo = np.searchsorted(sec, t - self.window, "left")
+        hi = np.searchsorted(sec, t, "right")
+        yield pd.DataFrame({
+            "src": [key[0]] * len(t), "second": new["second"].to_numpy(),
+            "wa": sum_a[hi] - sum_a[lo], "wn": sum_n[hi] - sum_n[lo]})
+        keep = sec >= sec[-1] - self.window
+        self.counts.update((sec[keep].tolist(), n[keep].tolist(),
+                            a[keep].tolist()))
+
+    def close(self) -> None:
+        pass
 
 
 def exact_stream_reputation(df: DataFrame, window_seconds: int = 3600,
                             source_col: str = "source_id",
                             flag_col: str = "is_anomaly",
-                            ts_col: str = "timestamp") -> DataFrame:
+                            ts_col: str = "timestamp", salts: int = 16
+                            ) -> DataFrame:
     """Per-record trailing-window reputation of a watermarked stream.
 
-    The record travels through the state as JSON text, timestamps to the
-    microsecond, and is restored after.  Rows without a timestamp cannot
+    A null source is a source of its own.  Rows without a timestamp cannot
     be placed: they pass at once with a null reputation.
     """
-    text = {"timestampFormat": MICROS, "timestampNTZFormat": MICROS}
-    keyed = df.where(F.col(ts_col).isNotNull()).select(
-        F.col(source_col).alias("source_id"),
-        F.col(ts_col).cast("timestamp").cast("long").alias("__sec"),
-        F.col(flag_col).cast("long").alias("__a"),
-        F.to_json(F.struct(*[F.col(c) for c in df.columns]), text)
-        .alias("__body"),
-        F.col(ts_col))
-    out = keyed.groupBy("source_id").applyInPandasWithState(
-        _exact_processor(window_seconds), OUT_SCHEMA, STATE_SCHEMA, "append",
-        GroupStateTimeout.EventTimeTimeout)
-    body = F.from_json("body", df.schema, text)
-    out = out.select(body.alias("r"), "anomalies_in_window",
-                     "total_in_window", "source_reputation").select(
-        "r.*", "anomalies_in_window", "total_in_window", "source_reputation")
+    placed = df.where(F.col(ts_col).isNotNull()).withColumn(
+        "__src", F.coalesce(F.concat(F.lit("="), F.col(source_col)),
+                            F.lit("")))
+    second = F.window(ts_col, "1 second")
+    per = placed.groupBy(second.alias("w"), F.col("__src").alias("src")).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.col(flag_col).cast("long")).alias("a"))
+    per = per.select("src", F.window_time("w").alias("second"),
+                     F.col("w.start").cast("long").alias("sec"), "n", "a")
+    sums = per.groupBy("src").transformWithStateInPandas(
+        TrailingSums(window_seconds),
+        "src string, second timestamp, wa long, wn long", "Append",
+        "EventTime", eventTimeColumnName="second")
+    sums = sums.withColumn("salt", F.explode(F.sequence(
+        F.lit(0), F.lit(salts - 1))))
+    recs = (placed.withColumn("__salt", F.pmod(
+                F.xxhash64(*df.columns), F.lit(salts)).cast("int"))
+            .withColumn("__w", second)
+            .withColumn("__second", F.window_time("__w"))
+            .withColumn("__t", F.unix_micros(F.col(ts_col).cast("timestamp")))
+            .drop("__w", ts_col))
+    joined = recs.join(sums, (recs["__second"] == sums["second"])
+                       & (recs["__src"] == sums["src"])
+                       & (recs["__salt"] == sums["salt"]), "inner")
+    counts = {"anomalies_in_window": "wa", "total_in_window": "wn"}
+    joined = joined.select(
+        *[F.timestamp_micros("__t").alias(c) if c == ts_col else recs[c]
+          for c in df.columns],
+        *[F.col(v).alias(k) for k, v in counts.items()],
+        (1.0 - F.col("wa") / F.col("wn")).alias("source_reputation"))
     rest = df.where(F.col(ts_col).isNull()).select(
-        *df.columns, F.lit(None).cast("long").alias("anomalies_in_window"),
-        F.lit(None).cast("long").alias("total_in_window"),
+        *df.columns, *[F.lit(None).cast("long").alias(k) for k in counts],
         F.lit(None).cast("double").alias("source_reputation"))
-    return out.unionByName(rest)
+    return joined.unionByName(rest)
