@@ -8,15 +8,16 @@ sums and finished with a mixing step; 64 bits stand for the word.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir, scratch_path
+from ..session import delete_path, ensure_checkpoint_dir, scratch_path
 
 U64 = np.uint64
 BLOCK = 1 << 19
@@ -209,6 +210,36 @@ def own_columns(df: DataFrame, names: dict[str, str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
 
 
+_TABLES: ContextVar[list[str] | None] = ContextVar("tables", default=None)
+
+
+@contextmanager
+def scratch_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables saved inside are deleted at the end; the result is one saved
+    after it (by then nothing lazy may refer to them)."""
+    token = _TABLES.set([])
+    try:
+        yield
+    finally:
+        for path in _TABLES.get():
+            delete_path(spark, path)
+        _TABLES.reset(token)
+
+
+def result_of(make: Callable[[], DataFrame], spark: SparkSession, name: str
+              ) -> DataFrame:
+    """Run ``make`` with Arrow batches for long texts, save what it returns
+    and delete the tables it saved on the way."""
+    path = scratch_path(spark, name)
+    with scratch_tables(spark), text_batches(spark):
+        df = make()
+        schema = df.schema
+        df.write.parquet(path)
+    if _TABLES.get() is not None:       # a step of a larger operator
+        _TABLES.get().append(path)
+    return spark.read.schema(schema).parquet(path)
+
+
 def save(df: DataFrame, name: str, compression: str = "snappy"
          ) -> DataFrame:
     """Write to the shared scratch folder and read back: lineage is cut and
@@ -217,6 +248,8 @@ def save(df: DataFrame, name: str, compression: str = "snappy"
     path = scratch_path(spark, name)
     schema = df.schema
     df.write.option("compression", compression).parquet(path)
+    if _TABLES.get() is not None:
+        _TABLES.get().append(path)
     return spark.read.schema(schema).parquet(path)
 
 

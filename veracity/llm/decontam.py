@@ -350,11 +350,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame,
     repeat a doc_id are judged each on its own.
     """
     p = params
-    index = build_index(docs, p, id_col, text_col)
-    rows = search(index, benchmark, p).drop("segment", "row")
-    out = C.save(rows.mapInArrow(
-        _digest, "doc_id long, n_words long, n_hit long, n_items long, "
-        "items_sha256 string"), "contamination")
+
+    def rows() -> DataFrame:
+        index = build_index(docs, p, id_col, text_col)
+        return search(index, benchmark, p).drop("segment", "row").mapInArrow(
+            _digest, "doc_id long, n_words long, n_hit long, n_items long, "
+            "items_sha256 string")
+    out = C.result_of(rows, docs.sparkSession, "contamination")
     return out.withColumn("contaminated", F.expr(
         f"n_hit > 0 AND 100 * n_hit >= {p.percent} * n_words"))
 
@@ -363,8 +365,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame,
                   params: DecontamParams = DecontamParams(),
                   id_col: str = "doc_id", text_col: str = "text"
                   ) -> DataFrame:
-    """``docs`` without the contaminated ones.  A row without an id stays
-    unless another row without an id is contaminated."""
+    """``docs`` without the contaminated ones.  Rows that share an id go
+    together, and so do rows without one."""
     bad = contamination(docs, benchmark, params, id_col, text_col).where(
         "contaminated").select(F.col("doc_id").alias("__bad")).distinct()
     bad = C.cut(bad)

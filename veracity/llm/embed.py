@@ -190,6 +190,11 @@ def link_vectors(embeddings: DataFrame, params: EmbedParams = EmbedParams(),
     rows = C.own_columns(embeddings, {id_col: "vec_id", vector_col: "v"}
                          ).select(F.col("vec_id").cast("long"),
                                   F.col("v").cast("array<double>"))
+    return C.result_of(lambda: _link_vectors(rows, params),
+                       embeddings.sparkSession, "embed")
+
+
+def _link_vectors(rows: DataFrame, params: EmbedParams) -> DataFrame:
     rows = C.save(rows.mapInArrow(
         _unit, "vec_id long, raw binary, unit binary"), "embed-unit")
     named = rows.where("vec_id IS NOT NULL AND raw IS NOT NULL")

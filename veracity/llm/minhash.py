@@ -255,13 +255,12 @@ def near_duplicates(docs: DataFrame, params: MinHashParams = MinHashParams(),
     """
     docs = C.own_columns(docs, {id_col: "doc_id", text_col: "text"}).select(
         F.col("doc_id").cast("long"), F.col("text").cast("binary"))
-    with C.text_batches(docs.sparkSession):
-        return _near_duplicates(docs, params)
+    return C.result_of(lambda: _near_duplicates(docs, params),
+                       docs.sparkSession, "minhash")
 
 
 def _near_duplicates(docs: DataFrame, p: MinHashParams) -> DataFrame:
-    """``near_duplicates`` of (doc_id, text); its Python stages run here,
-    what is returned reads their tables."""
+    """``near_duplicates`` of (doc_id, text)."""
     sets = C.save(docs.mapInArrow(_signatures(p), SET_SCHEMA), "minhash-sets")
     named = sets.where("n_shingles > 0 AND doc_id IS NOT NULL")
     digest = ["d1", "d2", "n_shingles"]

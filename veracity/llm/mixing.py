@@ -146,9 +146,12 @@ def plan_mix(docs: DataFrame, params: MixParams = MixParams(),
     null source is a source of its own, the last.  Rows that repeat a
     doc_id count each on its own.  An empty table gives an empty result.
     """
-    p = params
     d = C.own_columns(docs, {id_col: "doc_id", text_col: "text",
                              source_col: "source"})
+    return C.result_of(lambda: _plan(d, params), docs.sparkSession, "mix")
+
+
+def _plan(d: DataFrame, p: MixParams) -> DataFrame:
     sizes = C.save(d.select(
         F.col("doc_id").cast("long"), F.col("source").cast("string"),
         word_count(F.col("text")).alias("size"),

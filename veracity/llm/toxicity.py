@@ -348,7 +348,11 @@ def fit(docs: DataFrame, labels: DataFrame,
     sample of the labelled ones.  Rows whose label is neither 0 nor 1 are
     left out; without any labelled document every score is the base rate
     of none."""
-    p = params
+    with C.scratch_tables(docs.sparkSession):
+        return _fit(docs, labels, params, id_col, text_col, label_col)
+
+
+def _fit(docs, labels, p, id_col, text_col, label_col) -> ToxicityModel:
     spark = docs.sparkSession
     chars = character_model(docs, text_col)
     y = labels.select(F.col(id_col).cast("long").alias("id"),
@@ -478,8 +482,8 @@ def toxicity(docs: DataFrame, labels: DataFrame,
 def reject_toxic(docs: DataFrame, labels: DataFrame,
                  params: ToxicityParams = ToxicityParams(),
                  id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without those predicted toxic; a row without an id is
-    judged by its own text like any other."""
+    """``docs`` without those predicted toxic.  Rows that share an id go
+    together, and so do rows without one."""
     model = fit(docs, labels.where(~held_out(id_col)), params, id_col,
                 text_col)
     bad = score(docs, model, id_col, text_col).where(
