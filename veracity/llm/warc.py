@@ -108,8 +108,10 @@ def write_archives(pages: DataFrame, path: str,
     kinds = resolve(headers, params).where("record_type = 'revisit'").select(
         F.col("record_id").alias("__id"),
         F.col("payload_digest").alias("__digest"), "refers_to").distinct()
-    total = headers.agg(F.sum("payload_bytes")).first()[0] or 0
-    files = max(1, -(-total // params.file_bytes))
+    total = headers.agg(F.count("*").alias("n"),
+                        F.sum("payload_bytes").alias("b")).first()
+    each = max(1, (total["n"] or 0) * params.file_bytes
+               // max(total["b"] or 0, 1))
     rows = rows.withColumn("digest", base32_sha1(body))
     rows = rows.join(kinds, F.col("record_id").eqNullSafe(F.col("__id"))
                      & (F.col("digest") == F.col("__digest")), "left")
@@ -134,10 +136,9 @@ def write_archives(pages: DataFrame, path: str,
             F.octet_length("payload").cast("string")),
         F.lit(end + end),
         F.when(revisit, F.lit("")).otherwise(F.col("payload")))
-    spread = F.pmod(F.xxhash64("record_id", "digest"), F.lit(files * 64))
-    (rows.select(head.alias("value"), spread.alias("__s"))
-     .repartition(files, "__s").select("value")
-     .write.option("lineSep", end + end).option("compression", "gzip")
+    # the join has dealt the payloads out: they are written where they are
+    (rows.select(head.alias("value")).write.option("lineSep", end + end)
+     .option("maxRecordsPerFile", each).option("compression", "gzip")
      .text(path))
 
 
