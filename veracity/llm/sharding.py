@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import common as C
 from ..session import scratch_path
 
 
@@ -98,8 +99,9 @@ def write_shards(docs: DataFrame, path: str,
         "__shard").parquet(path)
 
 
-def read_shards(docs: DataFrame, path: str) -> DataFrame:
-    """The written shards: the columns of ``docs``, ``__shard`` and
+def read_shards(docs: DataFrame, path: str, columns=None) -> DataFrame:
+    """The written shards: the columns of ``docs`` (or the given
+    ``columns``, which may be expressions of them), ``__shard`` and
     ``__slot``, gapless from 0 in each shard."""
     spark = docs.sparkSession
     schema = T.StructType([*docs.schema.fields,
@@ -109,10 +111,14 @@ def read_shards(docs: DataFrame, path: str) -> DataFrame:
     rows = spark.read.schema(schema).parquet(path)
     w = Window.partitionBy("__shard").orderBy("__bucket").rowsBetween(
         Window.unboundedPreceding, -1)
-    before = rows.groupBy("__shard", "__bucket").agg(
+    before = C.cut(rows.groupBy("__shard", "__bucket").agg(
         F.count("*").alias("c")).select(
         "__shard", "__bucket",
-        F.coalesce(F.sum("c").over(w), F.lit(0)).alias("__before"))
+        F.coalesce(F.sum("c").over(w), F.lit(0)).alias("__before")))
+    if before.count() <= C.BROADCAST_ROWS:  # else a shuffle join
+        before = F.broadcast(before)
+    rows = rows.select(*(columns or docs.columns), "__shard", "__bucket",
+                       "__place")
     return (rows.join(before, ["__shard", "__bucket"])
             .withColumn("__slot", F.col("__before") + F.col("__place"))
             .drop("__before", "__bucket", "__place"))
@@ -135,15 +141,18 @@ def shard_table(docs: DataFrame, params: ShardParams = ShardParams(),
     p = params
     own = docs.select(F.col(id_col).alias("doc_id"),
                       F.col(text_col).alias("text"))
-    text = F.col("text").cast("binary")
-    # what is reported of a text is taken before rows are joined to slots
-    rows = shard(own, p)
-    return rows.select(
+    path = scratch_path(docs.sparkSession, "shards")
+    write_shards(own, path, p)
+    # what is reported of a text is taken before rows meet their buckets
+    rows = read_shards(own, path, [
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long")
         .alias("size"),
-        F.coalesce(F.crc32(text), F.lit(0)).alias("text_crc32"),
-        F.lit("key").alias("law"), F.col("__shard").alias("shard"),
+        F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0))
+        .alias("text_crc32")])
+    return rows.select(
+        "doc_id", "size", "text_crc32", F.lit("key").alias("law"),
+        F.col("__shard").alias("shard"),
         F.col("__slot").cast("long").alias("slot"),
         shard_of(F.col("doc_id"), p.shards + 1, p.seed)
         .alias("grown_shard"))
