@@ -138,7 +138,8 @@ def plan_mix(docs: DataFrame, params: MixParams = MixParams(),
              id_col: str = "doc_id", text_col: str = "text",
              source_col: str = "source") -> DataFrame:
     """What the mix takes of each document: doc_id, source, size,
-    source_size, target, taken, rank, place, row_key.
+    source_size, target, taken, rank, place, row_key and position (where in
+    the run, 0 to 1, its first pass is due; null if nothing is taken).
 
     ``taken`` counts words, repeats included: each source takes
     round(target) words, whole passes first, then documents in seeded hash
@@ -172,8 +173,19 @@ def _plan(d: DataFrame, p: MixParams) -> DataFrame:
     rest = goal - passes * size
     part = F.least(F.greatest(rest - F.col("place"), F.lit(0)),
                    F.col("size"))
-    return rows.withColumn(
+    rows = rows.withColumn(
         "taken", (passes * F.col("size") + part).cast("long")).drop("bucket")
+    first = _position(F.try_divide("place", "target"), p)
+    return rows.withColumn("position", F.when(F.col("taken") > 0, first))
+
+
+def _position(due: Column, p: MixParams) -> Column:
+    """``position`` by the schedule of the row's source (its rank)."""
+    at = F.lit(None).cast("double")
+    for i, knots in enumerate(p.schedules):
+        at = F.when(F.col("rank") % len(p.schedules) == i,
+                    position(due, knots)).otherwise(at)
+    return at
 
 
 def mix(docs: DataFrame, params: MixParams = MixParams(),
@@ -192,12 +204,9 @@ def mix(docs: DataFrame, params: MixParams = MixParams(),
         F.lit(0), (F.ceil(F.col("taken") / F.col("size")) - 1).cast("int")))
     passes = plan.select("doc_id", "row_key", "rank", "place", "source_size",
                          "target", per_pass.alias("k"))
-    due = (F.col("place") + F.col("k") * F.col("source_size")) / F.col("target")
-    at = F.lit(None).cast("double")
-    for i, knots in enumerate(p.schedules):
-        at = F.when(F.col("rank") % len(p.schedules) == i,
-                    position(due, knots)).otherwise(at)
-    passes = passes.withColumn("at", at)
+    due = (F.col("place") + F.col("k") * F.col("source_size")) / F.col(
+        "target")
+    passes = passes.withColumn("at", _position(due, p))
     ats = passes.groupBy("doc_id", "row_key", "place").agg(
         F.collect_list("at").alias("ats"))
     # Rows equal in id and text share a key; they are numbered to get one

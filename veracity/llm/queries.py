@@ -61,8 +61,10 @@ FROM sized JOIN comp ON id = doc_id
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import plan_mix
-    return plan_mix(read_table(spark, sf_dir, "documents")).select(
-        "doc_id", "size", "source_size", "target", "taken")
+    plan = plan_mix(read_table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "source_size", "target", "taken",
+        F.round("position", 6).alias("position"))
+    return plan.repartitionByRange("position", "doc_id")
 
 
 OP2_SQL = r"""
@@ -101,15 +103,29 @@ placed AS (
   SELECT d.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY k
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place
   FROM docs d),
+ranked AS (
+  SELECT source, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS r
+  FROM per),
 goals AS (
-  SELECT p.doc_id, p.size, p.place, t.source_size, t.target,
-         round(t.target)::BIGINT AS goal
-  FROM placed p JOIN targets t ON p.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, CASE WHEN source_size = 0 THEN 0
-  ELSE (goal // source_size) * size + least(greatest(
-    goal - (goal // source_size) * source_size - place, 0), size)
-  END::BIGINT AS taken
-FROM goals
+  SELECT p.doc_id, p.size, p.place, t.source_size, t.target, k.r,
+         round(t.target)::BIGINT AS goal, p.place / t.target AS due
+  FROM placed p JOIN targets t ON p.source IS NOT DISTINCT FROM t.source
+  JOIN ranked k ON p.source IS NOT DISTINCT FROM k.source),
+taken AS (
+  SELECT *, CASE WHEN source_size = 0 THEN 0
+    ELSE (goal // source_size) * size + least(greatest(
+      goal - (goal // source_size) * source_size - place, 0), size)
+    END::BIGINT AS taken
+  FROM goals)
+-- weights 1.5 to 0.5; 0.5 to 1.5 to 0.5; 0.5 to 1.5: the inverse integrals
+SELECT doc_id, size, source_size, target, taken, CASE
+  WHEN taken = 0 THEN NULL WHEN due >= 1 THEN 1.0::DOUBLE
+  WHEN r = 0 THEN round(2 * due / (1.5 + sqrt(2.25 - 2 * due)), 6)
+  WHEN r = 2 THEN round(2 * due / (0.5 + sqrt(0.25 + 2 * due)), 6)
+  WHEN due < 0.5 THEN round(2 * due / (0.5 + sqrt(0.25 + 4 * due)), 6)
+  ELSE round(0.5 + 2 * (due - 0.5) / (1.5 + sqrt(2.25 - 4 * (due - 0.5))), 6)
+  END AS position
+FROM taken
 """
 
 
