@@ -43,6 +43,7 @@ class MinHashParams:
     per_collection: int = 3
     seed: int = 7
     block_bytes: int = 2 << 20
+    salts: int = 32
 
 
 SET_SCHEMA = ("doc_id long, n_shingles long, d1 long, d2 long, "
@@ -187,15 +188,23 @@ def _across(bucket_rows: DataFrame, comp: DataFrame, full: DataFrame,
     blocks = rows.groupBy("main").agg(
         F.ceil(F.sum(size) / p.block_bytes).alias("ny"),
         F.ceil(F.sum(F.when(outside, size)) / p.block_bytes).alias("nx"))
-    rows = rows.join(blocks, "main")
+    # a component with very many sets is dealt out by a salt
+    salts = F.sequence(F.lit(0), F.lit(p.salts - 1))
+    blocks = C.cut(blocks).withColumn("salt", F.explode(salts))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(p.salts))
+                           .cast("int")).join(blocks, ["main", "salt"])
     item = F.struct("id", "comp", "elements")
 
     def packed(part: DataFrame, count: str, out: str) -> DataFrame:
-        block = F.pmod(F.xxhash64("id"), F.col(count))
+        block = F.pmod(F.xxhash64(F.lit(1), "id"), F.col(count))
         return part.withColumn(f"b{out}", block).groupBy(
-            "main", f"b{out}").agg(F.collect_list(item).alias(out))
-    pairs = packed(rows.where(outside), "nx", "x").join(
-        packed(rows, "ny", "y"), "main")
+            "main", f"b{out}", "ny").agg(F.collect_list(item).alias(out))
+    left = packed(rows.where(outside), "nx", "x").withColumn(
+        "salt", F.explode(F.sequence(F.lit(0).cast("long"), F.least(
+            "ny", F.lit(p.salts)) - 1))).drop("ny")
+    right = packed(rows, "ny", "y").withColumn(
+        "salt", F.pmod("by", F.lit(p.salts))).drop("ny")
+    pairs = left.join(right, ["main", "salt"])
     return C.cut(pairs.repartition("main", "bx", "by").select("x", "y")
                  .mapInArrow(_compare_blocks(p.percent), "a long, b long")
                  .distinct())
