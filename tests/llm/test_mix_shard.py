@@ -108,6 +108,21 @@ def test_shards(spark):
     assert again == {(r.doc_id, r.shard, r.slot) for r in got}
 
 
+def test_many_equal_rows_fill_several_buckets(spark, tmp_path):
+    rows = [(i, "t") for i in range(300)] + [(7, "copy")] * 900
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    path = str(tmp_path / "s")
+    write_shards(df, path, ShardParams(shards=2, bucket_rows=50))
+    sizes = spark.read.parquet(path).groupBy("__shard", "__bucket").count()
+    assert sizes.agg(F.max("count")).first()[0] < 300
+    t = shard_table(df, ShardParams(shards=2, bucket_rows=50)).collect()
+    assert len(t) == len(rows)
+    assert len({r.shard for r in t if r.doc_id == 7 and r.size == 5}) == 1
+    for s in (0, 1):
+        slots = sorted(r.slot for r in t if r.shard == s)
+        assert slots == list(range(len(slots)))
+
+
 def test_fisher_yates_is_uniform(spark):
     from veracity.llm.sharding import fisher_yates
     rows = spark.range(6000).select(

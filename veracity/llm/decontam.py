@@ -50,8 +50,9 @@ class DecontamParams:
 
 SEGMENT_SCHEMA = ("segment long, ids binary, nulls binary, borders binary, "
                   "terms binary, counts binary, steps binary")
-MATCH_SCHEMA = ("segment long, row int, doc_id long, n_words long, items array<string>, "
-                "kinds array<string>, first array<long>, last array<long>")
+MATCH_SCHEMA = ("segment long, row int, doc_id long, n_words long, "
+                "items array<string>, kinds array<string>, "
+                "first array<long>, last array<long>")
 
 
 def _build(p: DecontamParams):

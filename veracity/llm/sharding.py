@@ -64,24 +64,41 @@ def write_shards(docs: DataFrame, path: str,
     order within the shard).
 
     A null id hashes like any other value; null texts count no bytes.
-    Rows that repeat an id share its shard.  An empty table writes no
-    rows.  Columns of the input whose names start with ``__`` and clash
-    with the three written ones are refused by Spark.
+    Rows that repeat an id share its shard; rows that repeat id and text
+    more often than a bucket holds are dealt to several buckets by their
+    row number (a scan gives it again when a task is repeated).  An empty
+    table writes no rows.  Columns of the input whose names start with
+    ``__`` and clash with the written ones are refused by Spark.
     """
     p = params
     key, text = F.col(id_col), F.col(text_col).cast("binary")
-    total = docs.agg(
-        F.count("*").alias("n"), F.sum(F.coalesce(F.octet_length(
-            F.col(text_col)), F.lit(0))).alias("b")).first()
+    crc = F.crc32(text)
+    same = docs.select(
+        key.alias("__k"), crc.alias("__c"), F.coalesce(F.octet_length(
+            F.col(text_col)), F.lit(0)).alias("b")).groupBy(
+        "__k", "__c").agg(F.count("*").alias("n"), F.sum("b").alias("b"))
+    same = C.cut(same)
+    total = same.agg(F.sum("n").alias("n"), F.sum("b").alias("b")).first()
+    often = same.where(F.col("n") > p.bucket_rows).select(
+        "__k", "__c", F.ceil(F.col("n") / p.bucket_rows).alias("__parts"))
     per_shard = max(1, -(-(total["n"] or 0) // (p.bucket_rows * p.shards)),
                     -(-(total["b"] or 0) // (p.bucket_bytes * p.shards)))
-    sub = F.pmod(F.xxhash64(F.lit(p.seed + 1), key, F.crc32(text)),
+    part = F.lit(0).cast("long")
+    columns = docs.columns
+    if not often.isEmpty():
+        if often.count() <= C.BROADCAST_ROWS:   # else a shuffle join
+            often = F.broadcast(often)
+        docs = docs.withColumn("__row", F.monotonically_increasing_id()).join(
+            often, key.eqNullSafe(F.col("__k"))
+            & crc.eqNullSafe(F.col("__c")), "left")
+        part = F.coalesce(F.pmod("__row", "__parts"), part)
+    sub = F.pmod(F.xxhash64(F.lit(p.seed + 1), key, crc, part),
                  F.lit(per_shard))
     rows = docs.select(
         shard_of(key, p.shards, p.seed).alias("__shard"),
         sub.alias("__bucket"), F.struct(
-            F.xxhash64(F.lit(p.seed + 2), key, F.crc32(text)).alias("h"),
-            F.struct("*").alias("row")).alias("item"))
+            F.xxhash64(F.lit(p.seed + 2), key, crc).alias("h"),
+            F.struct(*columns).alias("row")).alias("item"))
     bucket = rows.groupBy("__shard", "__bucket").agg(
         F.collect_list("item").alias("items"))
     # a fixed order first: the shuffle then depends on the rows alone
