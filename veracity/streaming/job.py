@@ -37,6 +37,7 @@ from .state import exact_stream_reputation, rocksdb_state
 class StreamingPipelineConfig:
     """ST8: settings of the scoring stream (defaults as the reference)."""
 
+    # --- fixed values: published defaults ---
     kafka_bootstrap_servers: str = "localhost:9092"
     kafka_topic: str = messages.DEFAULT_TOPIC
     starting_offsets: str = "latest"
@@ -49,6 +50,7 @@ class StreamingPipelineConfig:
     model_path: str = "models/isolation_forest"
     window_duration: str = "1 hour"
     sliding_duration: str = "10 minutes"
+    # --- end of fixed values ---
     reputation_mode: str = "sliding"
     include_intermediate: bool = False
     max_offsets_per_trigger: int | None = None
