@@ -49,6 +49,8 @@ _MARKED = re.compile(
     rf"|{_LETTER}[013457@$|][^\w]*$"                      # at its end
     rf"|(?:^|[^\w]){_LETTER}(?:[.\-_*~']{_LETTER}){{2,}}")  # spaced out
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
+_TRIPLE = re.compile(r"(.)\1\1")
+_OPENING, _CLOSING = "\"'[", ".,;:!?\"')]"
 _EDGES_LEET = re.compile(r"^[^\w@$|+€£(¡!]+|[^\w@$|+€£]+$")
 
 
@@ -168,18 +170,38 @@ class Reader:
     known: dict = field(default_factory=dict)
     SINGLE = ("\0",)
 
-    def features(self, word: str) -> tuple[str, ...]:
-        plain = _EDGES.sub("", word)
-        if len(plain) == 1 and plain.isalpha():
-            return self.SINGLE
+    def plain(self, word: str) -> str:
+        """The word as it was meant; letters alone, none of them three
+        times in a row, show no mark and are what they are."""
+        core = word.lstrip(_OPENING).rstrip(_CLOSING)
+        if core.isalpha() and not _TRIPLE.search(core):
+            return core
         if _MARKED.search(word):
-            plain = restore(_EDGES_LEET.sub("", word), self.model,
-                            self.params)
+            return restore(_EDGES_LEET.sub("", word), self.model, self.params)
+        return _EDGES.sub("", word)
+
+    def features(self, word: str) -> tuple[str, ...]:
+        plain = self.plain(word)
+        if plain.isalpha():
+            return (self.SINGLE if len(plain) == 1
+                    else tuple(dict.fromkeys(self._of_word(plain))))
         out = []
         for w in re.split(r"[^\w]+|_", plain):
             out += self._of_word(w)
         return tuple(dict.fromkeys(out))
 
+    def hits(self, word: str, lexicon: set[str], heads: set[str]
+             ) -> tuple[str, ...] | None:
+        """The word's features that are in the lexicon; ``heads`` are the
+        first three letters of its entries."""
+        plain = self.plain(word)
+        if len(plain) > 1 and plain[:3] not in heads and plain.isalpha():
+            return None
+        f = self.features(word)
+        if f == self.SINGLE:
+            return f
+        return tuple(lexicon.intersection(f)) or None
+
     def _of_word(self, w: str) -> list[str]:
         if len(w) < 3:
             return []
@@ -407,30 +429,27 @@ def _score(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         reader = Reader(m.characters.tolist(), m.params)
-        lexicon = set(m.lexicon)
+        lexicon, heads = set(m.lexicon), {x[:3] for x in m.lexicon}
         single = Reader.SINGLE
         known: dict[str, tuple[str, ...] | None] = {}
         for batch in batches:
             scores = []
             for text in batch.column(1).to_pylist():
                 words = text.lower().split()
-                found, singles = set(), False
-                for w in words:
+                found, singles = set(), set()
+                for w in set(words):
                     f = known.get(w, 0)
                     if f == 0:
                         if len(known) >= reader.limit:
                             known.clear()
-                        f = reader.features(w)
-                        if f != single:
-                            f = tuple(lexicon.intersection(f)) or None
-                        known[w] = f
+                        f = known[w] = reader.hits(w, lexicon, heads)
                     if f is not None:
                         if f == single:
-                            singles = True
+                            singles.add(w)
                         else:
                             found.update(f)
                 if singles:
-                    feats = [known.get(w) or () for w in words]
+                    feats = [single if w in singles else () for w in words]
                     for a, b in _runs(feats, single):
                         found.update(lexicon.intersection(
                             reader.spaced(words[a:b])))
