@@ -79,7 +79,8 @@ class Codec:
         return [self.enc.encode_ordinary(t) for t in texts]
 
     def decode(self, ids) -> str:
-        return self.enc.decode_bytes(list(ids)).decode()
+        ids = ids.tolist() if isinstance(ids, np.ndarray) else list(ids)
+        return self.enc.decode_bytes(ids).decode()
 
     @staticmethod
     @lru_cache(maxsize=4)
@@ -87,6 +88,12 @@ class Codec:
         return Codec(path)
 
 
+def _lists(column: pa.ListArray) -> list[np.ndarray]:
+    """The rows of a list column as views of its values."""
+    flat, at = column.values.to_numpy(), column.offsets.to_numpy()
+    return [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
 def _encode_turns(p: ChatParams):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.at(p.vocabulary)
@@ -121,11 +128,14 @@ def _place_turns(p: ChatParams):
         conv, n, at = object(), 0, 0
         for batch in batches:
             rows = []
-            for c, t, ids, loss in zip(*(batch.column(i).to_pylist()
-                                         for i in (0, 1, 3, 4)), strict=True):
+            for c, t, ids, loss in zip(
+                    batch.column(0).to_pylist(), batch.column(1).to_pylist(),
+                    _lists(batch.column(3)), batch.column(4).to_pylist(),
+                    strict=True):
                 if c != conv:
                     conv, n, at = c, 0, 0
-                    ids, loss = [codec.begin, *ids], b"\0" + loss
+                    ids = np.insert(ids, 0, codec.begin)
+                    loss = b"\0" + loss
                 rows.append((c, t, n, at, ids, loss))
                 n, at = n + 1, at + len(ids)
             cols = list(zip(*rows, strict=True)) or [()] * 6
@@ -188,13 +198,13 @@ def _read_turns(p: ChatParams):
                          shown))
 
         for batch in batches:
-            for c, ids, mask in zip(*(batch.column(i).to_pylist()
-                                      for i in (0, 2, 3)), strict=True):
+            for c, ids, mask in zip(
+                    batch.column(0).to_pylist(), _lists(batch.column(2)),
+                    batch.column(3).to_pylist(), strict=True):
                 if state is None or state[0] != c:
                     if state is not None:
                         close()
                     state = [c, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                ids = np.array(ids, np.int32)
                 cuts = np.flatnonzero(ids >= codec.begin)
                 marks = [names_of[i] for i in ids[cuts].tolist()]
                 if marks[-3:] != [TURN, TEXT, END] or (
@@ -203,9 +213,10 @@ def _read_turns(p: ChatParams):
                 a, b, e = cuts[-3:]
                 role = codec.decode(ids[a + 1:b])
                 text = codec.decode(ids[b + 1:e])
-                lost = codec.decode(ids[np.frombuffer(mask, np.int8) == 1])
+                # what the mask covers, whatever the role says
+                learnt = unescape(codec.decode(
+                    ids[np.frombuffer(mask, np.int8) == 1]))
                 plain = unescape(text)
-                learnt = plain if lost == text else unescape(lost)
                 state[1] += 1
                 state[2].update(f"{unescape(role)}\n{plain}\n".encode())
                 state[3] += len(learnt)
