@@ -51,6 +51,8 @@ class StreamingPipelineConfig:
     window_duration: str = "1 hour"
     sliding_duration: str = "10 minutes"
     # --- end of fixed values ---
+    # state partitions that share one source's records of a bucket
+    reputation_salts: int = 4
     reputation_mode: str = "sliding"
     include_intermediate: bool = False
     max_offsets_per_trigger: int | None = None
@@ -80,7 +82,7 @@ def sliding_stream_reputation(df: DataFrame, window_duration="1 hour",
                               sliding_duration="10 minutes",
                               source_col: str = "source_id",
                               ts_col: str = "timestamp",
-                              salts: int = 16) -> DataFrame:
+                              salts: int = 4) -> DataFrame:
     """ST5 on a stream: each record joins the window that closes at the
     end of its slide bucket, [end - W, end).
 
@@ -135,10 +137,12 @@ def apply_stream_reputation(df: DataFrame, config: StreamingPipelineConfig
     mode = config.reputation_mode
     if mode == "sliding":
         return sliding_stream_reputation(df, config.window_duration,
-                                         config.sliding_duration)
+                                         config.sliding_duration,
+                                         salts=config.reputation_salts)
     if mode == "exact":
         return exact_stream_reputation(
-            df, reputation.parse_duration(config.window_duration))
+            df, reputation.parse_duration(config.window_duration),
+            salts=config.reputation_salts)
     raise ValueError(f"unknown reputation mode {mode}")
 
 

@@ -79,7 +79,7 @@ class TrailingSums(StatefulProcessor):
 def exact_stream_reputation(df: DataFrame, window_seconds: int = 3600,
                             source_col: str = "source_id",
                             flag_col: str = "is_anomaly",
-                            ts_col: str = "timestamp", salts: int = 16
+                            ts_col: str = "timestamp", salts: int = 4
                             ) -> DataFrame:
     """Per-record trailing-window reputation of a watermarked stream.
 
