@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from veracity.operators.quality import compute_quality_metrics
 from veracity.params import QualityParams
 from veracity.streaming.sinks import create_output_sink
-from veracity.streaming.state import exact_stream_reputation
+from veracity.streaming.state import exact_stream_reputation, rocksdb_state
 
 
 def test_restart_resumes_without_loss_or_duplicates(spark, tmp_path):
@@ -53,8 +53,10 @@ def test_exact_mode_drops_late_rows(spark, tmp_path):
         s = (spark.readStream.schema(schema).option("recursiveFileLookup", "true")
              .option("maxFilesPerTrigger", 1).parquet(src)
              .withWatermark("timestamp", "10 minutes"))
-        create_output_sink(exact_stream_reputation(s, 3600), "parquet", out,
-                           ckpt, available_now=True).awaitTermination()
+        with rocksdb_state(spark):
+            create_output_sink(exact_stream_reputation(s, 3600), "parquet",
+                               out, ckpt, available_now=True
+                               ).awaitTermination()
 
     run()
     spark.createDataFrame(late, schema).coalesce(1).write.parquet(src + "/b")
