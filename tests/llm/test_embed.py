@@ -96,3 +96,19 @@ def test_recall_with_small_windows(spark):
     found = {(r.a, r.b) for r in near_pairs(df, p).collect()}
     assert found <= true
     assert len(found) >= 0.97 * len(true) and len(true) > 400
+
+
+def test_a_cluster_of_many_windows_loses_no_link(spark):
+    """700 different vectors, all near each other, under a window of 8 and
+    among others: counts and components equal brute force."""
+    r = np.random.default_rng(7)
+    centre = r.standard_normal(24)
+    rows = {i: (centre + 0.1 * r.standard_normal(24)).tolist()
+            for i in range(700)}
+    rows |= {1000 + i: r.standard_normal(24).tolist() for i in range(700)}
+    rows |= {2000: list(rows[0]), 2001: list(rows[0])}
+    want = brute(rows, 0.9)
+    assert min(want[i][0] for i in range(700)) > 600
+    got = {x.vec_id: (x.n_links, x.component_id) for x in link_vectors(
+        frame(spark, rows), EmbedParams(window=8)).collect()}
+    assert got == want

@@ -1,20 +1,21 @@
-"""Embedding near-duplicates by sorted projection passes.
+"""Embedding near-duplicates by passes of random hyperplane codes.
 
 Each pass draws random hyperplanes; a vector's code is the string of the
-sides it lies on.  Vectors are ordered lexicographically by code, so
-near ones, which share a long prefix with good chance, end up near each
-other, and every vector is compared with the next ``window`` ones.  Pairs
-that reach the cosine are united over all passes.
-
-Equal vectors are one entry with a count.  All passes are sorted in one
-range shuffle of (pass, code); the rank of a row follows from the counts
-of the partitions before it.  Rows then meet in blocks of ``window``
-ranks, each block with the one after it, so a task holds two windows.
-
-The number of passes follows from the number of vectors: a pass finds a
-pair when it shares the leading log2(n / window) bits, each shared with
-probability 1 - angle / pi, and the passes are chosen so that a pair right
-at the threshold is found with probability ``recall``.
+sides it lies on.  All vectors of one code are compared with each other,
+however many they are: a bucket longer than a block is dealt into blocks
+by a hash and every two of its blocks meet in a task of their own, so a
+task holds two blocks and a dense cluster loses nothing.
+
+Equal vectors are one entry with a count.  A pair belongs to the first
+pass whose codes agree, which both rows' codes tell, so a task adds up
+links without the pairs of other tasks: it returns a count per vector and,
+instead of every pair, a star per connected group.
+
+The length of the code and the number of passes follow from the number of
+vectors: a pass finds a pair when all bits agree, each with probability
+1 - angle / pi.  The passes are chosen so that a pair right at the
+threshold is found with probability ``recall`` by codes of
+log2(n / window) bits; the codes used are one to two bits shorter.
 """
 
 from __future__ import annotations
@@ -49,78 +50,148 @@ def passes_for(n: int, p: EmbedParams) -> int:
     return math.ceil(math.log(1 - p.recall) / math.log(1 - once))
 
 
-def _codes(p: EmbedParams, passes: int):
+def code_bits(n: int, p: EmbedParams) -> int:
+    """Bits of a code: buckets hold 2 to 4 windows if codes are even."""
+    bits = int(math.log2(max(n, 1) / p.window)) - 1 if n > p.window else 0
+    return max(0, min(bits, p.bits, 31))
+
+
+def _codes(p: EmbedParams, passes: int, bits: int):
+    """Entries with their codes of all passes, and the vector's length."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
         for batch in batches:
-            ids = batch.column(0).to_numpy()
             vecs = [np.frombuffer(v.as_buffer(), np.float64)
-                    for v in batch.column(1)]
-            dims = np.array([len(v) for v in vecs])
+                    for v in batch.column(2)]
+            dims = np.array([len(v) for v in vecs], np.int32)
+            code = np.zeros((len(vecs), passes), np.int32)
             for d in np.unique(dims):
                 at = np.flatnonzero(dims == d)
                 if d not in planes:
                     rng = np.random.default_rng([p.seed, int(d)])
-                    planes[d] = rng.standard_normal((int(d), passes * p.bits))
+                    planes[d] = rng.standard_normal((int(d), passes * bits))
                 m = np.stack([vecs[i] for i in at])
-                side = (m @ planes[d] > 0).reshape(len(at), passes, p.bits)
-                code = side @ (np.int64(1) << np.arange(
-                    p.bits - 1, -1, -1, dtype=np.int64))
-                raw = pa.array([vecs[i].tobytes() for i in at], pa.binary())
-                for k in range(passes):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(at), k, np.int32)),
-                         pa.array(np.full(len(at), d, np.int32)),
-                         pa.array(code[:, k]), pa.array(ids[at]), raw],
-                        names=["pass", "dim", "code", "id", "unit"])
+                side = (m @ planes[d] > 0).reshape(len(at), passes, bits)
+                code[at] = side @ (np.int64(1) << np.arange(bits))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(dims),
+                 pa.array(list(code), pa.list_(pa.int32())),
+                 pa.array([c.tobytes() for c in code], pa.binary()),
+                 batch.column(2)],
+                names=["id", "copies", "dim", "code", "codes", "unit"])
     return run
 
 
-def _compare(p: EmbedParams):
-    """Verified pairs of one block and its successor; blocks arrive sorted."""
-    def pairs(block: list) -> pa.RecordBatch:
-        rank, own, group, ids, vecs = zip(*block, strict=True)
-        rank, own = np.array(rank), np.array(own)
-        group, ids = np.array(group), np.array(ids)
-        a, b = [], []
-        for g in np.unique(group[own]):
-            x = np.flatnonzero(own & (group == g))
-            y = np.flatnonzero(group == g)
-            m = np.stack([vecs[i] for i in y])
-            mx = np.stack([vecs[i] for i in x])
-            gap = rank[y][None, :] - rank[x][:, None]
-            near = (mx @ m.T >= p.cosine - 1e-9) & (gap > 0) & (
-                gap <= p.window)
-            i, j = np.nonzero(near)
-            # the decision itself: products and sums in double precision
-            if len(i):
-                dot = np.einsum("ij,ij->i", mx[i], m[j])
-                ok = dot >= p.cosine
-                a.append(ids[x[i[ok]]])
-                b.append(ids[y[j[ok]]])
-        a = np.concatenate(a) if a else np.empty(0, np.int64)
-        b = np.concatenate(b) if b else np.empty(0, np.int64)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))],
-            names=["a", "b"])
+def _stars(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The smallest member of each node's connected group."""
+    root = np.arange(n)
+    while len(a):
+        x, y = root[a], root[b]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(root[root], root):
+            root = root[root]
+        open_ = root[a] != root[b]
+        a, b = a[open_], b[open_]
+    return root
+
+
+def _compare(p: EmbedParams, every: bool):
+    """Links of the rows of one task (pass, dim, code, u, v): those of block
+    u with those of block v, where no earlier pass has the pair.
+
+    Rows (id, other, n): with ``every`` each pair once; else a row with
+    ``n``, the copies an entry links with, and a row with ``other`` per
+    entry that is not the smallest of its connected group."""
+    tile = 1024
+
+    def links(own, x, y, codes, vectors, k):
+        """Places (in x, in y) of the pairs, a tile at a time."""
+        for s in range(0, len(x), tile):
+            i0 = x[s:s + tile]
+            for t in range(0, len(y), tile):
+                j0 = y[t:t + tile]
+                if own and t + tile <= s:
+                    continue
+                dot = vectors[i0] @ vectors[j0].T
+                i, j = np.nonzero(dot >= p.cosine - 1e-9)
+                if own:
+                    i, j = (z[i0[i] < j0[j]] for z in (i, j))
+                near = dot[i, j]
+                i, j = i0[i], j0[j]
+                # the decision itself: products and sums in double precision
+                edge = np.flatnonzero(near < p.cosine + 1e-9)
+                drop = edge[np.einsum("ij,ij->i", vectors[i[edge]],
+                                      vectors[j[edge]]) < p.cosine]
+                i, j = np.delete(i, drop), np.delete(j, drop)
+                for q in range(k):
+                    new = codes[i, q] != codes[j, q]
+                    i, j = i[new], j[new]
+                yield i, j
+
+    def task(key, parts) -> Iterator[pa.RecordBatch]:
+        k, _, _, u, v = key
+        side, ids, copies, codes, vectors = (
+            np.concatenate(z) for z in zip(*parts, strict=True))
+        x = np.flatnonzero(side == u)
+        y = np.flatnonzero(side == v)
+        count = np.zeros(len(ids), np.int64)
+        root = np.arange(len(ids))
+        order = np.argsort(ids, kind="stable")
+        place = np.empty(len(ids), np.int64)
+        place[order] = np.arange(len(ids))
+        for i, j in links(u == v, x, y, codes, vectors, k):
+            if every:
+                yield _links(np.minimum(ids[i], ids[j]),
+                             np.maximum(ids[i], ids[j]), None)
+                continue
+            np.add.at(count, i, copies[j])
+            np.add.at(count, j, copies[i])
+            i, j = root[place[i]], root[place[j]]
+            i, j = i[i != j], j[i != j]
+            root = _stars(i, j, len(ids))[root] if len(i) else root
+        if not every:
+            at = np.flatnonzero(count)
+            yield _links(ids[at], None, count[at])
+            far = np.flatnonzero(root != np.arange(len(ids)))
+            yield _links(ids[order[root[far]]], ids[order[far]], None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, block = None, []
+        now, parts = None, []
         for batch in batches:
-            cols = [batch.column(i).to_pylist() for i in range(5)]
-            for blk, rank, own, group, i, v in zip(
-                    *cols, batch.column(5), strict=True):
-                if blk != now and block:
-                    yield pairs(block)
-                    block = []
-                now = blk
-                block.append((rank, own, group, i, np.frombuffer(
-                    v.as_buffer(), np.float64)))
-        if block:
-            yield pairs(block)
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(c).to_numpy().astype(np.int64)
+                             for c in range(5)], axis=1)
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            side, ids, copies = (batch.column(c).to_numpy()
+                                 for c in (5, 6, 7))
+            codes, code_at = C.texts_of(batch.column(8))
+            unit, unit_at = C.texts_of(batch.column(9))
+            for a, b in zip([0, *cuts.tolist()],
+                            [*cuts.tolist(), len(keys)], strict=True):
+                key = tuple(keys[a].tolist())
+                if key != now and parts:
+                    yield from task(now, parts)
+                    parts = []
+                now = key
+                parts.append((
+                    side[a:b].copy(), ids[a:b].copy(), copies[a:b].copy(),
+                    np.frombuffer(codes[code_at[a]:code_at[b]].tobytes(),
+                                  np.int32).reshape(b - a, -1),
+                    np.frombuffer(unit[unit_at[a]:unit_at[b]].tobytes(),
+                                  np.float64).reshape(b - a, -1)))
+        if parts:
+            yield from task(now, parts)
     return run
 
 
+def _links(a, b, n) -> pa.RecordBatch:
+    none = pa.nulls(len(a), pa.int64())
+    return pa.RecordBatch.from_arrays(
+        [pa.array(a, pa.int64()), none if b is None else pa.array(b),
+         none if n is None else pa.array(n)], names=["id", "other", "n"])
+
+
 def _unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Vectors as their bytes and as unit vectors in double precision."""
     for batch in batches:
@@ -144,36 +215,46 @@ def _unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
              pa.array(unit, pa.binary())], names=["vec_id", "raw", "unit"])
 
 
+def _linked(entries: DataFrame, p: EmbedParams, every: bool) -> DataFrame:
+    """What ``_compare`` returns for entries (id, copies, unit)."""
+    n = entries.count()
+    bits = code_bits(n, p)
+    passes = passes_for(n, p) if bits else 1
+    coded = C.save(entries.select("id", "copies", "unit").mapInArrow(
+        _codes(p, passes, bits), "id long, copies long, dim int, "
+        "code array<int>, codes binary, unit binary"), "embed-codes")
+    key = ["pass", "dim", "code"]
+    # rows of a block: 8 windows, fewer when vectors are long
+    block = F.greatest(F.lit(p.window), F.least(
+        F.lit(8 * p.window), (F.lit(1 << 22) / F.col("dim")).cast("int")))
+    long = C.cut(coded.select("dim", F.posexplode("code").alias(
+        "pass", "code")).groupBy(*key).agg(F.count("*").alias("c"))
+        .withColumn("blocks", F.ceil(F.col("c") / block).cast("int"))
+        .where("blocks > 1").select(*key, "blocks"))
+    if long.count() <= C.BROADCAST_ROWS:
+        long = F.broadcast(long)
+    rows = coded.select("id", "copies", "dim", "codes", "unit",
+                        F.posexplode("code").alias("pass", "code"))
+    rows = rows.join(long, key, "left").withColumn(
+        "blocks", F.coalesce("blocks", F.lit(1))).withColumn(
+        "side", F.pmod(F.xxhash64("id", "pass"), "blocks").cast("int"))
+    rows = rows.withColumn("met", F.explode(F.expr(
+        "sequence(0, blocks - 1)")))
+    rows = rows.select(
+        "pass", "dim", "code", F.least("side", "met").alias("u"),
+        F.greatest("side", "met").alias("v"), "side", "id", "copies",
+        "codes", "unit")
+    task = [*key, "u", "v"]
+    return rows.repartition(*task).sortWithinPartitions(*task).mapInArrow(
+        _compare(p, every), "id long, other long, n long")
+
+
 def near_pairs(entries: DataFrame, params: EmbedParams = EmbedParams()
                ) -> DataFrame:
     """Distinct pairs (a, b), a < b, found among entries (id, unit)."""
-    p = params
-    passes = passes_for(entries.count(), p)
-    spread = entries.mapInArrow(
-        _codes(p, passes), "pass int, dim int, code long, id long, "
-        "unit binary")
-    order = ["pass", "dim", "code", "id"]
-    ranged = C.save(spread.repartitionByRange(*order)
-                    .sortWithinPartitions(*order)
-                    .select("*", F.spark_partition_id().alias("part")),
-                    "embed-sorted")
-    w = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    before = ranged.groupBy("part").agg(F.count("*").alias("c")).select(
-        "part", F.coalesce(F.sum("c").over(w), F.lit(0)).alias("before"))
-    wp = Window.partitionBy("part").orderBy(*order)
-    ranked = (ranged.withColumn("r", F.row_number().over(wp))
-              .join(F.broadcast(before), "part")     # a row per partition
-              .select((F.col("r") + F.col("before") - 1).alias("rank"),
-                      (F.col("pass") * F.lit(1_000_000) + F.col("dim"))
-                      .alias("grp"), "id", "unit"))
-    home = F.floor(F.col("rank") / p.window).cast("long")
-    rows = ranked.withColumn("home", home).withColumn(
-        "block", F.explode(F.array("home", F.col("home") - 1)))
-    rows = rows.select("block", "rank", (F.col("block") == F.col("home"))
-                       .alias("own"), "grp", "id", "unit")
-    found = (rows.repartition("block").sortWithinPartitions("block", "rank")
-             .mapInArrow(_compare(p), "a long, b long"))
-    return found.distinct()
+    return _linked(entries.withColumn("copies", F.lit(1).cast("long")),
+                   params, True).select(F.col("id").alias("a"),
+                                        F.col("other").alias("b"))
 
 
 def link_vectors(embeddings: DataFrame, params: EmbedParams = EmbedParams(),
@@ -202,16 +283,16 @@ def _link_vectors(rows: DataFrame, params: EmbedParams) -> DataFrame:
         F.min("vec_id").alias("id"), F.count("*").alias("copies")),
         "embed-groups")
     entries = C.save(named.join(groups.select(F.col("id").alias("vec_id"),
-                                              "digest"), "vec_id")
+                                              "digest", "copies"), "vec_id")
                      .where(F.sha2("raw", 256) == F.col("digest"))
                      .dropDuplicates(["vec_id"])
-                     .select(F.col("vec_id").alias("id"), "unit"),
+                     .select(F.col("vec_id").alias("id"), "copies", "unit"),
                      "embed-entries")
-    pairs = C.save(near_pairs(entries, params), "embed-pairs")
-    comp = C.components(pairs)
-    both = pairs.union(pairs.select("b", "a")).join(
-        groups.select(F.col("id").alias("b"), "copies"), "b")
-    links = both.groupBy("a").agg(F.sum("copies").alias("others"))
+    found = C.save(_linked(entries, params, False), "embed-links")
+    comp = C.components(found.where("other IS NOT NULL").select(
+        F.col("id").alias("a"), F.col("other").alias("b")))
+    links = found.where("n IS NOT NULL").groupBy(F.col("id").alias("a")).agg(
+        F.sum("n").alias("others"))
     info = (groups.join(links, F.col("id") == F.col("a"), "left").drop("a")
             .join(comp, "id", "left")
             .select("digest", (F.coalesce("others", F.lit(0)) + F.col("copies")
