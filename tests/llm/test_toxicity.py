@@ -114,3 +114,36 @@ def test_viterbi_finds_the_cheapest_path():
         best = all_paths(span, model, p)
         got = T.restore(span, model.tolist(), p)
         assert abs(best[got] - min(best.values())) < 1e-9
+
+
+COMBINED = {"idiot": ["1d10t", "i.d.i.o.t", "idiooot", "i d i o t", "idiiot",
+                      "iddiioott", "i d 1 0 t", "i.d.1.0.t", "i--d--i--o--t",
+                      "id.i.ot", "i - d - i - o - t", "1dii00t", "i_d_!_0_t"],
+            "moron": ["m0r0n", "m-o-r-o-n", "moronnn", "m o r o n", "moroon",
+                      "mmoorroonn", "m 0 r 0 n", "m.0.r.0.n",
+                      "m--o--r--o--n", "mo.ro.n", "m00r0n"],
+            "scumbag": ["$cumbag", "sc.um.bag", "scuuumbag", "scumb@g",
+                        "scummbagg", "s c u m b @ g", "$.c.u.m.b.4.g",
+                        "s**c**u**m**b**a**g", "$cu.mb4g"]}
+
+
+def test_every_form_of_an_obfuscated_word_is_found(spark):
+    rows, labels = corpus()
+    hidden = {}
+    for k, (_, forms) in enumerate(sorted(COMBINED.items())):
+        for j, f in enumerate(forms):
+            hidden[5000 + 100 * k + j] = (
+                f"{cases.text(k, 15)} you {f} {cases.text(j, 9)}", f)
+    docs, y = frames(spark, rows + [(i, t, "en") for i, (t, _) in
+                                    hidden.items()], labels)
+    got = {r.doc_id: r for r in T.toxicity(docs, y).collect()}
+    assert [f for i, (_, f) in hidden.items() if not got[i].predicted] == []
+    truth = {i: t for i, _, t in labels}
+    assert all(got[i].predicted == t for i, t in truth.items())
+
+
+def test_numbers_alone_are_no_words():
+    reader = T.Reader(np.zeros((28, 28, 28)).tolist(), T.ToxicityParams())
+    assert reader.spaced(["1", "0", "5", "-"]) == ()
+    assert reader.plain("2.400") == "2.400"
+    assert T._single("!") == "!" and T._single("--") == ""

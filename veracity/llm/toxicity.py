@@ -5,8 +5,9 @@ separators between letters or repeated them.  A character trigram model,
 counted over the whole corpus, says which letters are likely; a Viterbi
 search over the lattice of what each written character can stand for
 (itself, a letter it resembles, nothing when it separates or repeats)
-restores the likeliest text.  Only words that show such marks are
-searched: the lattice of any other word has one path.
+restores the likeliest text.  Every word with a letter whose lattice has
+more than one path is searched, once per distinct word; single letters,
+look-alikes and separators in a row are searched as one.
 
 The restored words are matched against a lexicon of words and word
 beginnings learnt from labelled documents, and a logistic model of the
@@ -41,15 +42,10 @@ _CLASS[97:123] = np.arange(1, 27)
 _CLASS[65:91] = np.arange(1, 27)
 _CLASS[128:] = 27
 
-_LETTER = r"[^\W\d_]"
-_MARKED = re.compile(
-    rf"({_LETTER})\1\1"                                   # repetition
-    rf"|{_LETTER}[0-9@$!|+€£(¡]+{_LETTER}"                # inside a word
-    rf"|^[^\w]*[0-9@$!|+€£(¡]+{_LETTER}"                  # at its start
-    rf"|{_LETTER}[013457@$|][^\w]*$"                      # at its end
-    rf"|(?:^|[^\w]){_LETTER}(?:[.\-_*~']{_LETTER}){{2,}}")  # spaced out
+# A letter twice in a row, or any look-alike or separator: more than one path.
+_PATHS = re.compile(rf"([^\W\d_])\1|[{re.escape(''.join(LEET) + SEPARATORS)}]")
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
-_TRIPLE = re.compile(r"(.)\1\1")
+_DOUBLE = re.compile(r"(.)\1")
 _OPENING, _CLOSING = "\"'[", ".,;:!?\"')]"
 _EDGES_LEET = re.compile(r"^[^\w@$|+€£(¡!]+|[^\w@$|+€£]+$")
 
@@ -171,16 +167,19 @@ class Reader:
     SINGLE = ("\0",)
 
     def plain(self, word: str) -> str:
-        """The word as it was meant; letters alone, none of them three
-        times in a row, show no mark and are what they are."""
+        """The word as it was meant; letters alone, none of them twice in
+        a row, are what they are, and so is a word without a letter."""
         core = word.lstrip(_OPENING).rstrip(_CLOSING)
-        if core.isalpha() and not _TRIPLE.search(core):
+        if core.isalpha() and not _DOUBLE.search(core):
             return core
-        if _MARKED.search(word):
-            return restore(_EDGES_LEET.sub("", word), self.model, self.params)
+        span = _EDGES_LEET.sub("", word)
+        if _PATHS.search(span) and any(map(str.isalpha, span)):
+            return restore(span, self.model, self.params)
         return _EDGES.sub("", word)
 
     def features(self, word: str) -> tuple[str, ...]:
+        if _single(word) is not None:
+            return self.SINGLE
         plain = self.plain(word)
         if plain.isalpha():
             return (self.SINGLE if len(plain) == 1
@@ -194,6 +193,8 @@ class Reader:
              ) -> tuple[str, ...] | None:
         """The word's features that are in the lexicon; ``heads`` are the
         first three letters of its entries."""
+        if _single(word) is not None:
+            return self.SINGLE
         plain = self.plain(word)
         if len(plain) > 1 and plain[:3] not in heads and plain.isalpha():
             return None
@@ -221,16 +222,34 @@ class Reader:
         return out
 
     def spaced(self, text_words: list[str]) -> tuple[str, ...]:
-        """Features of a run of single letters, one word each."""
-        letters = " ".join(_EDGES.sub("", w) for w in text_words)
+        """Features of a run of single characters, one word each, and of
+        the runs of letters alone in it."""
+        chars = [_EDGES.sub("", w) if (c := _single(w)) is None else c
+                 for w in text_words]
+        runs, letters = [chars], [c.isalpha() for c in chars]
+        if not any(letters):
+            return ()
+        if not all(letters):
+            runs += [chars[a:b] for a, b in _runs(letters, True)]
         out = []
-        for w in restore(letters, self.model, self.params).split():
-            out += self._of_word(w)
-        return tuple(out)
+        for run in runs:
+            for w in restore(" ".join(run), self.model, self.params).split():
+                out += self._of_word(w)
+        return tuple(out if len(runs) == 1 else dict.fromkeys(out))
+
+
+def _single(word: str) -> str | None:
+    """The letter or look-alike that a word consists of, "" for one of
+    separators alone, None for any other word."""
+    core = word.lstrip(_OPENING).rstrip(_CLOSING)
+    for x in (word, core):
+        if len(x) == 1 and (x.isalpha() or x in LEET):
+            return x
+    return None if word.strip(SEPARATORS) else ""
 
 
 def _runs(feats: list, single) -> Iterator[tuple[int, int]]:
-    """Runs of three single letters or more."""
+    """Runs of three single characters or more."""
     i = 0
     n = len(feats)
     while i < n:
