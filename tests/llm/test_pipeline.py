@@ -109,3 +109,21 @@ def test_empty_documents(spark, tables, tmp_path):
         spark.read.parquet(f"{root}/{name}.parquet").limit(0).write.parquet(
             f"{tmp_path}/{name}.parquet")
     assert P.run(spark, str(tmp_path)).count() == 0
+
+
+def test_verdicts_reach_only_their_own_rows(spark, tables):
+    """Clean, toxic and contaminated rows that have a null or the same id."""
+    root, _, bench, _ = tables
+    frame = spark.read.parquet(f"{root}/documents.parquet")
+    clean, toxic = cases.text(41, 40), cases.text(42, 30) + " idiot moron"
+    hit = "before " + bench[1][1] + " after"
+    more = [(i, t, "en", "a", 0) for i in (None, 7000)
+            for t in (clean, toxic, hit, None)]
+    extra = spark.createDataFrame(more, frame.schema)
+    got = P.reject_toxic(spark, frame.union(extra), root).where(
+        "doc_id IS NULL OR doc_id = 7000").collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter(
+        (i, t) for i, t, *_ in more if t != toxic)
+    got = P.drop_contaminated(spark, extra, root).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter(
+        (i, t) for i, t, *_ in more if t != hit)

@@ -268,6 +268,22 @@ def semi_join(df: DataFrame, ids: DataFrame, on: str) -> DataFrame:
     return df.join(ids, on, "left_semi")
 
 
+def without_texts(docs: DataFrame, judge: Callable[[DataFrame], DataFrame],
+                  text_col: str) -> DataFrame:
+    """``docs`` without the rows whose text is judged bad.
+
+    ``judge`` takes (doc_id, text) and returns the bad rows' doc_id, which
+    is a 64-bit hash of the text here: a verdict that follows from the
+    text alone reaches the rows with that text and no others."""
+    text = F.col(f"`{text_col}`").cast("string")
+    key = F.xxhash64(F.coalesce(text, F.lit("")))
+    bad = cut(judge(docs.select(key.alias("doc_id"), text.alias("text")))
+              .select(F.col("doc_id").alias("__bad")).distinct())
+    if bad.count() <= BROADCAST_ROWS:
+        bad = F.broadcast(bad)
+    return docs.join(bad, key == F.col("__bad"), "left_anti")
+
+
 def code_order(col: Column) -> Column:
     """Order by code point, null last (UTF-8 bytes order like code points)."""
     return col.asc_nulls_last()

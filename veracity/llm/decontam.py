@@ -366,11 +366,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame,
                   params: DecontamParams = DecontamParams(),
                   id_col: str = "doc_id", text_col: str = "text"
                   ) -> DataFrame:
-    """``docs`` without the contaminated ones.  Rows that share an id go
-    together, and so do rows without one."""
-    bad = contamination(docs, benchmark, params, id_col, text_col).where(
-        "contaminated").select(F.col("doc_id").alias("__bad")).distinct()
-    bad = C.cut(bad)
-    small = F.broadcast(bad) if bad.count() <= C.BROADCAST_ROWS else bad
-    return docs.join(small, F.col(id_col).cast("long").eqNullSafe(
-        F.col("__bad")), "left_anti")
+    """``docs`` without the contaminated ones, each row by its own text:
+    ids, null or repeated ones included, don't matter."""
+    return C.without_texts(docs, lambda rows: contamination(
+        rows, benchmark, params).where("contaminated"), text_col)

@@ -520,13 +520,9 @@ def toxicity(docs: DataFrame, labels: DataFrame,
 def reject_toxic(docs: DataFrame, labels: DataFrame,
                  params: ToxicityParams = ToxicityParams(),
                  id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without those predicted toxic.  Rows that share an id go
-    together, and so do rows without one."""
+    """``docs`` without those predicted toxic, each row by its own text:
+    ids, null or repeated ones included, don't matter."""
     model = fit(docs, labels.where(~held_out(id_col)), params, id_col,
                 text_col)
-    bad = score(docs, model, id_col, text_col).where(
-        "predicted = 1").select(F.col("doc_id").alias("__bad")).distinct()
-    bad = C.cut(bad)
-    small = F.broadcast(bad) if bad.count() <= C.BROADCAST_ROWS else bad
-    return docs.join(small, F.col(id_col).cast("long").eqNullSafe(
-        F.col("__bad")), "left_anti")
+    return C.without_texts(docs, lambda rows: score(rows, model).where(
+        "predicted = 1"), text_col)
