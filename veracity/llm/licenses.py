@@ -3,8 +3,9 @@
 Templates and documents are read as word sequences.  Their word trigrams
 are winnowed: of every ``window`` consecutive trigram hashes the smallest
 is kept, so two texts that share ``window + 2`` words in a row are sure to
-share a fingerprint (a notice too short for that is looked up by all its
-trigrams).  The templates' fingerprints form a small inverted
+share a fingerprint.  A template that the allowed edits can break into
+shorter runs is looked up by all its trigrams, or bigrams where they can
+leave no trigram.  The templates' fingerprints form a small inverted
 index (its size is that of the templates, a parameter).  A document's
 fingerprints looked up in it give candidates: a template and the diagonal
 its words would lie on.  A banded alignment around the diagonal then
@@ -17,6 +18,7 @@ whole, wherever in it the notice stands.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -85,7 +87,8 @@ class _Index:
     hashes: np.ndarray
     template: np.ndarray
     offset: np.ndarray
-    short: list[bool]       # fewer grams than a winnowing window
+    short: list[bool]       # edits can leave no run that winnowing keeps
+    widths: list[int]       # words of a gram, per template
 
 
 def _words(text: bytes) -> np.ndarray:
@@ -115,12 +118,20 @@ def _winnow(g: np.ndarray, window: int) -> np.ndarray:
     return np.unique(np.arange(n) + window - 1 - view.argmin(axis=1))
 
 
+def _run(m: int, p: LicenseParams) -> int:
+    """Words in a row that stay of a template of ``m`` whatever words are
+    changed or missing within the coverage, and with one extra word."""
+    keep = max(1, math.ceil(p.coverage * m - 1e-9))
+    return -(-keep // (m - keep + 2))
+
+
 def _index(templates: Sequence[tuple[str, str]], p: LicenseParams) -> _Index:
     names = [n for n, _ in templates]
     words = [_words(t.encode()) for _, t in templates]
     hashes, template, offset = [], [], []
+    widths = [max(1, min(p.gram, _run(len(w), p))) for w in words]
     for i, w in enumerate(words):
-        g = _grams(w, min(p.gram, max(len(w), 1)))
+        g = _grams(w, widths[i])
         # every gram of the few templates: a document's fingerprint finds
         # its place whatever the words around the notice are
         hashes.append(g)
@@ -131,7 +142,8 @@ def _index(templates: Sequence[tuple[str, str]], p: LicenseParams) -> _Index:
     return _Index(names, words, h[order],
                   np.concatenate(template)[order] if hashes else h,
                   np.concatenate(offset)[order] if hashes else h,
-                  [len(g) < p.window for g in hashes])
+                  [_run(len(w), p) < p.window + p.gram - 1 for w in words],
+                  widths)
 
 
 def align(template: np.ndarray, text: np.ndarray, diagonal: int, band: int
@@ -174,8 +186,7 @@ MATCH_SCHEMA = ("doc_id long, n_words long, license array<string>, "
 
 
 def _candidates(ix: _Index, g: np.ndarray, p: LicenseParams):
-    """(template, diagonal) pairs that a fingerprint of the text shows; the
-    diagonals of a template closer than the band are one."""
+    """(template, diagonal) pairs that a fingerprint of the text shows."""
     if not len(g) or not len(ix.hashes):
         return []
     at = np.minimum(np.searchsorted(ix.hashes, g), len(ix.hashes) - 1)
@@ -191,27 +202,27 @@ def _candidates(ix: _Index, g: np.ndarray, p: LicenseParams):
             if pos in picked or ix.short[t]:
                 out.append((t, pos - int(ix.offset[k])))
             k += 1
-    out.sort()
-    kept = []
-    for t, d in out:
-        if not kept or kept[-1][0] != t or d - kept[-1][1] > p.band:
-            kept.append((t, d))
-    return kept
+    return sorted(set(out))
 
 
 def _scan_text(ix: _Index, h: np.ndarray, p: LicenseParams) -> list[tuple]:
     """Matches of one text, each stretch given to the template that matches
     most of its words there."""
     found = []
-    for width in sorted({min(p.gram, max(len(w), 1)) for w in ix.words}):
+    for width in sorted(set(ix.widths)):
         g = _grams(h, width)
         for t, d in _candidates(ix, g, p):
             w = ix.words[t]
-            lo = max(0, d - p.band)
-            part = h[lo:d + len(w) + p.band]
-            n, first, last = align(w, part, d - lo, p.band)
-            if n and n >= p.coverage * len(w):
-                found.append((-n, -n / len(w), first + lo, last + lo, t))
+            # beside an accepted span there can be a second one
+            todo = [(max(0, d - p.band), min(len(h), d + len(w) + p.band))]
+            while todo:
+                lo, hi = todo.pop()
+                if hi - lo < p.coverage * len(w):
+                    continue
+                n, first, last = align(w, h[lo:hi], d - lo, p.band)
+                if n and n >= p.coverage * len(w):
+                    found.append((-n, -n / len(w), first + lo, last + lo, t))
+                    todo += [(lo, lo + first), (lo + last, hi)]
     out = []
     for n, c, first, last, t in sorted(set(found)):
         if all(last <= a or first >= b for _, _, a, b, _ in out):
@@ -229,8 +240,7 @@ def _scan(w, p: LicenseParams):
                 rows = [[] for _ in range(b - a)]
                 # one lookup for all texts tells which ones need a look
                 may = np.zeros(b - a, bool)
-                for width in sorted({min(p.gram, max(len(x), 1))
-                                     for x in ix.words}):
+                for width in sorted(set(ix.widths)):
                     g = _grams(h, width)
                     if len(g) and len(ix.hashes):
                         at = np.minimum(np.searchsorted(ix.hashes, g),
