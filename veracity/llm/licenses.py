@@ -43,6 +43,28 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
+    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
+    ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, "
+                "version 2."),
+    ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public "
+                 "License, version 2.1."),
+    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public "
+                 "License, version 3."),
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public "
+                 "License, version 3."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the "
+                "Mozilla Public License, v. 2.0."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this "
+            "software for any purpose with or without fee is hereby granted, "
+            "provided that the above copyright notice and this permission "
+            "notice appear in all copies."),
+    ("GPL-2.0-header",
+     "This program is free software: you can redistribute it and/or modify "
+     "it under the terms of the GNU General Public License as published by "
+     "the Free Software Foundation, either version 2 of the License, or (at "
+     "your option) any later version."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, "
                 "version 3."),
     ("GPL-3.0-header",
@@ -64,6 +86,24 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
      "are met:"),
     ("All-rights-reserved", "All rights reserved."),
 )
+# Words that tell a notice from its relatives: each must stand in the span
+# as it is, without a word between.
+KEYS: dict[str, tuple[str, ...]] = {
+    "Apache-2.0": ("apache license", "2.0"),
+    "Apache-2.0-header": ("apache license", "2.0"),
+    "CC-BY-4.0": ("cc by 4.0",), "CC-BY-NC-4.0": ("cc by nc 4.0",),
+    "CC-BY-SA-4.0": ("cc by sa 4.0",), "CC-BY-ND-4.0": ("cc by nd 4.0",),
+    "CC-BY-NC-SA-4.0": ("cc by nc sa 4.0",),
+    "CC-BY-NC-ND-4.0": ("cc by nc nd 4.0",),
+    "GPL-2.0": ("gnu general public license", "version 2"),
+    "GPL-3.0": ("gnu general public license", "version 3"),
+    "GPL-2.0-header": ("gnu general public license", "version 2"),
+    "GPL-3.0-header": ("gnu general public license", "version 3"),
+    "LGPL-2.1": ("gnu lesser general public license", "version 2.1"),
+    "LGPL-3.0": ("gnu lesser general public license", "version 3"),
+    "AGPL-3.0": ("gnu affero general public license", "version 3"),
+    "MPL-2.0": ("mozilla public license", "2.0"), "MIT": ("mit",),
+}
 # --- end of fixed values ---
 
 
@@ -89,6 +129,7 @@ class _Index:
     offset: np.ndarray
     short: list[bool]       # edits can leave no run that winnowing keeps
     widths: list[int]       # words of a gram, per template
+    keys: list[list[np.ndarray]]    # words that must stand as they are
 
 
 def _words(text: bytes) -> np.ndarray:
@@ -143,7 +184,8 @@ def _index(templates: Sequence[tuple[str, str]], p: LicenseParams) -> _Index:
                   np.concatenate(template)[order] if hashes else h,
                   np.concatenate(offset)[order] if hashes else h,
                   [_run(len(w), p) < p.window + p.gram - 1 for w in words],
-                  widths)
+                  widths, [[_words(k.encode()) for k in KEYS.get(n, ())]
+                           for n in names])
 
 
 def align(template: np.ndarray, text: np.ndarray, diagonal: int, band: int
@@ -205,6 +247,12 @@ def _candidates(ix: _Index, g: np.ndarray, p: LicenseParams):
     return sorted(set(out))
 
 
+def _stands(key: np.ndarray, text: np.ndarray) -> bool:
+    """Whether the words of ``key`` are in ``text``, one after the other."""
+    return any(np.array_equal(text[i:i + len(key)], key)
+               for i in np.flatnonzero(text == key[0]))
+
+
 def _scan_text(ix: _Index, h: np.ndarray, p: LicenseParams) -> list[tuple]:
     """Matches of one text, each stretch given to the template that matches
     most of its words there."""
@@ -221,6 +269,10 @@ def _scan_text(ix: _Index, h: np.ndarray, p: LicenseParams) -> list[tuple]:
                     continue
                 n, first, last = align(w, h[lo:hi], d - lo, p.band)
                 if n and n >= p.coverage * len(w):
+                    span = h[lo + first:lo + last]
+                    if not all(_stands(k, span) for k in ix.keys[t]):
+                        todo.append((lo + first + 1, hi))
+                        continue
                     found.append((-n, -n / len(w), first + lo, last + lo, t))
                     todo += [(lo, lo + first), (lo + last, hi)]
     out = []
