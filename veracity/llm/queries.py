@@ -286,6 +286,58 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return section_table(read_table(spark, sf_dir, "documents"))
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .centroids import cluster_vectors
+    found = cluster_vectors(read_table(spark, sf_dir, "embeddings"))
+    return found.select(
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia",
+        F.sha2(F.array_join(F.col("centroid").cast("array<string>"),
+                             ",").cast("binary"), 256).alias(
+            "centroid_sha256"))
+
+
+def _op11_sql(k: int = 40, rounds: int = 5) -> str:
+    """The rounds written out one after the other."""
+    near = """
+a{r} AS (
+  SELECT vec_id, x, c, d FROM (
+    SELECT v.vec_id, v.x, m.c, list_sum(list_transform(range(1, 65),
+             lambda i: (v.x[i] - m.y[i]) * (v.x[i] - m.y[i])))::BIGINT AS d
+    FROM v CROSS JOIN m{r} m)
+  QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, c) = 1)"""
+    step = """
+s{r} AS (
+  SELECT c, i, sum(e)::HUGEINT AS s, count(*) AS n
+  FROM (SELECT c, unnest(x) AS e, unnest(range(1, 65)) AS i FROM a{r})
+  GROUP BY c, i),
+m{n} AS (
+  SELECT c, y FROM m{r} WHERE c NOT IN (SELECT c FROM a{r})
+  UNION ALL
+  SELECT c, list((CASE WHEN s >= 0 THEN s // n
+                  ELSE -((-s + n - 1) // n) END)::BIGINT ORDER BY i)
+  FROM s{r} GROUP BY c)"""
+    parts = [f"""WITH v AS (
+  SELECT vec_id, list_transform(embedding,
+           lambda e: floor(256 * e::DOUBLE)::BIGINT) AS x
+  FROM embeddings WHERE len(embedding) = 64
+    AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e)))
+        = 0),
+m0 AS (
+  SELECT row_number() OVER (ORDER BY h) - 1 AS c, x AS y FROM (
+    SELECT sha256('2:' || vec_id::VARCHAR) AS h, x FROM v
+    ORDER BY h LIMIT {k}))"""]
+    for r in range(rounds):
+        parts += [near.format(r=r), step.format(r=r, n=r + 1)]
+    parts.append(near.format(r=rounds))
+    return ",".join(parts) + f"""
+SELECT vec_id, a.c::INTEGER AS cluster, d AS distance,
+       (sum(d) OVER (PARTITION BY a.c))::BIGINT AS cluster_inertia,
+       (sum(d) OVER ())::BIGINT AS inertia,
+       sha256(array_to_string(m.y, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN m{rounds} m ON a.c = m.c
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_mix_sources": op2_mix_sources,
@@ -297,6 +349,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_license_scan": op9_license_scan,
     "op10_token_counts": op10_token_counts,
+    "op11_centroid_clusters": op11_centroid_clusters,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -306,4 +359,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_chat_format": OP5_SQL,
     "op6_embedding_dedup": OP6_SQL,
     "op8_decontaminate": OP8_SQL,
+    "op11_centroid_clusters": _op11_sql(),
 }
