@@ -338,6 +338,13 @@ FROM a{rounds} a JOIN m{rounds} m ON a.c = m.c
 """
 
 
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+    return pack(read_table(spark, sf_dir, "documents")).select(
+        "doc_id", "piece", "start", F.col("length").cast("long").alias(
+            "length"), "ids_crc32", "sequence_id", "offset")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_mix_sources": op2_mix_sources,
@@ -350,6 +357,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_license_scan": op9_license_scan,
     "op10_token_counts": op10_token_counts,
     "op11_centroid_clusters": op11_centroid_clusters,
+    "op12_best_fit_packing": op12_best_fit_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
