@@ -345,6 +345,55 @@ def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
             "length"), "ids_crc32", "sequence_id", "offset")
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .collocations import collocations
+    return collocations(read_table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH pieces AS (
+  SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(
+           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                     'abcdefghijklmnopqrstuvwxyz'),
+           '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang, coalesce(text, '') AS text
+        FROM documents)),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM pieces GROUP BY lang),
+counts AS (
+  SELECT lang, size, phrase, count(*) AS f FROM (
+    SELECT lang, size, array_to_string(w[i:i + size - 1], ' ') AS phrase
+    FROM (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i
+          FROM pieces, (VALUES (1), (2), (3), (4)) sizes(size)
+          WHERE len(w) >= size))
+  GROUP BY lang, size, phrase HAVING count(*) >= 30),
+cand AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS w
+         FROM counts WHERE size >= 2),
+cuts AS (
+  SELECT c.lang, c.phrase, c.a, k, l.f AS l, r.f AS r,
+         ((2000000::HUGEINT * c.a) // (l.f + r.f))::BIGINT AS score
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM cand) c
+  JOIN counts l ON l.lang = c.lang AND l.phrase = array_to_string(w[1:k], ' ')
+  JOIN counts r ON r.lang = c.lang
+    AND r.phrase = array_to_string(w[k + 1:c.size], ' ')),
+low AS (
+  SELECT * FROM cuts
+  QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_ AS (
+  SELECT lang, array_to_string(w[i:i + s - 1], ' ') AS phrase, a
+  FROM (SELECT *, unnest(range(1, size - s + 2)) AS i FROM (
+    SELECT *, unnest(range(2, size)) AS s FROM cand WHERE size > 2))),
+covered AS (SELECT lang, phrase, max(a) AS cover FROM inner_ GROUP BY ALL),
+ranked AS (
+  SELECT low.*, row_number() OVER (
+    PARTITION BY low.lang ORDER BY score DESC, a DESC, low.phrase) AS rank
+  FROM low LEFT JOIN covered v
+    ON v.lang = low.lang AND v.phrase = low.phrase
+  WHERE cover IS NULL OR 100 * cover < 80 * a)
+SELECT r.lang, rank, phrase, a, l, r.r, n, score
+FROM ranked r JOIN totals t ON t.lang = r.lang WHERE rank <= 2000
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_mix_sources": op2_mix_sources,
@@ -358,6 +407,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_counts": op10_token_counts,
     "op11_centroid_clusters": op11_centroid_clusters,
     "op12_best_fit_packing": op12_best_fit_packing,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -368,4 +418,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_embedding_dedup": OP6_SQL,
     "op8_decontaminate": OP8_SQL,
     "op11_centroid_clusters": _op11_sql(),
+    "op13_collocations": OP13_SQL,
 }
