@@ -23,29 +23,35 @@ Everything random is a hash, so a fit repeats on any cluster and in SQL:
 * **One feature => a step function**: all trees together are constant
   between consecutive cut points, so the forest compiles into a sorted
   array of at most trees x max_samples breakpoints with one score each.
-  Scoring (A4/A5/A11) is a binary search in an Arrow-batched pandas UDF
-  over a broadcast array; the forest is walked once per batch, not per
-  row per tree.
+  Scoring (A4/A5/A11) is a binary search in the JVM (``Bucketizer``) and
+  a join with the broadcast scores, one row per interval; no Python.
+* **Median** (A2): one quantile sketch brackets both middle ranks, one
+  count of the bracket's values gives them exactly.
 * **Threshold**: scores take one value per interval, so the training
   score distribution is a histogram of at most (breakpoints + 1) counts
   (a partial aggregate), from which the quantile is exact.
+* **Storage** (S16): a versioned folder; a model is replaced by turning
+  one pointer, and its leaves are checked against count and digest.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import key_hash
 from ..params import ForestParams
-from ..sources.files import path_exists
-from .lookup import materialize
+from ..session import delete_path, scratch_path
+from ..sources import publish
 
 EULER_GAMMA = 0.5772156649015329
 # Digits kept of depths and scores, so that sums in another order agree.
@@ -142,29 +148,33 @@ class IsolationForestModel:
             SCORE_PLACES)
 
     # -------------------------------------------------------------- scoring
-    def _udfs(self, spark: SparkSession, fill: float):
-        bc = spark.sparkContext.broadcast((self.steps.breaks, self.scores))
-
-        @F.pandas_udf("double")
-        def anomaly_score(x: pd.Series) -> pd.Series:
-            breaks, scores = bc.value
-            v = x.astype("float64").fillna(fill).to_numpy()
-            return pd.Series(scores[np.searchsorted(breaks, v, side="left")])
-
-        @F.pandas_udf("int")
-        def interval_of(x: pd.Series) -> pd.Series:
-            breaks, _ = bc.value
-            v = x.astype("float64").fillna(fill).to_numpy()
-            return pd.Series(np.searchsorted(breaks, v, side="left")
-                             .astype("int32"))
-
-        return anomaly_score, interval_of
-
-    def score_column(self, spark: SparkSession, col: str | Column,
-                     fill: float | None = None) -> Column:
-        fill = self.params.score_fill if fill is None else fill
-        c = F.col(col) if isinstance(col, str) else col
-        return self._udfs(spark, fill)[0](c.cast("double"))
+    def with_interval(self, df: DataFrame, x: Column, fill: float,
+                      out: str) -> DataFrame:
+        """Add the number of the interval that ``x`` lies in; a null or NaN
+        counts as ``fill``.  The intervals are closed on the right, the
+        splits of ``Bucketizer`` on the left: it searches the negated
+        value among the negated breakpoints and counts from the other end.
+        """
+        m = len(self.steps.breaks)
+        if not m:
+            return df.withColumn(out, F.lit(0))
+        x = x.cast("double")
+        x = F.when(x.isNull() | F.isnan(x), F.lit(float(fill))).otherwise(x)
+        # adding 0.0 turns -0.0 into 0.0
+        splits = [-math.inf, *(-self.steps.breaks[::-1] + 0.0).tolist(),
+                  math.inf]
+        found = Bucketizer(splits=splits, inputCol=out, outputCol=f"{out}_b"
+                           ).transform(df.withColumn(out, -x + F.lit(0.0)))
+        return found.withColumn(out, (F.lit(m) - F.col(f"{out}_b")).cast(
+            "int")).drop(f"{out}_b")
+
+    def scores_frame(self, spark: SparkSession) -> DataFrame:
+        """(__forest_interval, anomaly_score), a row per interval: at most
+        trees x max_samples + 1, so it is always small enough to send."""
+        return spark.createDataFrame(pd.DataFrame({
+            "__forest_interval": np.arange(len(self.scores), dtype="int32"),
+            "anomaly_score": self.scores}),
+            "__forest_interval int, anomaly_score double")
 
     def transform(self, df: DataFrame, feature_col: str | None = None,
                   fill: float | None = None, keep_score: bool = False
@@ -172,13 +182,20 @@ class IsolationForestModel:
         """Add ``is_anomaly`` and ``anomaly_severity``.
 
         severity = score - threshold (positive = anomalous), the negated
-        decision value; a null feature is scored as ``fill`` (0.0).  One
-        Python stage per frame; works on streaming frames too.
+        decision value; a null feature is scored as ``fill`` (0.0).  A
+        search and a broadcast join in the JVM, on streams too.
         """
         feat = feature_col or self.params.feature_col
-        score = self.score_column(df.sparkSession, feat, fill)
-        out = df.withColumn("anomaly_score", score).withColumns({
-            "anomaly_severity": F.col("anomaly_score") - F.lit(self.threshold)})
+        fill = self.params.score_fill if fill is None else fill
+        placed = self.with_interval(df, F.col(feat), fill,
+                                    "__forest_interval")
+        scores = self.scores_frame(df.sparkSession)
+        scored = placed.join(F.broadcast(scores), "__forest_interval", "left")
+        out = scored.select(
+            *[F.col(f"`{c}`") for c in df.columns if c != "anomaly_score"],
+            "anomaly_score",
+            (F.col("anomaly_score") - F.lit(self.threshold)).alias(
+                "anomaly_severity"))
         out = out.withColumn("is_anomaly", F.col("anomaly_severity") > 0)
         return out if keep_score else out.drop("anomaly_score")
 
@@ -189,11 +206,9 @@ class IsolationForestModel:
             "tree long, lo double, hi double, depth double")
 
     def save(self, spark: SparkSession, path: str) -> None:
-        """The model as two small Parquet tables (no pickle).
-
-        ``meta`` is written last: a folder without it is no model."""
-        self.leaves_frame(spark).coalesce(1).write.mode("overwrite").parquet(
-            f"{path}/leaves")
+        """The model as a new generation of a versioned folder (two
+        small Parquet tables, no pickle).  Whoever loads meanwhile, or
+        after a stop in between, gets the model before, whole."""
         p = self.params
         meta = pd.DataFrame([{
             "sample_size": int(self.sample_size),
@@ -202,18 +217,30 @@ class IsolationForestModel:
             "contamination": float(p.contamination),
             "feature_col": p.feature_col, "score_fill": float(p.score_fill),
             "n_trees": int(p.n_trees), "tree_samples": int(p.max_samples),
-            "seed": int(p.seed), "sample_fraction": float(p.sample_fraction)}])
-        spark.createDataFrame(meta).coalesce(1).write.mode("overwrite") \
-            .parquet(f"{path}/meta")
+            "seed": int(p.seed), "sample_fraction": float(p.sample_fraction),
+            "n_leaves": len(self.leaves),
+            "leaves_sha256": leaves_digest(self.leaves)}])
+
+        def write(folder: str) -> None:
+            self.leaves_frame(spark).coalesce(1).write.parquet(
+                f"{folder}/leaves")
+            spark.createDataFrame(meta).coalesce(1).write.parquet(
+                f"{folder}/meta")
+        publish.publish_generation(spark, path, write)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "IsolationForestModel":
-        """Read a saved model.  A path without one raises
-        FileNotFoundError; a damaged model raises what Spark raises."""
-        if not path_exists(spark, f"{path}/meta/_SUCCESS"):
+        """Read the saved model in force.  A path without one raises
+        FileNotFoundError; leaves that aren't those that were saved raise
+        ValueError, unreadable files what Spark raises."""
+        found = publish.current_generation(spark, path)
+        if found is None:
             raise FileNotFoundError(path)
-        meta = spark.read.parquet(f"{path}/meta").first()
-        leaves = spark.read.parquet(f"{path}/leaves").toPandas()
+        meta = spark.read.parquet(f"{found[0]}/meta").first()
+        leaves = spark.read.parquet(f"{found[0]}/leaves").toPandas()
+        if (len(leaves) != meta["n_leaves"]
+                or leaves_digest(leaves) != meta["leaves_sha256"]):
+            raise ValueError(f"{found[0]}: not the leaves that were saved")
         params = ForestParams(
             n_trees=meta["n_trees"], max_samples=meta["tree_samples"],
             contamination=meta["contamination"], seed=meta["seed"],
@@ -223,60 +250,137 @@ class IsolationForestModel:
                    float(meta["threshold"]), float(meta["median"]), params)
 
 
+def leaves_digest(leaves: pd.DataFrame) -> str:
+    """A digest of the leaves, whatever their order."""
+    rows = np.array(sorted(leaves[["tree", "lo", "hi", "depth"]].itertuples(
+        index=False, name=None)), dtype="<f8")
+    return hashlib.sha256(rows.tobytes()).hexdigest()
+
+
 # ------------------------------------------------------------------ fitting
-def training_sample(df: DataFrame, params: ForestParams) -> DataFrame:
-    """A1: (x, h): the feature and the row's 32-bit key hash, for rows with
-    h / 2^32 < fraction, or the ``max_samples`` smallest hashes if those
-    are more.  Without key columns the whole row is hashed; equal rows are
-    then in or out together."""
+def training_rows(df: DataFrame, params: ForestParams) -> DataFrame:
+    """(x, h): the feature, NaN as null, and the row's 32-bit key hash.
+    Without key columns the whole row is hashed; equal rows are then in or
+    out together."""
     keys = list(params.key_cols or df.columns)
-    rows = df.select(F.col(params.feature_col).cast("double").alias("x"),
+    x = F.col(params.feature_col).cast("double")
+    return df.select(F.when(~F.isnan(x), x).alias("x"),
                      key_hash(keys, params.seed, "md5").alias("h"))
+
+
+@contextmanager
+def training_sample(df: DataFrame, params: ForestParams
+                    ) -> Iterator[tuple[DataFrame, "Middle"]]:
+    """A1: the training rows with h / 2^32 < fraction, or the
+    ``max_samples`` smallest hashes if those are more, as a table that
+    lasts as long as the block; and where its middle lies."""
+    spark = df.sparkSession
+    rows = training_rows(df, params)
     cut = int(round(float(params.sample_fraction) * 2 ** 32))
-    sample = materialize(rows.where(F.col("h") < cut))
-    if sample.count() < params.max_samples:
-        sample = materialize(rows.orderBy("h", "x").limit(params.max_samples))
-    return sample
-
-
-def sample_median(sample: DataFrame, col: str = "x") -> float | None:
-    """A2: the exact median of a column, by the same method at any size.
-
-    The values are bracketed by approximate quantiles, counted, and the
-    bracket that holds the middle rank is taken again, until few distinct
-    values are left to count one by one."""
-    x = F.col(col)
-    inside = sample.where(x.isNotNull()).select(x.cast("double").alias("x"))
-    n = inside.count()
-    if not n:
+    paths = []
+
+    def stored(part: DataFrame) -> tuple[DataFrame, Middle]:
+        paths.append(scratch_path(spark, "forest-sample"))
+        part.write.parquet(paths[-1])
+        table = spark.read.schema("x double, h long").parquet(paths[-1])
+        return table, middle_of(table)
+    try:
+        sample, middle = stored(rows.where(F.col("h") < cut))
+        if middle.rows < params.max_samples:
+            sample, middle = stored(rows.orderBy("h", "x").limit(
+                params.max_samples))
+        yield sample, middle
+    finally:
+        for path in paths:
+            delete_path(spark, path)
+
+
+# A sketch of this size misses a rank by less than SKETCH_ERROR of all rows
+# (almost always; the count that follows tells if it didn't).
+SKETCH_SIZE, SKETCH_ERROR = 8192, 0.002
+# Values of a bracket that are counted one by one.
+BRACKET_ROWS = 200_000
+
+
+@dataclass
+class Middle:
+    """A bracket that should hold the middle ranks of a column."""
+
+    rows: int               # all rows
+    values: int             # those with a value
+    low: float | None
+    high: float | None
+
+
+def _value(col: str) -> Column:
+    """The column as a double; NaN is no value."""
+    x = F.col(col).cast("double")
+    return F.when(~F.isnan(x), x).alias("x")
+
+
+def _bracket(n: Column, lo: Column, hi: Column) -> list[Column]:
+    """Aggregates: the sketch's values a little below and above two ranks
+    (as shares of n values)."""
+    sketch = F.kll_sketch_agg_double("x", F.lit(SKETCH_SIZE))
+    return [F.when(n > 0, F.kll_sketch_get_quantile_double(
+        sketch, F.greatest(F.lit(0.0), lo - SKETCH_ERROR))).alias("low"),
+        F.when(n > 0, F.kll_sketch_get_quantile_double(
+            sketch, F.least(F.lit(1.0), hi + SKETCH_ERROR))).alias("high")]
+
+
+def middle_of(rows: DataFrame, col: str = "x") -> Middle:
+    """One aggregate: counts, and a sketch's bracket of the middle."""
+    n = F.count("x")
+    r = rows.select(_value(col)).agg(
+        F.count(F.lit(1)).alias("rows"), n.alias("values"),
+        *_bracket(n, F.lit(0.5), F.lit(0.5))).first()
+    return Middle(r["rows"], r["values"], r["low"], r["high"])
+
+
+def sample_median(sample: DataFrame, col: str = "x",
+                  middle: Middle | None = None) -> float | None:
+    """A2: the exact median of a column's values.
+
+    The bracket's values are counted one by one, with the rows on either
+    side: two aggregates altogether.  Where the bracket holds very many
+    rows, a sketch of its inside narrows it first, by some hundred times
+    each; where the ranks aren't inside, it is widened."""
+    m = middle or middle_of(sample, col)
+    if not m.values:
         return None
+    x = F.col("x")
+    rows = sample.select(_value(col)).where(x.isNotNull())
+    first, last = (m.values - 1) // 2, m.values // 2
+    low, high, inside = m.low, m.high, 2 * SKETCH_ERROR * m.values
 
-    def at(rank: int) -> float:
-        part, before = inside, 0
-        while True:
-            top = (part.groupBy("x").agg(F.count("*").alias("c"))
-                   .orderBy("x").limit(4097).collect())
-            if len(top) <= 4096:
-                for r in top:
-                    before += r["c"]
-                    if before > rank:
-                        return float(r["x"])
-            marks = sorted(set(part.agg(F.percentile_approx(
-                "x", [k / 64 for k in range(65)], 10_000)).first()[0]))
-            below = part.agg(*[F.sum((F.col("x") < m).cast("long"))
-                               .alias(f"b{k}") for k, m in enumerate(marks)]
-                             ).first()
-            k = max(k for k in range(len(marks)) if before + below[k] <= rank)
-            equal = part.where(F.col("x") == marks[k]).count()
-            if before + below[k] + equal > rank:
-                return float(marks[k])
-            before += below[k] + equal
-            high = marks[k + 1] if k + 1 < len(marks) else None
-            part = part.where(F.col("x") > marks[k])
-            if high is not None:
-                part = part.where(F.col("x") <= high)
-    lo, hi = at((n - 1) // 2), at(n // 2)
-    return lo + (hi - lo) / 2 if hi != lo else lo
+    def parted(lo, hi):
+        return F.when(x < lo, -1).when(x > hi, 1).otherwise(0)
+    while True:
+        side = parted(low, high)
+        if inside > BRACKET_ROWS:
+            r = rows.agg(F.count(F.when(side == -1, 1)).alias("below"),
+                         F.count(F.when(side == 0, 1)).alias("n")).first()
+            below, n = r["below"], r["n"]
+            if below <= first and last < below + n:
+                r = rows.where(side == 0).agg(F.count("x").alias("n"), *_bracket(
+                    F.count("x"), F.lit((first - below) / n),
+                    F.lit((last - below) / n))).first()
+                smaller = (r["low"], r["high"]) != (low, high)
+                low, high = r["low"], r["high"]
+                inside = 2 * SKETCH_ERROR * n if smaller else 0
+                continue
+        counted = rows.groupBy(side.alias("side"), F.when(
+            side == 0, x).alias("x")).agg(F.count("*").alias("n")).collect()
+        at = sum(r["n"] for r in counted if r["side"] == -1)
+        found = []
+        for r in sorted((r for r in counted if r["side"] == 0),
+                        key=lambda r: r["x"]):
+            found += [r["x"] for k in (first, last) if at <= k < at + r["n"]]
+            at += r["n"]
+        if len(found) == 2:
+            lo, hi = found
+            return float(lo + (hi - lo) / 2 if hi != lo else lo)
+        low, high, inside = -math.inf, math.inf, m.values
 
 
 # --- fixed values of the tree mix, repeated by the oracle ---
@@ -290,28 +394,14 @@ def tree_hash(h: Column, tree: Column) -> Column:
     return ((h % m1 + tree * a1) * (h % m2 + tree * a2)) % m
 
 
-def _tree_samples(sample: DataFrame, n: int, psi: int,
-                  params: ForestParams) -> DataFrame:
-    """(tree, x): ``psi`` points per tree, a bounded set."""
+def _grow_all(sample: DataFrame, n: int, psi: int, params: ForestParams
+              ) -> pd.DataFrame:
+    """The leaves of all trees, each grown on ``psi`` points: a bounded
+    group per tree, in one query.  Only rows below a cut are copied per
+    tree; should a tree get too few, the cut is widened."""
     trees = F.sequence(F.lit(0).cast("long"),
                        F.lit(params.n_trees - 1).cast("long"))
     w = Window.partitionBy("tree").orderBy("th", "h", "x")
-    share = min(1.0, 4.0 * psi / n)
-    while True:
-        limit = int(share * _MIX[-1])
-        near = F.filter(trees, lambda t: tree_hash(F.col("h"), t) <= limit)
-        rows = (sample.select("h", "x", F.explode(near).alias("tree"))
-                .withColumn("th", tree_hash(F.col("h"), F.col("tree")))
-                .withColumn("r", F.row_number().over(w))
-                .where(F.col("r") <= psi).select("tree", "x"))
-        rows = materialize(rows)
-        if share >= 1.0 or rows.count() == params.n_trees * psi:
-            return rows
-        share = min(1.0, 4 * share)
-
-
-def _grow_all(samples: DataFrame, params: ForestParams, psi: int
-              ) -> pd.DataFrame:
     depth_cap = int(math.ceil(math.log2(max(psi, 2))))
     seed = int(params.seed)
 
@@ -322,11 +412,26 @@ def _grow_all(samples: DataFrame, params: ForestParams, psi: int
         return pd.DataFrame({"tree": tree,
                              "lo": [a for a, _, _ in leaves],
                              "hi": [b for _, b, _ in leaves],
-                             "depth": [d for _, _, d in leaves]})
+                             "depth": [d for _, _, d in leaves],
+                             "points": len(pdf)})
 
-    # at most one leaf per sample point
-    return samples.groupBy("tree").applyInPandas(
-        grow, "tree long, lo double, hi double, depth double").toPandas()
+    share = min(1.0, 4.0 * psi / n)
+    while True:
+        limit = int(share * _MIX[-1])
+        near = F.filter(trees, lambda t: tree_hash(F.col("h"), t) <= limit)
+        rows = (sample.select("h", "x", F.explode(near).alias("tree"))
+                .withColumn("th", tree_hash(F.col("h"), F.col("tree")))
+                .withColumn("r", F.row_number().over(w))
+                .where(F.col("r") <= psi).select("tree", "x"))
+        # at most one leaf per sample point
+        leaves = rows.groupBy("tree").applyInPandas(
+            grow, "tree long, lo double, hi double, depth double, "
+            "points long").toPandas()
+        full = leaves.groupby("tree")["points"].first()
+        if share >= 1.0 or (len(full) == params.n_trees
+                            and (full == psi).all()):
+            return leaves[["tree", "lo", "hi", "depth"]]
+        share = min(1.0, 4 * share)
 
 
 def _quantile_from_histogram(levels: np.ndarray, counts: np.ndarray,
@@ -348,22 +453,19 @@ def fit_isolation_forest(df: DataFrame, params: ForestParams | None = None
     """Fit on a hash sample of ``df``; training nulls take the
     sample median (scoring fills 0.0, as the reference does)."""
     p = params or ForestParams()
-    spark = df.sparkSession
-    sample = training_sample(df, p)
-    n = sample.count()
-    if n == 0:      # nothing to learn: one leaf, and nothing above it
-        leaf = pd.DataFrame([(0, -math.inf, math.inf, 0.0)],
-                            columns=["tree", "lo", "hi", "depth"])
-        return IsolationForestModel(leaf, 0, 0, 1.0, 0.0, p)
-    median = sample_median(sample)
-    filled = sample.withColumn("x", F.coalesce(
-        F.col("x"), F.lit(median if median is not None else 0.0)))
-    psi = min(int(p.max_samples), n)
-    leaves = _grow_all(_tree_samples(filled, n, psi, p), p, psi)
-    model = IsolationForestModel(leaves, n, psi, 0.0, median or 0.0, p)
-    _, interval_of = model._udfs(spark, model.median)
-    hist = (filled.groupBy(interval_of(F.col("x")).alias("j"))
-            .agg(F.count(F.lit(1)).alias("n")).toPandas())
+    with training_sample(df, p) as (sample, middle):
+        n = middle.rows
+        if n == 0:      # nothing to learn: one leaf, and nothing above it
+            leaf = pd.DataFrame([(0, -math.inf, math.inf, 0.0)],
+                                columns=["tree", "lo", "hi", "depth"])
+            return IsolationForestModel(leaf, 0, 0, 1.0, 0.0, p)
+        median = sample_median(sample, middle=middle) or 0.0
+        filled = sample.withColumn("x", F.coalesce("x", F.lit(median)))
+        psi = min(int(p.max_samples), n)
+        leaves = _grow_all(filled, n, psi, p)
+        model = IsolationForestModel(leaves, n, psi, 0.0, median, p)
+        hist = (model.with_interval(filled, F.col("x"), median, "j")
+                .groupBy("j").agg(F.count(F.lit(1)).alias("n")).toPandas())
     levels = model.scores[hist["j"].to_numpy()]
     model.threshold = _quantile_from_histogram(
         levels, hist["n"].to_numpy(), 1.0 - float(p.contamination))

@@ -22,7 +22,7 @@ from ..operators import unify
 from ..params import ForestParams, QualityParams, TrustParams
 from ..operators.lookup import materialize
 from ..session import delete_path, scratch_path
-from ..sources import files
+from ..sources import files, publish
 
 
 def score_records(df: DataFrame, as_of=None,
@@ -57,9 +57,8 @@ def multi_source_job(spark: SparkSession, feeds, as_of=None,
     files.write_parquet(unified, upath)
     unified = spark.read.parquet(upath)
     scored = clean.final_projection(score_records(unified, as_of), True)
-    opath = output_path or scratch_path(spark, "trust_scores")
-    files.write_parquet(scored, opath)
-    out = spark.read.parquet(opath)
+    out = publish.publish_table(
+        spark, output_path or scratch_path(spark, "trust_scores"), [scored])
     counts = materialize(unify.feed_counts(unified))
     if unified_path is None:
         delete_path(spark, upath)
@@ -71,9 +70,8 @@ def single_source_job(spark: SparkSession, unified_path: str, as_of=None,
     df = spark.read.parquet(unified_path)
     scored = clean.final_projection(score_records(df, as_of, fparams=ForestParams(
         sample_fraction=0.05)), False)
-    opath = output_path or scratch_path(spark, "trust_scores")
-    files.write_parquet(scored, opath)
-    return spark.read.parquet(opath)
+    return publish.publish_table(
+        spark, output_path or scratch_path(spark, "trust_scores"), [scored])
 
 
 def analyze_upload(spark: SparkSession, path: str, as_of=None

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.quality import as_of_column
+from . import publish
 from .feeds import FeedMapping, mapping_for_file
 
 
@@ -67,16 +68,15 @@ def write_parquet(df: DataFrame, path: str, mode: str = "overwrite",
     w.parquet(path)
 
 
-def append_feeds(frames: Sequence[DataFrame], path: str) -> DataFrame:
-    """First frame overwrites, the rest append, then re-read.
+def append_feeds(frames: Sequence[DataFrame], path: str,
+                 load_id: str | None = None) -> DataFrame:
+    """The frames as one table in the place of the old one, re-read.
 
-    Columns are aligned by name and cast to the first frame's types before
-    writing, so one folder never holds two types for a column."""
-    first = frames[0]
-    for i, f in enumerate(frames):
-        aligned = f.select(*[F.col(c).cast(t) for c, t in first.dtypes])
-        write_parquet(aligned, path, "overwrite" if i == 0 else "append")
-    return first.sparkSession.read.parquet(path)
+    Columns are aligned by name and cast to the first frame's types, so one
+    folder never holds two types for a column.  The old table stays until
+    all frames are written and counted (``publish.publish_table``)."""
+    return publish.publish_table(frames[0].sparkSession, path, frames,
+                                 load_id)
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
