@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 
 from ..params import QualityParams
 from ..session import scratch_path
+from ..sources.publish import read_published
 from ..streaming.job import (StreamingPipelineConfig, build_stream,
-                             with_watermark)
+                             window_counts, with_watermark)
+from ..streaming.late import accepted_stream, gate_late_records, late_records
 from ..streaming.sinks import create_output_sink
 from ..streaming.state import exact_stream_reputation, rocksdb_state
+from ..streaming.windows import keyed_sink, read_latest
 from . import oracle as O
 from . import testdata as td
 from .catalog import register
@@ -139,6 +142,83 @@ def sliding_columns(stream: DataFrame) -> DataFrame:
         "anomalies_in_window", "total_in_window", "source_reputation")
 
 
+@register("stream_late_records", f"""
+WITH {_FLAGGED}
+SELECT q.row_key, q.source_id, q."timestamp",
+  CASE WHEN q.row_key % {LATE_KEY} = 0
+         AND q."timestamp" < TIMESTAMP '{LATE_BEFORE}' THEN 'late'
+       WHEN q."timestamp" IS NULL THEN 'no time'
+       WHEN s.window_end <= {_WM} THEN 'scored' ELSE 'open' END AS fate
+FROM q LEFT JOIN ({SLIDING_SQL}) AS s ON s.row_key = q.row_key""")
+def q_stream_late_records(spark, sf_dir):
+    """ST1: what becomes of every input record of the six micro-batches:
+    late (in the side table), scored, waiting for its window, or without a
+    time."""
+    parts = scratch_path(spark, "event-parts")
+    write_event_parts(spark, sf_dir, parts)
+    gate = scratch_path(spark, "gate")
+    stream = events_stream(spark, sf_dir, parts)
+    gate_late_records(stream, gate, scratch_path(spark, "gate-ckpt"),
+                      available_now=True).awaitTermination()
+    accepted = accepted_stream(spark, gate, stream.schema, 1)
+    scored = run_to_table(spark, sliding_columns(accepted), "gate-scored")
+    late = late_records(spark, gate, stream.schema).select(
+        "row_key", F.lit("late").alias("fate"))
+    fate = late.unionByName(scored.select("row_key", F.when(
+        F.col("window_end").isNull(), "no time").otherwise("scored").alias(
+            "fate")))
+    rec = td.events_feed(spark, sf_dir, with_key=True).select(
+        "row_key", "source_id", "timestamp")
+    return rec.join(fate, "row_key", "left").withColumn(
+        "fate", F.coalesce("fate", F.lit("open")))
+
+
+def _windows_sql(events: str) -> str:
+    """Every hopping window of an hour, ten minutes apart."""
+    return f"""
+WITH b AS (SELECT source_id, CAST(floor(epoch("timestamp") / 600) AS BIGINT)
+    AS b, SUM(CASE WHEN COALESCE(amount, 0.0) > 150.0 THEN 1 ELSE 0 END) AS a,
+    COUNT(*) AS n FROM ({events})
+  WHERE "timestamp" IS NOT NULL AND source_id IS NOT NULL
+  GROUP BY ALL),
+w AS (SELECT source_id, unnest(range(b + 1, b + 7)) AS e, a, n FROM b)
+SELECT make_timestamp((e - 6) * 600000000) AS window_start,
+  make_timestamp(e * 600000000) AS window_end, source_id,
+  SUM(a)::BIGINT AS anomalies_in_window, SUM(n)::BIGINT AS total_in_window
+FROM w GROUP BY e, source_id"""
+
+
+def _window_table(spark, sf_dir, mode: str) -> DataFrame:
+    parts = scratch_path(spark, "event-parts")
+    write_event_parts(spark, sf_dir, parts)
+    flagged = with_watermark(stream_flags(events_stream(spark, sf_dir, parts)))
+    wins = window_counts(flagged).select(
+        F.col("win.start").alias("window_start"),
+        F.col("win.end").alias("window_end"), "source_id",
+        "anomalies_in_window", "total_in_window")
+    keys = ["window_start", "window_end", "source_id"]
+    path = scratch_path(spark, f"windows-{mode}")
+    keyed_sink(wins, path, scratch_path(spark, "windows-ckpt"), mode, keys,
+               available_now=True, compact_every=4).awaitTermination()
+    if mode == "update":
+        return read_latest(spark, path, wins.schema, keys)
+    return read_published(spark, path)
+
+
+@register("stream_window_update", _windows_sql(_IN_TIME))
+def q_stream_window_update(spark, sf_dir):
+    """ST3, update mode: changed windows merged into a table batch by
+    batch; late records change nothing."""
+    return _window_table(spark, sf_dir, "update")
+
+
+@register("stream_window_complete", _windows_sql(O.events_sql(True)))
+def q_stream_window_complete(spark, sf_dir):
+    """ST3, complete mode: all windows after every batch; nothing closes,
+    so no record is late."""
+    return _window_table(spark, sf_dir, "complete")
+
+
 EXACT_SQL = f"""WITH {_FLAGGED},
 k AS (SELECT *, CAST(floor(epoch("timestamp")) AS BIGINT) AS sec FROM q
       WHERE "timestamp" IS NOT NULL),

@@ -55,6 +55,11 @@ def names(spark: SparkSession, folder: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(p))
 
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    fs.mkdirs(p)
+
+
 def rename(spark: SparkSession, old: str, new: str) -> None:
     """Move a folder or file to a name that is free."""
     fs, p = _fs(spark, old)
@@ -218,8 +223,7 @@ def append_once(df: DataFrame, path: str, load_id: str) -> DataFrame:
                 delete(spark, f"{path}/{n}")
         stage = f"{path}/_stage-{load_id}"
         rows = write_counted(df, stage, "overwrite")
-        fs, p = _fs(spark, f"{path}/_loads")
-        fs.mkdirs(p)
+        make_folder(spark, f"{path}/_loads")
         for n in names(spark, stage):
             if n.startswith("part-"):
                 rename(spark, f"{stage}/{n}", f"{path}/{prefix}{n}")

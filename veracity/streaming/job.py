@@ -29,6 +29,7 @@ from ..operators import clean, quality, reputation, trust
 from ..operators.forest import IsolationForestModel
 from ..params import QualityParams, TrustParams
 from ..sources import messages
+from .settings import settle
 from .sinks import create_output_sink
 from .state import exact_stream_reputation, rocksdb_state
 
@@ -56,6 +57,8 @@ class StreamingPipelineConfig:
     reputation_mode: str = "sliding"
     include_intermediate: bool = False
     max_offsets_per_trigger: int | None = None
+    # go on from a checkpoint that has no record of its settings
+    adopt_settings: bool = False
 
 
 def with_watermark(df: DataFrame, delay: str = "10 minutes",
@@ -78,6 +81,21 @@ def score_stream(df: DataFrame, model, config: StreamingPipelineConfig,
     return model.transform(q, feature_col=qp.amount_col)
 
 
+def window_counts(df: DataFrame, window_seconds: int = 3600,
+                  slide_seconds: int = 600, source_col: str = "source_id",
+                  ts_col: str = "timestamp",
+                  flag_col: str = "is_anomaly") -> DataFrame:
+    """ST5: (win, source, anomalies_in_window, total_in_window) of every
+    hopping window; records without a source or timestamp are in none."""
+    return (df.where(F.col(ts_col).isNotNull() & F.col(source_col).isNotNull())
+            .groupBy(F.window(ts_col, f"{window_seconds} seconds",
+                              f"{slide_seconds} seconds").alias("win"),
+                     F.col(source_col))
+            .agg(F.sum(F.col(flag_col).cast("long"))
+                 .alias("anomalies_in_window"),
+                 F.count(F.lit(1)).alias("total_in_window")))
+
+
 def sliding_stream_reputation(df: DataFrame, window_duration="1 hour",
                               sliding_duration="10 minutes",
                               source_col: str = "source_id",
@@ -93,25 +111,24 @@ def sliding_stream_reputation(df: DataFrame, window_duration="1 hour",
     """
     W = reputation.parse_duration(window_duration)
     S = reputation.parse_duration(sliding_duration)
+    if W % S:
+        raise ValueError("window must be a multiple of the slide")
     placed = df.where(F.col(ts_col).isNotNull()
                       & F.col(source_col).isNotNull())
-    wins = (placed.groupBy(F.window(ts_col, f"{W} seconds", f"{S} seconds")
-                           .alias("win"), F.col(source_col).alias("__src"))
-            .agg(F.sum(F.col("is_anomaly").cast("long"))
-                 .alias("anomalies_in_window"),
-                 F.count(F.lit(1)).alias("total_in_window"))
+    # a window goes by its last slide, so a record has one key, not W / S
+    wins = (window_counts(df, W, S, source_col, ts_col)
+            .withColumn("__last", F.struct(
+                (F.col("win.end") - F.expr(f"INTERVAL {S} SECONDS")).alias(
+                    "start"), F.col("win.end").alias("end")))
+            .withColumnRenamed(source_col, "__src")
             .withColumn("__wsalt", F.explode(F.sequence(
                 F.lit(0), F.lit(salts - 1)))))
     recs = (placed.withColumn("__salt", F.pmod(
                 F.xxhash64(*df.columns), F.lit(salts)).cast("int"))
-            .withColumn("win", F.window(ts_col, f"{W} seconds",
-                                        f"{S} seconds"))
-            .where((F.col("win.end") > F.col(ts_col))
-                   & (F.col("win.end") <= F.col(ts_col)
-                      + F.expr(f"INTERVAL {S} SECONDS")))
+            .withColumn("__slide", F.window(ts_col, f"{S} seconds"))
             .withColumn("__t", F.unix_micros(F.col(ts_col).cast("timestamp")))
             .drop(ts_col))
-    joined = recs.join(wins, (recs["win"] == wins["win"])
+    joined = recs.join(wins, (recs["__slide"] == wins["__last"])
                        & (recs[source_col] == wins["__src"])
                        & (recs["__salt"] == wins["__wsalt"]), "inner")
     joined = (joined.select(
@@ -121,7 +138,7 @@ def sliding_stream_reputation(df: DataFrame, window_duration="1 hour",
         wins["win.start"].alias("window_start"),
         wins["win.end"].alias("window_end"))
         .withColumn(ts_col, F.timestamp_micros("__t"))
-        .drop("__t", "win", "__salt"))
+        .drop("__t", "__slide", "__salt"))
     rest = df.where(F.col(ts_col).isNull() | F.col(source_col).isNull())
     rest = rest.select(
         *df.columns, F.lit(None).cast("long").alias("anomalies_in_window"),
@@ -163,8 +180,12 @@ def create_streaming_pipeline(spark: SparkSession,
                               available_now: bool = False,
                               as_of=None) -> StreamingQuery:
     """ST7: source (Kafka by default, or any parsed streaming frame),
-    scoring chain, sink with checkpoint; returns the running query."""
+    scoring chain, sink with checkpoint; returns the running query.
+
+    On a checkpoint that has run before, the settings of its state hold
+    (ST4, ``settings.settle``)."""
     cfg = config or StreamingPipelineConfig()
+    cfg = settle(spark, cfg, cfg.adopt_settings)
     m = model or IsolationForestModel.load(spark, cfg.model_path)
     if cfg.reputation_mode == "micro_batch":
         return _micro_batch_pipeline(spark, cfg, m, source, available_now,
@@ -192,13 +213,16 @@ def _micro_batch_pipeline(spark, cfg, model, source, available_now, as_of):
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         batch.persist()     # read twice: the sources' counts, the records
-        r = reputation.compute_source_reputation_batch_reference(batch)
-        out = trust.compute_trust_score(r, TrustParams.streaming(), as_of)
-        # one folder per batch, overwritten on a retry: exactly-once output
-        (clean.prepare_output_columns(out, cfg.include_intermediate)
-         .write.mode("overwrite").format(cfg.output_format)
-         .save(f"{cfg.output_path}/batch_id={batch_id}"))
-        batch.unpersist()
+        try:
+            r = reputation.compute_source_reputation_batch_reference(batch)
+            out = trust.compute_trust_score(r, TrustParams.streaming(), as_of)
+            # one folder per batch, overwritten on a retry: exactly-once
+            # output
+            (clean.prepare_output_columns(out, cfg.include_intermediate)
+             .write.mode("overwrite").format(cfg.output_format)
+             .save(f"{cfg.output_path}/batch_id={batch_id}"))
+        finally:
+            batch.unpersist()
 
     w = (scored.writeStream.foreachBatch(per_batch)
          .option("checkpointLocation", cfg.checkpoint_dir))

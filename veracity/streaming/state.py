@@ -2,8 +2,9 @@
 
 Records are counted per (source, second) by a windowed aggregate, which
 hands out a second once the watermark has passed it.  Keyed state per
-source holds nothing but the counts of the last ``window`` seconds and
-adds up each new second's trailing window.  The sums, copied ``salts``
+source holds nothing but the counts of the last ``window`` seconds, in
+chunks of some minutes, adds up each new second's trailing window, and
+expires by a timer when the source falls silent.  The sums, copied ``salts``
 times, are joined back to the records on (source, second, salt) by a
 stream-stream join, so records keep their types, never pass through the
 keyed state, and a source with most of the records is spread over
@@ -43,24 +44,42 @@ def rocksdb_state(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(PROVIDER_KEY, old)
 
 
+# Seconds of one entry of a source's state.
+CHUNK_SECONDS = 600
+
+
 class TrailingSums(StatefulProcessor):
-    """Per source: rows and anomalies of the seconds in [t - W, t]."""
+    """Per source: rows and anomalies of the seconds in [t - W, t].
+
+    The state is a map of time chunks to the counts of their seconds: a
+    batch rewrites the chunks it touches and removes those that no window
+    reaches any more.  A timer a window after the source's last second
+    clears what is left, so a source that has gone silent holds nothing.
+    """
 
     def __init__(self, window_seconds: int):
         self.window = int(window_seconds)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.counts = handle.getValueState(
-            "counts", "sec array<long>, n array<long>, a array<long>")
+        self.handle = handle
+        self.counts = handle.getMapState(
+            "counts", "chunk long",
+            "sec array<long>, n array<long>, a array<long>")
+
+    def _held(self) -> dict[int, tuple]:
+        return {int(k[0]): v for k, v in self.counts.iterator()}
 
     def handleInputRows(self, key, rows, timerValues
                         ) -> Iterator[pd.DataFrame]:
         # the aggregate hands out seconds in the watermark's order, so all
         # earlier seconds of the source have been here
         new = pd.concat(list(rows)).sort_values("sec")
-        held = self.counts.get() if self.counts.exists() else ((), (), ())
-        sec, n, a = (np.r_[np.array(h, np.int64), new[c].to_numpy(np.int64)]
-                     for h, c in zip(held, ("sec", "n", "a"), strict=True))
+        held = self._held()
+        old = [held[c] for c in sorted(held)]
+        sec, n, a = (np.concatenate(
+            [*[np.array(v[i], np.int64) for v in old],
+             new[c].to_numpy(np.int64)]) for i, c in enumerate(
+                 ("sec", "n", "a")))
         sum_n, sum_a = np.r_[0, np.cumsum(n)], np.r_[0, np.cumsum(a)]
         t = new["sec"].to_numpy(np.int64)
         lo = np.searchsorted(sec, t - self.window, "left")
@@ -68,9 +87,27 @@ class TrailingSums(StatefulProcessor):
         yield pd.DataFrame({
             "src": [key[0]] * len(t), "second": new["second"].to_numpy(),
             "wa": sum_a[hi] - sum_a[lo], "wn": sum_n[hi] - sum_n[lo]})
-        keep = sec >= sec[-1] - self.window
-        self.counts.update((sec[keep].tolist(), n[keep].tolist(),
-                            a[keep].tolist()))
+        last = int(sec[-1])
+        chunk = sec // CHUNK_SECONDS
+        alive = (last - self.window) // CHUNK_SECONDS
+        for c in held:
+            if c < alive:
+                self.counts.removeKey((c,))
+        for c in np.unique(t // CHUNK_SECONDS):
+            if c >= alive:
+                here = chunk == c
+                self.counts.updateValue((int(c),), (
+                    sec[here].tolist(), n[here].tolist(), a[here].tolist()))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer((last + self.window + 1) * 1000)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo
+                           ) -> Iterator[pd.DataFrame]:
+        # seconds to come are not before the watermark: no window of theirs
+        # reaches back to what is held
+        self.counts.clear()
+        return iter(())
 
     def close(self) -> None:
         pass
