@@ -31,8 +31,10 @@ def test_train_then_score_then_stream(spark, tmp_path):
     assert m.sample_size >= 256
 
     out = str(tmp_path / "scores")
-    assert score.main(["--feeds", str(tmp_path / "feeds"), "--output", out,
-                       "--as-of", "2024-02-01 00:00:00"], spark) == 0
+    given = ["--feeds", str(tmp_path / "feeds"), "--output", out,
+             "--as-of", "2024-02-01 00:00:00"]
+    assert score.main(given, spark) == 1        # three feeds are absent
+    assert score.main([*given, "--allow-missing"], spark) == 0
     rows = spark.read.parquet(out)
     assert rows.count() == 400 and len(rows.columns) == 13
     assert "007" in {r.user_id for r in rows.select("user_id").collect()}
@@ -55,8 +57,8 @@ def test_missing_input_and_columns(spark, tmp_path):
     spark.range(3).write.option("header", "true").csv(str(tmp_path / "x.csv"))
     assert train.main(["--input", str(tmp_path / "x.csv"), "--output",
                        model], spark) == 1
-    assert score.main(["--feeds", str(tmp_path), "--output", model],
-                      spark) == 1
+    assert score.main(["--feeds", str(tmp_path), "--output", model,
+                       "--allow-missing"], spark) == 1
 
 
 def test_write_errors_surface(spark, tmp_path, monkeypatch):

@@ -68,6 +68,31 @@ def test_chunked_ema_equals_one_fold(spark):
     assert all(a[k] == pytest.approx(b[k]) for k in a)
 
 
+@pytest.mark.parametrize("alpha", [0.001, 0.3, 0.9, 0.999, 1.0])
+def test_ema_is_the_recurrence(spark, alpha):
+    """Long series, gaps, a null source, a source with one bucket."""
+    rows = [(i, "s" if i % 5 else None, 600 * (i + i // 97 * 4000),
+             i % 7 in (0, 3)) for i in range(6000)]
+    rows += [(9000, "one", 600, True)]
+    df = _frame(spark, rows)
+    out = R.compute_source_reputation_exponential_moving_average(
+        df, alpha).collect()
+    got = {r.row_key: r.ema_anomaly_rate for r in out}
+    for source in ("s", None, "one"):
+        value = None
+        for key, _, _, flag in (r for r in rows if r[1] == source):
+            value = float(flag) if value is None else (
+                alpha * flag + (1 - alpha) * value)
+            assert got[key] == pytest.approx(value, rel=1e-9, abs=1e-12)
+
+
+def test_ema_stays_in_the_jvm(spark):
+    from veracity.plans.catalog_windows import q_ema_reputation
+    plan = q_ema_reputation(spark, "/root/testdata/sf0.001"
+                            )._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan
+
+
 def test_broadcast_is_decided_by_bytes(spark):
     from veracity.operators.lookup import lookup_join, table_bytes
     big = spark.range(50).select("id", F.repeat(F.lit("x"), 1000).alias("s"))

@@ -27,6 +27,9 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--available-now", action="store_true",
                    help="process what is there, then stop")
     p.add_argument("--all-columns", action="store_true")
+    p.add_argument("--adopt-settings", action="store_true",
+                   help="go on from a checkpoint without a record of its "
+                        "settings: those given are the ones it ran with")
     return p
 
 
@@ -38,7 +41,8 @@ def main(argv: list[str] | None = None,
         model_path=args.model, output_path=args.output,
         checkpoint_dir=args.checkpoint, reputation_mode=args.mode,
         kafka_bootstrap_servers=args.bootstrap_servers,
-        kafka_topic=args.topic, include_intermediate=args.all_columns)
+        kafka_topic=args.topic, include_intermediate=args.all_columns,
+        adopt_settings=args.adopt_settings)
     source = None
     if args.messages:
         source = messages.prepare_ingestion_fields(

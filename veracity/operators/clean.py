@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.quality import as_of_column
+from .numbering import first_rows
+
 
 def _text(df: DataFrame, name: str, absent: str | None) -> F.Column:
     """Trimmed text; a null cell reads as '' (the CSV reader's empty)."""
@@ -59,12 +61,13 @@ def replay_slice(df: DataFrame, row_col: str, start_row: int = 0,
                  max_records: int | None = None, as_of=None) -> DataFrame:
     """Skip rows before ``start_row``, then the first ``max_records``
     good rows in row order (0 or None: all).  Rejected rows do not count.
-    The cap is the feature here; Spark plans it as a per-partition top-n
-    followed by one small merge."""
+    The cap is the feature here; ``numbering.first_rows`` keeps a large one
+    distributed.  ``sources.files.read_csv_rows`` numbers the rows of a
+    file."""
     good = clean_records(df.where(F.col(row_col) >= start_row), as_of,
                          keep=(row_col,))
     if max_records:
-        good = good.orderBy(row_col).limit(int(max_records))
+        good = first_rows(good, row_col, int(max_records))
     return good
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import key_hash
 from ..functions.trust import rate_alert, severity_level, trust_band
 from ..params import ALERT_RATE, HIGH_SEVERITY
+from .numbering import first_rows
 
 
 
@@ -146,10 +147,11 @@ def hash_sample(df: DataFrame, fraction: float, key_cols: Sequence[str],
 def exact_sample(df: DataFrame, n: int, key_cols: Sequence[str],
                  seed: int = 42, method: str = "xxhash64") -> DataFrame:
     """Exactly ``min(n, rows)`` rows, the ones with the smallest key
-    hashes (a per-partition top-n and one merge of n rows per task)."""
+    hashes (ties by the key).  A large n is a filter, not a merge
+    (``numbering.first_rows``)."""
     h = key_hash(key_cols, seed, method)
-    return (df.withColumn("__h", h).orderBy("__h", *key_cols).limit(int(n))
-            .drop("__h"))
+    return first_rows(df.withColumn("__h", h), "__h", int(n), key_cols
+                      ).drop("__h")
 
 
 def persist_scored(df: DataFrame) -> DataFrame:

@@ -11,8 +11,8 @@ holds most of the rows.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -194,79 +194,79 @@ def compute_sliding_reputation(df: DataFrame, window_duration="1 hour",
 
 
 # ---------------------------------------------------------------- EMA
+# Powers of the weights stay within a double's range in a chunk.
+_EMA_DIGITS, _EMA_CHUNK = 280.0, 1024
+
+
+def _ema_chunk(alpha: float, most: int) -> int:
+    """Buckets of a chunk: (1 - alpha)^-chunk is still a number."""
+    return max(1, min(most, int(
+        _EMA_DIGITS / -math.log10(1.0 - alpha))))
+
+
 def compute_source_reputation_exponential_moving_average(
         df: DataFrame, alpha: float = 0.3, bucket_duration="10 minutes", *,
         source_col: str = "source_id", flag_col: str = "is_anomaly",
-        ts_col: str = "timestamp", chunk_buckets: int = 8192,
+        ts_col: str = "timestamp", chunk_buckets: int = _EMA_CHUNK,
         max_broadcast_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
     """R3 as documented: exponentially smoothed anomaly rate per source.
 
     rate_b = anomalies / rows of time bucket b; ema_1 = rate_1,
     ema_b = alpha * rate_b + (1 - alpha) * ema_(b-1) over the source's
     non-empty buckets in time order; reputation = 1 - ema of the record's
-    bucket.  Records are first reduced per (source, bucket).  The
-    recurrence is linear, so a chunk of ``chunk_buckets`` buckets as a
-    whole is one (scale, offset); these, a row per chunk, are chained per
-    source, and each chunk is then folded from the value carried into it.
-    Null timestamps get a null reputation.
+    bucket.  Records are first reduced per (source, bucket).
+
+    The recurrence is linear: with q = 1 - alpha the k-th value of a time
+    chunk is q^k in + q^k sum(alpha rate_j q^-j), a prefix sum in a window
+    of one chunk.  What comes into a chunk is folded over the source's
+    chunks, a row each.  Null timestamps get a null reputation.
     """
     S = parse_duration(bucket_duration)
     a = float(alpha)
+    if not 0.0 < a <= 1.0:
+        raise ValueError("alpha must be above 0 and at most 1")
+    q = F.lit(1.0 - a)
     bucket = F.floor(epoch_seconds(ts_col) / S)
-    series = (df.select(source_col, bucket.alias("__b"),
-                        F.col(flag_col).cast("int").alias("__a"))
-              .where(F.col("__b").isNotNull())
-              .groupBy(source_col, "__b")
-              .agg((F.sum("__a") / F.count(F.lit(1))).alias("__rate")))
-    series = materialize(series.select(
-        F.col(source_col).alias("__src"), "__b", "__rate",
-        F.floor(F.col("__b") / chunk_buckets).alias("__chunk")))
-
-    def ema(rates, value):
-        out = []
-        for rate in rates:
-            value = rate if value is None else a * rate + (1.0 - a) * value
-            out.append(value)
-        return out
-
-    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-        rates = pdf.sort_values("__b")["__rate"]
-        return pd.DataFrame({
-            "__src": pdf["__src"].iloc[:1], "__chunk": pdf["__chunk"].iloc[:1],
-            "__scale": (1.0 - a) ** len(pdf), "__offset": ema(rates, 0.0)[-1],
-            "__end": ema(rates, None)[-1]})
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__chunk")
-        carried, value = [], None
-        for scale, offset, end in zip(pdf["__scale"], pdf["__offset"],
-                                      pdf["__end"]):
-            carried.append(value)
-            value = end if value is None else scale * value + offset
-        return pd.DataFrame({"__src": pdf["__src"], "__chunk": pdf["__chunk"],
-                             "__in": np.array(carried, float)})
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__b")
-        value = pdf["__in"].iloc[0]
-        return pd.DataFrame({
-            source_col: pdf["__src"], "__b": pdf["__b"],
-            "ema_anomaly_rate": ema(pdf["__rate"], None if pd.isna(value)
-                                    else float(value))})
-
-    chained = series.groupBy("__src", "__chunk").applyInPandas(
-        whole, "__src string, __chunk long, __scale double, "
-        "__offset double, __end double").groupBy("__src").applyInPandas(
-        chain, "__src string, __chunk long, __in double")
-    chained = chained.select(F.col("__src").alias("__s"),
-                             F.col("__chunk").alias("__c"), "__in")
-    smoothed = series.join(
-        chained, F.col("__src").eqNullSafe(F.col("__s"))
-        & (F.col("__chunk") == F.col("__c"))).drop("__s", "__c")
-    smoothed = smoothed.groupBy("__src", "__chunk").applyInPandas(
-        fold, f"`{source_col}` string, __b long, ema_anomaly_rate double")
-    lookup = smoothed.withColumn("source_reputation",
-                                 1.0 - F.col("ema_anomaly_rate"))
+    rates = (df.select(F.col(source_col).alias("__src"), bucket.alias("__b"),
+                       F.col(flag_col).cast("int").alias("__a"))
+             .where(F.col("__b").isNotNull())
+             .groupBy("__src", "__b")
+             .agg((F.sum("__a") / F.count(F.lit(1))).alias("__rate")))
+    if a == 1.0:
+        smooth = rates.select("__src", "__b", F.col("__rate").alias("__ema"))
+    else:
+        chunk = F.floor(F.col("__b") / _ema_chunk(a, chunk_buckets))
+        w = Window.partitionBy("__src", "__chunk").orderBy("__b")
+        k = F.col("__k")
+        local = materialize(
+            rates.withColumn("__chunk", chunk)
+            .withColumn("__k", F.row_number().over(w))
+            .withColumn("__own", F.pow(q, k) * F.sum(
+                F.col("__rate") * a * F.pow(q, -k)).over(w)))
+        chunks = local.groupBy("__src", "__chunk").agg(
+            F.max_by("__own", "__k").alias("end"), F.max("__k").alias("n"),
+            F.min_by("__rate", "__k").alias("first"))
+        # a source's first value stands for what comes into its first chunk
+        listed = chunks.groupBy("__src").agg(F.sort_array(F.collect_list(
+            F.struct("__chunk", "end", "n", "first"))).alias("cs"))
+        start = F.struct(
+            F.element_at("cs", 1)["first"].alias("value"),
+            F.array().cast("array<double>").alias("into"))
+        into = F.aggregate("cs", start, lambda s, c: F.struct(
+            (c["end"] + F.pow(q, c["n"]) * s["value"]).alias("value"),
+            F.concat(s["into"], F.array(s["value"])).alias("into")))["into"]
+        into = listed.select("__src", F.explode(F.arrays_zip(
+            F.col("cs.__chunk").alias("__chunk"), into.alias("__in"))
+            ).alias("z")).select("__src", "z.__chunk", "z.__in")
+        smooth = lookup_join(
+            local, into, ["__src", "__chunk"], null_safe=True,
+            max_broadcast_bytes=max_broadcast_bytes).select(
+            "__src", "__b", (F.col("__own") + F.pow(q, k) * F.col("__in"))
+            .alias("__ema"))
+    lookup = smooth.select(
+        F.col("__src").alias(source_col), "__b",
+        F.col("__ema").alias("ema_anomaly_rate"),
+        (1.0 - F.col("__ema")).alias("source_reputation"))
     keyed = df.withColumn("__b", bucket)
     return lookup_join(keyed, lookup, [source_col, "__b"], null_safe=True,
                        max_broadcast_bytes=max_broadcast_bytes).drop("__b")

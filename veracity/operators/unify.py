@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.parsing import parse_timestamp
@@ -19,6 +19,7 @@ from ..params import UNIFIED_COLUMNS
 from ..sources.feeds import (ADHOC_ID_NAMES, ADHOC_NO_AMOUNT, ADHOC_SOURCE,
                              ADHOC_TEXT_DEFAULT, PERMISSIVE_MISSING_PREFIX,
                              PERMISSIVE_UNKNOWN_TAG, FeedMapping)
+from .numbering import with_row_id
 
 _NUMERIC_PREFIXES = ("int", "bigint", "smallint", "tinyint", "double",
                      "float", "decimal", "long")
@@ -37,13 +38,18 @@ def _source(df: DataFrame, spec) -> Column | None:
     return present[0] if len(present) == 1 else F.coalesce(*present)
 
 
-def _surrogate_id(df: DataFrame, prefix: str = "") -> Column:
-    """Unique generated id: the row's hash and a number among equal rows,
-    so it stays the same when the rows are read again."""
-    key = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
-    number = F.row_number().over(Window.partitionBy(key).orderBy(key))
-    return F.concat(F.lit(prefix), F.lower(F.hex(key)), F.lit("-"),
-                    number.cast("string"))
+ROW_ID = "__row_id"
+
+
+def _needs_id(df: DataFrame, m: FeedMapping) -> bool:
+    return m.surrogate_user_id or (
+        m.surrogate_if_missing is not None and "user_id" not in m.constants
+        and _source(df, m.columns.get("user_id", "user_id")) is None)
+
+
+def _identified(df: DataFrame, m: FeedMapping) -> DataFrame:
+    """Rows with a generated id where the mapping asks for one."""
+    return with_row_id(df, ROW_ID) if _needs_id(df, m) else df
 
 
 def typed_unified(user_id: Column, amount: Column, city: Column,
@@ -72,11 +78,9 @@ def _mapped(df: DataFrame, m: FeedMapping, missing_literal: bool = False
             c = F.lit(m.constants[target])
         elif target in m.columns:
             c = _source(df, m.columns[target])
-        if target == "user_id":
-            if m.surrogate_user_id:
-                c = _surrogate_id(df)
-            elif c is None and m.surrogate_if_missing is not None:
-                c = _surrogate_id(df, m.surrogate_if_missing)
+        if target == "user_id" and ROW_ID in df.columns:
+            prefix = "" if m.surrogate_user_id else m.surrogate_if_missing
+            c = F.concat(F.lit(prefix), F.col(ROW_ID))
         if target in m.defaults:
             c = (F.lit(m.defaults[target]) if c is None
                  else F.coalesce(c.cast("string"), F.lit(m.defaults[target])))
@@ -91,6 +95,7 @@ def map_feed(df: DataFrame, mapping: FeedMapping, keep=()) -> DataFrame:
     """Rename onto the unified record, tag the source, cast.
 
     ``keep`` passes extra columns (a row key) through in front."""
+    df = _identified(df, mapping)
     c = _mapped(df, mapping)
     return df.select(*keep, *typed_unified(
         c["user_id"], c["amount"], c["city"], c["timestamp"], c["source_id"],
@@ -138,6 +143,7 @@ def unify_strict(df: DataFrame, mapping: FeedMapping) -> DataFrame:
     raw values is dropped, then the timestamp text is parsed (an
     unparsable one stays as a null timestamp, as in the reference order).
     """
+    df = _identified(df, mapping)
     c = _mapped(df, mapping)
     raw = df.select(*[c[t].cast("string").alias(t) if t != "amount"
                       else c[t].alias(t) for t in UNIFIED_COLUMNS]).dropna()
@@ -159,6 +165,7 @@ def unify_permissive(df: DataFrame, mapping: FeedMapping | None,
     m = replace(m, columns={
         t: (*_names(m.columns.get(t, ())), t)
         for t in UNIFIED_COLUMNS if t != "source_id"})
+    lowered = _identified(lowered, m)
     c = _mapped(lowered, m, missing_literal=True)
     for t in ("amount", "timestamp"):
         if t not in m.constants and _source(lowered, m.columns.get(t, t)) is None:

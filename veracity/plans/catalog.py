@@ -653,6 +653,28 @@ def q_replay_slice(spark, sf_dir):
                               REPLAY_START, REPLAY_MAX)
 
 
+FILE_START, FILE_MAX = 137, 6000
+
+
+@register("replay_file", _RAW_TEXT_SQL + f"""
+SELECT n AS row_number, user_id, source_id, "timestamp", city, purchase_amount
+FROM (SELECT *, row_number() OVER (ORDER BY row_index) - 1 AS n FROM r)
+WHERE n >= {FILE_START} AND length(user_id) > 0
+  AND length("timestamp") > 0 ORDER BY n LIMIT {FILE_MAX}""",
+          ("purchase_amount",))
+def q_replay_file(spark, sf_dir):
+    """U13 from plain CSV files: rows numbered as they stand in them, then
+    the slice.  The files are the events in order, in several parts."""
+    from ..session import scratch_path
+    from ..sources import files
+    path = scratch_path(spark, "replay-csv")
+    (raw_text_events(spark, sf_dir).repartitionByRange(5, "row_index")
+     .sortWithinPartitions("row_index").drop("row_index")
+     .write.option("header", "true").option("emptyValue", "").csv(path))
+    rows = files.read_csv_rows(spark, path)
+    return clean.replay_slice(rows, "row_number", FILE_START, FILE_MAX)
+
+
 # ------------------------------------------------------------ S11/S12/S14
 MALFORMED, WRONG_TYPE = 19, 23
 
@@ -694,27 +716,37 @@ def q_json_roundtrip(spark, sf_dir):
 
 @register("feed_directory", f"""
 WITH o AS ({O.feed_sql(td.ORDERS)}), l AS ({O.feed_sql(td.LINEITEM)}),
+c AS ({O.feed_sql(td.CUSTOMER_FEED)}),
 u AS (
   SELECT user_id, amount, city, "timestamp", 'ecommerce' AS source_id FROM o
   UNION ALL SELECT user_id, amount, 'unknown', "timestamp", 'subscriptions'
-    FROM l)
+    FROM l
+  UNION ALL SELECT user_id, amount, city, "timestamp", 'taxi' FROM c)
 SELECT * FROM u WHERE user_id IS NOT NULL AND amount IS NOT NULL
   AND "timestamp" IS NOT NULL""", ("amount",))
 def q_feed_directory(spark, sf_dir):
-    """S4 + U10: a folder of CSV files, each mapped by its name."""
+    """S4 + U10: a folder of CSV files, each mapped by its name; files of
+    one mapping with columns in another order, and with one more."""
     from ..session import scratch_path
     from ..sources import files
     from ..sources.feeds import PERMISSIVE_MAPPINGS
     folder = scratch_path(spark, "feeds")
-    for feed, name, heads in (
-            (td.ORDERS, "ecommerce_data.csv",
-             ("customer_id", "purchase_amount", "location", "purchase_time")),
-            (td.LINEITEM, "subscription_data.csv",
-             ("subscriber_id", "monthly_fee", "city", "signup_date"))):
-        df = td.dirty_table(spark, sf_dir, feed)
+    for feed, name, heads, parts in (
+            (td.ORDERS, "ecommerce", ("customer_id", "purchase_amount",
+                                      "location", "purchase_time"), 3),
+            (td.LINEITEM, "subscription", ("subscriber_id", "monthly_fee",
+                                           "city", "signup_date"), 2),
+            (td.CUSTOMER_FEED, "taxi", ("user_id", "fare_amount",
+                                        "pickup_location", "pickup_time"), 1)):
+        df = td.dirty_table(spark, sf_dir, feed).withColumn(
+            "part", F.pmod(F.expr(feed.key), F.lit(parts)))
         cols = (feed.user_id, feed.amount, feed.city, feed.timestamp)
-        df.select(*[F.col(c).alias(n) for c, n in zip(cols, heads)]
-                  ).write.option("header", "true").csv(f"{folder}/{name}")
+        named = [F.col(c).alias(n) for c, n in zip(cols, heads)]
+        for k, heading in enumerate((named, named[::-1],
+                                     [F.lit("x").alias("extra"), *named])):
+            if k < parts:
+                df.where(F.col("part") == k).select(*heading).write.option(
+                    "header", "true").csv(f"{folder}/{name}_{k}.csv")
     return unify.unify_feeds([
         unify.unify_permissive(df, m) for df, m in files.read_feed_directory(
             spark, folder, PERMISSIVE_MAPPINGS)])

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.quality import as_of_column
 from . import publish
@@ -43,13 +44,71 @@ def list_paths(spark: SparkSession, pattern: str) -> list[str]:
     return sorted(s.getPath().toString() for s in fs.globStatus(p) or [])
 
 
+def header_catalogue(spark: SparkSession, folder: str,
+                     pattern: str = "*.csv") -> DataFrame:
+    """(path, header) of every file below a folder whose name, or whose
+    folder's name, fits the pattern: the first line that isn't blank, read
+    by the executors in one pass over the lines.  A file without such a
+    line has no rows and no entry."""
+    lines = (spark.read.text(f"{folder}/{pattern}")
+             .select("value", F.col("_metadata.file_path").alias("path"),
+                     F.col("_metadata.file_block_start").alias("block"),
+                     F.monotonically_increasing_id().alias("n")))
+    first = lines.where((F.col("block") == 0)
+                        & (F.length(F.trim("value")) > 0))
+    return first.groupBy("path").agg(F.min_by("value", "n").alias("header"))
+
+
+def header_names(header: str) -> list[str]:
+    """Column names of a CSV header as a reader of the file would have
+    them: quotes removed, an empty name is ``_c`` and its place, a repeated
+    one gets its place behind it."""
+    names = [n.strip() for n in next(csv.reader([header.lstrip("\ufeff")],
+                                                escapechar="\\"))]
+    lower = [n.lower() for n in names]
+    return [f"_c{i}" if not n else f"{n}{i}" if lower.count(n.lower()) > 1
+            else n for i, n in enumerate(names)]
+
+
+def _named(path: str, folder: str) -> str:
+    """The part of a path that a mapping goes by: the file in the folder,
+    or the folder in it that holds the file's parts."""
+    return path.split(f"/{folder.rstrip('/').rsplit('/', 1)[-1]}/", 1)[
+        -1].split("/", 1)[0]
+
+
 def read_feed_directory(spark: SparkSession, folder: str,
-                        mappings: Sequence[FeedMapping]
+                        mappings: Sequence[FeedMapping],
+                        file_col: str | None = None
                         ) -> list[tuple[DataFrame, FeedMapping | None]]:
-    """Every CSV of a folder with the mapping its name selects (one
-    scan per file; the schema decision uses headers only)."""
-    return [(read_csv(spark, p), mapping_for_file(p, mappings))
-            for p in list_paths(spark, f"{folder}/*.csv")]
+    """The CSV files of a folder with the mapping that their name
+    selects: one scan for all files that have the same mapping and header,
+    however many.  Columns are text.  ``file_col`` adds each row's file."""
+    groups: dict[tuple, list[str]] = {}
+    # names only: a path and a header per file, not their rows
+    for r in header_catalogue(spark, folder).toLocalIterator():
+        m = mapping_for_file(_named(r["path"], folder), mappings)
+        groups.setdefault((m.name if m else "", r["header"]), []).append(
+            r["path"])
+    by_name = {m.name: m for m in mappings}
+    out = []
+    for (name, header), paths in sorted(groups.items()):
+        schema = StructType([StructField(n, StringType())
+                             for n in header_names(header)])
+        df = spark.read.option("header", "true").schema(schema).csv(
+            sorted(paths))
+        if file_col:
+            df = df.select("*", F.col("_metadata.file_path").alias(file_col))
+        out.append((df, by_name.get(name)))
+    return out
+
+
+def read_csv_rows(spark: SparkSession, path: str,
+                  row_col: str = "row_number", **kw) -> DataFrame:
+    """U13's input: a CSV (a file, or a folder of parts in path order) with
+    each row's number from 0, the header not counted."""
+    from ..operators.numbering import number_file_rows
+    return number_file_rows(read_csv(spark, path, **kw), row_col)
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
