@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import key_hash
 from ..operators import forest, quality, reports, reputation, trust
+from ..operators.lookup import materialize
 from ..params import ForestParams, TrustParams
+from ..session import scratch_path
 from . import oracle as O
 from . import testdata as td
 from .catalog import EVQ, register
@@ -153,6 +155,76 @@ def q_top_anomalies_forest(spark, sf_dir):
     return reports.top_anomalies(forest_scored(spark, sf_dir), 10)
 
 
+@register("train_model_store", f"""WITH RECURSIVE {FOREST_CTES}
+SELECT row_key, is_anomaly, anomaly_severity FROM flags""",
+          ("anomaly_severity",))
+def q_train_model_store(spark, sf_dir):
+    """Train on history and store; asked again for an initial
+    model, the stored one is loaded and not fitted anew."""
+    e = td.events_feed(spark, sf_dir, with_key=True)
+    path = scratch_path(spark, "model-store")
+    forest.train_model(e, path, params=ForestParams(key_cols=("row_key",)))
+    other = ForestParams(key_cols=("row_key",), seed=1)
+    forest.train_initial_model(e, path, other)
+    return forest.detect_anomalies_streaming(e, path).select(
+        "row_key", "is_anomaly", "anomaly_severity")
+
+
+# The training job hashes whole rows: the text of the key and the amount.
+# Whole amounts have the same text in any engine.
+_JOB_CTES = FOREST_CTES.replace(
+    O.events_sql(True), f"""SELECT row_key,
+  CAST(floor(amount) AS BIGINT)::DOUBLE AS amount
+  FROM ({O.events_sql(True)}) WHERE amount IS NOT NULL""").replace(
+    "md5(CAST(row_key AS VARCHAR) ||", "md5(CAST(row_key AS VARCHAR) || '|' "
+    "|| CAST(CAST(amount AS BIGINT) AS VARCHAR) || '.0' ||")
+
+
+@register("train_job", f"""WITH RECURSIVE {_JOB_CTES}
+SELECT row_key, is_anomaly, anomaly_severity FROM flags""",
+          ("anomaly_severity",))
+def q_train_job(spark, sf_dir):
+    """A10: the command-line job trains on a CSV; its model flags the
+    events."""
+    from ..jobs import train
+    e = td.events_feed(spark, sf_dir, with_key=True).where(
+        F.col("amount").isNotNull()).withColumn(
+        "amount", F.floor("amount").cast("double"))
+    raw, path = scratch_path(spark, "history"), scratch_path(spark, "model")
+    e.select("row_key", F.col("amount").cast("long").alias(
+        "purchase_amount")).write.option("header", "true").csv(raw)
+    if train.main(["--input", raw, "--output", path], spark):
+        raise RuntimeError("the training job failed")
+    return forest.detect_anomalies_streaming(e, path).select(
+        "row_key", "is_anomaly", "anomaly_severity")
+
+
+@register("persisted_reports", FOREST_SCORED + """
+SELECT 'band' AS report, CASE WHEN trust_score >= 80 THEN 'High Trust'
+    WHEN trust_score >= 50 THEN 'Moderate Trust' ELSE 'Critical Risk' END
+    AS item, COUNT(*) AS records FROM t GROUP BY ALL
+UNION ALL SELECT 'source', source_id, COUNT(*) FROM t GROUP BY ALL
+UNION ALL SELECT 'flagged', source_id, COUNT(*) FROM t WHERE is_anomaly
+GROUP BY ALL""")
+def q_persisted_reports(spark, sf_dir):
+    """One kept frame under several reports."""
+    scored = reports.persist_scored(forest_scored(spark, sf_dir))
+    source = F.col("source_id").alias("item")
+    parts = [
+        reports.trust_bands(scored).select(
+            F.lit("band").alias("report"), F.col("trust_band").alias("item"),
+            "records"),
+        scored.groupBy(source).agg(F.count("*").alias("records")).select(
+            F.lit("source").alias("report"), "item", "records"),
+        scored.where("is_anomaly").groupBy(source).agg(
+            F.count("*").alias("records")).select(
+                F.lit("flagged").alias("report"), "item", "records")]
+    try:
+        return materialize(parts[0].union(parts[1]).union(parts[2]))
+    finally:
+        scored.unpersist()
+
+
 # ------------------------------------------------- exact closed form
 EXACT_SAMPLE = 256
 

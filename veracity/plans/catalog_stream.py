@@ -286,6 +286,38 @@ def q_stream_trust(spark, sf_dir):
     return run_to_table(spark, out, "stream_trust")
 
 
+# the same with the exact trailing hour instead of the sliding windows
+_SLIDING_CTES = STREAM_TRUST_SQL[STREAM_TRUST_SQL.index("pb AS ("):
+                                 STREAM_TRUST_SQL.index("s AS (SELECT q.*")]
+STREAM_TRUST_EXACT_SQL = STREAM_TRUST_SQL.replace(_SLIDING_CTES, """
+k AS (SELECT *, CAST(floor(epoch("timestamp")) AS BIGINT) AS sec FROM q
+      WHERE "timestamp" IS NOT NULL),
+w AS (SELECT row_key, SUM(CASE WHEN is_anomaly THEN 1 ELSE 0 END) OVER win
+        AS wa, COUNT(*) OVER win AS wn, sec FROM k
+      WINDOW win AS (PARTITION BY source_id ORDER BY sec
+                     RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW)),
+""").replace("FROM q LEFT JOIN w ON q.source_id = w.source_id AND q.b = w.b",
+             "FROM q LEFT JOIN w ON q.row_key = w.row_key").replace(
+    "(q.b + 1) * 600 <= epoch", "w.sec + 1 <= epoch")
+
+
+@register("stream_trust_exact", STREAM_TRUST_EXACT_SQL, FULL_DOUBLES)
+def q_stream_trust_exact(spark, sf_dir):
+    """ST6-ST8 end to end in exact mode: started from its configuration,
+    with its own sink and checkpoint."""
+    from .catalog_forest import events_forest
+    from ..streaming.job import create_streaming_pipeline
+    _, model = events_forest(spark, sf_dir)
+    cfg = StreamingPipelineConfig(
+        reputation_mode="exact", include_intermediate=True,
+        output_path=scratch_path(spark, "trust-exact"),
+        checkpoint_dir=scratch_path(spark, "trust-exact-ckpt"))
+    create_streaming_pipeline(
+        spark, cfg, model=model, source=events_stream(spark, sf_dir),
+        available_now=True, as_of=td.EVENTS_AS_OF).awaitTermination()
+    return spark.read.parquet(cfg.output_path)
+
+
 @register("stream_forest_scoring", f"""WITH RECURSIVE {FOREST_CTES}
 SELECT row_key, source_id, amount AS purchase_amount, is_anomaly,
   anomaly_severity FROM e JOIN flags USING (row_key)""",
