@@ -91,8 +91,8 @@ def test_recall_with_small_windows(spark):
     p = EmbedParams(window=32)
     assert passes_for(len(keep), p) > 8
     df = spark.createDataFrame(
-        [(int(i), v.tobytes()) for i, v in zip(ids, m)],
-        "id long, unit binary")
+        [(int(i), v.tobytes(), True) for i, v in zip(ids, m)],
+        "id long, raw binary, wide boolean")
     found = {(r.a, r.b) for r in near_pairs(df, p).collect()}
     assert found <= true
     assert len(found) >= 0.97 * len(true) and len(true) > 400
@@ -112,3 +112,58 @@ def test_a_cluster_of_many_windows_loses_no_link(spark):
     got = {x.vec_id: (x.n_links, x.component_id) for x in link_vectors(
         frame(spark, rows), EmbedParams(window=8)).collect()}
     assert got == want
+
+
+def test_repeated_ids(spark):
+    """A repeated row is one vector; an id with two vectors joins their
+    components; equal vectors of other ids are links."""
+    a, near_a, b = [1.0, 0.0, 0.0], [0.99, 0.05, 0.0], [0.0, 1.0, 0.0]
+    lone = [0.0, 0.0, 1.0]
+    rows = [(7, a), (7, a), (8, near_a), (9, a), (9, b), (10, b), (12, lone),
+            (12, lone), (13, [0.0, -1.0, 0.2])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept)
+                 for r in link_vectors(df).collect())
+    assert got == [(7, 2, 7, True), (7, 2, 7, True), (8, 2, 7, False),
+                   (9, 1, 7, False), (9, 2, 7, False), (10, 1, 7, False),
+                   (12, 0, 12, True), (12, 0, 12, True), (13, 0, 13, True)]
+
+
+def test_windows_reach_over_the_borders_of_parts(spark):
+    """Neighbours in the order that share no leading bits are found by the
+    window, and counted once."""
+    from veracity.llm import embed as E
+    p = EmbedParams(window=16)
+    rows = sample(1500, 9, dim=12)
+    got = {r.vec_id: r.n_links for r in link_vectors(
+        frame(spark, rows), p).collect()}
+    want = {i: n for i, (n, _) in brute(rows, 0.9).items()}
+    assert all(got[i] <= want[i] for i in want)
+    assert sum(got.values()) >= 0.98 * sum(want.values()) > 400
+    n = len({tuple(v) for v in rows.values()})
+    bits = E.leading_bits(n, p)
+    assert bits > E.DEAL_BITS
+
+
+def test_first_look_ships_no_vectors(spark):
+    from veracity.llm import embed as E
+    look = spark.createDataFrame(
+        [(1, 2, b"s", 0, 5)], "id long, dim int, sketch binary, pass int, "
+        "code long")
+    dealt = E._dealt(look, 40, EmbedParams(), ["sketch"])
+    assert dealt.columns == ["pass", "dim", "part", "u", "v", "side", "id",
+                             "code", "sketch"]
+
+
+def test_sketch_limit_keeps_pairs_at_the_threshold():
+    from veracity.llm.embed import sketch_limit
+    r = np.random.default_rng(1)
+    a = r.standard_normal((4000, 32))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    o = r.standard_normal((4000, 32))
+    o -= (o * a).sum(axis=1, keepdims=True) * a
+    o /= np.linalg.norm(o, axis=1, keepdims=True)
+    b = 0.9 * a + math.sqrt(1 - 0.81) * o
+    planes = r.standard_normal((32, 128))
+    differ = ((a @ planes > 0) != (b @ planes > 0)).sum(axis=1)
+    assert differ.max() <= sketch_limit(EmbedParams())
