@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from veracity.llm.minhash import (MinHashParams, _across, deduplicate,
                                   near_duplicates)
@@ -87,7 +88,7 @@ def test_empty_table_and_dedup_keeps_columns(spark):
     out = deduplicate(cases.frame(spark), MinHashParams(shingle=2))
     assert out.columns == cases.frame(spark).columns
     ids = sorted(r.doc_id or 0 for r in out.collect())
-    assert ids == [0, 0, 1, 4, 5, 6, 7, 9, 10, 10, 11, 12]
+    assert ids == [0, 0, 1, 4, 5, 6, 7, 9, 10, 11, 12]
 
 
 def test_across_finds_links_beside_the_largest_component(spark):
@@ -106,3 +107,66 @@ def test_across_finds_links_beside_the_largest_component(spark):
                                        ).collect()}
     assert (3, 4) in got and got & {(1, 5), (2, 5)}
     assert not any({1, 2, 5} & set(p) and {3, 4} & set(p) for p in got)
+
+
+def test_one_row_of_each_group_stays(spark):
+    """A verdict is a row's: ids with two texts, rows without an id, rows
+    repeated with and without other columns equal."""
+    a, b, c = cases.text(71, 90), cases.text(72, 90), cases.text(73, 90)
+    near = a.replace(a.split()[40], "changed", 1)
+    rows = [(1, a, "x"), (5, near, "x"), (5, b, "x"), (5, b, "y"),
+            (None, c, "x"), (None, c, "x"), (None, c, "y"),
+            (None, a, "x"), (8, None, "x"), (8, None, "x"), (9, " ", "x"),
+            (9, " ", "x"), (None, None, "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, other string")
+    got = sorted(((r.doc_id, r.text, r.other) for r in deduplicate(
+        df.repartition(3)).collect()), key=repr)
+    kept_c = [r for r in got if r[1] == c]
+    assert len(kept_c) == 1
+    assert [r for r in got if r[1] == b] in ([(5, b, "x")], [(5, b, "y")])
+    rest = [r for r in got if r[1] not in (b, c)]
+    assert rest == sorted([(1, a, "x"), (8, None, "x"), (8, None, "x"),
+                           (9, " ", "x"), (9, " ", "x"), (None, None, "z")],
+                          key=repr)
+
+
+def test_the_whole_table_twice(spark):
+    df = cases.frame(spark)
+    once = deduplicate(df, MinHashParams(shingle=2))
+    twice = deduplicate(df.union(df), MinHashParams(shingle=2))
+    worded = F.length(F.trim(F.regexp_replace("text", "[\\s]", ""))) > 0
+    assert sorted(map(repr, once.where(worded).collect())) == sorted(
+        map(repr, twice.where(worded).collect()))
+
+
+def test_sketch_rules_out_families_below_the_threshold():
+    """Sets at the threshold pass, sets that share half don't."""
+    import numpy as np
+    import pyarrow as pa
+    from veracity.llm import minhash as M
+    r = np.random.default_rng(3)
+
+    base = r.integers(0, 2 ** 63, 900).astype(np.uint64)
+    near = [set(base[:800].tolist())]
+    # 800 of 1000 in common: exactly 0.8
+    near += [set(base[:800].tolist()) | set(r.integers(
+        0, 2 ** 63, 200).tolist()) for _ in range(60)]
+    half = [set(base[:300].tolist()) | set(r.integers(
+        0, 2 ** 63, 300).tolist()) for _ in range(60)]
+    sets = near + half
+
+    class Frame:
+        def mapInArrow(self, run, schema):
+            batch = pa.RecordBatch.from_arrays(
+                [pa.array(range(len(sets))), pa.array([np.array(
+                    sorted(s), np.uint64).tobytes() for s in sets],
+                    pa.binary())], names=["id", "elements"])
+            return next(iter(run(iter([batch]))))
+    sk = np.array([np.unpackbits(np.frombuffer(x, np.uint8)) for x in
+                   M._with_sketches(Frame(), MinHashParams()).column(2
+                                                                     ).to_pylist()])
+    most = M._most_bits(80)
+    differ = (sk[0] != sk).sum(axis=1)
+    assert (differ[:61] <= most).all()
+    apart = (sk[61:, None] != sk[None, 61:]).sum(axis=2)
+    assert (apart[np.triu_indices(60, 1)] > most).mean() > 0.99

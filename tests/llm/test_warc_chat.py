@@ -85,17 +85,58 @@ def test_conversations_round_trip(spark):
     assert set(got) == {1, 2, 3, 4, None}
     for conv, r in got.items():
         mine = [(x[1], x[2] or "", x[3] or "") for x in rows if x[0] == conv]
-        mine.sort(key=lambda x: (x[0] is not None, x[0] or 0))
+        mine.sort(key=lambda x: (x[0] is not None, x[0] or 0, x[1],
+                                 x[2].encode()))
         assert r.n_turns == len(mine)
         loss = "".join(t for _, role, t in mine if role == "assistant")
         assert r.loss_chars == len(loss)
-        if conv != 3:
-            whole = "".join(f"{role}\n{t}\n" for _, role, t in mine)
-            assert r.turns_sha256 == hashlib.sha256(whole.encode()).hexdigest()
-            assert r.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
+        whole = "".join(f"{role}\n{t}\n" for _, role, t in mine)
+        assert r.turns_sha256 == hashlib.sha256(whole.encode()).hexdigest()
+        assert r.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
     assert got[3].loss_chars == 3
 
 
+def test_ties_are_ordered_by_text(spark):
+    """Equal numbers and roles: by the text, not by its token ids."""
+    texts = ["zebra", " the", "the", "a", "é", "Z", "apple pie", "", "0",
+             "\U0001f600", "the end", "theory"]
+    codec = chat.Codec.at(chat.ChatParams().vocabulary)
+    by_ids = sorted(texts, key=lambda t: codec.encode([t])[0])
+    by_text = sorted(texts, key=str.encode)
+    assert by_ids != by_text
+    got = chat.read_back(chat.format_turns(turns(spark, [
+        (1, 0, "assistant", t) for t in texts]))).first()
+    assert got.loss_sha256 == hashlib.sha256(
+        "".join(by_text).encode()).hexdigest()
+
+
+def test_a_long_conversation_lies_in_many_tasks(spark):
+    """Two thirds of all turns in one conversation, and another without an
+    id: places and first tokens run through."""
+    rows = [(7, i, "user" if i % 2 else "assistant", f"turn {i} " * (i % 4))
+            for i in range(3000)]
+    rows += [(None, i, "user", f"n {i}") for i in range(800)]
+    rows += [(100 + i, 0, "assistant", "x") for i in range(400)]
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    try:
+        out = chat.format_turns(turns(spark, rows).repartition(6)).collect()
+        hot = turns(spark, rows).repartitionByRange("conv_id", "turn").where(
+            "conv_id = 7").select(F.spark_partition_id()).distinct().count()
+    finally:
+        spark.conf.set(key, "true")
+    assert hot > 3
+    for conv in (7, None):
+        mine = sorted((r for r in out if r.conv_id == conv),
+                      key=lambda r: r.place)
+        assert [r.turn for r in mine] == list(range(len(mine)))
+        assert [r.place for r in mine] == list(range(len(mine)))
+        at = 0
+        for r in mine:
+            assert r.first_token == at and len(r.loss) == len(r.tokens)
+            at += len(r.tokens)
+
+
 def test_mask_covers_assistant_text_only(spark):
     out = chat.format_turns(turns(spark, [
         (1, 0, "user", "a b"), (1, 1, "assistant", "c </s> d")])).orderBy(

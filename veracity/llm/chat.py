@@ -11,9 +11,13 @@ escape character after their first character, and the escape character
 is doubled, so a text reads back exactly and the rendered form holds no
 control string of the content either.
 
-A turn is a row of its own from beginning to end (its place and first
-token within the conversation are running sums over the sorted rows), so
-a conversation of any length needs no more memory than a batch.
+A turn is a row of its own from beginning to end, so a conversation of
+any length needs no more memory than a batch.  Turns are dealt out by
+ranges of (conversation, turn number): a long conversation lies in many
+tasks, each of which numbers its turns and sums their tokens; what came in
+the tasks before is added to them afterwards, a row per border.  Reading
+back checks and decodes every turn where it is; only the digest over a
+whole conversation, which is sequential, needs its texts in one task.
 """
 
 from __future__ import annotations
@@ -27,7 +31,8 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -94,57 +99,42 @@ def _lists(column: pa.ListArray) -> list[np.ndarray]:
     return [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
+TURNS = ("conv_id long, turn long, task int, place long, first_token long, "
+         "tokens array<int>, loss binary")
+
+
 def _encode_turns(p: ChatParams):
+    """Sorted turns encoded; place and first token count from the first
+    turn of the conversation that the task has."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.at(p.vocabulary)
+        task = TaskContext.get().partitionId()
+        conv, n, at = object(), 0, 0
         for batch in batches:
             roles = batch.column(2).to_pylist()
             texts = batch.column(3).to_pylist()
-            tokens, masks = [], []
-            for role, r, t in zip(roles, codec.encode(
-                    [escape(x) for x in roles]), codec.encode(
-                    [escape(x) for x in texts]), strict=True):
+            rows = []
+            for c, turn, role, r, t in zip(
+                    batch.column(0).to_pylist(), batch.column(1).to_pylist(),
+                    roles, codec.encode([escape(x) for x in roles]),
+                    codec.encode([escape(x) for x in texts]), strict=True):
+                if c != conv:
+                    conv, n, at = c, 0, 0
                 ids = np.array([codec.turn, *r, codec.text, *t, codec.end],
                                np.int32)
                 step = np.zeros(len(ids) + 1, np.int8)
                 if role == p.loss_role:
                     step[2 + len(r)] += 1
                     step[2 + len(r) + len(t)] -= 1
-                tokens.append(ids)
-                masks.append(np.cumsum(step[:-1], dtype=np.int8))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2),
-                 pa.array(tokens, pa.list_(pa.int32())),
-                 pa.array([m.tobytes() for m in masks], pa.binary())],
-                names=["conv_id", "turn", "role", "tokens", "loss"])
-    return run
-
-
-def _place_turns(p: ChatParams):
-    """Number the sorted turns of each conversation and sum their tokens;
-    the first one gets the id that begins a conversation."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec.at(p.vocabulary)
-        conv, n, at = object(), 0, 0
-        for batch in batches:
-            rows = []
-            for c, t, ids, loss in zip(
-                    batch.column(0).to_pylist(), batch.column(1).to_pylist(),
-                    _lists(batch.column(3)), batch.column(4).to_pylist(),
-                    strict=True):
-                if c != conv:
-                    conv, n, at = c, 0, 0
-                    ids = np.insert(ids, 0, codec.begin)
-                    loss = b"\0" + loss
-                rows.append((c, t, n, at, ids, loss))
+                mask = np.cumsum(step[:-1], dtype=np.int8).tobytes()
+                rows.append((c, turn, task, n, at, ids, mask))
                 n, at = n + 1, at + len(ids)
-            cols = list(zip(*rows, strict=True)) or [()] * 6
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(),
-                     pa.list_(pa.int32()), pa.binary()]
+            cols = list(zip(*rows, strict=True)) or [()] * 7
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(),
+                     pa.int64(), pa.list_(pa.int32()), pa.binary()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)],
-                names=["conv_id", "turn", "place", "first_token", "tokens",
-                       "loss"])
+                names=[c.split()[0] for c in TURNS.split(", ")])
     return run
 
 
@@ -163,81 +153,127 @@ def format_turns(conversations: DataFrame, params: ChatParams = ChatParams()
         F.col("conv_id").cast("long"), F.col("turn").cast("long"),
         *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
           for c in ("role", "text")])
-    turns = rows.mapInArrow(
-        _encode_turns(params), "conv_id long, turn long, role string, "
-        "tokens array<int>, loss binary")
-    turns = turns.repartition("conv_id").sortWithinPartitions(
-        "conv_id", "turn", "role", "tokens")
-    return turns.mapInArrow(
-        _place_turns(params), "conv_id long, turn long, place long, "
-        "first_token long, tokens array<int>, loss binary")
+    return C.result_of(lambda: _format(rows, params),
+                       conversations.sparkSession, "chat")
+
+
+def _format(rows: DataFrame, p: ChatParams) -> DataFrame:
+    # turns of equal number stay together, to be ordered by role and text
+    turns = C.save(rows.repartitionByRange("conv_id", "turn")
+                   .sortWithinPartitions("conv_id", "turn", "role", "text")
+                   .mapInArrow(_encode_turns(p), TURNS), "chat-turns")
+    parts = turns.groupBy("conv_id", "task").agg(
+        F.count("*").alias("turns"),
+        F.sum(F.size("tokens")).alias("ids"))
+    before = Window.partitionBy("conv_id").orderBy("task").rowsBetween(
+        Window.unboundedPreceding, -1)
+    # only a conversation that crosses a border of tasks has earlier turns:
+    # at most a row per task
+    earlier = C.cut(parts.select(
+        F.col("conv_id").alias("conv"), "task",
+        F.sum("turns").over(before).alias("turns"),
+        F.sum("ids").over(before).alias("ids")).where("turns > 0"))
+    tasks = earlier.withColumnRenamed("task", "t")
+    rows = turns.join(F.broadcast(tasks), F.col("conv_id").eqNullSafe(
+        F.col("conv")) & (F.col("task") == F.col("t")), "left")
+    place = F.col("place") + F.coalesce("turns", F.lit(0))
+    first = place == 0
+    begin = Codec.at(p.vocabulary).begin
+    # the id that begins a conversation stands before its first turn
+    at = (F.col("first_token") + F.coalesce("ids", F.lit(0))
+          + F.when(first, 0).otherwise(1))
+    return rows.select(
+        "conv_id", "turn", place.alias("place"), at.alias("first_token"),
+        F.when(first, F.concat(F.array(F.lit(begin)), "tokens"))
+        .otherwise(F.col("tokens")).alias("tokens"),
+        F.when(first, F.concat(F.lit(b"\0"), "loss"))
+        .otherwise(F.col("loss")).alias("loss"))
+
+
+READ = "conv_id long, place long, said binary, learnt binary, shown long"
 
 
 def _read_turns(p: ChatParams):
-    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars",
-             "loss_sha256", "formatted_chars"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(),
-             pa.int64()]
-
+    """Each turn from its ids and mask alone: what it says (role, newline,
+    text, newline), what the mask covers, and its rendered length."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.at(p.vocabulary)
         names_of = {codec.begin: BEGIN, codec.turn: TURN, codec.text: TEXT,
                     codec.end: END}
-        state, done = None, []
-
-        def flush() -> pa.RecordBatch:
-            cols = list(zip(*done, strict=True)) or [()] * 6
-            done.clear()
-            return pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)],
-                names=names)
-
-        def close():
-            c, n, turns, chars, loss, shown = state
-            done.append((c, n, turns.hexdigest(), chars, loss.hexdigest(),
-                         shown))
-
         for batch in batches:
-            for c, ids, mask in zip(
-                    batch.column(0).to_pylist(), _lists(batch.column(2)),
-                    batch.column(3).to_pylist(), strict=True):
-                if state is None or state[0] != c:
-                    if state is not None:
-                        close()
-                    state = [c, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+            said, learnt, shown = [], [], []
+            for c, place, ids, mask in zip(
+                    batch.column(0).to_pylist(), batch.column(1).to_pylist(),
+                    _lists(batch.column(2)), batch.column(3).to_pylist(),
+                    strict=True):
                 cuts = np.flatnonzero(ids >= codec.begin)
                 marks = [names_of[i] for i in ids[cuts].tolist()]
-                if marks[-3:] != [TURN, TEXT, END] or (
-                        marks[:-3] != ([BEGIN] if state[1] == 0 else [])):
+                if marks != [BEGIN][place > 0:] + [TURN, TEXT, END]:
                     raise ValueError(f"conversation {c}: ids out of place")
                 a, b, e = cuts[-3:]
                 role = codec.decode(ids[a + 1:b])
                 text = codec.decode(ids[b + 1:e])
+                said.append(f"{unescape(role)}\n{unescape(text)}\n".encode())
                 # what the mask covers, whatever the role says
-                learnt = unescape(codec.decode(
-                    ids[np.frombuffer(mask, np.int8) == 1]))
-                plain = unescape(text)
-                state[1] += 1
-                state[2].update(f"{unescape(role)}\n{plain}\n".encode())
-                state[3] += len(learnt)
-                state[4].update(learnt.encode())
-                state[5] += sum(map(len, marks)) + len(role) + len(text)
-            if len(done) >= 1000:
-                yield flush()
-        if state is not None:
-            close()
-        yield flush()
+                learnt.append(unescape(codec.decode(
+                    ids[np.frombuffer(mask, np.int8) == 1])).encode())
+                shown.append(sum(map(len, marks)) + len(role) + len(text))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1),
+                 pa.array(said, pa.binary()), pa.array(learnt, pa.binary()),
+                 pa.array(shown, pa.int64())],
+                names=[c.split()[0] for c in READ.split(", ")])
     return run
 
 
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per conversation, from its turns in order."""
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars",
+             "loss_sha256", "formatted_chars"]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(),
+             pa.int64()]
+    state, done = None, []
+
+    def close():
+        c, n, turns, chars, loss, shown = state
+        done.append((c, n, turns.hexdigest(), chars, loss.hexdigest(), shown))
+
+    def flush() -> pa.RecordBatch:
+        cols = list(zip(*done, strict=True)) or [()] * 6
+        done.clear()
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)],
+            names=names)
+
+    for batch in batches:
+        for c, place, said, learnt, shown in zip(*[
+                batch.column(k).to_pylist() for k in range(5)], strict=True):
+            if state is None or state[0] != c:
+                if state is not None:
+                    close()
+                state = [c, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+            if place != state[1]:
+                raise ValueError(f"conversation {c}: turn {place} is not "
+                                 f"the next after {state[1]}")
+            state[1] += 1
+            state[2].update(said)
+            state[3] += len(learnt.decode())
+            state[4].update(learnt)
+            state[5] += shown
+        if len(done) >= 1000:
+            yield flush()
+    if state is not None:
+        close()
+    yield flush()
+
+
 def read_back(formatted: DataFrame, params: ChatParams = ChatParams()
               ) -> DataFrame:
     """Per conversation, from the token ids and the mask alone: conv_id,
     n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
-    rows = formatted.select("conv_id", "place", "tokens", "loss")
-    rows = rows.repartition("conv_id").sortWithinPartitions(
-        "conv_id", "place")
-    return rows.mapInArrow(
-        _read_turns(params), "conv_id long, n_turns long, "
-        "turns_sha256 string, loss_chars long, loss_sha256 string, "
-        "formatted_chars long")
+    turns = formatted.select("conv_id", "place", "tokens", "loss").mapInArrow(
+        _read_turns(params), READ)
+    return turns.repartition("conv_id").sortWithinPartitions(
+        "conv_id", "place").mapInArrow(
+        _digests, "conv_id long, n_turns long, turns_sha256 string, "
+        "loss_chars long, loss_sha256 string, formatted_chars long")

@@ -15,7 +15,8 @@ most tables with, unless sizes or sketches (two bits of each minhash) rule
 the pair out; that links nearly all copies without listing pairs.  What is
 left in different components although it shares a bucket is compared
 exactly, in blocks, so a bucket costs comparisons only for the sets that
-its largest component does not hold.
+its largest component does not hold; a sketch of 512 bits rules out most of
+those below the threshold beforehand.
 """
 
 from __future__ import annotations
@@ -181,8 +182,10 @@ def _across(bucket_rows: DataFrame, comp: DataFrame, full: DataFrame,
     mixed = (per.groupBy("key").agg(F.count("*").alias("k"),
                                     F.max(F.struct("c", "comp")).alias("top"))
              .where("k > 1").select("key", F.col("top.comp").alias("main")))
-    rows = C.save(kc.join(mixed, "key").groupBy("main", "id", "comp").agg(
-        F.lit(1).alias("one")).drop("one").join(full, "id"), "minhash-across")
+    met = C.cut(kc.join(mixed, "key").select("main", "id", "comp").distinct())
+    sets = _with_sketches(full.join(met.select("id").distinct(), "id",
+                                    "left_semi"), p)
+    rows = C.save(met.join(sets, "id"), "minhash-across")
     size = F.octet_length("elements")
     outside = F.col("comp") != F.col("main")
     blocks = rows.groupBy("main").agg(
@@ -193,7 +196,7 @@ def _across(bucket_rows: DataFrame, comp: DataFrame, full: DataFrame,
     blocks = C.cut(blocks).withColumn("salt", F.explode(salts))
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(p.salts))
                            .cast("int")).join(blocks, ["main", "salt"])
-    item = F.struct("id", "comp", "elements")
+    item = F.struct("id", "comp", "elements", "sketch")
 
     def packed(part: DataFrame, count: str, out: str) -> DataFrame:
         block = F.pmod(F.xxhash64(F.lit(1), "id"), F.col(count))
@@ -210,37 +213,86 @@ def _across(bucket_rows: DataFrame, comp: DataFrame, full: DataFrame,
                  .distinct())
 
 
+# Bits of the sketch that stands before a full comparison.
+_BITS = 512
+
+
+def _with_sketches(full: DataFrame, p: MinHashParams) -> DataFrame:
+    """(id, elements, sketch): a bit of each of 512 more minhashes."""
+    rng = np.random.default_rng([p.seed, _BITS])
+    mul = rng.integers(0, 2 ** 64, size=_BITS, dtype=np.uint64) | U64(1)
+    xor = rng.integers(0, 2 ** 64, size=_BITS, dtype=np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, off = C.texts_of(batch.column(1))
+            bits = np.zeros((batch.num_rows, _BITS), np.uint8)
+            for a, b in C.row_chunks(off):      # a set has elements
+                sh = np.frombuffer(data[off[a]:off[b]].tobytes(), np.uint64)
+                first = (off[a:b] - off[a]) // 8
+                for j in range(_BITS):
+                    low = np.minimum.reduceat((sh ^ xor[j]) * mul[j], first)
+                    bits[a:b, j] = C.mix(low) & U64(1)
+            packed = np.packbits(bits, axis=1)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1),
+                 pa.array([r.tobytes() for r in packed], pa.binary())],
+                names=["id", "elements", "sketch"])
+    return full.mapInArrow(run, "id long, elements binary, sketch binary")
+
+
+def _most_bits(percent: int) -> int:
+    """Sketch bits in which sets at the threshold differ at most, but for a
+    chance of less than one in a million."""
+    miss = (1 - percent / 100.0) / 2
+    return int(_BITS * miss + 5.4 * (_BITS * miss * (1 - miss)) ** 0.5) + 1
+
+
 def _compare_blocks(percent: int):
     """Per set of the first block, one link to each component of the
     second that holds a similar set."""
-    def sets(item) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    most, tile = _most_bits(percent), 512
+
+    def sets(item) -> tuple:
         s = item.values
-        return (s.field("id").to_numpy(), s.field("comp").to_numpy(),
-                [np.frombuffer(e.as_buffer(), np.uint64)
-                 for e in s.field("elements")])
+        e = [np.frombuffer(x.as_buffer(), np.uint64)
+             for x in s.field("elements")]
+        sketch = np.frombuffer(b"".join(s.field("sketch").to_pylist()),
+                               np.uint64).reshape(len(e), -1)
+        return (s.field("id").to_numpy(), s.field("comp").to_numpy(), e,
+                sketch, np.array([len(x) for x in e]))
+
+    def possible(xc, xk, xn, yc, yk, yn) -> np.ndarray:
+        """Which pairs of a tile sizes and sketches allow."""
+        differ = np.zeros((len(xc), len(yc)), np.uint16)
+        for w in range(xk.shape[1]):
+            differ += np.bitwise_count(xk[:, w, None] ^ yk[None, :, w])
+        small = np.minimum(xn[:, None], yn[None, :])
+        large = np.maximum(xn[:, None], yn[None, :])
+        return ((differ <= most) & (xc[:, None] != yc[None, :])
+                & (100 * small >= percent * large))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = [], []
             for xs, ys in zip(batch.column(0), batch.column(1), strict=True):
-                xi, xc, xe = sets(xs)
-                yi, yc, ye = sets(ys)
-                n = np.array([len(e) for e in ye])
-                flat = np.concatenate(ye)
-                order = np.argsort(flat, kind="stable")
-                owner = np.repeat(np.arange(len(ye)), n)[order]
-                flat = flat[order]
-                for i, c, e in zip(xi, xc, xe, strict=True):
-                    lo = np.searchsorted(flat, e, "left")
-                    k = np.searchsorted(flat, e, "right") - lo
-                    at = np.repeat(lo - np.cumsum(k) + k, k) + np.arange(
-                        int(k.sum()))
-                    same = np.bincount(owner[at], minlength=len(ye))
-                    ok = (100 * same >= percent * (len(e) + n - same)) & (
-                        yc != c)
-                    _, one = np.unique(yc[ok], return_index=True)
-                    b.append(yi[ok][one])
-                    a.append(np.full(len(one), i))
+                xi, xc, xe, xk, xn = sets(xs)
+                yi, yc, ye, yk, yn = sets(ys)
+                for s in range(0, len(xi), tile):
+                    ok = possible(xc[s:s + tile], xk[s:s + tile],
+                                  xn[s:s + tile], yc, yk, yn)
+                    for i in np.flatnonzero(ok.any(axis=1)):
+                        e, js = xe[s + i], np.flatnonzero(ok[i])
+                        flat = np.concatenate([ye[j] for j in js])
+                        at = np.minimum(np.searchsorted(e, flat), len(e) - 1)
+                        n = yn[js]
+                        same = np.add.reduceat((e[at] == flat).astype(
+                            np.int64), np.cumsum(n) - n)
+                        near = js[100 * same >= percent * (
+                            len(e) + n - same)]
+                        _, one = np.unique(yc[near], return_index=True)
+                        b.append(yi[near[one]])
+                        a.append(np.full(len(one), xi[s + i]))
             a = np.concatenate(a) if a else np.empty(0, np.int64)
             b = np.concatenate(b) if b else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -345,7 +397,55 @@ def _near_duplicates(docs: DataFrame, p: MinHashParams) -> DataFrame:
 
 def deduplicate(docs: DataFrame, params: MinHashParams = MinHashParams(),
                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the near copies: one document of each group stays."""
-    gone = near_duplicates(docs, params, id_col, text_col).where(
-        "NOT kept").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(C.cut(gone), id_col, "left_anti")
+    """``docs`` without near copies: of each group one row stays, the one
+    with the smallest id (a row without an id only if no other is there;
+    ties by text and by the other columns).
+
+    A group is of texts, not of ids: rows without an id are copies like any
+    other, and rows that share an id go only by their own texts.  Rows
+    without words are no copies and all stay.  The columns are those of
+    ``docs``, and none must be named ``__digest`` or ``__row``.
+    """
+    return C.result_of(lambda: _deduplicate(docs, params, id_col, text_col),
+                       docs.sparkSession, "minhash-kept")
+
+
+def _deduplicate(docs: DataFrame, p: MinHashParams, id_col: str,
+                 text_col: str) -> DataFrame:
+    text = F.col(f"`{text_col}`").cast("string")
+    # a text stands for its rows by a 64-bit node; 192 bits tell a row
+    node = F.xxhash64(text)
+    columns = [x for c in docs.columns
+               for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())]
+    marked = docs.withColumns({"__digest": F.md5(text.cast("binary")),
+                               "__row": F.xxhash64(*columns)})
+    rows = C.save(marked.where(text.isNotNull()).select(
+        node.alias("node"), "__digest", "__row",
+        F.col(f"`{id_col}`").cast("long").alias("id")), "minhash-rows")
+    verdicts = near_duplicates(docs.where(text.isNotNull()).select(
+        node.alias("doc_id"), text.alias("text")), p)
+    groups = verdicts.where("n_shingles > 0").select(
+        F.col("doc_id").alias("node"), F.col("component_id").alias("group")
+    ).distinct()
+    # should two texts have one node, their rows stay
+    clash = rows.groupBy("node").agg(
+        (F.min("__digest") != F.max("__digest")).alias("bad"))
+    groups = groups.join(clash.where("NOT bad").select("node"), "node")
+    members = C.save(rows.join(groups, "node"), "minhash-members")
+    stays = members.groupBy("group").agg(F.min(F.struct(
+        F.col("id").isNull().alias("none"), "id", "__digest", "__row")
+    ).alias("s")).select("group", F.col("s.__digest").alias("d"),
+                         F.col("s.__row").alias("r"))
+    counted = members.groupBy("group", "__digest", "__row").agg(
+        F.count("*").alias("c")).join(stays, "group")
+    chosen = (F.col("__digest") == F.col("d")) & (F.col("__row") == F.col("r"))
+    counted = C.save(counted.select("__digest", "__row", "c",
+                                    chosen.alias("chosen")), "minhash-counted")
+    key = ["__digest", "__row"]
+    gone = counted.where("NOT chosen OR c > 1").select(*key)
+    out = marked.join(gone, key, "left_anti")
+    repeated = counted.where("chosen AND c > 1").select(*key)
+    if not repeated.isEmpty():      # equal rows: one of them stays
+        out = out.unionByName(marked.join(repeated, key, "left_semi")
+                              .dropDuplicates(key))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

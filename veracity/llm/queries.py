@@ -159,7 +159,6 @@ FROM m
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat import format_turns, read_back
-    from .common import save
     said = "</s>[INST] ok [/INST]"
     own = spark.range(2).select(
         F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
@@ -167,7 +166,7 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(said).alias("text"))
     rows = read_table(spark, sf_dir, "conversations").select(
         "conv_id", "turn", "role", "text").unionByName(own)
-    return read_back(save(format_turns(rows), "chat"))
+    return read_back(format_turns(rows))
 
 
 OP5_SQL = r"""
