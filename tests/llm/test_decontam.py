@@ -1,11 +1,12 @@
 """Positional index against brute force over words."""
 
 import hashlib
+import math
 import random
 import re
 
 from veracity.llm.decontam import (DecontamParams, build_index, contamination,
-                                   decontaminate, search)
+                                   decontaminate, item_blocks, search)
 
 from . import cases
 
@@ -90,6 +91,70 @@ def test_proximity_matches(spark):
     assert got[3] == []
 
 
+def brute_near(docs, items, slop, share, width=13):
+    """(words in proximity matches, items) by trying every start."""
+    wins = [(str(i), w[k:k + width]) for i, t in items if (w := words(t))
+            for k in range(max(1, len(w) - width + 1))]
+    out = {}
+    for d, t in docs:
+        w = words(t)
+        at = {}
+        for j, x in enumerate(w):
+            at.setdefault(x, set()).add(j)
+        hit, names = set(), set()
+        for name, win in wins:
+            need = math.ceil(share * len(win) - 1e-9)
+            for s in range(-width - slop, len(w) + slop + 1):
+                n = sum(any(s + k + e in at.get(x, ())
+                            for e in range(-slop, slop + 1))
+                        for k, x in enumerate(win))
+                if n >= need:
+                    names.add(name)
+                    hit.update(range(max(0, s), min(len(w), s + len(win))))
+        out[d] = (len(hit), len(names))
+    return out
+
+
+def test_proximity_equals_trying_every_start(spark):
+    r = random.Random(11)
+    vocabulary = ["w" + str(i) for i in range(25)]
+    items = [(i, " ".join(r.choice(vocabulary) for _ in range(n)))
+             for i, n in enumerate((1, 2, 6, 13, 13, 15, 20))]
+    docs = []
+    for i in range(60):
+        w = [r.choice(vocabulary) for _ in range(r.randrange(25))]
+        if i % 2:
+            part = words(r.choice(items)[1])
+            for _ in range(r.randrange(4)):
+                k = r.randrange(len(part) + 1)
+                part[k:k + r.randrange(2)] = ["zz"] * r.randrange(2)
+            w[len(w) // 2:len(w) // 2] = part
+            w = w[r.randrange(3):]
+        docs.append((i, " ".join(w)))
+    d, b = frames(spark, docs, items)
+    want = brute_near(docs, items, 2, 0.8)
+    assert sum(x[1] for x in want.values()) > 60
+    for p in (DecontamParams(slop=2), DecontamParams(
+            slop=2, segment_bytes=200, block_words=26)):
+        got = {x.doc_id: (x.n_near_hit, x.n_near_items)
+               for x in contamination(d, b, p).collect()}
+        assert got == want
+
+
+def test_a_test_set_beyond_the_broadcast_is_joined(spark):
+    """Blocks and segments meet in a join; long items lie in several
+    blocks, documents without a match still have their row."""
+    docs, items = tables()
+    items.append((300, " ".join(f"w{i % 30}" for i in range(400))))
+    docs.append((900, " ".join(f"w{i % 30}" for i in range(100, 180))))
+    want = brute(docs, items)
+    d, b = frames(spark, docs, items)
+    p = DecontamParams(block_words=30, broadcast_bytes=0, segment_bytes=500)
+    assert item_blocks(b, p).count() > 12
+    got = {r.doc_id: tuple(r)[1:] for r in contamination(d, b, p).collect()}
+    assert got == want
+
+
 def test_edge_rows(spark):
     df = cases.frame(spark)
     bench = spark.createDataFrame([(1, cases.BASE), (None, "café été")],

@@ -18,6 +18,7 @@ whole, wherever in it the notice stands.
 
 from __future__ import annotations
 
+import bisect
 import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -275,11 +276,16 @@ def _scan_text(ix: _Index, h: np.ndarray, p: LicenseParams) -> list[tuple]:
                         continue
                     found.append((-n, -n / len(w), first + lo, last + lo, t))
                     todo += [(lo, lo + first), (lo + last, hi)]
-    out = []
+    # accepted spans don't overlap: sorted, only the neighbours can
+    begins, out = [], {}
     for n, c, first, last, t in sorted(set(found)):
-        if all(last <= a or first >= b for _, _, a, b, _ in out):
-            out.append((n, c, first, last, t))
-    return sorted(out, key=lambda x: x[2])
+        k = bisect.bisect_left(begins, first)
+        if (k and out[begins[k - 1]][3] > first) or (
+                k < len(begins) and begins[k] < last):
+            continue
+        begins.insert(k, first)
+        out[first] = (n, c, first, last, t)
+    return [out[b] for b in begins]
 
 
 def _scan(w, p: LicenseParams):

@@ -223,9 +223,10 @@ FROM embeddings e JOIN comp ON id = e.vec_id LEFT JOIN n ON n.a = e.vec_id
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .decontam import contamination
+    from .decontam import DecontamParams, contamination
     return contamination(read_table(spark, sf_dir, "documents"),
-                         read_table(spark, sf_dir, "benchmark"))
+                         read_table(spark, sf_dir, "benchmark"),
+                         DecontamParams(slop=2))
 
 
 OP8_SQL = r"""
@@ -257,15 +258,52 @@ items AS (
   SELECT doc_id, count(*) AS n_items,
          string_agg(item, ',' ORDER BY item) AS names
   FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM found)
-  GROUP BY doc_id)
+  GROUP BY doc_id),
+-- proximity: 80 % of a window's words at most 2 places from theirs
+nwin AS (
+  SELECT row_number() OVER () AS wid, item_id, n, string_split(win, ' ') AS x,
+         ceil(0.8 * n - 1e-9)::BIGINT AS need FROM windows),
+postings AS (
+  SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos
+  FROM dw),
+common AS (SELECT word, count(*) AS c FROM postings GROUP BY word),
+terms AS (
+  SELECT wid, k, t.word, row_number() OVER (
+    PARTITION BY wid ORDER BY coalesce(c, 0), k) AS rare, n - need + 1 AS few
+  FROM (SELECT wid, n, need, unnest(x) AS word,
+               unnest(range(1, n + 1)) AS k FROM nwin) t
+  LEFT JOIN common ON common.word = t.word),
+starts AS (
+  SELECT DISTINCT doc_id, wid, pos - k + 1 + unnest(range(-2, 3)) AS p
+  FROM terms JOIN postings USING (word) WHERE rare <= few),
+near AS (
+  SELECT doc_id, item_id, p, n FROM (
+    SELECT s.doc_id, v.item_id, s.p, v.n, v.need, list_sum(list_transform(
+      range(1, v.n + 1), lambda k: list_contains(
+        d.w[greatest(s.p + k - 3, 1):greatest(s.p + k + 1, 0)], v.x[k])::INT))
+      AS hits
+    FROM starts s JOIN nwin v ON v.wid = s.wid JOIN dw d ON d.doc_id = s.doc_id)
+  WHERE hits >= need),
+near_items AS (
+  SELECT doc_id, count(DISTINCT item_id::VARCHAR) AS n FROM near
+  GROUP BY doc_id),
+near_hit AS (
+  SELECT doc_id, count(DISTINCT q) AS n FROM (
+    SELECT near.doc_id, unnest(range(greatest(p, 1),
+      least(p + n, len(d.w) + 1))) AS q
+    FROM near JOIN dw d ON d.doc_id = near.doc_id) GROUP BY doc_id)
 SELECT d.doc_id, len(w)::BIGINT AS n_words,
   coalesce(n_hit, 0)::BIGINT AS n_hit,
   coalesce(n_items, 0)::BIGINT AS n_items,
   sha256(coalesce(names, '')) AS items_sha256,
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w)
-    AS contaminated
+    AS contaminated,
+  coalesce(nh.n, 0)::BIGINT AS n_near_hit,
+  coalesce(ni.n, 0)::BIGINT AS n_near_items
 FROM dw d LEFT JOIN hit h ON h.doc_id = d.doc_id
 LEFT JOIN items i ON i.doc_id = d.doc_id
+LEFT JOIN near_hit nh ON nh.doc_id = d.doc_id
+LEFT JOIN near_items ni ON ni.doc_id = d.doc_id
 """
 
 

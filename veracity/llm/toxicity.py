@@ -66,7 +66,6 @@ class ToxicityParams:
     min_support: int = 5
     min_precision: float = 0.95
     chance: float = 1e-3
-    candidates: int = 20_000
     seed: int = 17
 
 
@@ -121,9 +120,10 @@ def _class(ch: str) -> int:
 def restore(span: str, model, p: ToxicityParams) -> str:
     """The likeliest plain text of a written span (lower case).
 
-    A state is the last two restored classes; each keeps its best path,
-    so the work grows with the span's length only."""
-    states = {(0, 0): (0.0, "")}
+    A state is the last two restored classes; each keeps its best path as
+    a chain of letters, so the work grows with the span's length only.  Of
+    equally likely texts the first in code point order is taken."""
+    states: dict = {(0, 0): (0.0, None)}
     before = ""
     for ch in span:
         options = []
@@ -136,7 +136,7 @@ def restore(span: str, model, p: ToxicityParams) -> str:
                 options.append(("", p.space_cost))
         if ch == before:
             options.append(("", p.repeat_cost))
-        new: dict[tuple[int, int], tuple[float, str]] = {}
+        new: dict = {}
         for (a, b), (cost, path) in states.items():
             for x, price in options:
                 if not x:
@@ -144,13 +144,22 @@ def restore(span: str, model, p: ToxicityParams) -> str:
                 else:
                     k = _class(x)
                     state, c = (b, k), cost + price - model[a][b][k]
-                    path2 = path + x
+                    path2 = (path, x)
                 old = new.get(state)
                 if old is None or c < old[0]:
                     new[state] = (c, path2)
         states, before = new, ch
     end = [(c - model[a][b][0], path) for (a, b), (c, path) in states.items()]
-    return min(end)[1]
+    least = min(c for c, _ in end)
+    return min(_written(path) for c, path in end if c == least)
+
+
+def _written(path) -> str:
+    out = []
+    while path is not None:
+        path, x = path
+        out.append(x)
+    return "".join(reversed(out))
 
 
 @dataclass
@@ -423,8 +432,7 @@ def _fit(docs, labels, p, id_col, text_col, label_col) -> ToxicityModel:
             (F.col("toxic") >= p.min_support)
             & (F.col("toxic") >= p.min_precision * (
                 F.col("toxic") + F.col("clean"))))
-            .orderBy(F.desc("toxic"), "feature").limit(p.candidates)
-            .select("feature").collect()]
+            .orderBy(F.desc("toxic"), "feature").select("feature").collect()]
         keep = spark.sparkContext.broadcast(
             {x: i for i, x in enumerate(names)})
         seen = rows.mapInArrow(
