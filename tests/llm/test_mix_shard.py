@@ -4,8 +4,10 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
+from veracity.llm import common
 from veracity.llm.mixing import mix, plan_mix, position
 from veracity.llm.sharding import ShardParams, shard, shard_table, write_shards
 
@@ -63,6 +65,42 @@ def test_mix_rows_follow_the_plan(spark):
     assert mix(cases.empty(spark)).count() == 0
 
 
+def test_rows_that_repeat_id_and_text(spark):
+    """Half of a source is one document, in rows that differ elsewhere and
+    rows that don't; the same id and text lie in two sources.  Every row is
+    taken as often as its place says, and reruns agree."""
+    hot = cases.text(5, 12)
+    rows = [(7, hot, "a", i % 40) for i in range(300)]
+    rows += [(7, hot, "b", 5)] * 3 + [(None, hot, "a", 1)] * 4
+    rows += [(100 + i, cases.text(i, 10 + i % 5), "ab"[i % 2], i)
+             for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, "
+                               "source string, n_chars long")
+    plan = Counter()
+    for r in plan_mix(df).collect():
+        plan[r.doc_id, r.source] += -(-r.taken // r.size)
+    out = mix(df).collect()
+    assert Counter((r.doc_id, r.source) for r in out) == +plan
+    of_rows = Counter(rows)
+    for row, n in Counter((r.doc_id, r.text, r.source, r.n_chars)
+                          for r in out).items():
+        assert n <= 2 * of_rows[row]
+    again = mix(df.repartition(7)).collect()
+    assert sorted(map(repr, out)) == sorted(map(repr, again))
+    at = {r["__position"] for r in out if r.doc_id == 7 and r.source == "a"}
+    assert len(at) > 250
+
+
+def test_unfold_counts_every_number(spark):
+    df = spark.createDataFrame([(1, 5, 9), (2, 1, 350), (3, 7, 6 + 100)],
+                               "k int, a long, b long")
+    got = common.unfold(df, F.col("a"), F.col("b"), "n", stretch=100)
+    assert got.columns == ["k", "a", "b", "n"]
+    assert sorted((r.k, r.n) for r in got.collect()) == sorted(
+        [(1, n) for n in range(5, 10)] + [(2, n) for n in range(1, 351)]
+        + [(3, n) for n in range(7, 107)])
+
+
 def test_position_inverts_the_integral(spark):
     knots = ((0.0, 0.5), (0.5, 1.5), (1.0, 0.5))
 
@@ -145,3 +183,63 @@ def test_shard_edge_rows(spark, tmp_path):
     write_shards(df, str(tmp_path / "s"), ShardParams(shards=2))
     assert {p.name for p in (tmp_path / "s").glob("__shard=*")} <= {
         "__shard=0", "__shard=1"}
+
+
+# --- the whole op3 table by plain Python --------------------------------------
+
+def _hash(*values):
+    """Spark's xxhash64 of (value, bytes) columns: each is hashed with the
+    hash of those before as its seed, nulls are passed over."""
+    import xxhash
+    h = 42
+    for v, size in values:
+        if v is not None:
+            h = xxhash.xxh64_intdigest(
+                (v % 2 ** (8 * size)).to_bytes(size, "little"), seed=h)
+    return h - 2 ** 64 if h >= 2 ** 63 else h
+
+
+def _plain_shard(key, shards, seed):
+    return -max((_hash((seed, 4), (key, 8), (s, 4)), -s)
+                for s in range(shards))[1]
+
+
+def _plain_shards(rows, p):
+    """(doc_id, size, crc, shard, slot, grown) of all rows (id, text)."""
+    n, total = len(rows), sum(len((t or "").encode()) for _, t in rows)
+    per_shard = max(1, -(-n // (p.bucket_rows * p.shards)),
+                    -(-total // (p.bucket_bytes * p.shards)))
+    buckets = defaultdict(list)
+    for key, text in rows:
+        crc = None if text is None else zlib.crc32(text.encode())
+        shard = _plain_shard(key, p.shards, p.seed)
+        sub = _hash((p.seed + 1, 4), (key, 8), (crc, 8), (0, 8)) % per_shard
+        buckets[shard, sub].append((_hash((p.seed + 2, 4), (key, 8),
+                                          (crc, 8)), key, text, crc))
+    slot, out = Counter(), []
+    for (shard, sub), items in sorted(buckets.items()):
+        items.sort(key=lambda x: x[0])
+        perm = list(range(len(items)))
+        name = _hash((shard, 4), (sub, 8))
+        for i in range(len(items) - 1, 0, -1):
+            j = _hash((p.seed + 3, 4), (name, 8), (i, 4)) % (i + 1)
+            perm[i], perm[j] = perm[j], perm[i]
+        for at in perm:
+            _, key, text, crc = items[at]
+            out.append((key, len((text or "").encode()) + 1, crc or 0, shard,
+                        slot[shard], _plain_shard(key, p.shards + 1, p.seed)))
+            slot[shard] += 1
+    return out
+
+
+@pytest.mark.parametrize("p", [ShardParams(), ShardParams(
+    shards=3, bucket_rows=20, seed=9), ShardParams(shards=2,
+                                                   bucket_bytes=3000)])
+def test_shard_table_equals_plain_python(spark, p):
+    rows = [(i, cases.text(i, i % 30)) for i in range(700)]
+    rows += [(None, "no id"), (2000, None), (2001, ""), (2002, "é" * 50),
+             (-5, "below zero"), (2 ** 40, "far")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.size, r.text_crc32, r.shard, r.slot, r.grown_shard)
+           for r in shard_table(df.repartition(5), p).collect()]
+    assert sorted(got, key=repr) == sorted(_plain_shards(rows, p), key=repr)

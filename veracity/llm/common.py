@@ -322,6 +322,24 @@ def prefix_sums(df: DataFrame, group: list[str], bucket: str,
             .drop("__before", *[f"__{k}" for k in key]))
 
 
+def unfold(df: DataFrame, first: Column, last: Column, out: str,
+           stretch: int = 65_536) -> DataFrame:
+    """A row for each whole number from ``first`` to ``last``; a long range
+    comes out of many tasks, a stretch each."""
+    rows = df.withColumns({"__lo": first.cast("long"),
+                           "__hi": last.cast("long")})
+    long = F.col("__hi") - F.col("__lo") >= stretch
+    parts = rows.where(long).withColumn("__at", F.explode(F.sequence(
+        F.lit(0).cast("long"),
+        F.floor((F.col("__hi") - F.col("__lo")) / stretch))))
+    parts = parts.repartition("__at", "__lo", "__hi").withColumns({
+        "__lo": F.col("__lo") + F.col("__at") * stretch,
+        "__hi": F.least(F.col("__hi"), F.col("__lo") + F.col("__at")
+                        * stretch + stretch - 1)}).drop("__at")
+    return rows.where(~long).unionByName(parts).withColumn(
+        out, F.explode(F.sequence("__lo", "__hi"))).drop("__lo", "__hi")
+
+
 # --- connected components ------------------------------------------------
 
 def components(edges: DataFrame) -> DataFrame:

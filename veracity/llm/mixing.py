@@ -160,11 +160,12 @@ def _plan(d: DataFrame, p: MixParams) -> DataFrame:
         "mix-sizes")
     targets = C.cut(source_targets(sizes, p))
     n = C.hash_buckets(sizes.count())
-    # equal row keys are equal rows: their order doesn't matter
+    # equal keys and ids are equal rows: their order doesn't matter, and they
+    # follow each other
     rows = sizes.withColumn("bucket", F.floor(
         F.shiftright("row_key", 30) * n / F.lit(2 ** 30)).cast("long"))
-    rows = C.prefix_sums(rows, ["source"], "bucket", ["row_key"], "size",
-                         "place")
+    rows = C.prefix_sums(rows, ["source"], "bucket", ["row_key", "doc_id"],
+                         "size", "place")
     t = targets.withColumnRenamed("source", "__s")
     rows = rows.join(t, F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
     goal = F.round("target").cast("long")
@@ -188,6 +189,20 @@ def _position(due: Column, p: MixParams) -> Column:
     return at
 
 
+KEYS = ["__key", "__id", "__src"]
+
+
+def _on_keys(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
+    """Join on the keys, nulls equal; the columns of ``a`` and of ``b``
+    beyond the keys."""
+    b = b.withColumnsRenamed({k: f"{k}_b" for k in KEYS})
+    cond = F.lit(True)
+    for k in KEYS:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"{k}_b"))
+    out = a.join(b, cond, how)
+    return out.drop(*[f"{k}_b" for k in KEYS])
+
+
 def mix(docs: DataFrame, params: MixParams = MixParams(),
         id_col: str = "doc_id", text_col: str = "text",
         source_col: str = "source") -> DataFrame:
@@ -195,38 +210,68 @@ def mix(docs: DataFrame, params: MixParams = MixParams(),
     document, with its training ``position`` (0 to 1), range-sorted by it.
 
     Documents of which nothing is taken are left out; a document's last
-    pass may be in part, its row holds the whole text.  Columns of ``docs``
-    stay as they are; the new one is named ``__position``.
+    pass may be in part, its row holds the whole text.  Rows equal in id,
+    text and source are dealt the places of such rows in the order of a
+    hash of all columns, so reruns agree.  Columns of ``docs`` stay as they
+    are; the new one is named ``__position``.
     """
     p = params
-    plan = plan_mix(docs, p, id_col, text_col, source_col).where("taken > 0")
+    plan = plan_mix(docs, p, id_col, text_col, source_col)
+    plan = plan.withColumnsRenamed(dict(zip(("row_key", "doc_id", "source"),
+                                            KEYS, strict=True)))
     per_pass = F.explode(F.sequence(
         F.lit(0), (F.ceil(F.col("taken") / F.col("size")) - 1).cast("int")))
-    passes = plan.select("doc_id", "row_key", "rank", "place", "source_size",
-                         "target", per_pass.alias("k"))
+    passes = plan.where("taken > 0").withColumn("k", per_pass)
     due = (F.col("place") + F.col("k") * F.col("source_size")) / F.col(
         "target")
-    passes = passes.withColumn("at", _position(due, p))
-    ats = passes.groupBy("doc_id", "row_key", "place").agg(
-        F.collect_list("at").alias("ats"))
-    # Rows equal in id and text share a key; they are numbered to get one
-    # plan row each.  All others join on the key alone.
-    ats = C.save(ats.withColumn("copy", F.row_number().over(
-        Window.partitionBy("row_key").orderBy("place", "doc_id"))).select(
-        F.col("row_key").alias("__key"), F.col("copy").alias("__copy"),
-        F.col("ats").alias("__ats")), "mix-passes")
-    again = C.cut(ats.where("__copy > 1").select("__key").distinct())
-    whole = docs.withColumn("__key", row_key(
-        F.col(id_col), F.col(text_col), p.seed))
-    once = whole.join(ats.join(again, "__key", "left_anti"), "__key")
-    out = once.drop("__copy")
+    ats = C.save(passes.withColumn("at", _position(due, p)).groupBy(
+        *KEYS, "place", "size").agg(F.collect_list("at").alias("__ats")),
+        "mix-passes")
+    again = C.cut(plan.groupBy(*KEYS).agg(
+        F.count("*").alias("rows"), F.min("place").alias("first"))
+        .where("rows > 1").select(*KEYS, "first"))
+    few = again.count() <= C.BROADCAST_ROWS
+    again_ = F.broadcast(again) if few else again
+    whole = docs.withColumns(dict(zip(KEYS, (
+        row_key(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), p.seed),
+        F.col(f"`{id_col}`").cast("long"),
+        F.col(f"`{source_col}`").cast("string")), strict=True)))
+    once = _on_keys(ats, again_, "left_anti").drop("place", "size")
+    out = _on_keys(whole, once, "inner").drop(*KEYS)
     if not again.isEmpty():
-        mine = Window.partitionBy("__key").orderBy(F.lit(1))
-        more = C.semi_join(whole, again, "__key").withColumn(
-            "__copy", F.row_number().over(mine))
-        out = out.unionByName(more.join(ats, ["__key", "__copy"])
-                              .drop("__copy"))
-    return (out.withColumn("__position", F.explode("__ats"))
-            .drop("__key", "__ats")
-            .repartitionByRange("__position", F.col(id_col))
-            .sortWithinPartitions("__position", id_col))
+        out = out.unionByName(_repeated(
+            _on_keys(whole, again_.drop("first"), "left_semi"),
+            _on_keys(ats, again_, "inner")))
+    return (out.withColumn("__position", F.explode("__ats")).drop("__ats")
+            .repartitionByRange("__position", F.col(f"`{id_col}`"))
+            .sortWithinPartitions("__position", F.col(f"`{id_col}`")))
+
+
+def _repeated(rows: DataFrame, ats: DataFrame) -> DataFrame:
+    """Rows that share their keys with others, each with the plan of one of
+    the places of such rows.
+
+    Rows equal in every column are one counted entry; the entries of a key
+    are numbered by two-level sums and unfold to copies in stretches, so no
+    key is one window or one task."""
+    names = [c for c in rows.columns if c not in KEYS]
+    hashed = [x for c in names for x in (F.col(f"`{c}`"),
+                                         F.col(f"`{c}`").isNull())]
+    entries = rows.groupBy(*[F.col(f"`{c}`") for c in rows.columns]).agg(
+        F.count("*").alias("__n")).withColumn("__h", F.xxhash64(*hashed))
+    entries = entries.withColumn("__bucket", F.pmod("__h", F.lit(256)))
+    entries = C.prefix_sums(entries, KEYS, "__bucket", ["__h"], "__n",
+                            "__earlier")
+    copies = C.unfold(entries, F.col("__earlier") + 1,
+                      F.col("__earlier") + F.col("__n"), "__copy").drop(
+        "__n", "__h", "__bucket", "__earlier")
+    # the places of equal rows are a size apart
+    numbered = ats.withColumn("__copy_b", F.floor(
+        (F.col("place") - F.col("first")) / F.col("size")) + 1).drop(
+        "place", "first", "size")
+    numbered = numbered.withColumnsRenamed({k: f"{k}_b" for k in KEYS})
+    cond = F.col("__copy") == F.col("__copy_b")
+    for k in KEYS:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"{k}_b"))
+    return copies.join(numbered, cond).select(
+        *[F.col(f"`{c}`") for c in names], "__ats")
