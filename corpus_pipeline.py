@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from veracity.llm import common, decontam, minhash, mixing, sharding, toxicity
+from veracity.session import delete_path, scratch_path
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str
@@ -25,8 +26,9 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str
                      ) -> DataFrame:
-    """One document of each group of near copies: shingles of five words,
-    similarity 0.8 or more."""
+    """One document of each group of near copies: shingles of five words
+    (the rule for stages; two words would link more), similarity 0.8 or
+    more."""
     return minhash.deduplicate(docs, minhash.MinHashParams(shingle=5))
 
 
@@ -67,7 +69,13 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole table ``documents``: its columns, shard
     and slot."""
-    docs = common.read_table(spark, sf_dir, "documents")
+    docs, before = common.read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = common.save(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        path = scratch_path(spark, f"pipeline-{name}")
+        rows = stage(spark, docs, sf_dir)
+        rows.write.parquet(path)
+        docs = spark.read.schema(rows.schema).parquet(path)
+        if before:      # written and read: its predecessor isn't needed
+            delete_path(spark, before)
+        before = path
     return docs
