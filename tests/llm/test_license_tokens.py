@@ -74,6 +74,114 @@ def test_notices_are_found_wherever_they_stand(spark):
     assert rep[101].best is None and rep[101].licenses == ""
 
 
+def _folder(tmp_path):
+    """Two bodies of 600 and 2 000 words, a header, a short notice."""
+    texts = {"Alpha-1.0.txt": cases.text(501, 600),
+             "Beta-2.0.txt": cases.text(502, 2000),
+             "Beta-2.0+header.txt": "This file is under the beta license, "
+             "second version, whatever else is said of it elsewhere.",
+             "Gamma.txt": "Licensed under Gamma 9."}
+    folder = tmp_path / "templates"
+    folder.mkdir()
+    for name, text in texts.items():
+        (folder / name).write_text(text)
+    return str(folder), {k.split(".txt")[0]: v for k, v in texts.items()}
+
+
+def test_license_bodies_from_a_folder(spark, tmp_path):
+    folder, texts = _folder(tmp_path)
+    templates = L.read_templates(spark, folder)
+    assert [n for n, _ in templates] == ["Alpha-1.0", "Beta-2.0", "Beta-2.0",
+                                         "Gamma"]
+    a, b = texts["Alpha-1.0"].split(), texts["Beta-2.0"].split()
+    body = cases.words(3, 300)
+    r = random.Random(5)
+    edited = [x if r.random() > 0.06 else "changed" for x in b]
+    edited[700:704] = []
+    edited[1200:1200] = ["two", "more"]
+    docs = {1: body[:100] + a + body[100:], 2: body + edited,
+            3: a[:300] + body,                       # half of it: no
+            4: a + ["between"] + a, 5: body,
+            6: b + texts["Gamma"].split() + a,
+            7: b[1000:] + b[:1000],                  # halves swapped: no
+            8: texts["Beta-2.0+header"].split() + body}
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()],
+                               "doc_id long, text string")
+    got = {x.doc_id: x for x in L.scan_licenses(
+        df, templates=templates).collect()}
+    names = {i: x.license for i, x in got.items()}
+    assert names == {1: ["Alpha-1.0"], 2: ["Beta-2.0"], 3: [], 5: [], 7: [],
+                     4: ["Alpha-1.0"] * 2, 8: ["Beta-2.0"],
+                     6: ["Beta-2.0", "Gamma", "Alpha-1.0"]}
+    assert (got[1]["first"], got[1]["last"]) == ([100], [700])
+    assert got[1].coverage == [1.0] and got[1].matched == [600]
+    assert 0.9 < got[2].coverage[0] < 0.96
+    assert got[4]["first"] == [0, 601] and got[4]["last"] == [600, 1201]
+    # matched words of a body are a common subsequence of text and body
+    assert got[2].matched[0] <= lcs(b, body + edited)
+    rep = L.license_report(df, templates=templates)
+    assert rep.where("doc_id = 6").first().best == "Beta-2.0"
+
+
+def test_a_brute_scan_finds_the_same_short_notices(spark):
+    """Without index and winnowing: every template is aligned wherever one
+    of its grams stands; what reaches the coverage there is reported, and
+    nothing else is."""
+    templates = [(n, t) for n, t in L.TEMPLATES if len(t.split()) < 16]
+    r = random.Random(12)
+    voc = sorted({w for _, t in templates for w in t.split()}) + ["x", "y"]
+    rows = []
+    for i in range(150):
+        w = [r.choice(voc) for _ in range(r.randrange(30))]
+        if i % 2:
+            t = r.choice(templates)[1].split()
+            if i % 3 == 0:
+                t[r.randrange(len(t))] = "edit"
+            w[len(w) // 2:len(w) // 2] = t
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    p = L.LicenseParams()
+    got = {x.doc_id: set(x.license) for x in L.scan_licenses(
+        df, p, templates).collect()}
+    ix = L._index(templates, p)
+    some = 0
+    for i, text in rows:
+        h = L._words(text.encode())
+        want = set()
+        for t, w in enumerate(ix.words):
+            k = ix.widths[t]
+            for d in {x - y for x in range(len(h) - k + 1)
+                      for y in range(len(w) - k + 1)
+                      if (h[x:x + k] == w[y:y + k]).all()}:
+                lo, hi = max(0, d - p.band), min(len(h), d + len(w) + p.band)
+                n, a, b = L.align(w, h[lo:hi], d - lo, p.band)
+                if n and n >= p.coverage * len(w) and all(
+                        L._stands(key, h[lo + a:lo + b])
+                        for key in ix.keys[t]):
+                    want.add(ix.names[t])
+        assert got[i] <= want, (i, text)
+        if len(want) == 1:
+            assert got[i] == want, (i, text)
+        some += bool(want)
+    assert some > 60
+
+
+def test_very_many_notices_and_a_very_long_word():
+    import time
+    ix = L._index(L.TEMPLATES, L.LicenseParams())
+    notice = L._words(b"Released under the MIT License.")
+    times = []
+    for n in (5_000, 20_000):
+        t0 = time.time()
+        found = L._scan_text(ix, np.tile(notice, n), L.LicenseParams())
+        times.append(time.time() - t0)
+        assert len(found) == n
+    assert times[1] < 12 * times[0]         # four times as many
+    long = L._words(b"x" * 1_000_000 + b" all rights reserved")
+    assert [x[2:4] for x in L._scan_text(ix, long, L.LicenseParams())
+            ] == [(1, 4)]
+
+
 def test_winnowing_keeps_a_place_of_every_window():
     g = np.random.default_rng(1).integers(0, 50, 300).astype(np.uint64)
     for w in (1, 2, 4):

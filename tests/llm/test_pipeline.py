@@ -99,7 +99,7 @@ def test_run_and_registration(spark, tables):
     q, o = entry.queries(), entry.oracle_sql()
     names = [n for n in q if n.startswith("op") and n[2].isdigit()]
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(
-        range(1, 11))
+        range(1, 14))
     assert q["pipeline"] is P.run and set(o) <= set(q)
 
 

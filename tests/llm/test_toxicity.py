@@ -147,3 +147,22 @@ def test_numbers_alone_are_no_words():
     assert reader.spaced(["1", "0", "5", "-"]) == ()
     assert reader.plain("2.400") == "2.400"
     assert T._single("!") == "!" and T._single("--") == ""
+
+
+def test_a_word_of_a_million_letters():
+    """The work grows with the length: no path is copied."""
+    import time
+    model, p = np.full((28, 28, 28), -3.0).tolist(), T.ToxicityParams()
+    times = []
+    for n in (20_000, 200_000):
+        t0 = time.time()
+        out = T.restore("ab" * n, model, p)
+        times.append(time.time() - t0)
+        assert out == "ab" * n
+    assert times[1] < 25 * times[0]         # ten times as long
+    assert T.restore("1" + "x" * 1_000_000, model, p)
+
+
+def test_all_features_that_pass_are_candidates(spark):
+    """No cap on the list that the lexicon is chosen from."""
+    assert "candidates" not in T.ToxicityParams.__dataclass_fields__

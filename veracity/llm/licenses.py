@@ -11,9 +11,16 @@ fingerprints looked up in it give candidates: a template and the diagonal
 its words would lie on.  A banded alignment around the diagonal then
 counts the matched words, which gives the coverage and the exact span.
 
-Templates are short and documents long, so an alignment only reads the
-stretch of the document the diagonal allows, and a document is worked on
-whole, wherever in it the notice stands.
+An alignment only reads the stretch of the document the diagonal allows,
+and a document is worked on whole, wherever in it the notice stands.  A
+long template, a license's body, is looked for in sections; the sections
+that are found one after the other make up its coverage and span.  A
+section counts as a candidate only where as many of its trigrams are close
+to a diagonal as the allowed edits must leave, so that phrases of everyday
+language start no alignment.
+
+The notices below are the default; ``read_templates`` takes others, bodies
+included, from a folder with a file per license.
 """
 
 from __future__ import annotations
@@ -25,7 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -81,7 +88,8 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
      "without limitation the rights to use, copy, modify, merge, publish, "
      "distribute, sublicense, and/or sell copies of the Software, and to "
      "permit persons to whom the Software is furnished to do so."),
-    ("BSD-3-Clause",
+    # the line that all BSD licenses share
+    ("BSD",
      "Redistribution and use in source and binary forms, with or without "
      "modification, are permitted provided that the following conditions "
      "are met:"),
@@ -111,8 +119,11 @@ KEYS: dict[str, tuple[str, ...]] = {
 @dataclass(frozen=True)
 class LicenseParams:
     """``coverage``: least share of a template's words that must match.
-    ``band``: words that may be missing or extra on either side."""
+    ``band``: words that may be missing or extra on either side.
+    ``section``: words of a section of a long template (one of more than
+    twice as many)."""
 
+    section: int = 80
     gram: int = 3
     window: int = 4
     band: int = 6
@@ -131,6 +142,9 @@ class _Index:
     short: list[bool]       # edits can leave no run that winnowing keeps
     widths: list[int]       # words of a gram, per template
     keys: list[list[np.ndarray]]    # words that must stand as they are
+    votes: list[int]        # grams near a diagonal that a match must have
+    part: list[tuple[int, int] | None]  # (license, section) of a section
+    bodies: list[tuple[str, int]]       # (license, words) of long templates
 
 
 def _words(text: bytes) -> np.ndarray:
@@ -167,9 +181,32 @@ def _run(m: int, p: LicenseParams) -> int:
     return -(-keep // (m - keep + 2))
 
 
+def _votes(m: int, width: int, p: LicenseParams) -> int:
+    """Grams of a template of ``m`` words that any match has within the
+    band of one diagonal: each word changed, missing or extra takes as many
+    as a gram has words beside it."""
+    keep = max(1, math.ceil(p.coverage * m - 1e-9))
+    breaks = (m - keep) + 2 * p.band + 1
+    return max(1, keep - (width - 1) * breaks)
+
+
 def _index(templates: Sequence[tuple[str, str]], p: LicenseParams) -> _Index:
-    names = [n for n, _ in templates]
-    words = [_words(t.encode()) for _, t in templates]
+    names, words, keys, part, bodies = [], [], [], [], []
+    for name, text in templates:
+        w = _words(text.encode())
+        if len(w) <= 2 * p.section:
+            cuts = [0, len(w)]
+            keys.append([_words(k.encode()) for k in KEYS.get(name, ())])
+            part.append(None)
+        else:
+            n = len(w) // p.section
+            cuts = [len(w) * k // n for k in range(n + 1)]
+            keys += [[]] * n
+            part += [(len(bodies), k) for k in range(n)]
+            bodies.append((name, len(w)))
+        for x, y in zip(cuts, cuts[1:]):
+            names.append(name)
+            words.append(w[x:y])
     hashes, template, offset = [], [], []
     widths = [max(1, min(p.gram, _run(len(w), p))) for w in words]
     for i, w in enumerate(words):
@@ -185,8 +222,29 @@ def _index(templates: Sequence[tuple[str, str]], p: LicenseParams) -> _Index:
                   np.concatenate(template)[order] if hashes else h,
                   np.concatenate(offset)[order] if hashes else h,
                   [_run(len(w), p) < p.window + p.gram - 1 for w in words],
-                  widths, [[_words(k.encode()) for k in KEYS.get(n, ())]
-                           for n in names])
+                  widths, keys, [_votes(len(w), k, p) for w, k in zip(
+                      words, widths, strict=True)], part, bodies)
+
+
+# Templates are sent to every task.
+TEMPLATE_BYTES = 16 << 20
+
+
+def read_templates(spark: SparkSession, folder: str
+                   ) -> list[tuple[str, str]]:
+    """(name, text) of the files of a folder: a license each, named by its
+    file without the ending; several files of one license (a body and its
+    headers) have its name before a ``+``.  Templates are a parameter, sent
+    to every task; more than TEMPLATE_BYTES of them are refused."""
+    files = spark.read.text(folder, wholetext=True).select(
+        F.col("_metadata.file_name").alias("name"), "value")
+    size = files.agg(F.sum(F.octet_length("value"))).first()[0] or 0
+    if size > TEMPLATE_BYTES:
+        raise ValueError(f"{folder} has {size} bytes of templates, more "
+                         f"than {TEMPLATE_BYTES}")
+    rows = files.orderBy("name").collect()
+    return [(r["name"].rsplit(".txt", 1)[0].split("+", 1)[0], r["value"])
+            for r in rows]
 
 
 def align(template: np.ndarray, text: np.ndarray, diagonal: int, band: int
@@ -232,20 +290,27 @@ def _candidates(ix: _Index, g: np.ndarray, p: LicenseParams):
     """(template, diagonal) pairs that a fingerprint of the text shows."""
     if not len(g) or not len(ix.hashes):
         return []
-    at = np.minimum(np.searchsorted(ix.hashes, g), len(ix.hashes) - 1)
-    hit = np.flatnonzero(ix.hashes[at] == g)
-    if not len(hit):
+    lo = np.searchsorted(ix.hashes, g, "left")
+    n = np.searchsorted(ix.hashes, g, "right") - lo
+    pos = np.repeat(np.arange(len(g)), n)
+    if not len(pos):
         return []
-    picked = set(_winnow(g, p.window).tolist())
-    out = []
-    for pos in hit.tolist():
-        k = int(at[pos])
-        while k < len(ix.hashes) and ix.hashes[k] == g[pos]:
-            t = int(ix.template[k])
-            if pos in picked or ix.short[t]:
-                out.append((t, pos - int(ix.offset[k])))
-            k += 1
-    return sorted(set(out))
+    at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    t, d = ix.template[at].astype(np.int64), pos - ix.offset[at]
+    near = np.ones(len(pos), bool)
+    votes = np.array(ix.votes)[t]
+    many = votes > 1
+    if many.any():
+        # grams of a template close to each other's diagonals
+        wide = np.int64(1) << 40
+        key = np.sort(t[many] * wide + d[many])
+        own = t[many] * wide + d[many]
+        near[many] = (np.searchsorted(key, own + p.band, "right")
+                      - np.searchsorted(key, own - p.band)) >= votes[many]
+    picked = np.zeros(len(g), bool)
+    picked[_winnow(g, p.window)] = True
+    near &= picked[pos] | np.array(ix.short)[t] | many
+    return sorted(set(zip(t[near].tolist(), d[near].tolist(), strict=True)))
 
 
 def _stands(key: np.ndarray, text: np.ndarray) -> bool:
@@ -254,6 +319,40 @@ def _stands(key: np.ndarray, text: np.ndarray) -> bool:
                for i in np.flatnonzero(text == key[0]))
 
 
+def _bodies(ix: _Index, found: list[tuple], p: LicenseParams
+            ) -> list[tuple]:
+    """Long templates that enough of their sections' words make up: the
+    sections in their order, from one that comes no later than the last
+    anew.  A body's number follows those of the templates."""
+    best: dict[tuple[int, int, int], tuple] = {}
+    for n, _, first, last, t in found:      # one span per place
+        key = (*ix.part[t], first)
+        if key not in best or n < best[key][0]:
+            best[key] = (n, first, last)
+    out = []
+    for b, (_, total) in enumerate(ix.bodies):
+        rows = sorted((first, k, n, last) for (body, k, first), (n, _, last)
+                      in best.items() if body == b)
+        chain: list[tuple] = []
+
+        def close():
+            n = sum(x[2] for x in chain)
+            if chain and -n >= p.coverage * total:
+                out.append((n, n / total, chain[0][0], chain[-1][3],
+                            len(ix.words) + b))
+        for row in rows:
+            if chain and row[1] <= chain[-1][1]:
+                if row[1] == chain[-1][1] and row[0] < chain[-1][3]:
+                    if row[2] < chain[-1][2]:   # a better place of it
+                        chain[-1] = row
+                    continue
+                close()
+                chain = []
+            chain.append(row)
+        close()
+    return out
+
+
 def _scan_text(ix: _Index, h: np.ndarray, p: LicenseParams) -> list[tuple]:
     """Matches of one text, each stretch given to the template that matches
     most of its words there."""
@@ -276,6 +375,8 @@ def _scan_text(ix: _Index, h: np.ndarray, p: LicenseParams) -> list[tuple]:
                         continue
                     found.append((-n, -n / len(w), first + lo, last + lo, t))
                     todo += [(lo, lo + first), (lo + last, hi)]
+    found = [x for x in found if ix.part[x[4]] is None] + _bodies(
+        ix, [x for x in found if ix.part[x[4]] is not None], p)
     # accepted spans don't overlap: sorted, only the neighbours can
     begins, out = [], {}
     for n, c, first, last, t in sorted(set(found)):
@@ -291,6 +392,7 @@ def _scan_text(ix: _Index, h: np.ndarray, p: LicenseParams) -> list[tuple]:
 def _scan(w, p: LicenseParams):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = w.value
+        names = [*ix.names, *(n for n, _ in ix.bodies)]
         for batch in batches:
             data, off = C.texts_of(batch.column(1))
             for a, b in C.row_chunks(off):
@@ -310,7 +412,7 @@ def _scan(w, p: LicenseParams):
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a),
                      pa.array(np.diff(border).astype(np.int64)),
-                     pa.array([[ix.names[x[4]] for x in r] for r in rows],
+                     pa.array([[names[x[4]] for x in r] for r in rows],
                               pa.list_(pa.string())),
                      pa.array([[-x[0] for x in r] for r in rows],
                               pa.list_(pa.int32())),
@@ -345,12 +447,13 @@ def scan_licenses(docs: DataFrame, params: LicenseParams = LicenseParams(),
                       "licenses")
 
 
-def license_report(docs: DataFrame, params: LicenseParams = LicenseParams()
+def license_report(docs: DataFrame, params: LicenseParams = LicenseParams(),
+                   templates: Sequence[tuple[str, str]] = TEMPLATES
                    ) -> DataFrame:
     """The scan with a row per document and its best match in columns:
     doc_id, n_words, n_matches, licenses (names in text order), best,
     best_coverage, first_word, last_word."""
-    m = scan_licenses(docs, params)
+    m = scan_licenses(docs, params, templates)
     best = F.expr(
         "array_max(transform(sequence(1, size(license)), i -> struct("
         "matched[i - 1] AS m, coverage[i - 1] AS c, -i AS i)))")
