@@ -59,6 +59,26 @@ def test_a_stop_between_the_renames_is_mended(spark, tmp_path, monkeypatch,
     # complete, takes its place
     want = 150 if stop == 1 else 53
     assert publish.read_published(spark, path).count() == want
+    files.append_feeds(frames(spark, 4), path)
+    assert publish.names(spark, str(tmp_path)) == ["t"]
+
+
+def test_a_reader_comes_between_the_renames(spark, tmp_path, monkeypatch):
+    """It sees the new table, and the writer ends well; a reader that comes
+    while the new table is written leaves it alone."""
+    path = str(tmp_path / "t")
+    files.append_feeds(frames(spark), path)
+    real, counts = publish.rename, []
+
+    def reading(s, old, new):
+        counts.append(publish.read_published(s, path).count())
+        real(s, old, new)
+        if new.endswith(".old"):
+            monkeypatch.setattr(publish, "rename", real)
+            counts.append(publish.read_published(s, path).count())
+    monkeypatch.setattr(publish, "rename", reading)
+    assert files.append_feeds(frames(spark, 3), path).count() == 53
+    assert counts == [150, 53]
     assert publish.names(spark, str(tmp_path)) == ["t"]
 
 

@@ -8,9 +8,8 @@ Two ways, for two kinds of reader:
   generation at any stop, never a mix.
 * A **staged table** is a plain Parquet folder.  It is written beside the
   old one, its rows are counted, and then the folders are swapped by two
-  renames.  A stop between the two is mended by whoever comes next
-  (``recover_table``), from what lies there: the new table if it was
-  complete, else the old one.
+  renames.  A stop between the two is mended by whoever comes next, reader
+  or writer (``recover_table``).
 
 Both ask the file system that the path names, through Spark's Hadoop
 configuration.  Renames are atomic on HDFS and local disks; an object
@@ -144,17 +143,16 @@ def _beside(path: str, what: str) -> str:
 
 
 def recover_table(spark: SparkSession, path: str) -> None:
-    """Finish or undo a swap that was stopped half way."""
-    old, new = _beside(path, "old"), _beside(path, "new")
-    whole = exists(spark, f"{new}/{COMPLETE}")
-    if not exists(spark, path):
-        if whole:
-            rename(spark, new, path)
-        elif exists(spark, old):
-            rename(spark, old, path)
+    """Finish or undo a swap that was stopped half way: the new table if it
+    was complete, else the old one.  A table that stands is not touched,
+    nor is one that is being written beside it."""
     if exists(spark, path):
-        delete(spark, old)
-    delete(spark, new)
+        return
+    old, new = _beside(path, "old"), _beside(path, "new")
+    if exists(spark, f"{new}/{COMPLETE}"):
+        rename(spark, new, path)
+    elif exists(spark, old):
+        rename(spark, old, path)
 
 
 def read_published(spark: SparkSession, path: str) -> DataFrame:
@@ -172,12 +170,15 @@ def publish_table(spark: SparkSession, path: str,
 
     ``load_id``: a load that is already the table's is not written again.
     The frames have the first one's columns and types (cast by name).
+    Readers may come at any time; a table has one writer at a time.
     """
     recover_table(spark, path)
     done = read_json(spark, f"{path}/{COMPLETE}")
     if load_id is not None and done and done.get("load_id") == load_id:
         return spark.read.parquet(path)
     new, old = _beside(path, "new"), _beside(path, "old")
+    delete(spark, new)          # what a stopped load has left
+    delete(spark, old)
     given = 0
     for i, frame in enumerate(frames):
         rows = frame.select(*[F.col(f"`{c}`").cast(t).alias(c)
@@ -187,11 +188,15 @@ def publish_table(spark: SparkSession, path: str,
     written = spark.read.schema(frames[0].schema).parquet(new).count()
     if written != given:
         raise OSError(f"{path}: {given} rows given, {written} written")
-    write_json(spark, f"{new}/{COMPLETE}", {"load_id": load_id,
-                                            "rows": written})
+    facts = {"load_id": load_id, "rows": written, "key": uuid.uuid4().hex}
+    write_json(spark, f"{new}/{COMPLETE}", facts)
     if exists(spark, path):
         rename(spark, path, old)
-    rename(spark, new, path)
+    try:
+        rename(spark, new, path)
+    except OSError:     # a reader has mended the swap already
+        if read_json(spark, f"{path}/{COMPLETE}") != facts:
+            raise
     delete(spark, old)
     return spark.read.parquet(path)
 
