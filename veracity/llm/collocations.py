@@ -12,11 +12,12 @@ The distinct chunks with their parse frequencies are the dictionary.  All
 counting runs on the dictionary, weighted by frequency: a passage that a
 million documents share is one entry.
 
-Phrases of n words are counted level by level.  One that occurs often
-enough consists of two shorter ones that do, so a level looks only at
+Phrases of n words are sifted level by level.  One that occurs often
+enough consists of two shorter ones that do, so a level counts only the
 places whose two shorter phrases are marked in a bitmap of the level
-before.  The bitmap has a fixed largest size; it may mark too much, never
-too little, and the counts themselves are sums per phrase text.
+before, by a hash of the phrase.  Hashes that meet add up, and a bitmap has
+a fixed largest size: both may let too much through, never too little.
+A last pass counts what is marked by its text, so the counts are exact.
 """
 
 from __future__ import annotations
@@ -200,15 +201,35 @@ def _gram_hashes(h: np.ndarray, seeds: np.ndarray, n: int) -> np.ndarray:
     return C.mix(g + seeds + U64(n))
 
 
-def _count_level(n: int, marks: np.ndarray | None):
-    """Phrases of ``n`` words that chunks own, with their weighted counts
-    within a stretch of the dictionary; only those whose two shorter
-    phrases are marked."""
-    def marked(g: np.ndarray) -> np.ndarray:
-        at = g & U64(8 * len(marks) - 1)
-        return (marks[at >> U64(3)] >> (at & U64(7)).astype(np.uint8)) & 1 > 0
+def _marked(g: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    at = g & U64(8 * len(marks) - 1)
+    return (marks[at >> U64(3)] >> (at & U64(7)).astype(np.uint8)) & 1 > 0
+
+
+@dataclass
+class _Places:
+    """The words of a stretch of the dictionary, in order."""
+
+    text: np.ndarray
+    start: np.ndarray       # of each word, and where it ends
+    end: np.ndarray
+    row: np.ndarray         # the chunk's row in the batch
+    owned: np.ndarray
+    after: np.ndarray       # words from this one on in the chunk
+    hashes: np.ndarray
+    seeds: np.ndarray
+
+    def grams(self, n: int) -> np.ndarray:
+        return _gram_hashes(self.hashes, self.seeds, n)
 
-    def count(batch, data, offsets, seeds, a, b):
+
+def _places(batch: pa.RecordBatch) -> Iterator[_Places]:
+    """A batch (lang, own, chunk, freq) in stretches of about a block."""
+    if not batch.num_rows:
+        return
+    data, offsets = C.texts_of(batch.column(2))
+    seeds = _lang_seeds(batch.column(0))
+    for a, b in C.row_chunks(offsets, BLOCK):
         lo = int(offsets[a])
         text = data[lo:int(offsets[b])]
         e = np.flatnonzero(text == 32)
@@ -217,50 +238,78 @@ def _count_level(n: int, marks: np.ndarray | None):
         size = np.diff(begin)
         row = np.repeat(np.arange(a, b), size)
         place = np.arange(len(s)) - np.repeat(begin[:-1], size)
-        own = batch.column(1).to_numpy()[row]
-        h, seed = _hashes(text, s, e), seeds[row]
-        ok = (place < own) & (place + n <= np.repeat(size, size))
-        if marks is not None:
-            short = marked(_gram_hashes(h, seed, n - 1))
-            ok[:-1] &= short[:-1] & short[1:]
-            ok[-1:] &= n == 1
-        at = np.flatnonzero(ok)
-        g = _gram_hashes(h, seed, n)[at]
-        order = np.argsort(g)
-        g, at = g[order], at[order]
-        if not len(g):
-            return None
-        first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
-        total = np.add.reduceat(batch.column(3).to_numpy()[row[at]], first)
-        at = at[first]
-        # phrases: words as they stand, without the space behind the last
-        length = e[at + n - 1] - s[at]
-        out = np.concatenate([[0], np.cumsum(length)])
-        src = np.repeat(s[at] - out[:-1], length) + np.arange(out[-1])
-        return pa.RecordBatch.from_arrays(
-            [batch.column(0).take(pa.array(row[at])),
-             _binary(text[src], out), pa.array(total),
-             pa.array(g[first].view(np.int64))],
-            names=["lang", "phrase", "f", "h"])
+        yield _Places(text, s, e, row,
+                      place < batch.column(1).to_numpy()[row],
+                      np.repeat(size, size) - place, _hashes(text, s, e),
+                      seeds[row])
+
+
+def _summed(g: np.ndarray, freq: np.ndarray
+            ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, sum of freq, a place) per distinct hash."""
+    order = np.argsort(g)
+    g = g[order]
+    first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+    return g[first], np.add.reduceat(freq[order], first), order[first]
+
+
+def _sift(n: int, marks: np.ndarray | None):
+    """(h, f): hashes of the phrases of ``n`` words that chunks own, with
+    their weighted counts in a stretch; only those whose two shorter
+    phrases are marked."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for w in _places(batch):
+                ok = w.owned & (w.after >= n)
+                if marks is not None:
+                    short = _marked(w.grams(n - 1), marks)
+                    ok[:-1] &= short[:-1] & short[1:]
+                    ok[-1:] = False
+                at = np.flatnonzero(ok)
+                if not len(at):
+                    continue
+                g, f, _ = _summed(w.grams(n)[at],
+                                  batch.column(3).to_numpy()[w.row[at]])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(g.view(np.int64)), pa.array(f)],
+                    names=["h", "f"])
+    return run
+
 
+def _marked_phrases(marks: list[np.ndarray]):
+    """(lang, phrase, size, f) of the phrases whose own hash is marked."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            data, offsets = C.texts_of(batch.column(2))
-            seeds = _lang_seeds(batch.column(0))
-            for a, b in C.row_chunks(offsets, BLOCK):
-                found = count(batch, data, offsets, seeds, a, b)
-                if found is not None:
-                    yield found
+            for w in _places(batch):
+                for n, bits in enumerate(marks, 1):
+                    at = np.flatnonzero(w.owned & (w.after >= n))
+                    g = w.grams(n)[at]
+                    keep = _marked(g, bits)
+                    at, g = at[keep], g[keep]
+                    if not len(at):
+                        continue
+                    _, f, one = _summed(
+                        g, batch.column(3).to_numpy()[w.row[at]])
+                    at = at[one]
+                    # words as they stand, without the space behind the last
+                    length = w.end[at + n - 1] - w.start[at]
+                    out = np.concatenate([[0], np.cumsum(length)])
+                    src = np.repeat(w.start[at] - out[:-1], length
+                                    ) + np.arange(out[-1])
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(pa.array(w.row[at])),
+                         _binary(w.text[src], out),
+                         pa.array(np.full(len(at), n, np.int32)),
+                         pa.array(f)],
+                        names=["lang", "phrase", "size", "f"])
     return run
 
 
 def _bitmap(found: DataFrame, p: CollocationParams) -> np.ndarray:
-    """Bits at the phrases' hashes: at least 16 per phrase, while the
-    largest size allows; never more than ``bitmap_bits`` altogether."""
+    """Bits at the hashes: at least 32 per hash, while the largest size
+    allows; never more than ``bitmap_bits`` altogether."""
     n = found.count()
-    bits = min(p.bitmap_bits, 1 << max(16, math.ceil(math.log2(16 * n + 1))))
+    bits = min(p.bitmap_bits, 1 << max(16, math.ceil(math.log2(32 * n + 1))))
     at = F.col("h").bitwiseAND(F.lit(bits - 1))
     words = (found.select(F.shiftright(at, 5).alias("w"), F.expr(
         f"shiftleft(1L, cast((h & {bits - 1}L) & 31 as int))").alias("b"))
@@ -275,21 +324,22 @@ def phrase_counts(dictionary: DataFrame,
                   ) -> list[DataFrame]:
     """Per number of words (from 1): lang, phrase, f, for all phrases with
     at least ``min_count`` occurrences."""
-    levels, marks = [], None
+    rows = dictionary.select("lang", "own", "chunk", "freq")
+    marks: list[np.ndarray] = []
     for n in range(1, p.words + 1):
-        rows = dictionary.select("lang", "own", "chunk", "freq").mapInArrow(
-            _count_level(n, marks),
-            "lang string, phrase binary, f long, h long")
-        level = C.save(
-            rows.groupBy("lang", "phrase").agg(
-                F.sum("f").alias("f"), F.first("h").alias("h"))
-            .where(F.col("f") >= p.min_count)
-            .withColumn("phrase", F.col("phrase").cast("string")),
-            f"phrases-{n}")
-        levels.append(level.select("lang", "phrase", "f"))
-        if n < p.words:
-            marks = _bitmap(level, p)
-    return levels
+        sums = rows.mapInArrow(_sift(n, marks[-1] if marks else None),
+                               "h long, f long")
+        often = C.save(sums.groupBy("h").agg(F.sum("f").alias("f")).where(
+            F.col("f") >= p.min_count).select("h"), f"phrases-{n}")
+        marks.append(_bitmap(often, p))
+    counts = rows.mapInArrow(_marked_phrases(marks), "lang string, "
+                             "phrase binary, size int, f long")
+    counts = C.save(
+        counts.groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f"))
+        .where(F.col("f") >= p.min_count)
+        .withColumn("phrase", F.col("phrase").cast("string")), "phrases")
+    return [counts.where(F.col("size") == n).select("lang", "phrase", "f")
+            for n in range(1, p.words + 1)]
 
 
 # --- scores --------------------------------------------------------------------
