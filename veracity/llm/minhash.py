@@ -406,19 +406,36 @@ def deduplicate(docs: DataFrame, params: MinHashParams = MinHashParams(),
     without words are no copies and all stay.  The columns are those of
     ``docs``, and none must be named ``__digest`` or ``__row``.
     """
-    return C.result_of(lambda: _deduplicate(docs, params, id_col, text_col),
-                       docs.sparkSession, "minhash-kept")
+    marked = _marked(docs, text_col)
+    counted = C.result_of(lambda: _judged(docs, params, id_col, text_col),
+                          docs.sparkSession, "minhash-judged")
+    key = ["__digest", "__row"]
+    gone = counted.where("NOT chosen OR c > 1").select(*key)
+    out = marked.join(gone, key, "left_anti")
+    repeated = counted.where("chosen AND c > 1").select(*key)
+    if not repeated.isEmpty():      # equal rows: one of them stays
+        out = out.unionByName(marked.join(repeated, key, "left_semi")
+                              .dropDuplicates(key))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-def _deduplicate(docs: DataFrame, p: MinHashParams, id_col: str,
-                 text_col: str) -> DataFrame:
-    text = F.col(f"`{text_col}`").cast("string")
-    # a text stands for its rows by a 64-bit node; 192 bits tell a row
-    node = F.xxhash64(text)
+def _marked(docs: DataFrame, text_col: str) -> DataFrame:
+    """``docs`` with the digest of the text and a hash of the whole row:
+    together 192 bits that tell a row."""
     columns = [x for c in docs.columns
                for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())]
-    marked = docs.withColumns({"__digest": F.md5(text.cast("binary")),
-                               "__row": F.xxhash64(*columns)})
+    text = F.col(f"`{text_col}`").cast("string")
+    return docs.withColumns({"__digest": F.md5(text.cast("binary")),
+                             "__row": F.xxhash64(*columns)})
+
+
+def _judged(docs: DataFrame, p: MinHashParams, id_col: str, text_col: str
+            ) -> DataFrame:
+    """(__digest, __row, c, chosen) of the rows in groups: how many rows are
+    equal, and whether they are what stays of their group."""
+    text = F.col(f"`{text_col}`").cast("string")
+    node = F.xxhash64(text)         # a text stands for its rows by it
+    marked = _marked(docs, text_col)
     rows = C.save(marked.where(text.isNotNull()).select(
         node.alias("node"), "__digest", "__row",
         F.col(f"`{id_col}`").cast("long").alias("id")), "minhash-rows")
@@ -439,13 +456,4 @@ def _deduplicate(docs: DataFrame, p: MinHashParams, id_col: str,
     counted = members.groupBy("group", "__digest", "__row").agg(
         F.count("*").alias("c")).join(stays, "group")
     chosen = (F.col("__digest") == F.col("d")) & (F.col("__row") == F.col("r"))
-    counted = C.save(counted.select("__digest", "__row", "c",
-                                    chosen.alias("chosen")), "minhash-counted")
-    key = ["__digest", "__row"]
-    gone = counted.where("NOT chosen OR c > 1").select(*key)
-    out = marked.join(gone, key, "left_anti")
-    repeated = counted.where("chosen AND c > 1").select(*key)
-    if not repeated.isEmpty():      # equal rows: one of them stays
-        out = out.unionByName(marked.join(repeated, key, "left_semi")
-                              .dropDuplicates(key))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return counted.select("__digest", "__row", "c", chosen.alias("chosen"))
