@@ -1,5 +1,6 @@
 """Streaming: checkpoint recovery, late data, sinks."""
 
+import os
 import subprocess
 import sys
 
@@ -299,8 +300,10 @@ create_output_sink(s, "console", available_now=True).awaitTermination()
 
 
 def test_console_sink_shows_twenty_whole_rows(tmp_path):
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     out = subprocess.run([sys.executable, "-c", CONSOLE, str(tmp_path / "in")],
-                         capture_output=True, text=True, timeout=120).stdout
+                         capture_output=True, text=True, timeout=120,
+                         cwd=root).stdout
     assert out.count("|" + "long text " * 9 + "|") == 20
     assert "only showing top 20 rows" in out
 
