@@ -16,7 +16,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .lookup import DEFAULT_BROADCAST_BYTES, lookup_join, materialize
+from .lookup import DEFAULT_BROADCAST_BYTES, lookup_join
 
 
 def epoch_seconds(ts_col: str) -> F.Column:
@@ -238,11 +238,11 @@ def compute_source_reputation_exponential_moving_average(
         chunk = F.floor(F.col("__b") / _ema_chunk(a, chunk_buckets))
         w = Window.partitionBy("__src", "__chunk").orderBy("__b")
         k = F.col("__k")
-        local = materialize(
-            rates.withColumn("__chunk", chunk)
-            .withColumn("__k", F.row_number().over(w))
-            .withColumn("__own", F.pow(q, k) * F.sum(
-                F.col("__rate") * a * F.pow(q, -k)).over(w)))
+        # read twice below: the exchange of the rates is reused
+        local = (rates.withColumn("__chunk", chunk)
+                 .withColumn("__k", F.row_number().over(w))
+                 .withColumn("__own", F.pow(q, k) * F.sum(
+                     F.col("__rate") * a * F.pow(q, -k)).over(w)))
         chunks = local.groupBy("__src", "__chunk").agg(
             F.max_by("__own", "__k").alias("end"), F.max("__k").alias("n"),
             F.min_by("__rate", "__k").alias("first"))
@@ -257,10 +257,10 @@ def compute_source_reputation_exponential_moving_average(
             F.concat(s["into"], F.array(s["value"])).alias("into")))["into"]
         into = listed.select("__src", F.explode(F.arrays_zip(
             F.col("cs.__chunk").alias("__chunk"), into.alias("__in"))
-            ).alias("z")).select("__src", "z.__chunk", "z.__in")
-        smooth = lookup_join(
-            local, into, ["__src", "__chunk"], null_safe=True,
-            max_broadcast_bytes=max_broadcast_bytes).select(
+            ).alias("z")).select(F.col("__src").alias("__s"),
+                                 F.col("z.__chunk").alias("__c"), "z.__in")
+        smooth = local.join(into, F.col("__src").eqNullSafe(F.col("__s"))
+                            & (F.col("__chunk") == F.col("__c"))).select(
             "__src", "__b", (F.col("__own") + F.pow(q, k) * F.col("__in"))
             .alias("__ema"))
     lookup = smooth.select(
