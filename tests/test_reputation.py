@@ -127,3 +127,26 @@ def test_parse_duration():
     assert R.parse_duration("1 hour") == 3600
     assert R.parse_duration("30 minutes") == 1800      # not 30 hours
     assert R.parse_duration("10 minutes") == 600
+
+
+@pytest.mark.parametrize("window, chunk", [(3600, 1500), (600, 86_400),
+                                           (7, 1), (5, 5), (4, 5)])
+def test_trailing_counts_of_full_seconds(spark, window, chunk):
+    """A row in nearly every second, before 1970 too, flags that are not
+    known, seconds that start a chunk: as one window over the records, but
+    by running sums, whose work is not the window's rows times its own."""
+    rows = [(i, "ab"[i % 2], None if i % 41 == 0 else i * 7 // 5 - 3000,
+             None if i % 5 == 0 or i < 900 else i % 3 == 0)
+            for i in range(6000)]
+    df = _frame(spark, rows).withColumn("timestamp", F.expr(
+        "timestamp - interval 19723 days - interval 12 hours"))
+    got = R.compute_source_reputation_streaming(df, window,
+                                                chunk_seconds=chunk)
+    assert sorted(map(repr, _direct(df, window).collect())) == sorted(
+        map(repr, got.select("row_key", F.col("anomalies_in_window").alias(
+            "a"), F.col("total_in_window").alias("n")).collect()))
+    plan = R._trailing_counts(df, window, "source_id", "is_anomaly",
+                              "timestamp", chunk
+                              )._jdf.queryExecution().toString()
+    assert "unboundedpreceding" in plan
+    assert f"RangeFrame, -{window}" not in plan

@@ -82,10 +82,12 @@ def _trailing_counts(df: DataFrame, window_seconds: int, source_col: str,
                      ) -> DataFrame:
     """(source, __sec, __wa, __wn): anomalies and rows in [sec-W, sec].
 
-    Records are reduced to one row per (source, second) first; each second
-    is copied into every time chunk whose rows can see it (at most
-    1 + W/chunk copies), and the window runs per (source, chunk): exact,
-    and parallel within a source.
+    Records are reduced to one row per (source, second) first.  A second
+    enters the sums at its own time and leaves them W + 1 later, so the
+    sums at a time are those of all moves up to it: a running sum, whose
+    work does not grow with the rows that a window holds.  It runs per
+    (source, time chunk); what a chunk can still see of the chunks before
+    it enters at its start as one row.
     """
     W = int(window_seconds)
     sec = epoch_seconds(ts_col)
@@ -93,19 +95,39 @@ def _trailing_counts(df: DataFrame, window_seconds: int, source_col: str,
     C = int(chunk_seconds)
     per_sec = (df.select(source_col, sec.alias("__sec"), flag.alias("__a"))
                .groupBy(source_col, "__sec")
-               .agg(F.sum("__a").alias("__a"), F.count(F.lit(1)).alias("__n")))
-    home = F.floor(F.col("__sec") / C)
-    reach = F.floor((F.col("__sec") + W) / C)
-    copies = (per_sec
-              .withColumn("__home", home)
-              .withColumn("__chunk", F.explode_outer(F.sequence(home, reach))))
-    w = (Window.partitionBy(source_col, "__chunk").orderBy("__sec")
-         .rangeBetween(-W, 0))
-    return (copies
-            .select(source_col, "__sec", "__home", "__chunk",
-                    F.sum("__a").over(w).alias("__wa"),
-                    F.sum("__n").over(w).alias("__wn"))
-            .where(F.col("__chunk").eqNullSafe(F.col("__home")))
+               .agg(F.sum("__a").alias("__a"), F.count("__a").alias("__f"),
+                    F.count(F.lit(1)).alias("__n")))
+    sec, gone = F.col("__sec"), F.col("__sec") + W + 1
+    home, reach = F.floor(sec / C), F.floor((sec + W) / C)
+    sums = [F.col("__a"), F.col("__f"), F.col("__n")]
+    # null seconds are in a frame of their own: no chunk, no other move
+    enter = per_sec.select(source_col, "__sec", home.alias("__chunk"),
+                           sec.alias("__at"), *sums)
+    none = F.lit(None).cast("long").alias("__sec")
+    # beyond the reach nothing has entered that could leave
+    leave = per_sec.where(F.floor(gone / C) == reach).select(
+        source_col, none, reach.alias("__chunk"), gone.alias("__at"),
+        *[(-c).alias(f"__{k}") for c, k in zip(sums, "afn")])
+    start = (per_sec.where(reach > home)
+             .withColumn("__chunk", F.explode(F.sequence(home + 1, reach)))
+             .groupBy(source_col, "__chunk")
+             .agg(*[F.sum(c).alias(f"__{k}") for c, k in zip(sums, "afn")])
+             .select(source_col, none, "__chunk",
+                     (F.col("__chunk") * C).alias("__at"), *sums))
+    moves = (enter.withColumn("__own", F.lit(True))
+             .unionByName(leave.withColumn("__own", F.lit(False)))
+             .unionByName(start.withColumn("__own", F.lit(False))))
+    w = (Window.partitionBy(source_col, "__chunk").orderBy("__at")
+         .rangeBetween(Window.unboundedPreceding, Window.currentRow))
+
+    def running(c: str) -> F.Column:
+        return F.sum(c).over(w)
+
+    return (moves
+            .select(source_col, "__sec", "__own",
+                    F.when(running("__f") > 0, running("__a")).alias("__wa"),
+                    running("__n").alias("__wn"))
+            .where("__own")
             .select(source_col, "__sec", "__wa", "__wn"))
 
 
