@@ -152,6 +152,24 @@ def test_a_folder_of_many_small_files(spark, tmp_path):
     assert df.select("file").distinct().count() == df.count()
 
 
+def test_headers_are_found_without_a_sort_of_the_lines(spark, tmp_path):
+    """Long files, several in a task, blank lines over a batch's end: no
+    more than a line per file reaches the aggregate."""
+    folder = tmp_path / "feeds"
+    folder.mkdir()
+    blank = {0: 0, 1: 3, 2: 25_000}
+    for k in range(3):
+        (folder / f"f{k}.csv").write_text(
+            "\n" * blank[k] + f"id,h{k}\n" + "1,x\n" * 30_000)
+    (folder / "empty.csv").write_text("\n\n")
+    got = files.header_catalogue(spark, str(folder))
+    assert {(r.path.rsplit("/", 1)[-1], r.header) for r in got.collect()} == {
+        (f"f{k}.csv", f"id,h{k}") for k in range(3)}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.rindex("Sort"):] if "Sort" in plan else plan
+    assert "MapInArrow" in below
+
+
 def test_headers_as_a_reader_has_them():
     assert files.header_names('﻿a,"b, c",,A,d') == [
         "a0", "b, c", "_c2", "A3", "d"]

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import csv
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -49,16 +51,39 @@ def header_catalogue(spark: SparkSession, folder: str,
     """(path, header) of every file below a folder whose name, or whose
     folder's name, fits the pattern: the first line that isn't blank, read
     by the executors in one pass over the lines.  A file without such a
-    line has no rows and no entry."""
+    line has no rows and no entry.
+
+    A task keeps one line per file as the lines pass; an aggregate over
+    texts would sort all lines of the files' first blocks."""
     lines = (spark.read.text(f"{folder}/{pattern}")
              .select("value", F.col("_metadata.file_path").alias("path"),
                      F.col("_metadata.file_block_start").alias("block"),
                      F.monotonically_increasing_id().alias("n")))
     first = lines.where((F.col("block") == 0)
                         & (F.length(F.trim("value")) > 0))
+    first = first.select("path", "value", "n").mapInArrow(
+        _first_lines(), "path string, value string, n long")
     return first.groupBy("path").agg(F.min_by("value", "n").alias("header"))
 
 
+def _first_lines():
+    """The first line of each stretch of lines of one file; made here, so
+    that it goes to the executors whole."""
+    def first_lines(batches: Iterator[pa.RecordBatch]
+                    ) -> Iterator[pa.RecordBatch]:
+        last = None
+        for b in batches:
+            paths = b.column("path")
+            if not len(paths):
+                continue
+            new = pc.not_equal(paths.slice(1), paths.slice(0, len(paths) - 1))
+            new = pa.concat_arrays(
+                [pa.array([paths[0].as_py() != last]), new])
+            last = paths[-1].as_py()
+            yield b.filter(new)
+    return first_lines
+
+
 def header_names(header: str) -> list[str]:
     """Column names of a CSV header as a reader of the file would have
     them: quotes removed, an empty name is ``_c`` and its place, a repeated
