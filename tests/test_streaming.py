@@ -207,6 +207,82 @@ def test_a_repeated_batch_changes_nothing(spark, tmp_path, monkeypatch):
     assert marks[0] is None and marks[1:] == sorted(marks[1:])
 
 
+def _fates(spark, sf):
+    from veracity.plans import catalog_stream as S
+    return sorted(map(tuple, S.q_stream_late_records(spark, sf).collect()),
+                  key=lambda r: r[0])
+
+
+@pytest.mark.parametrize("days, file_rows", [(30, 40), (2, 4)])
+def test_every_part_has_the_same_number_of_files(spark, tmp_path, monkeypatch,
+                                                 days, file_rows):
+    """A part is written by many tasks; one with fewer rows than files has
+    as many (2 days: the other parts have no rows)."""
+    from veracity.plans import catalog_stream as S
+    sf = str(tmp_path / "sf")
+    ev = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    ev.where(F.col("ts") < F.lit(f"2024-01-{days:02} 23:00:00").cast(
+        "timestamp_ntz")).coalesce(1).write.parquet(sf + "/events.parquet")
+    monkeypatch.setattr(S, "FILE_ROWS", file_rows, raising=False)
+    folder, sizes = str(tmp_path / "parts"), []
+    for k in range(S.PARTS + 1):
+        S.write_event_parts(spark, sf, folder, [k])
+        sizes.append(len(list((tmp_path / "parts").glob("*.parquet"))))
+    assert sizes[0] > 2
+    assert sizes == [sizes[0] * (k + 1) for k in range(S.PARTS + 1)]
+    rows = [r["count"] for r in spark.read.parquet(folder).groupBy(
+        F.col("_metadata.file_path")).count().collect()]
+    assert sum(rows) == spark.read.parquet(sf + "/events.parquet").count()
+    assert max(rows) <= file_rows * S.PARTS + 1
+
+
+def test_fates_do_not_depend_on_the_files(spark, monkeypatch):
+    from veracity.plans import catalog_stream as S
+    sf = "/root/testdata/sf0.001"
+    monkeypatch.setattr(S, "FILE_ROWS", 1000)
+    one = _fates(spark, sf)
+    monkeypatch.setattr(S, "FILE_ROWS", 70)
+    assert S.part_files(spark, sf) == 3
+    assert _fates(spark, sf) == one
+    assert {r[3] for r in one} >= {"late", "no time", "scored"}
+
+
+def test_a_gate_batch_of_several_files_loses_nothing(spark, tmp_path):
+    """Its files are days apart: one by one, the last day's would move the
+    watermark past the others' records."""
+    import datetime as dt
+    from veracity.streaming import late
+    schema = "source_id string, timestamp timestamp, is_anomaly boolean"
+    src, gate = str(tmp_path / "src"), str(tmp_path / "gate")
+    for day in (9, 5, 1):
+        spark.createDataFrame(
+            [("a", dt.datetime(2024, 1, day, 12, m), False)
+             for m in range(60)], schema).coalesce(1).write.mode(
+                "append").parquet(src)
+    stream = spark.readStream.schema(schema).parquet(src)
+
+    def run(files):
+        late.gate_late_records(
+            stream, gate, str(tmp_path / "gate-ckpt"), available_now=True,
+            files=files).awaitTermination()
+    run(4)                      # more than the batch has tasks
+    assert len(list((tmp_path / "gate").rglob("accepted/*/*.parquet"))) == 4
+    for wrong in (1, 6):
+        with pytest.raises(ValueError, match="may cut"):
+            late.accepted_stream(spark, gate, stream.schema, wrong)
+    with pytest.raises(ValueError, match="files: 4"):
+        run(5)
+    s = late.accepted_stream(spark, gate, stream.schema, 4).withWatermark(
+        "timestamp", "10 minutes")
+    per = s.groupBy(F.window("timestamp", "10 minutes")).count()
+    out = str(tmp_path / "out")
+    create_output_sink(per, "parquet", out, str(tmp_path / "ckpt"),
+                       available_now=True).awaitTermination()
+    got = spark.read.parquet(out)
+    # the watermark is 12:49 on the 9th: two windows of it stay open
+    assert got.agg(F.sum("count")).first()[0] == 160
+
+
 # --- ST3, S15, ST2: output modes, sinks, triggers -----------------------------
 
 def test_update_layers_survive_a_stop_in_the_merge(spark, tmp_path,

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..params import QualityParams
 from ..session import scratch_path
+from ..sources.files import write_file_count
 from ..sources.publish import read_published
 from ..streaming.job import (StreamingPipelineConfig, build_stream,
                              window_counts, with_watermark)
@@ -30,29 +31,43 @@ _SQ = QualityParams.streaming()
 
 
 PARTS = 5
+FILE_ROWS = 200_000     # of a part's file, about
 LATE_KEY, LATE_BEFORE = 97, "2024-01-20 00:00:00"
 
 
+def part_files(spark: SparkSession, sf_dir: str) -> int:
+    """Files of each part: they grow in number with the events, not in
+    size."""
+    rows = td.table(spark, sf_dir, "events").count()
+    return max(1, -(-rows // (PARTS * FILE_ROWS)))
+
+
 def write_event_parts(spark: SparkSession, sf_dir: str, folder: str,
                       parts=range(PARTS + 1)) -> None:
-    """The events as ``PARTS`` files in time order and one more with rows
-    held back from the earlier ones, written one after the other."""
+    """The events as ``PARTS`` parts in time order and one more with rows
+    held back from the earlier ones, written one after the other, each as
+    ``part_files`` files."""
     e = td.table(spark, sf_dir, "events")
     late = (F.col("event_id") % LATE_KEY == 0) & (
         F.col("ts") < F.lit(LATE_BEFORE).cast("timestamp_ntz"))
     day = F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01"))
     part = F.when(late, PARTS).otherwise(
         F.least(F.floor(day / 6), F.lit(PARTS - 1)))
+    n = part_files(spark, sf_dir)
     for k in parts:
-        e.where(part == k).coalesce(1).write.mode("append").parquet(folder)
+        write_file_count(e.where(part == k).repartition(n), folder, n,
+                         "append")
 
 
 def events_stream(spark: SparkSession, sf_dir: str, folder: str | None = None
                   ) -> DataFrame:
-    """The events file (or the files of a folder, one per micro-batch) as
+    """The events file (or the parts in a folder, one per micro-batch) as
     a stream, mapped to the message record."""
     schema = td.table(spark, sf_dir, "events").schema
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+    # no files kept for later: the last ones kept could be less than a part
+    reader = spark.readStream.schema(schema).option(
+        "maxFilesPerTrigger", part_files(spark, sf_dir) if folder else 1
+        ).option("maxCachedFiles", 0)
     raw = reader.parquet(folder) if folder else reader.option(
         "pathGlobFilter", "events.parquet").parquet(sf_dir)
     from ..operators.unify import map_feed
@@ -158,9 +173,10 @@ def q_stream_late_records(spark, sf_dir):
     write_event_parts(spark, sf_dir, parts)
     gate = scratch_path(spark, "gate")
     stream = events_stream(spark, sf_dir, parts)
+    n = part_files(spark, sf_dir)
     gate_late_records(stream, gate, scratch_path(spark, "gate-ckpt"),
-                      available_now=True).awaitTermination()
-    accepted = accepted_stream(spark, gate, stream.schema, 1)
+                      available_now=True, files=n).awaitTermination()
+    accepted = accepted_stream(spark, gate, stream.schema, n)
     scored = run_to_table(spark, sliding_columns(accepted), "gate-scored")
     late = late_records(spark, gate, stream.schema).select(
         "row_key", F.lit("late").alias("fate"))

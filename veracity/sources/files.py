@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import uuid
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -152,6 +153,31 @@ def write_parquet(df: DataFrame, path: str, mode: str = "overwrite",
     w.parquet(path)
 
 
+def write_file_count(df: DataFrame, path: str, count: int,
+                     mode: str = "overwrite") -> None:
+    """Write Parquet as exactly ``count`` files, for a file stream that
+    takes so many at a time: each task writes one, and files without rows
+    make up for tasks that are missing or have none."""
+    spark = df.sparkSession
+
+    def held() -> list[str]:
+        return [n for n in publish.names(spark, path) if n.startswith("part-")]
+    before = 0 if mode == "overwrite" else len(held())
+    df.coalesce(count).write.mode(mode).option(
+        "maxRecordsPerFile", 0).parquet(path)
+    missing = before + count - len(held())
+    if missing:
+        key = uuid.uuid4().hex
+        spare = f"{path}/_spare-{key}"
+        spark.createDataFrame([], df.schema).coalesce(1).write.parquet(spare)
+        one = next(n for n in publish.names(spark, spare)
+                   if n.startswith("part-"))
+        for i in range(missing):
+            publish.copy(spark, f"{spare}/{one}",
+                         f"{path}/part-spare-{key}-{i}.parquet")
+        publish.delete(spark, spare)
+
+
 def append_feeds(frames: Sequence[DataFrame], path: str,
                  load_id: str | None = None) -> DataFrame:
     """The frames as one table in the place of the old one, re-read.

@@ -67,6 +67,14 @@ def rename(spark: SparkSession, old: str, new: str) -> None:
         raise OSError(f"can't move {old} to {new}")
 
 
+def copy(spark: SparkSession, old: str, new: str) -> None:
+    """Copy a small file."""
+    fs, p = _fs(spark, old)
+    spark.sparkContext._jvm.org.apache.hadoop.fs.FileUtil.copy(
+        fs, p, fs, _fs(spark, new)[1], False,
+        spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def read_json(spark: SparkSession, path: str) -> dict | None:
     """A small file's content; None if there is no such file."""
     fs, p = _fs(spark, path)
